@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import link_tool_calls, messages
+from .decontam import decontaminate
+from .dedup import near_duplicates
+from .licenses import scan_licenses
+from .mixing import mix
 from .quality import quality_rules
+from .sharding import shard
+from .url_filter import judge_urls, seed_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,5 +29,40 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in stats])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge_urls(table(spark, sf_dir, "pages"), seed_urls(spark))
+    return out.select("page_id", *[F.col(f"url_filter.{c}").alias(c) for c in ("host", "path", "rule", "verdict", "score")])
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "leak.*")
+
+
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(messages(table(spark, sf_dir, "conversations")))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("licence.sentence_ids", ",").alias("sentence_ids"), F.array_join("licence.licences", ",").alias("licences"), F.col("licence.licence").alias("licence"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents")).select("doc_id", "shard.*")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality_rules, op2_minhash_near_dedup, op3_url_filters, op6_benchmark_decontamination,
+    op7_mixing_sources, op8_chat_formatting, op9_license_scans, op10_sharding,
+)}
 SQL: dict[str, str] = {}
