@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .chat import link_tool_calls, messages
 from .decontam import decontaminate
 from .dedup import near_duplicates
+from .html_text import extract_text
 from .licenses import scan_licenses
+from .lm import score_texts
 from .mixing import mix
 from .quality import quality_rules
 from .sharding import shard
@@ -38,6 +40,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", *[F.col(f"url_filter.{c}").alias(c) for c in ("host", "path", "rule", "verdict", "score")])
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "leak.*")
@@ -62,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_minhash_near_dedup, op3_url_filters, op6_benchmark_decontamination,
+    op1_quality_rules, op2_minhash_near_dedup, op3_url_filters, op4_html_extraction, op5_lm_scoring, op6_benchmark_decontamination,
     op7_mixing_sources, op8_chat_formatting, op9_license_scans, op10_sharding,
 )}
 SQL: dict[str, str] = {}
