@@ -8,15 +8,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boxmill.llm.common import shared_dir
+from boxmill.llm.decontam import drop_contaminated
+from boxmill.llm.dedup import drop_near_duplicates
+from boxmill.llm.mixing import mixed
 from boxmill.llm.quality import drop_rejected
+from boxmill.llm.sharding import shard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose the lines that are over the limit."""
     return drop_rejected(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands there as often as the mix takes it."""
+    return mixed(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their place: shard and slot."""
+    placed = shard(docs, to="_shard")
+    new = placed.select("_shard.*").columns
+    return placed.select(*[c for c in docs.columns if c.lower() not in new], "_shard.*")
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality", quality)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
 #: The stages hash, count and search iteratively, which SQL does not express.
 ORACLE_SQL = None
@@ -26,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet and read again as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/stage-{name.replace(" ", "-")}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
