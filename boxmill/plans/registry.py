@@ -1,14 +1,15 @@
-"""Registered queries over the given tables and their SQL twins."""
+"""All registered queries over the given tables and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import evaluation, fusion, labels, probing, regions  # noqa: F401  they register their queries
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Kept boxes and mean score per class after class-wise suppression."""
+    return QUERIES["nms_class_summary"](spark, sf_dir)
