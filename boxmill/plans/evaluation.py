@@ -28,9 +28,9 @@ def answers(v: Views) -> DataFrame:
     return v.fx_ground.join(v.fx_image.select("image_id", "width", "height"), "image_id")
 
 
-@query(f"{PARSE} SELECT image_id, pos, cls, CAST(round(x1 * 10000) AS INT) AS x1, CAST(round(y1 * 10000) AS INT) AS y1, CAST(round(x2 * 10000) AS INT) AS x2, CAST(round(y2 * 10000) AS INT) AS y2 FROM parsed", "fx_ground fx_image")
+@query(f"{PARSE} SELECT image_id, pos, cls, CAST(floor(x1 * 1000) AS INT) AS x1, CAST(floor(y1 * 1000) AS INT) AS y1, CAST(floor(x2 * 1000) AS INT) AS x2, CAST(floor(y2 * 1000) AS INT) AS y2 FROM parsed", "fx_ground fx_image")
 def grounding_boxes(v: Views) -> DataFrame:
-    return G.parse_answers(answers(v), NAMES).withColumns({c: F.round(F.col(c) * 10_000).cast("int") for c in ("x1", "y1", "x2", "y2")})
+    return G.parse_answers(answers(v), NAMES).withColumns({c: F.floor(F.col(c) * 1000).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
 
 IOU = """greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0) / ((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0))"""
