@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, cut, free_name, text_key, text_or_empty
+from .common import WordHash, broadcast_below, cut, free_name, text_key, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -23,8 +23,10 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Estimated similarity below which a pair isn't confirmed: five standard errors under the threshold.
 LEAST_ESTIMATE = 0.55
-#: Documents of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Rounds in which each bucket has one hub; each round draws another.
+HUB_ROUNDS = 3
+#: Counters of hashed shingles that order the prefix join, a power of 2.
+ORDER_SLOTS = 2**18
 
 _draw = np.random.default_rng(20240501)
 _MUL = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,17 +41,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    """64-bit hashes of words, kept for the words seen of late."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingle_set(tokens: list[bytes], hashes: _WordHash) -> np.ndarray:
+def shingle_set(tokens: list[bytes], hashes: WordHash) -> np.ndarray:
     """The sorted distinct shingle hashes; one hash of the whole sequence if it is shorter than a shingle."""
     if not tokens:
         return np.empty(0, np.uint64)
@@ -67,7 +59,7 @@ def _tokens(text: str | None) -> list[bytes]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHash()
+    hashes = WordHash()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         at = 0
@@ -117,7 +109,7 @@ def _similar_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the pairs of texts whose full shingle sets are similar enough."""
-    hashes, last, left = _WordHash(), None, None
+    hashes, last, left = WordHash(), None, None
     for batch in batches:
         ok = []
         for a, x, y in zip(*(batch.column(c) for c in ("a", "text_a", "text_b")), strict=True):
@@ -130,23 +122,56 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar pairs of different components, of two blocks of a bucket that stand in one row."""
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, counts = WordHash(), np.zeros(ORDER_SLOTS, np.int64)
     for batch in batches:
-        for row in batch.to_pylist():
-            x, y = row["x"], row["y"]
-            mx, my = (np.frombuffer(b"".join(e["marks"] for e in s), np.uint8).reshape(len(s), -1) for s in (x, y))
-            rx, ry = (np.array([e["root"] for e in s]) for s in (x, y))
-            nx, ny = (np.array([e["n_shingles"] for e in s]) for s in (x, y))
-            ix, iy = (np.array([e["rep"] for e in s]) for s in (x, y))
-            pairs = []
-            for i in range(len(ix)):
-                near = (ry != rx[i]) & (100 * np.minimum(ny, nx[i]) >= PERCENT * np.maximum(ny, nx[i]))
-                near[near] = (my[near] == mx[i]).mean(axis=1) >= LEAST_ESTIMATE
-                pairs += [(min(ix[i], j), max(ix[i], j)) for j in iy[near]]
-            if pairs:
-                a, b = np.array(pairs, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for text in batch.column("text"):
+            s = shingle_set(_tokens(text.as_py()), hashes)
+            counts += np.bincount((s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64), minlength=ORDER_SLOTS)
+    full = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(counts[full])], names=["slot", "n"])
+
+
+def _prefix_pairs(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of ids of different roots that the prefix and position bounds of the similarity allow.
+
+    rest: (rep, root). Each set's shingles are ordered from rare to frequent, by
+    bounded counts of hashed shingles and then the hash; any order gives all
+    pairs. Similar sets share a shingle in their prefixes, and their first one
+    stands so early that enough shingles follow in both. A shingle's most
+    frequent root is only compared with its other roots, so a large component
+    never meets itself.
+    """
+    ids = broadcast_below(rest.select(F.col("rep").alias("doc_id")), 2_000_000)
+    texts = docs.join(ids, "doc_id", "left_semi").distinct()
+    counts = texts.select("text").mapInArrow(_shingle_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    frequency = np.zeros(ORDER_SLOTS, np.int64)
+    for r in counts:
+        frequency[r["slot"]] = r["n"]
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                s = shingle_set(_tokens(text.as_py()), hashes)
+                if len(s):
+                    n = len(s) - -(-PERCENT * len(s) // 100) + 1
+                    often = shared.value[(s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)]
+                    first = s[np.lexsort((s, often))[:n]].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(n, doc_id)), pa.array(np.full(n, len(s))), pa.array(np.arange(n, dtype=np.int32))], names=["token", "rep", "size", "pos"])
+
+    tokens = texts.select("doc_id", "text").mapInArrow(prefixes, "token long, rep long, size long, pos int")
+    tokens = cut(tokens.distinct().join(broadcast_below(rest, 1_000_000), "rep"), "prefixes")
+    roots = tokens.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("n_roots"))
+    met = tokens.join(roots.where("n_roots > 1").select("token", "major"), "token")
+    x, y = met.where("root <> major").alias("x"), met.alias("y")
+    least, most = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    need = F.ceil(PERCENT * (F.col("x.size") + F.col("y.size")) / (100 + PERCENT))
+    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))
+    fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & (100 * least >= PERCENT * most) & (follow >= need)
+    return x.join(y, fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -160,17 +185,44 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(_confirmed, "a long, b long").distinct(), "confirmed")
 
 
+def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs of ids whose sizes and signatures allow the similarity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("rep").alias(side), F.col("marks").alias(f"marks_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(_similar_marks, "a long, b long")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, rep, root) of the members of buckets."""
+    return cut(members.join(roots, members["rep"] == roots["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after links join components: only the roots' own links go through the rounds of stars."""
+    if roots is None:
+        return cut(components(links, "a", "b"), "roots")
+    for side in ("a", "b"):
+        at = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        links = links.join(at, side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
+    new = components(links, "a", "b")
+    old = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    alone = new.join(roots.select("node"), "node", "left_anti")
+    return cut(old.unionByName(alone), "roots")
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, k1, k2 (hashes of the text), n_shingles, component_id, kept.
 
     Documents are linked if 100 * |A and B| >= 75 * |A or B| of their sets of
     5-word shingles (A-Z lowered; the whole sequence if shorter). component_id is
     the smallest id reachable, kept is doc_id = component_id. Exact copies are
-    one class and are never paired. Within a band's bucket each class is
-    compared with the bucket's smallest one; where a bucket still holds several
-    components, all its classes of different components are compared in blocks
-    by signature, so no link inside a bucket is lost. With 32 bands of 4 a pair
-    at the threshold shares no bucket with probability 5e-6.
+    one class and are never paired. In each round the classes of a band's bucket
+    are compared with one drawn hub, unless they are in its component already;
+    rounds end when none finds a link. The classes of buckets that then still
+    hold several components are joined exactly by prefix and position bounds, so
+    no link inside a bucket is lost. With 32 bands of 4 a pair at the threshold
+    shares no bucket with probability 5e-6.
 
     Null or wordless text: n_shingles 0, linked with nothing. Null ids: linked
     with nothing, component_id null, kept. Repeated rows share their component;
@@ -185,29 +237,28 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"), F.any_value("n_shingles").alias("n_shingles")), "classes")
     at = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = at.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(at.join(shared, "bucket"), "members")
 
     marks = classes.select("rep", "marks", "n_shingles")
-    pairs = members.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(marks.select(F.col("rep").alias("a"), F.col("marks").alias("marks_a"), F.col("n_shingles").alias("n_a")), "a")
-    pairs = pairs.join(marks.select(F.col("rep").alias("b"), F.col("marks").alias("marks_b"), F.col("n_shingles").alias("n_b")), "b")
-    pairs = pairs.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    links = _links(pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(_similar_marks, "a long, b long"), d)
-    roots = components(links, "a", "b")
-
-    # buckets that still hold several components
-    rooted = cut(members.join(roots, members["rep"] == roots["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
-    open_ = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "n")
-    rest = rooted.join(open_, "bucket").join(marks, "rep")
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    member = F.struct("rep", "root", "n_shingles", "marks")
-    sides = rest.select("bucket", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sides = sides.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    sides = sides.groupBy("bucket", "i", "j").agg(F.collect_list(F.when(F.col("block") == F.col("i"), F.col("member"))).alias("x"), F.collect_list(F.when(F.col("block") == F.col("j"), F.col("member"))).alias("y"))
-    more = _links(sides.where((F.size("x") > 0) & (F.size("y") > 0)).select("x", "y").mapInArrow(_across, "a long, b long").distinct(), d)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), "a", "b")
+    roots = None
+    for turn in range(HUB_ROUNDS):
+        rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
+        hubs = rooted.groupBy("bucket").agg(F.min_by(F.struct("rep", "root"), F.struct(F.xxhash64(F.lit(turn), "rep"), "rep")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        tried = rooted.join(hubs.where("lo < hi"), "bucket").where("root <> hub.root")
+        pairs = tried.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+        found = _links(_near(pairs, marks), d)
+        if found.isEmpty():
+            break
+        roots = _joined(roots, found)
+
+    # the classes of buckets that still hold several components meet in an exact prefix join
+    rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    rest = cut(rooted.join(open_, "bucket").select("rep", "root").distinct(), "open")
+    more = _links(_near(_prefix_pairs(rest, d), marks), d)
+    if roots is None or not more.isEmpty():
+        roots = _joined(roots, more)
 
     classed = classes.select("d1", "d2", "rep").join(roots, F.col("rep") == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("bands", "marks").join(classed, ["d1", "d2"], "left")
