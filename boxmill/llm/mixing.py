@@ -68,7 +68,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     Each document is taken floor(target / source_size) times; the rest of the
     target is filled with documents in the order of a seeded draw. The place where
     the target is met is found by refining histograms of the draws; of the last
-    FEW documents there each is taken that still fits.
+    FEW documents there each is taken that still fits, and if much is left after
+    them, as where one document is most of a source, they are taken again, up to
+    `cap` times.
 
     Null text has size 0. A source of size
     0 has target 0. Rows alike in id and text get the same number of copies.
@@ -104,7 +106,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
         finer = bins.where(F.col("before") <= F.col("need")).groupBy("source").agg(last).select("source", F.lit(bits).alias("bits"), "b.*")
         at = cut(at.where(F.col("rows") <= FEW).unionByName(finer), "boundaries")
     alike = _beside(small, at).groupBy("source", "draw", "size").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    alike = alike.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("draw", "size", "n"))).alias("rows"), F.first("need").alias("need"))
+    alike = alike.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("draw", "size", "n"))).alias("rows"), F.first("need").alias("need")).alias("r")
+    alike = alike.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where(F.col("whole") < cap)
+    turns = F.flatten(F.transform(F.sequence(F.lit(1), cap - F.col("whole")), lambda _: F.col("rows")))
+    alike = alike.select("r.source", "r.need", turns.alias("rows"))
     start = F.struct(F.col("need").alias("left"), F.array().cast("array<struct<draw: bigint, size: bigint>>").alias("taken"))
 
     def fill(acc: Column, r: Column) -> Column:
@@ -114,15 +119,15 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
             F.when(fits, F.array_append(acc["taken"], F.struct(r["draw"].alias("draw"), r["size"].alias("size")))).otherwise(acc["taken"]).alias("taken"),
         )
 
-    taken = alike.select("source", F.explode(F.aggregate("rows", start, fill)["taken"]).alias("t")).select(F.col("source").alias("_s"), F.col("t.draw").alias("_d"), F.col("t.size").alias("_z"), F.lit(True).alias("_taken"))
+    taken = alike.select("source", F.explode(F.aggregate("rows", start, fill)["taken"]).alias("t")).groupBy(F.col("source").alias("_s"), F.col("t.draw").alias("_d"), F.col("t.size").alias("_z")).agg(F.count("*").alias("_times"))
     taken = broadcast_below(cut(taken, "taken"), 1_000_000)
     plan = sources.alias("s").join(at.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")), "left").select(F.col("s.source").alias("_source"), F.struct("source_size", "target", "whole", "bits", "prefix").alias("_plan"))
     plan = broadcast_below(cut(plan, "plan"), 100_000)
 
     joined = d.join(plan, d[of].eqNullSafe(plan["_source"]), "left")
     joined = joined.join(taken, d[of].eqNullSafe(taken["_s"]) & (d[draw] == taken["_d"]) & (d[size] == taken["_z"]), "left")
-    extra = (_bin(d[draw], F.col("_plan.bits")) < F.col("_plan.prefix")) | F.coalesce(F.col("_taken"), F.lit(False))
-    copies = F.col("_plan.whole") + (extra & (F.col("_plan.whole") < cap)).cast("int")
+    whole = (_bin(d[draw], F.col("_plan.bits")) < F.col("_plan.prefix")) & (F.col("_plan.whole") < cap)
+    copies = F.col("_plan.whole") + whole.cast("int") + F.coalesce(F.col("_times"), F.lit(0)).cast("int")
     return joined.select(*[d[c] for c in docs.columns if c != to], F.struct(F.col(size).alias("size"), F.col("_plan.source_size"), F.col("_plan.target"), copies.alias("copies")).alias(to))
 
 
