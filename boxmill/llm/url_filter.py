@@ -17,6 +17,10 @@ BLOCK_HOSTS = (
     "spam-mail.example.org", "linkspam.example.net", "spam-blog.example.com", "seo-link-farm.example.org", "content-farm.example.com", "www.click-farm.example.net",
     "ads-server.example.com", "track-ads.example.org", "adtrack.example.net", "www.tracking-pixel.example.com", "banner-ads.example.org", "pop-ads.example.com",
     "free-bets-now.example.com", "m.sport-bets.example.org", "bets-bonus.example.net", "free-money.example.com", "www.free-prizes.example.org", "fast-loans.example.com",
+    "vip-casino-games.example.com", "jackpot-slots.example.net", "win-big-casino.example.org", "poker-bonus.example.com", "sport-betting-tips.example.org", "bets-online.example.com",
+    "pharmacy-pills.example.net", "cheap-viagra-pills.example.com", "diet-pills-shop.example.org", "replica-watches.example.net", "cheap-handbags.example.org", "discount-cheap.example.com",
+    "adult-chat.example.net", "blog.adults-only.example.org", "adult-x-pics.example.com", "spam-links.example.com", "web-spam.example.net", "farm-of-links.example.org", "adserver-track.example.com", "click-ads.example.net", "tracker-ads.example.org", "free-clicks.example.com",
+    "free-win-prizes.example.org", "quick-loans-cash.example.net", "bonus-free-cash.example.com", "xxx-cams.example.org", "sexy-dating.example.net", "warez-crack.example.com",
     "payday-loans.example.org", "adult-cams.example.com", "xxx-videos.example.net", "hot-dating.example.org", "crack-serial.example.com", "warez-download.example.org",
 )
 ALLOW_HOSTS = (
@@ -25,6 +29,11 @@ ALLOW_HOSTS = (
     "blog.thorn.example.com", "www.other.example.org", "the-thing.example.com", "blog.mother.example.net", "www.weather-station.example.org", "birds.nature.example.com",
     "maths.lecture.example.org", "blog.nation.example.net", "www.earth.example.com", "m.author.example.org", "blog.thread.example.net", "www.lathe.example.com",
     "theatre.example.org", "m.motion.example.com", "blog.notion.example.net", "www.health.example.org", "river.example.com", "www.bridge.example.net",
+    "thth-lab.example.org", "shth.example.net", "these-theses.example.com", "m.thousand.example.org", "then-and-there.example.net", "whose.example.org", "ththing.example.com", "nthth.example.com",
+    "tithe.example.net", "www.ouths.example.org", "blog.hathhe.example.com", "anthem.example.net", "library.example.net", "www.garden-history.example.com", "city-news.example.org", "m.university-press.example.net", "weather-data.example.com", "docs.data-theory.example.org",
+    "blog.history-of-earth.example.net", "kitchen-garden.example.com", "nature-museum.example.org", "blog.northern.example.net", "www.thirteen.example.com", "m.leather.example.org",
+    "blog.tradition.example.com", "www.portion.example.net", "lantern.example.org", "blog.hearth.example.com", "www.santiago.example.org", "blog.reading.example.net", "m.tower.example.com",
+    "school-forum.example.org", "travel.bridge.example.com", "www.river-nation.example.net", "blog.other-stations.example.org", "health-lecture.example.com", "m.shore-birds.example.net",
     "open-data.example.org", "blog.travel.example.com", "www.school.example.net", "forum.linguist.example.org", "www.shore.example.com", "blog.ratio.example.org",
 )
 PATHS = ("/en/17", "/de/240.html", "/fr/9/", "/es/805")
