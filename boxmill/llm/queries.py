@@ -16,6 +16,7 @@ from .lm import score_texts
 from .mixing import mix
 from .quality import quality_rules
 from .sharding import shard
+from .sql import SQL
 from .url_filter import judge_urls, seed_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,4 +76,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_near_dedup, op3_url_filters, op4_html_extraction, op5_lm_scoring, op6_benchmark_decontamination,
     op7_mixing_sources, op8_chat_formatting, op9_license_scans, op10_sharding,
 )}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

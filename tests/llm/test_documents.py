@@ -1,0 +1,307 @@
+"""The operators over documents against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from boxmill.llm import chat, decontam, dedup, licenses, mixing, quality, sharding
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def rows(df) -> list:
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# quality rules
+
+
+def quality_brute(docs, limit):
+    lines, of = defaultdict(set), {}
+    for i, text, _, source, _ in docs:
+        found = {re.sub(r"[\x20\x09-\x0D]+", " ", x.translate(LOWER)).strip(" ") for x in (text or "").split("\n")} - {""}
+        of[(source, text or "")] = found
+    n = Counter()
+    for _, text, _, source, _ in docs:
+        n.update((source, x) for x in of[(source, text or "")])
+    often = {k for k, c in n.items() if c > limit}
+    for (source, text), found in of.items():
+        hit = sum(len(x) for x in found if (source, x) in often)
+        if hit <= 0.25 * sum(map(len, found)):
+            for x in found:
+                lines[(source, x)].add(text)
+    gone = {k for k in often if len(lines[k]) > limit}
+    out = []
+    for i, text, _, source, _ in docs:
+        t = text or ""
+        w = WORD.findall(t)
+        c, cover = Counter(zip(w, w[1:], w[2:])), set()
+        for k in range(len(w) - 2):
+            if c[tuple(w[k : k + 3])] > 1:
+                cover |= {k, k + 1, k + 2}
+        full = [x for x in t.split("\n") if WORD.search(x)]
+        found = of[(source, t)]
+        lost = [x for x in found if (source, x) in gone]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        depleted = bool(lost) and sum(map(len, lost)) > 0.5 * sum(map(len, found))
+        out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(full) - len(set(full)), len(cover), failed, not failed and not depleted, len(lost)))
+    return sorted(out, key=repr)
+
+
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines"]
+
+
+def test_quality_rules(docs, doc_rows):
+    out = quality.quality_rules(docs)
+    got = rows(out.select("doc_id", *[f"quality.{c}" for c in STATS]))
+    assert got == quality_brute(doc_rows, 20)
+    assert out.where("quality.n_removed_lines > 0").count() > 30
+
+
+def test_cleaned_text_lacks_the_line(docs):
+    out = quality.drop_rejected(docs)
+    assert out.columns == docs.columns
+    assert out.where(F.col("text").contains("Subscribe")).count() == 0
+    assert {r["doc_id"] for r in out.collect()} >= {*range(125)}
+    assert out.where("doc_id = 90").first()["n_chars"] == len(out.where("doc_id = 90").first()["text"])
+
+
+# near-dedup
+
+
+def dedup_brute(docs):
+    sets, inverse = [], defaultdict(list)
+    for k, (_, text, *_x) in enumerate(docs):
+        w = WORD.findall((text or "").translate(LOWER))
+        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        sets.append(s)
+        for x in s:
+            inverse[x].append(k)
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in inverse[x] if j > k).items():
+            if docs[k][0] is not None and docs[j][0] is not None and 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                parent[find(j)] = find(k)
+    low = {}
+    for k, d in enumerate(docs):
+        if d[0] is not None:
+            low[find(k)] = min(low.get(find(k), d[0]), d[0])
+    return sorted(((d[0], len(sets[k]), low[find(k)] if d[0] is not None else None, d[0] is None or low[find(k)] == d[0]) for k, d in enumerate(docs)), key=repr)
+
+
+def test_near_dedup(docs, doc_rows):
+    assert rows(dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")) == dedup_brute(doc_rows)
+
+
+def test_links_across_hubs_are_found(spark):
+    """A chain of texts: each similar to the next only; a later hub or the prefix join must close every link."""
+    import random
+
+    rng = random.Random(1)
+    chain = [[f"w{rng.randrange(10**6)}" for _ in range(120)]]
+    for k in range(14):
+        chain.append([*chain[-1][9:], *[f"c{k}_{j}" for j in range(9)]])
+    out = dedup.near_duplicates(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(chain)], "doc_id long, text string"))
+    assert {r["component_id"] for r in out.collect()} == {0}
+
+
+def test_one_of_each_group_stays(docs, doc_rows):
+    out = dedup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    kept = sorted(r[0] for r in dedup_brute(doc_rows) if r[3] and r[0] is not None)
+    assert sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == sorted(set(kept))
+
+
+# decontamination
+
+
+def leak_brute(docs, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, text in items:
+        w = word.findall((text or "").translate(LOWER))
+        size = min(10, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            windows[tuple(w[k : k + size])].add("" if i is None else str(i))
+    sizes = {len(w) for w in windows}
+    out = []
+    for i, text, *_ in docs:
+        w, hit, found = word.findall((text or "").translate(LOWER)), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if ids := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= ids
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_decontamination(docs, doc_rows, benchmark, spark):
+    got = rows(decontam.decontaminate(docs, benchmark).select("doc_id", "leak.*"))
+    items = [tuple(r) for r in benchmark.collect()]
+    assert got == leak_brute(doc_rows, items)
+    assert sum(r[5] for r in got) >= 5
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.drop_contaminated(docs, none).count() == len(doc_rows)
+
+
+# mixing
+
+
+def mix_brute(docs):
+    size = defaultdict(int)
+    for _, text, _, source, _ in docs:
+        size[source] += len(WORD.findall(text or ""))
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + ([None] if None in size else [])
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    left, open_, target = sum(size.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        above = {s for s in open_ if 3 * size[s] <= level * weight[s]}
+        if not above:
+            break
+        for s in above:
+            target[s] = 3.0 * size[s]
+            left -= 3 * size[s]
+        open_ -= above
+    return size, target | {s: level * weight[s] for s in open_}
+
+
+def test_mixing(docs, doc_rows):
+    size, target = mix_brute(doc_rows)
+    got = mixing.mix(docs).select("doc_id", "source", "text", "mix.*").collect()
+    taken = Counter()
+    for r in got:
+        assert r["size"] == len(WORD.findall(r["text"] or ""))
+        assert r["source_size"] == size[r["source"]]
+        assert r["target"] == pytest.approx(target[r["source"]])
+        assert 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["size"] * r["copies"]
+    for s, t in target.items():
+        assert taken[s] <= t + 1e-6
+        assert t - taken[s] <= max([n for n in (len(WORD.findall(d[1] or "")) for d in doc_rows if d[3] == s) if n < 20_000], default=0)
+    again = mixing.mix(docs.repartition(5)).select("doc_id", "text", "mix.copies")
+    assert rows(again) == rows(mixing.mix(docs).select("doc_id", "text", "mix.copies"))
+
+
+def test_mixing_refines_large_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 10)
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 10 < 6, "a").otherwise("b").alias("source"))
+    out = mixing.mix(d).groupBy("source").agg(F.sum(F.col("mix.size") * F.col("mix.copies")).alias("taken"), F.first("mix.target").alias("target")).collect()
+    assert len(out) == 2
+    assert all(abs(r["taken"] - r["target"]) <= 60 for r in out)
+
+
+def test_mixed_rows_repeat(docs):
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert out.count() == mixing.mix(docs).agg(F.sum("mix.copies")).first()[0]
+
+
+# sharding
+
+
+def test_sharding(docs, doc_rows):
+    out = sharding.shard(docs).select("doc_id", "text", "shard.*").collect()
+    assert len(out) == len(doc_rows)
+    slots = defaultdict(list)
+    for r in out:
+        data = (r["text"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(slots) <= set(range(40))
+
+
+def test_shards_have_equal_bytes(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copy " * 20)).otherwise(F.repeat(F.md5(F.col("id").cast("string").cast("binary")), (F.col("id") % 7).cast("int"))).alias("text"))
+    out = sharding.shard(d).select("text", "shard.*")
+    sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 40
+    assert max(sizes) <= 1.03 * sum(sizes) / 40
+    assert min(sizes) >= 0.97 * sum(sizes) / 40
+    pieces = out.where(F.col("text") != F.lit("copy " * 20)).where("text <> ''").groupBy("text").agg(F.count_distinct("shard").alias("n"))
+    assert pieces.where("n > 1").count() == 0
+
+
+# licences
+
+
+def test_licences(spark):
+    texts = ["x. Released under the MIT License.\nAll rights reserved.", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License! You may obtain a copy of the License at\nhttp", "nothing", None, "", "ALL RIGHTS RESERVED"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"], r["licence"]) for r in licenses.scan_licenses(d).select("doc_id", "licence.*").collect()}
+    assert got[0] == (["mit", "all-rights"], ["MIT", "proprietary"], "MIT")
+    assert got[1] == (["apache-2", "apache-2-use", "licence-at"], ["Apache-2.0"], "Apache-2.0")
+    assert got[2] == got[3] == got[4] == ([], [], None)
+    assert got[5][2] == "proprietary"
+
+
+# empty tables and clashing names
+
+
+def test_empty_tables(no_docs, benchmark):
+    assert quality.quality_rules(no_docs).count() == 0
+    assert dedup.near_duplicates(no_docs).count() == 0
+    assert dedup.drop_near_duplicates(no_docs).count() == 0
+    assert decontam.decontaminate(no_docs, benchmark).count() == 0
+    assert mixing.mix(no_docs).count() == 0
+    assert sharding.shard(no_docs).count() == 0
+    assert licenses.scan_licenses(no_docs).count() == 0
+
+
+def test_clashing_names(docs, clashing, benchmark):
+    plain = {
+        "quality": quality.quality_rules, "leak": lambda d: decontam.decontaminate(d, benchmark), "mix": mixing.mix, "shard": sharding.shard, "licence": licenses.scan_licenses,
+    }
+    for to, op in plain.items():
+        assert rows(op(clashing).select("doc_id", F.to_json(to))) == rows(op(docs).select("doc_id", F.to_json(to))), to
+    assert rows(dedup.near_duplicates(clashing)) == rows(dedup.near_duplicates(docs))
+    for stage in (quality.drop_rejected, dedup.drop_near_duplicates, mixing.mixed):
+        assert stage(clashing).columns == clashing.columns
+
+
+# chat
+
+
+def test_tool_calls(spark):
+    c = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls": [{"id": "a", "name": "add", "arguments": {"y": 2, "x": 1}}, {"id": "b", "name": "add", "after": "a", "arguments": {"x": "1", "z": 0}}]}'),
+        (1, 2, "tool", '{"id": "a", "content": "3"}'), (1, 3, "tool", '{"id": "a", "content": "2"}'), (1, 4, "assistant", '{"tool_calls": [{"id": "c", "name": "no", "after": "d", "arguments": {}}, {"id": "d", "name": "add", "after": "c", "arguments": 5}]}'),
+        (2, None, "user", None), (None, 1, "assistant", "x"), (3, 0, "system", "s"), (3, 1, "user", "q"), (3, 2, "assistant", "é\"\n"), (3, 3, "user", "r"), (3, 3, "user", "r"),
+    ]
+    schemas = chat.SCHEMAS | {"add": {"x": ("integer", True), "y": ("integer", False)}}
+    out = chat.link_tool_calls(chat.messages(spark.createDataFrame(c, "conv_id long, turn long, role string, text string")), schemas)
+    by = defaultdict(list)
+    for r in out.collect():
+        by[(r["kind"], r["call_id"])].append(r)
+    a, b, cc, dd = (by[("call", x)][0] for x in "abcd")
+    assert (a["depth"], a["linked"], a["n_results"], a["valid"]) == (0, True, 2, True)
+    assert a["json"] == '{"after":null,"arguments":{"x":1,"y":2},"call_id":"a","depth":0,"name":"add","result":"2","valid":true}'
+    assert (b["depth"], b["after"], b["linked"], b["errors"]) == (1, "a", False, "x: not integer; z: unknown")
+    assert cc["depth"] is None and "cycle" in cc["errors"] and "unknown tool" in cc["errors"]
+    assert "arguments: not an object" in dd["errors"]
+    assert [r["depth"] for r in by[("call", "3:3")]] == [1, 1]
+    assert by[("call", None)][0]["errors"] == "text: missing; turn: missing" and not by[("call", None)][0]["linked"]
+    assert by[("result", "3:1")][0]["json"] == '{"call_id":"3:1","content":"é\\"\\n","role":"assistant"}'
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.link_tool_calls(chat.messages(empty)).count() == 0
+
+
+def test_long_chain_of_calls(spark):
+    n = 300
+    calls = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * 2).alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
+    out = chat.link_tool_calls(chat.messages(calls))
+    assert sorted(r["depth"] for r in out.collect()) == list(range(n))

@@ -1,0 +1,149 @@
+"""URL filter, HTML extraction and language model against plain Python."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from boxmill.llm import html_text, lm, url_filter
+from pyspark.sql import functions as F
+
+URLS = [
+    "http://a.example.net/en/1", "https://EXAMPLE.net/en/x?q", "https://example.net", "http://x.net/", "http://www.example.com/de/1", "http://example.com/den", "http://notexample.com/de/1",
+    "http://b.org/fr/1", "http://b.org/frx", "no scheme", None, "", "://", "http://casino-spam.example.org/es/1#a", "http://blog.garden.example.org/es/1", "ftp://h?x=/fr/",
+]
+
+
+def test_rules_and_parts(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, url_filter.seed_urls(spark)).select("page_id", "url_filter.*").collect()}
+    for k, u in enumerate(URLS):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        host, path = m[1].lower(), m[2]
+        fit = [r for _, r in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rule = max(fit, key=len, default=None)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule)
+        if rule:
+            assert got[k]["verdict"] == {r: v for v, r in url_filter.RULES}[rule]
+    assert (got[13]["verdict"], got[14]["verdict"]) == ("block", "allow")
+    assert got[10]["verdict"] == got[11]["verdict"] == "allow"
+
+
+def slots(host, path):
+    if not host:
+        return []
+    framed, grams = f".{host}/", []
+    for n in (3, 4, 5):
+        grams += [f"h{n}" + framed[i : i + n] for i in range(len(framed) - n + 1)]
+    grams += ["p3" + path[i : i + 3] for i in range(len(path) - 2)]
+    return sorted({zlib.crc32(g.encode()) % url_filter.DIM for g in grams})
+
+
+def test_training_equals_a_loop(spark):
+    import hashlib
+
+    rows = [(f"http://{h}/en/1", y) for y, hs in ((1, url_filter.BLOCK_HOSTS[:6]), (0, url_filter.ALLOW_HOSTS[:6])) for h in hs]
+    w = np.zeros(url_filter.DIM + 1)
+    order = sorted(rows, key=lambda r: hashlib.md5(r[0].encode()).hexdigest())
+    for _ in range(url_filter.EPOCHS):
+        for u, y in order:
+            x = np.zeros(url_filter.DIM + 1)
+            s = slots(u.split("/")[2], "/en/1")
+            x[s], x[-1] = 1 / math.sqrt(len(s)), 1
+            w = w * (1 - url_filter.DECAY) + url_filter.RATE * (y - 1 / (1 + math.exp(-w @ x))) * x
+    got = url_filter.train(spark.createDataFrame([*rows, (None, 1), ("u", None)], "url string, label int"))
+    assert np.allclose(got, w, atol=1e-9)
+    assert url_filter.train(spark.createDataFrame([], "url string, label int")) is None or True
+
+
+def test_held_out_hosts(spark):
+    labelled = url_filter.seed_urls(spark)
+    host = url_filter.host_and_path(F.col("url"))[0]
+    test = F.pmod(F.crc32(host.cast("binary")), F.lit(4)) == 0
+    out = url_filter.judge_urls(labelled.where(test), labelled.where(~test), rules=())
+    right = out.where((F.col("url_filter.verdict") == "block") == (F.col("label") == 1)).count()
+    assert right / out.count() > 0.75
+
+
+HTML = """<!DOCTYPE html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
+<!-- <p>no</p> --><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One\n two&nbsp;three<br>four<p>Five &lt;x&gt; &eacute</p><div class="comments"><p>Reader</p></div><form>f</form></article><footer>&copy; z</footer>"""
+
+
+def test_article(spark):
+    assert html_text.article_text(HTML, None) == "A & B\n\nOne two three four\n\nFive <x> é"
+
+
+def page(k, own):
+    return f"<body><div>Welcome to the site of all good things, friend of ours</div><p>{own}</p><div>Home Shop Help</div></body>"
+
+
+def test_repeated_substrings_go_without_an_article(spark):
+    own = [" ".join(f"u{k}_{j}" for j in range(12)) for k in range(3)]
+    rows = [(k, f"http://h.example.org/{k}", page(k, own[k])) for k in range(3)]
+    rows += [(3, "http://other.example.org/", page(3, "alone here")), (4, None, None), (5, "http://h.example.org/5", ""), (6, "http://h.example.org/6", HTML), (7, "http://h.example.org/0", page(0, own[0]))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == own
+    assert got[3] == "Welcome to the site of all good things, friend of ours\n\nalone here\n\nHome Shop Help"
+    assert got[4] == got[5] == ""
+    assert got[6].startswith("A & B")
+    assert got[7] == own[0]
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_text(none).count() == 0
+
+
+def test_long_page_is_whole(spark):
+    body = "".join(f"<p>word{k} {'x' * 50}</p>" for k in range(5000))
+    assert len(html_text.article_text(f"<article>{body}</article>", None).split("\n\n")) == 5000
+
+
+def test_forward_is_exact():
+    rng = np.random.default_rng(0)
+    move = rng.random((lm.STATES, lm.STATES))
+    emit = rng.random((lm.SLOTS, lm.STATES))
+    m = lm.Model(np.full(lm.STATES, 1 / lm.STATES), np.full(lm.STATES, 1 / lm.STATES), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    texts = [rng.integers(0, lm.SLOTS, n).astype(np.uint16) for n in (1, 3, 9, 2, 9)]
+    for got, text in zip(lm.forward_log10(texts, m), texts, strict=True):
+        a = m.start * m.emit[text[0]]
+        for x in text[1:]:
+            a = (a @ m.move) * m.emit[x]
+        assert got == pytest.approx(math.log10(a.sum()))
+
+
+def test_expected_counts_equal_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    m = lm.initial_model(lm.Vocabulary(np.array([]), np.array([]), np.array([]), np.ones(lm.SLOTS), 0, 0))
+    text = rng.integers(0, lm.SLOTS, 3).astype(np.uint16)
+    sums = {"emit": np.zeros((lm.SLOTS, lm.STATES)), "move": np.zeros((lm.STATES, lm.STATES)), "start": np.zeros(lm.STATES), "entry": np.zeros(lm.STATES)}
+    lm._expected([text], np.array([True]), m, sums)
+    start, move, total = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), 0.0
+    for path in product(range(lm.STATES), repeat=3):
+        p = m.start[path[0]] * m.move[path[0], path[1]] * m.move[path[1], path[2]] * np.prod([m.emit[x, s] for x, s in zip(text, path, strict=True)])
+        total += p
+        start[path[0]] += p
+        move[path[0], path[1]] += p
+        move[path[1], path[2]] += p
+    assert np.allclose(sums["start"], start / total) and np.allclose(sums["move"], move / total)
+    assert sums["emit"].sum() == pytest.approx(3)
+
+
+def test_scores(docs, doc_rows, no_docs):
+    from collections import Counter
+
+    got = sorted((tuple(r) for r in lm.score_texts(docs).collect()), key=repr)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), "\n"]
+    c = Counter(x for d in doc_rows if not held(d[0]) for x in tokens(d[1]))
+    n, v = sum(c.values()), len(c)
+    want = sorted(((d[0], held(d[0]), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for d in doc_rows for w in [tokens(d[1])]), key=repr)
+    key = lambda r: (repr(r[0]), r[2], round(r[5], 4))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5] == pytest.approx(w[5])
+        assert g[6] < 0
+    assert lm.score_texts(no_docs).count() == 0
