@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import centre_to_corners, coco_box
 from ..functions.text import hash_order, trimmed
+from .ordering import hash_rank, hash_running, range_rank
 
 SPLITS = ("train", "val", "test")
 
@@ -130,14 +131,14 @@ def collapse_report(images: DataFrame, label_files: DataFrame, lines: DataFrame)
 
 def coco_images(images: DataFrame) -> DataFrame:
     """Images with coco_id: 1 up in file-name order within a split."""
-    return images.withColumn("coco_id", F.row_number().over(Window.partitionBy("split").orderBy("file_name")))
+    return range_rank(images, ["file_name"], "coco_id", ["split"])
 
 
 def coco_annotations(images: DataFrame, lines: DataFrame) -> DataFrame:
     """Annotations with ids from 1 within a split by image, then line; category is the class + 1."""
     i = coco_images(images)
     a = parse_lines(lines).join(i, "image_id")
-    a = a.withColumn("id", F.row_number().over(Window.partitionBy("split").orderBy("coco_id", "line_no")))
+    a = range_rank(a, ["coco_id", "line_no"], "id", ["split"])
     boxes = coco_box(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
     return a.select("split", "id", F.col("coco_id").alias("image"), (F.col("class_id") + 1).alias("category_id"), *[v.alias(f"bbox_{k}" if k != "area" else k) for k, v in boxes.items()])
 
@@ -147,13 +148,11 @@ def quota_split(images: DataFrame, parsed: DataFrame, ratios: tuple[float, float
 
     An image belongs to its rarest class; in the order of a seeded hash the
     images of a class fill train up to its share of boxes, then val, then test.
-    A class is one window; its running sum is over counts, one row an image.
     """
     totals = class_totals(parsed).withColumnRenamed("n", "total")
     per = instances(parsed).join(F.broadcast(totals), "class_id")
     rarest = per.groupBy("image_id").agg(F.min(F.struct("total", "class_id", "n")).alias("r")).select("image_id", F.col("r.class_id").alias("stratum"), F.col("r.n").alias("n"))
-    w = Window.partitionBy("stratum").orderBy(hash_order(seed, F.col("image_id")), "image_id")
-    out = rarest.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("of", F.sum("n").over(Window.partitionBy("stratum")))
+    out = hash_running(rarest, seed, ["image_id"], F.col("n"), "upto", ["stratum"], "of")
     train, val, _ = ratios
     return out.select("image_id", "stratum", F.when(F.col("upto") <= F.lit(train) * F.col("of"), "train").when(F.col("upto") <= F.lit(train + val) * F.col("of"), "val").otherwise("test").alias("split"))
 
@@ -193,15 +192,8 @@ def greedy_split(parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0
 
 
 def slice_hard_negatives(negatives: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42) -> DataFrame:
-    """(image_id, split) of images without boxes: int(n * r) of them in hash order to train and val, the rest to test.
-
-    The place in hash order is a rank within hash buckets plus the counts of the
-    buckets before, so no task holds all rows.
-    """
-    h = negatives.select("image_id", hash_order(seed, F.col("image_id")).alias("h")).withColumn("b", F.substring("h", 1, 2))
-    counts = h.groupBy("b").agg(F.count("*").alias("n"))
-    before = counts.withColumns({"before": F.sum("n").over(Window.orderBy("b")) - F.col("n"), "all": F.sum("n").over(Window.partitionBy())})
-    ranked = h.join(F.broadcast(before), "b").withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("h", "image_id")) + F.col("before"))
+    """(image_id, split) of images without boxes: int(n * r) of them in hash order to train and val, the rest to test."""
+    ranked = hash_rank(negatives.select("image_id"), seed, ["image_id"], "k", all_to="all")
     train, val = (F.floor(F.col("all") * F.lit(r)) for r in ratios[:2])
     return ranked.select("image_id", F.when(F.col("k") <= train, "train").when(F.col("k") <= train + val, "val").otherwise("test").alias("split"))
 

@@ -1,4 +1,8 @@
-"""Ranks in a reproducible random order, without one task holding all rows."""
+"""Ranks and running sums over whole tables, without one task holding all rows.
+
+Rows are ordered inside buckets of their order; what lies in the buckets before
+is added from the buckets' totals, which are few.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from .lineage import cut
+
+#: Hexadecimal digits of a hash that make a bucket: 4096 of them.
+DIGITS = 3
 
 
-def hash_rank(df: DataFrame, seed: int, key: list[str], to: str, by: list[str] | None = None) -> DataFrame:
-    """df with `to`: the place, from 1, by md5(seed:key), then key, among the rows with the same `by`.
+def hash_running(df: DataFrame, seed: int, key: list[str], amount: Column, to: str, by: list[str] | None = None, all_to: str | None = None) -> DataFrame:
+    """df with `to`: the sum of amount over the rows with the same `by` up to this one, by md5(seed:key), then key.
 
-    Rows rank inside buckets of the hash's first digits; the counts of the
-    buckets before are added, and those are 256 rows for each value of `by`.
+    all_to: a column for the sum over all rows with the same `by`.
     """
     by = by or []
-    h = df.withColumn("_h", hash_order(seed, *[F.col(k) for k in key])).withColumn("_b", F.substring("_h", 1, 2))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = h.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *key))
-    return h.join(counts, [*by, "_b"]).withColumn(to, (inside + F.col("_before")).cast("long")).drop("_h", "_b", "_before")
+    h = df.withColumns({"_h": hash_order(seed, *[F.col(k) for k in key]), "_a": amount})
+    h = h.withColumn("_b", F.substring("_h", 1, DIGITS))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = h.groupBy(*by, "_b").agg(F.sum("_a").alias("_n"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(group)}).drop("_n")
+    inside = F.sum("_a").over(Window.partitionBy(*by, "_b").orderBy("_h", *key).rowsBetween(Window.unboundedPreceding, 0))
+    out = h.join(sums, [*by, "_b"]).withColumn(to, (inside + F.col("_before")).cast("long"))
+    out = out.withColumn(all_to, F.col("_all")) if all_to else out
+    return out.drop("_h", "_b", "_a", "_before", "_all")
+
+
+def hash_rank(df: DataFrame, seed: int, key: list[str], to: str, by: list[str] | None = None, all_to: str | None = None) -> DataFrame:
+    """df with `to`: the place, from 1, in hash order among the rows with the same `by`; all_to: how many these are."""
+    return hash_running(df, seed, key, F.lit(1), to, by, all_to)
+
+
+def range_rank(df: DataFrame, order: list[str], to: str, by: list[str]) -> DataFrame:
+    """df with `to`: the place, from 1, in the order of columns among the rows with the same `by`.
+
+    The table is exchanged into ranges once and written, so that the ranges stay
+    the same while their counts are added up.
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("_r", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_r").orderBy(*order))
+    return ranged.join(counts, [*by, "_r"]).withColumn(to, (inside + F.col("_before")).cast("long")).drop("_r", "_before")
 
 
 def first_by_hash(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     """A reproducible random sample of n rows."""
     return df.orderBy(hash_order(seed, *[F.col(k) for k in key]), *key).limit(n)
-
-
-def top(score: Column, *ties: str) -> list[Column]:
-    return [score.desc(), *[F.col(t) for t in ties]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import scaled_size
 from ..functions.text import hash_order
+from .ordering import range_rank
 
 #: Fixed sizes in pixels a class: least and most width, least and most height.
 SIZES = {0: (35, 65, 18, 35), 1: (50, 90, 35, 65), 2: (30, 60, 25, 50), 3: (50, 85, 40, 70), 4: (100, 180, 80, 140), 5: (30, 52, 22, 40)}
@@ -109,6 +110,5 @@ def run_plan(experiments: DataFrame, images: DataFrame) -> DataFrame:
 
 def zipped(left: DataFrame, right: DataFrame, by: str, name: str) -> DataFrame:
     """The i-th left and the i-th right row of each `by` value, in the order of names."""
-    w = Window.partitionBy(by).orderBy(name)
-    a, b = (d.select(by, F.col(name).alias(n), F.row_number().over(w).alias("k")) for d, n in ((left, "left"), (right, "right")))
+    a, b = (range_rank(d.select(by, F.col(name).alias(n)), [n], "k", [by]) for d, n in ((left, "left"), (right, "right")))
     return a.join(b, [by, "k"])
