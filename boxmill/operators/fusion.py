@@ -109,8 +109,9 @@ def deduplicate(dets: DataFrame, threshold: float, generic: int, *, prioritize:
         return F.when(live[i], F.transform(F.array(first), drop)[0]).otherwise(live)
 
     mask = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array_repeat(F.lit(True), F.col("n")), step)
-    kept = boxes.withColumn("live", mask).select("image_id", F.filter("b", lambda d, i: F.col("live")[i]).alias("b"))
-    return _rows(kept, ["image_id"])
+    # the mask is bound once; as a column the plan would compute it anew for each box
+    kept = F.transform(F.array(mask), lambda live: F.filter("b", lambda d, i: live[i]))[0]
+    return _rows(boxes.select("image_id", kept.alias("b")), ["image_id"])
 
 
 def confidence_filter(dets: DataFrame, conf: float, generic: int, threshold: float = 0.5) -> DataFrame:

@@ -46,9 +46,9 @@ def matches(v: Views) -> DataFrame:
     return G.match(v.fx_gt, v.fx_det.where("source = 1"))
 
 
-@query(f"{MATCH} SELECT image_id, gt_no, det_id, round(iou, 2) AS iou FROM mt", "fx_gt fx_det", recursive=True)
+@query(f"{MATCH} SELECT image_id, gt_no, det_id, CAST(round(iou * 1000) AS INT) AS iou_permille FROM mt", "fx_gt fx_det", recursive=True)
 def gold_matches(v: Views) -> DataFrame:
-    return matches(v).withColumn("iou", F.round("iou", 2))
+    return matches(v).select("image_id", "gt_no", "det_id", F.round(F.col("iou") * 1000).cast("int").alias("iou_permille"))
 
 
 @query(f"""{MATCH}, g AS (SELECT image_id, count(*) AS n_gt, string_agg(DISTINCT class_id::VARCHAR, ',' ORDER BY class_id::VARCHAR) AS gt_classes FROM fx_gt GROUP BY 1), pr AS (SELECT image_id, count(*) AS n_pred, string_agg(DISTINCT class_id::VARCHAR, ',' ORDER BY class_id::VARCHAR) AS pred_classes FROM p GROUP BY 1),
