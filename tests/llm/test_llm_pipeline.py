@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import sys
 from collections import Counter
-from pathlib import Path
-
-sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
 from boxmill.llm import mixing
-from conftest import SCHEMA
+from llm_rows import SCHEMA
 from pyspark.sql import functions as F
-from test_documents import dedup_brute, leak_brute, quality_brute
+from test_llm_documents import dedup_brute, leak_brute, quality_brute
 
 
 def test_pipeline(spark, tmp_path, doc_rows, benchmark):
