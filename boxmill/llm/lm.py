@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import WordHash, cut, text_or_empty
 
 STATES, ROUNDS, SEED = 8, 5, 11
 #: Slots of single tokens, hashed slots (a power of 2), and tokens whose counts are broadcast: 16 bytes each.
@@ -108,15 +108,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         rid = TaskContext.get().partitionId() << 36
-        mass_log, known = np.log10(v.slot_mass.clip(1e-300)), {}
+        mass_log, known = np.log10(v.slot_mass.clip(1e-300)), WordHash()
         for batch in batches:
             rows = []
             for doc_id, text, held_out in zip(*batch.columns, strict=True):
                 tokens = _words(text.as_py())
-                if len(known) > 200_000:
-                    known.clear()
-                for w in set(tokens) - known.keys():
-                    known[w] = xxhash.xxh3_64_intdigest(w)
                 h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)).astype(np.int64)
                 at = np.minimum(np.searchsorted(v.hashes, h), max(len(v.hashes) - 1, 0))
                 hot = v.hashes[at] == h if len(v.hashes) else np.zeros(len(h), bool)
