@@ -88,9 +88,9 @@ def shard(docs: DataFrame, shards: int = 40, *, parts: int = 16, text: str = "te
     shards are empty. Other columns pass through; `to` replaces one of its name.
     """
     d = docs.drop(to)
-    key, size, part = (free_name(d, c) for c in ("_key", "_size", "_part"))
+    key, size, crc, part = (free_name(d, c) for c in ("_key", "_size", "_crc", "_part"))
     t = text_or_empty(F.col(text))
-    d = d.withColumns({key: _key(t, F.col(doc_id)), size: (F.octet_length(t) + 16).cast("long")})
+    d = d.withColumns({key: _key(t, F.col(doc_id)), size: (F.octet_length(t) + 16).cast("long"), crc: F.crc32(t.cast("binary"))})
     keys = cut(d.select(F.col(key).alias("key"), F.col(size).alias("size")), "keys")
     bounds = splitters(keys, shards * parts, parts)
     counts = {r["part"]: r["count"] for r in keys.groupBy(_place(F.col("key"), bounds).alias("part")).count().collect()}
@@ -100,6 +100,6 @@ def shard(docs: DataFrame, shards: int = 40, *, parts: int = 16, text: str = "te
     d = d.withColumn(part, _place(F.col(key), bounds))
     slot = F.lit([int(x) for x in starts])[F.col(part)] + F.row_number().over(Window.partitionBy(part).orderBy(key, doc_id, size)) - 1
     return d.select(*docs.drop(to).columns, F.struct(
-        F.col(size).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.floor(F.col(part) / parts).cast("int").alias("shard"),
+        F.col(size).alias("size"), F.col(crc).alias("text_crc32"), F.lit("bytes").alias("law"), F.floor(F.col(part) / parts).cast("int").alias("shard"),
         slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     ).alias(to))
