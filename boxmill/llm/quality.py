@@ -74,8 +74,9 @@ def with_line_stats(docs: DataFrame, text: str, to: str) -> DataFrame:
 def quality_rules(
     docs: DataFrame, *, text: str = "text", host: str = "source", to: str = "quality", max_docs: int = 20,
     max_support_share: float = 0.25, max_removed: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50,
+    clean: bool = True,
 ) -> DataFrame:
-    """docs with one struct column `to`: base statistics, removed lines, verdict and cleaned text.
+    """docs with one struct column `to`: base statistics, removed lines, verdict and, if clean, the cleaned text.
 
     A line is normalised (A-Z lowered, white space to one space, trimmed), and
     counts once a document. A line is removed in a host if over `max_docs` of
@@ -116,10 +117,11 @@ def quality_rules(
     joined = a.join(b, [F.col(f"a.{c}") == b[f"_{c}"] for c in keys], "left")
     depleted = F.coalesce(F.col("_lost._gone_chars") > F.col("_lost._all_chars") * max_removed, F.lit(False))
     left = F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~F.array_contains(F.col("_lost._gone"), F.xxhash64(normal_line(x)))), "\n")
+    text_of = [F.when(F.col("_lost").isNull(), F.col(f"a.`{text}`")).otherwise(left).alias("clean_text")] if clean else []
     return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns if c != to], F.struct(
         n.alias("n_words"), F.col(f"{base}.word_chars"), F.col(f"{base}.n_symbols"), F.col(f"{base}.n_dup_lines"), repeat.alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce(F.size("_lost._gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.coalesce(F.col("_lost._gone_chars"), F.lit(0)).alias("removed_chars"), F.when(F.col("_lost").isNull(), F.col(f"a.`{text}`")).otherwise(left).alias("clean_text"),
+        F.coalesce(F.col("_lost._gone_chars"), F.lit(0)).alias("removed_chars"), *text_of,
     ).alias(to))
 
 
