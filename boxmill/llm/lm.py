@@ -84,7 +84,15 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 def bounded_vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(HOT).toPandas()
+    # the counts from which on all tokens fit; only those rows go to the driver
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > HOT:
+            break
+        least = r["level"]
+    top = counts.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     hashes, c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     slots = np.where(np.arange(len(c)) < OWN, np.arange(len(c)), OWN + (hashes & (HASHED - 1)))
     mass = np.zeros(SLOTS)
