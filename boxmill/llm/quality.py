@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, ascii_lower, cut, free_name, let, text_key, text_or_empty, words
+from .common import SPACE, WORD, ascii_lower, broadcast_below, cut, free_name, let, text_key, text_or_empty, words
 
 #: Fixed symbols of the result contract.
 SYMBOLS = r"[#*$%&|<>]"
+#: Word pairs that stand for a document's own lines where documents are compared.
+SKETCH = 16
 
 
 def repeated_words(w: Column) -> Column:
@@ -71,19 +73,55 @@ def with_line_stats(docs: DataFrame, text: str, to: str) -> DataFrame:
     ))
 
 
+def _hit_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Per document: the set of its frequent lines, their characters and those of all its lines."""
+    hits = lines.groupBy(*keys).agg(F.collect_set(F.struct("line", "chars")).alias("hits"), F.max("all_chars").alias("all_chars"))
+    return cut(hits.withColumn("hit_chars", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["chars"])), "quality-hits")
+
+
+def _pairs(line: Column) -> Column:
+    """Hashes of the pairs of neighbouring words of a normal line; of the line itself if it has one word."""
+    hashed = F.transform(F.split(line, " ", -1), lambda x: F.xxhash64(x))
+    return let(hashed, lambda w: F.when(F.size(w) < 2, w).otherwise(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))))
+
+
+def _own_text(texts: DataFrame, mostly: DataFrame, hosts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, own): of the documents of `mostly`, those that differ outside their frequent lines, and the least pair of words they have there.
+
+    A document's pairs are sampled by their SKETCH least hashes, which near copies share.
+    """
+    h = keys[0]
+    held = texts.join(broadcast_below(mostly, 100_000), keys)
+    held = held.select(*keys, "often", F.filter(F.array_distinct(F.transform(F.split("text", "\n", -1), normal_line)), lambda x: x != "").alias("n"))
+    rest = F.filter("n", lambda x: ~F.array_contains("often", F.xxhash64(x)))
+    sketch = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform(rest, _pairs)))), 1, SKETCH)
+    pairs = cut(held.select(*keys, F.explode(sketch).alias("pair")).distinct(), "quality-pairs")
+    menu = held.select(h, F.explode(F.filter("n", lambda x: F.array_contains("often", F.xxhash64(x)))).alias("line")).distinct()
+    menu = menu.select(h, F.explode(_pairs(F.col("line"))).alias("pair"))
+    shared = pairs.groupBy(h, "pair").agg(F.count("*").alias("docs")).join(hosts, h).where("docs > limit").select(h, "pair")
+    known = menu.unionByName(shared).distinct().withColumn("known", F.lit(True))
+    out = pairs.join(known, [h, "pair"], "left").groupBy(*keys)
+    out = out.agg(F.count("*").alias("all"), F.count("known").alias("known"), F.min(F.when(F.col("known").isNull(), F.col("pair"))).alias("own"))
+    return out.where(2 * F.col("known") <= F.col("all")).select(*keys, "own")
+
+
 def quality_rules(
-    docs: DataFrame, *, text: str = "text", host: str = "source", to: str = "quality", max_docs: int = 20,
+    docs: DataFrame, *, text: str = "text", host: str = "source", to: str = "quality", max_docs: int = 20, min_share: float = 0.025,
     max_support_share: float = 0.25, max_removed: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50,
     clean: bool = True,
 ) -> DataFrame:
     """docs with one struct column `to`: base statistics, removed lines, verdict and, if clean, the cleaned text.
 
     A line is normalised (A-Z lowered, white space to one space, trimmed), and
-    counts once a document. A line is removed in a host if over `max_docs` of
-    its distinct documents hold it and at most `max_support_share` of each of
-    these documents' characters are lines of such frequency: copies of one
-    text, all of whose lines are frequent, are no evidence that a line is
-    boilerplate and are left to the near-duplicate operator. A document is
+    counts once a document. A line is frequent in a host if over `max_docs` and
+    over `min_share` of its distinct documents hold it, and is removed if as many
+    of these differ otherwise. Those do of whose characters at most
+    `max_support_share` are in frequent lines; of the others, those whose other
+    lines are not mostly word pairs of the host's frequent lines or of over that
+    limit of such documents, once for each least pair of their own. So pages that
+    are nearly all menu count by what little they have of their own, while copies
+    of one text are no evidence that a line is boilerplate and are left to the
+    near-duplicate operator. A document is
     rejected if the base rules fail, or if over `max_removed` of the characters
     in its distinct lines are removed.
 
@@ -102,12 +140,23 @@ def quality_rules(
     lines = lines.select(*keys, F.transform(F.filter("n", lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars"))).alias("n"))
     lines = lines.select(*keys, F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("all_chars"), F.explode("n").alias("x"))
     lines = lines.select(*keys, "all_chars", "x.line", "x.chars")
-    often = lines.groupBy(h, "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select(h, "line")
-    hits = lines.join(often, [h, "line"]).groupBy(*keys).agg(F.collect_set(F.struct("line", "chars")).alias("hits"), F.max("all_chars").alias("all_chars"))
-    hits = cut(hits.withColumn("hit_chars", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["chars"])), "quality-hits")
-
-    support = hits.where(F.col("hit_chars") <= F.col("all_chars") * max_support_share).select(h, F.explode("hits.line").alias("line"))
-    gone = support.groupBy(h, "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select(h, "line")
+    # rows are at least as many as documents, so these lines hold all that are over the limit; copies fall out in the second count
+    hosts = d.select(*keys).distinct().groupBy(h).agg(F.greatest(F.count("*") * min_share, F.lit(float(max_docs))).alias("limit"))
+    hosts = broadcast_below(cut(hosts, "quality-hosts"), 100_000)
+    often = lines.groupBy(h, "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).join(hosts, h).where("docs > limit").select(h, "line")
+    hits = _hit_lines(lines.join(often, [h, "line"]), keys)
+    each = hits.select(*keys, "all_chars", F.explode("hits").alias("x")).select(*keys, "all_chars", "x.line", "x.chars")
+    copied = cut(each.groupBy(h, "line").agg(F.count("*").alias("docs")).join(hosts, h).where("docs <= limit").select(h, "line"), "quality-copied")
+    if not copied.isEmpty():
+        hits = _hit_lines(each.join(broadcast_below(copied, 100_000), [h, "line"], "left_anti"), keys)
+
+    few = F.col("hit_chars") <= F.col("all_chars") * max_support_share
+    support = hits.where(few).select(h, F.col(k1).alias("own"), F.explode("hits.line").alias("line"))
+    mostly = cut(hits.where(~few).select(*keys, F.col("hits.line").alias("often")), "quality-mostly")
+    if not mostly.isEmpty():
+        own = _own_text(d.select(*keys, t.alias("text")), mostly, hosts, keys)
+        support = support.unionByName(mostly.join(own, keys).select(h, "own", F.explode("often").alias("line")))
+    gone = support.groupBy(h, "line").agg(F.count_distinct("own").alias("docs")).join(hosts, h).where("docs > limit").select(h, "line")
     lost = hits.select(*keys, "all_chars", F.explode("hits").alias("x")).select(*keys, "all_chars", "x.line", "x.chars").join(gone, [h, "line"])
     lost = lost.groupBy(*keys).agg(F.collect_set("line").alias("_gone"), F.sum("chars").alias("_gone_chars"), F.max("all_chars").alias("_all_chars"))
 

@@ -72,6 +72,36 @@ def test_cleaned_text_lacks_the_line(docs):
     assert out.where("doc_id = 90").first()["n_chars"] == len(out.where("doc_id = 90").first()["text"])
 
 
+def boilerplate_rows(n, menu, own):
+    return [(k, f"{menu}\n{own(k)}", "site") for k in range(n)]
+
+
+def judged(spark, data, **options):
+    out = quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string"), min_words=5, **options)
+    return [(r["kept"], r["n_removed_lines"]) for r in out.orderBy("doc_id").select("doc_id", "quality.*").collect()]
+
+
+def test_pages_of_mostly_boilerplate_are_depleted(spark):
+    menu = "\n".join(" ".join(f"m{i}_{j}" for j in range(12)) for i in range(9))
+    assert judged(spark, boilerplate_rows(60, menu, lambda k: " ".join(f"own{k}_{j}" for j in range(10)))) == [(False, 9)] * 60
+    # near copies: the same text with a word changed in one line, or in another line each, is left to near-dedup
+    assert judged(spark, boilerplate_rows(60, menu, lambda k: f"the same last line but for {k} and nothing else in it")) == [(True, 0)] * 60
+    lines = [x.split() for x in menu.split("\n")]
+    near = [(k, "\n".join(" ".join([*x[:5], f"new{k}", *x[6:]] if i == k % 9 else x) for i, x in enumerate(lines)), "site") for k in range(60)]
+    assert judged(spark, near) == [(True, 0)] * 60
+
+
+def test_copies_of_documents_count_once(spark):
+    data = [(100 * k + c, "\n".join([*(" ".join(f"t{k}_{i}_{j}" for j in range(6)) for i in range(3)), "Shared footer"]), "s") for k in range(30) for c in range(21)]
+    assert judged(spark, data) == [(True, 1)] * len(data)
+
+
+def test_the_limit_grows_with_the_host(spark):
+    data = [(k, " ".join(f"t{k}_{j}" for j in range(20)) + ("\nrare remark" if k % 40 == 0 else "\nmenu" if k % 40 < 4 else ""), "s") for k in range(2000)]
+    out = judged(spark, data)
+    assert {k % 40 for k, x in enumerate(out) if x[1]} == {1, 2, 3}
+
+
 # near-dedup
 
 
