@@ -29,10 +29,12 @@ DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
-#: Words of a class, id or role that name a part outside the article.
+#: Whole names of a class, id or role that name a part outside the article.
 HINTS = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|sidebar|widget|comments?|disqus|replies|respond|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|footer|site-header|page-header|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|pagination|contentinfo|complementary|search)(?:$|[\s_-])"
+    r"(?i)(?<!\S)(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|sidebar|widget|comments?|disqus|replies|respond|menu|nav|navbar|navigation|breadcrumbs?"
+    r"|footer|site-header|page-header|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|pagination|contentinfo|complementary|search"
+    r"|(?:cookie|consent|gdpr|ad|advert|promo)[_-](?:banner|bar|notice|box|slot|unit|container|wrapper)|(?:site|page|main|top|primary)[_-](?:nav|menu|navigation|footer|sidebar)"
+    r"|(?:comments?|comment)[_-](?:list|area|section|form)|(?:share|social|sharing)[_-](?:buttons?|links?|bar|icons?)|(?:related|recommended)[_-](?:posts?|articles?|links?|stories)|(?:newsletter|subscribe)[_-](?:form|signup|box)|search[_-](?:form|box|bar))(?!\S)"
 )
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -41,9 +43,25 @@ _MAIN_ROLE = re.compile(r"""(?i)role\s*=\s*["']?main\b|itemprop\s*=\s*["']?artic
 
 
 def blocks(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """([(text, inside the article, in a dropped part)], whether there is an article) in page order."""
+    """([(text, inside the article, in a dropped part)], whether there is an article) in page order.
+
+    Names do not drop an element around the page's only article: if all articles
+    are in parts dropped by name, those parts stay where the articles in them have
+    more text than the page outside of them.
+    """
+    out, found, around = _blocks(html, frozenset())
+    if found or not around:
+        return out, found
+    more, found, _ = _blocks(html, frozenset(around))
+    inside = sum(len(text) for text, main, dropped in more if main and not dropped)
+    return (more, found) if inside > sum(len(text) for text, _, dropped in out if not dropped) else (out, False)
+
+
+def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bool]], bool, set[int]]:
+    """As blocks(), with the starts of elements that only their name drops and that hold an article; names of `spared` ones don't count."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside main, dropped
+    stack: list[tuple[str, bool, bool, int | None]] = []  # tag, inside main, dropped, start if only its name drops it
+    around: set[int] = set()
     inside = dropped = found = False
     buffer: list[str] = []
     at = 0
@@ -77,7 +95,10 @@ def blocks(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
                 del stack[k:]
             continue
         attributes = m[3]
-        hidden = bool(attributes) and (any(HINTS.search(x[1] or x[2] or x[3]) for x in _NAMES.finditer(attributes)) or bool(_HIDDEN.search(attributes)))
+        main = tag in MAIN or bool(attributes and _MAIN_ROLE.search(attributes))
+        named = bool(attributes) and not main and tag not in ("html", "body") and m.start() not in spared and any(HINTS.search(x[1] or x[2] or x[3] or "") for x in _NAMES.finditer(attributes))
+        shut = bool(attributes) and bool(_HIDDEN.search(attributes))
+        hidden = named or shut
         if inline and not hidden and not held:
             continue
         flush()
@@ -87,14 +108,16 @@ def blocks(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else (len(html) if tag in ("script", "style") else at)
             continue
-        stack.append((tag, inside, dropped))
-        main = tag in MAIN or bool(attributes and _MAIN_ROLE.search(attributes))
+        if main and dropped and not hidden:
+            around.update(x[3] for x in stack if x[3] is not None)
+        gone = shut or tag in DROPPED or (tag == "header" and not inside)
+        stack.append((tag, inside, dropped, m.start() if named and not gone else None))
         if main and not dropped and not hidden:
             inside = found = True
-        dropped = dropped or hidden or tag in DROPPED or (tag == "header" and not inside)
+        dropped = dropped or named or gone
     buffer.append(html[at:])
     flush()
-    return out, found
+    return out, found, around
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,21 @@ def test_article(spark):
     assert html_text.article_text(HTML, None) == "A & B\n\nOne two three four\n\nFive <x> é"
 
 
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar"><article><p>Own text</p></article></body>', '<html class="no-js search"><body id="comments"><article><p>Own text</p></article></body>',
+    '<body><div class="content with-sidebar"><main><p>Own text</p></main></div></body>', '<body><article class="post comments-open related"><p>Own text</p></article></body>',
+    '<body><div class="modal"><div id="overlay"><article><p>Own text</p><div class="share">Share</div></article></div></div><p>Up</p></body>',
+])
+def test_names_around_the_article_drop_nothing(page):
+    assert html_text.article_text(page, None) == "Own text"
+
+
+def test_names_still_drop_parts():
+    related = '<div class="related"><article>Card</article></div>'
+    assert html_text.article_text(f'<div><p>The text of the page</p>{related}</div>', None) == "The text of the page"
+    assert html_text.article_text(f'<article>A{related}<ul class="x comment-list"><li>Reader</ul><p class="ad-box">Buy</p></article>', None) == "A"
+
+
 def page(k, own):
     return f"<body><div>Welcome to the site of all good things, friend of ours</div><p>{own}</p><div>Home Shop Help</div></body>"
 
