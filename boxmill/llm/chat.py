@@ -21,15 +21,17 @@ RESULT = "struct<id: string, content: string>"
 def messages(conversations: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, kind, name, call_id, after, arguments (JSON), content.
 
-    An assistant turn whose text is {"tool_calls": [...]} gives a call for each
+    An assistant turn whose text is a JSON object with an array tool_calls gives a call for each
     element; a tool turn {"id": ..., "content": ...} gives a result. Any other
     user turn is a call of `ask` with the id conv_id:turn that comes after the
     user turn two before; an assistant turn answers the turn before it. Other
     turns are messages. Without conversation or turn there is no id.
     """
     c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    made = F.when((F.col("role") == "assistant") & F.col("text").startswith('{"tool_calls"'), F.from_json("text", CALLS))
-    answer = F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", RESULT))
+    json = F.try_parse_json("text")
+    calls = F.schema_of_variant(F.try_variant_get(json, "$.tool_calls", "variant")).startswith("ARRAY<")
+    made = F.when((F.col("role") == "assistant") & calls, F.from_json("text", CALLS))
+    answer = F.when((F.col("role") == "tool") & F.schema_of_variant(json).startswith("OBJECT"), F.from_json("text", RESULT))
     c = c.withColumn("_made", made["tool_calls"]).withColumn("_answer", answer)
 
     def turn_id(back: int) -> Column:
@@ -49,19 +51,19 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """(call_id, after, depth): calls that must come before. Pointers double each round; depth is null in a cycle."""
-    nodes = calls.groupBy("call_id").agg(F.min("after").alias("after"))
-    ids = nodes.select(F.col("call_id").alias("id"))
-    nodes = nodes.join(ids, nodes["after"] == ids["id"], "left").select("call_id", F.col("id").alias("after"))
-    open_ = cut(nodes.select("call_id", F.col("after").alias("at"), F.when(F.col("after").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "calls")
+    """(_conv, call_id, after, depth): calls of the conversation that must come before. Pointers double each round; depth is null in a cycle."""
+    nodes = calls.groupBy("_conv", "call_id").agg(F.min("after").alias("after"))
+    ids = nodes.select("_conv", F.col("call_id").alias("after"), F.col("call_id").alias("id"))
+    nodes = nodes.join(ids, ["_conv", "after"], "left").select("_conv", "call_id", F.col("id").alias("after"))
+    open_ = cut(nodes.select("_conv", "call_id", F.col("after").alias("at"), F.when(F.col("after").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "calls")
     for _ in range(ROUNDS):
         if open_.where("at is not null").isEmpty():
             break
-        to = open_.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        far = open_.where("at is not null").join(to, "at").select("call_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        to = open_.select("_conv", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        far = open_.where("at is not null").join(to, ["_conv", "at"]).select("_conv", "call_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
         open_ = cut(open_.where("at is null").unionByName(far), "calls")
-    depths = open_.select("call_id", F.when(F.col("at").isNull(), F.col("depth")).alias("depth"))
-    return depths.join(nodes, "call_id")
+    depths = open_.select("_conv", "call_id", F.when(F.col("at").isNull(), F.col("depth")).alias("depth"))
+    return depths.join(nodes, ["_conv", "call_id"])
 
 
 def _errors(name: Column, arguments: Column, schemas: dict) -> Column:
@@ -82,25 +84,39 @@ def _errors(name: Column, arguments: Column, schemas: dict) -> Column:
     return other if found is None else found.otherwise(other)
 
 
-def link_tool_calls(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+def schemas_of(table: DataFrame) -> dict:
+    """Schemas from a table of tool, field, type and required (a row a field; a null field is a tool without any), added to SCHEMAS."""
+    found: dict[str, dict] = {}
+    for r in table.select("tool", "field", "type", "required").collect():
+        fields = found.setdefault(r["tool"], {})
+        if r["field"] is not None:
+            fields[r["field"]] = (r["type"], bool(r["required"]))
+    return SCHEMAS | found
+
+
+def link_tool_calls(rows: DataFrame, schemas: dict | DataFrame = SCHEMAS) -> DataFrame:
     """Per message of `rows` (as messages() gives them): its links, depth, verdict and canonical JSON.
 
-    Calls and results meet in a hash join by call_id. A call's depth is the
+    Calls and results meet in a hash join by conversation and call_id, as ids are
+    unique inside a conversation only; the null conversation is one. A call's depth is the
     number of calls that must come before it, by `after`, so (depth, turn) is a
     topological order; a call in a cycle has none and is an error, and an
     `after` that no call has counts as none. Arguments are held against the
-    tool's schema. JSON has sorted keys and no blanks.
+    tool's schema, given as a dict or as a table for schemas_of(). JSON has sorted keys and no blanks.
 
     linked: the call has a result, or the result a call. Of repeated results
     the least text stands for the call, and n_results tells how many there were;
     repeated calls each keep their row and share links. Null ids link nothing.
     Empty tables give an empty result.
     """
+    schemas = schemas_of(schemas) if isinstance(schemas, DataFrame) else schemas
+    # a text that tells a null conversation from all others
+    rows = rows.withColumn("_conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
     named = rows.where("call_id is not null")
-    results = named.groupBy("call_id").agg(F.count_if(F.col("kind") == "call").alias("n_calls"), F.count_if(F.col("kind") == "result").alias("n_results"), F.min(F.when(F.col("kind") == "result", F.col("content"))).alias("result"))
-    depths = _depths(named.where("kind = 'call'").select("call_id", "after"))
-    about = results.join(depths, "call_id", "left")
-    out = rows.drop("after").join(about, "call_id", "left")
+    results = named.groupBy("_conv", "call_id").agg(F.count_if(F.col("kind") == "call").alias("n_calls"), F.count_if(F.col("kind") == "result").alias("n_results"), F.min(F.when(F.col("kind") == "result", F.col("content"))).alias("result"))
+    depths = _depths(named.where("kind = 'call'").select("_conv", "call_id", "after"))
+    about = results.join(depths, ["_conv", "call_id"], "left")
+    out = rows.drop("after").join(about, ["_conv", "call_id"], "left")
     call, known = F.col("kind") == "call", F.col("call_id").isNotNull()
     cyclic = call & known & F.col("depth").isNull()
     errors = F.when(call, F.concat(_errors(F.col("name"), F.col("arguments"), schemas), F.when(cyclic, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))))

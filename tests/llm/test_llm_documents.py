@@ -330,6 +330,21 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(chat.messages(empty)).count() == 0
 
 
+def test_calls_link_inside_their_conversation(spark):
+    def call(after):
+        return ' \n{"content": null, "tool_calls": [{"id": "call_1", "name": "add", "after": %s, "arguments": {"x": "1"}}, {"id": "call_2", "name": "add", "arguments": {"x": 1}}]}' % after
+
+    c = [(1, 0, "assistant", call('"call_2"')), (1, 1, "tool", '{"id": "call_1", "content": "b"}'), (2, 0, "assistant", call("null")), (2, 1, "tool", ' {"id": "call_1", "content": "a"}'), (3, 0, "assistant", call("null")), (3, 1, "assistant", "tool_calls")]
+    schemas = spark.createDataFrame([("add", "x", "integer", True)], "tool string, field string, type string, required boolean")
+    out = chat.link_tool_calls(chat.messages(spark.createDataFrame(c, "conv_id long, turn long, role string, text string")), schemas)
+    got = {(r["conv_id"], r["call_id"]): (r["depth"], r["linked"], r["n_results"], r["errors"], '"result":"b"' in r["json"], '"result":"a"' in r["json"]) for r in out.where("kind = 'call'").collect()}
+    wrong = "x: not integer"
+    assert got == {
+        (1, "call_1"): (1, True, 1, wrong, True, False), (2, "call_1"): (0, True, 1, wrong, False, True), (3, "call_1"): (0, False, 0, wrong, False, False),
+        **{(k, "call_2"): (0, False, 0, "", False, False) for k in (1, 2, 3)},
+    }
+
+
 def test_long_chain_of_calls(spark):
     n = 300
     calls = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * 2).alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
