@@ -41,7 +41,7 @@ RULES = (
 )
 #: Marks of sentence ends, in any text; what follows a mark starts a new sentence.
 END = r"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
-#: A word that some known sentence has; texts without any are not split.
+#: What the SQL twin looks for before it splits a text; raw text, so it misses other blanks and marks between the words.
 HINT = r"(?i)licen[sc]e|rights reserved|public domain|free software|hereby granted|without warranty|redistribution and use"
 
 
@@ -65,7 +65,6 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
     known = F.lit(list(sentences))
     ids = F.transform(F.filter(F.transform(F.split(t, END, -1), normal_sentence), lambda s: F.array_contains(known, s)), lambda s: F.element_at(table, s))
     none = F.array().cast("array<string>")
-    ids = F.when(t.rlike(HINT), ids).otherwise(none)
 
     def matches(seq: Column, wanted: tuple[str, ...]) -> Column:
         steps = F.aggregate(seq, F.lit(0), lambda n, s: F.when((n < len(wanted)) & (F.lit(list(wanted))[F.least(n, F.lit(len(wanted) - 1))] == s), n + 1).otherwise(n))

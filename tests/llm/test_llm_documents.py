@@ -279,6 +279,12 @@ def test_licences(spark):
     assert got[5][2] == "proprietary"
 
 
+def test_licences_whatever_stands_between_the_words(spark):
+    texts = ["Dedicated to the public-domain.", "All rights  reserved", "x.\nAll rights\treserved.", "All rights\u00a0reserved", "All rights, reserved"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select("licence.licence").collect()
+    assert [r["licence"] for r in got] == ["CC0-1.0", *["proprietary"] * 4]
+
+
 # empty tables and clashing names
 
 
