@@ -103,17 +103,19 @@ def resized(width: Column, height: Column, max_side: int = 1024, divisor: int =
     return {"w": side(width), "h": side(height), "scale": scale}
 
 
+def _span(centre: Column, side: Column, size: Column, least: int) -> tuple[Column, Column]:
+    """Start and end of `side` pixels about a centre, pushed into 0..size; at least `least` pixels where the image has them."""
+    start = F.least(centre - F.floor(side / 2).cast("int"), size - side)
+    start = F.when(start < 0, F.lit(0)).otherwise(start)
+    return start, F.least(size, start + F.greatest(side, F.lit(least)))
+
+
 def crop_region(width: Column, height: Column, cx: Column, cy: Column, w: Column, h: Column, *, factor: float = 2.5, smallest: int = 256, largest: int = 640, divisor: int = 16) -> dict[str, Column]:
-    """A square crop around (cx, cy) of factor times the object, moved inside the image where it fits."""
-    side = F.greatest(F.lit(float(smallest)), F.least(F.lit(float(largest)), F.greatest(w, h) * factor)).cast("int")
-    side = F.greatest(F.lit(divisor), (F.floor(side / divisor) * divisor).cast("int"))
-    half = F.floor(side / 2).cast("int")
-    x0, y0 = F.greatest(F.lit(0), F.least(cx - half, width - side)), F.greatest(F.lit(0), F.least(cy - half, height - side))
-    x1, y1 = F.least(width, x0 + side), F.least(height, y0 + side)
-    return {
-        "x0": x0, "y0": y0,
-        "x1": F.when(x1 - x0 < divisor, F.least(width, x0 + divisor)).otherwise(x1), "y1": F.when(y1 - y0 < divisor, F.least(height, y0 + divisor)).otherwise(y1),
-    }
+    """A square crop around (cx, cy) of factor times the object, in whole divisors, moved inside the image where it fits."""
+    wanted = F.greatest(F.lit(smallest), F.least(F.lit(largest), F.floor(F.greatest(w, h) * factor)))
+    side = F.greatest(wanted - F.pmod(wanted, F.lit(divisor)), F.lit(divisor)).cast("int")
+    (x0, x1), (y0, y1) = _span(cx, side, width, divisor), _span(cy, side, height, divisor)
+    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
 
 
 def grid_shape(n: int) -> tuple[int, int]:

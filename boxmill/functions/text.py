@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed words of a negative answer.
+#: Words of a negative answer, the mark of a timeout, four numbers in
+#: parentheses with an optional letter before each, and what is no part of a class name.
 NEGATIONS = r"\bno\b|\bnot\b|\bcannot\b|\bdon't\b|\bdoesn't\b"
 TIMEOUT = "TIMEOUT"
-#: Four numbers in parentheses, each with an optional letter before it.
-_NUMBER = r"\s*[a-zA-Z]?\s*(\d+\.?\d*)\s*"
-BOX = r"\(" + ",".join([_NUMBER] * 4) + r"\)"
+NUMBER = r"\s*[a-zA-Z]?\s*(\d+\.?\d*)\s*"
+BOX = r"\(" + ",".join([NUMBER] * 4) + r"\)"
+TAG, ASIDE, TAIL, GAP = r"<[^>]+>", r"\([^)]*\)", r"[\s:,>]+$", r"[ -]"
 
 
 def trimmed(c: Column) -> Column:
@@ -36,9 +37,9 @@ def strict_answer(response: Column) -> Column:
 
 def class_words(between: Column) -> Column:
     """What may name a class in the text between two boxes: no tags, parentheses or marks behind; lowered, with underscores."""
-    bare = F.regexp_replace(F.regexp_replace(between, r"<[^>]+>", ""), r"\([^)]*\)", "")
-    bare = trimmed(F.regexp_replace(bare, r"[\s:,>]+$", ""))
-    return F.when(bare != "", F.regexp_replace(F.lower(bare), r"[ -]", "_"))
+    bare = F.regexp_replace(F.regexp_replace(between, TAG, ""), ASIDE, "")
+    bare = trimmed(F.regexp_replace(bare, TAIL, ""))
+    return F.when(bare != "", F.regexp_replace(F.lower(bare), GAP, "_"))
 
 
 def matched_class(raw: Column, classes: list[str]) -> Column:

@@ -7,10 +7,13 @@ an image are bounded by the detector. Ties are broken by det_id.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, grid_shape, iou, overlaps, shifted
+from .lineage import cut
 
 FIELDS = ("image_id", "det_id", "class_id", "x1", "y1", "x2", "y2", "score")
 
@@ -221,11 +224,12 @@ def augmented(dets: DataFrame, *, iou_threshold: float = 0.5, conf: float = 0.0,
 
 def hybrid(full: DataFrame, crops: DataFrame, *, iou_threshold: float = 0.5, conf: float = 0.25, tie: float = 0.5, generic: int = 5) -> dict[str, DataFrame]:
     """Full-image and crop detections in five stages; all stage outputs by name."""
-    crops_raw = weighted_box_fusion(crops, iou_threshold, conf).select(*FIELDS)
+    crops_raw = cut(weighted_box_fusion(crops, iou_threshold, conf).select(*FIELDS), "crops")
     full = above(full, conf)
     filtered = smart_crop_filter(crops_raw, full)
+    filtered = cut(filtered, "filtered")
     union = merged(full.select(*FIELDS), filtered)
-    fused_all = weighted_box_fusion(union, iou_threshold).select(*FIELDS)
+    fused_all = cut(weighted_box_fusion(union, iou_threshold).select(*FIELDS), "fused")
     return {"full": full, "crops_raw": crops_raw, "crops_filtered": filtered, "merged": fused_all, "final": confidence_filter(fused_all, tie, generic)}
 
 
@@ -243,3 +247,13 @@ def method(name: str):
     if name not in METHODS:
         raise KeyError(f"{name}: not one of {', '.join(sorted(METHODS))}")
     return METHODS[name]
+
+
+def compare_methods(dets: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(method, n, mean_score, elapsed_s) for each method: its detections and the seconds they took."""
+    rows = []
+    for name in names or sorted(METHODS):
+        began = time.monotonic()
+        r = method(name)(dets).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")).first()
+        rows.append((name, r["n"], r["mean_score"], time.monotonic() - began))
+    return dets.sparkSession.createDataFrame(rows, "method string, n long, mean_score double, elapsed_s double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import centre_to_corners, coco_box
 from ..functions.text import hash_order, trimmed
+from .lineage import broadcast_below
 from .ordering import hash_rank, hash_running, range_rank
 
 SPLITS = ("train", "val", "test")
@@ -36,7 +37,7 @@ def parse_lines(lines: DataFrame, *, min_tokens: int = 5, mode: str = "skip") ->
 
 def known(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     """Lines of known classes, with their names."""
-    return parsed.join(F.broadcast(classes), "class_id")
+    return parsed.join(broadcast_below(classes), "class_id")
 
 
 def gold_boxes(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -150,20 +151,23 @@ def quota_split(images: DataFrame, parsed: DataFrame, ratios: tuple[float, float
     images of a class fill train up to its share of boxes, then val, then test.
     """
     totals = class_totals(parsed).withColumnRenamed("n", "total")
-    per = instances(parsed).join(F.broadcast(totals), "class_id")
+    per = instances(parsed).join(broadcast_below(totals), "class_id")
     rarest = per.groupBy("image_id").agg(F.min(F.struct("total", "class_id", "n")).alias("r")).select("image_id", F.col("r.class_id").alias("stratum"), F.col("r.n").alias("n"))
     out = hash_running(rarest, seed, ["image_id"], F.col("n"), "upto", ["stratum"], "of")
     train, val, _ = ratios
     return out.select("image_id", "stratum", F.when(F.col("upto") <= F.lit(train) * F.col("of"), "train").when(F.col("upto") <= F.lit(train + val) * F.col("of"), "val").otherwise("test").alias("split"))
 
 
-def greedy_split(parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42, buckets: int = 1) -> DataFrame:
+def greedy_split(parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42, bucket_images: int = 10_000) -> DataFrame:
     """(image_id, split) by the greedy rule: in hash order an image goes to the first split where no class exceeds its target.
 
-    Images that fit nowhere go to train. Each bucket of images has its share of
-    the targets; one bucket is the exact rule, in one task.
+    Images that fit nowhere go to train. The rule is sequential, so images are
+    dealt by hash into buckets of about `bucket_images`, each with its own
+    boxes' share of the targets: no task holds more, and a table of up to that
+    many images follows the exact rule.
     """
     per = instances(parsed).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("counts"))
+    buckets = 1 + parsed.select("image_id").distinct().count() // bucket_images
     per = per.withColumns({"o": hash_order(seed, F.col("image_id")), "bucket": F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int")})
     kind = dict(per.dtypes)["image_id"]
 

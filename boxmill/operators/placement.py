@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import scaled_size
 from ..functions.text import hash_order
+from .lineage import broadcast_below
 from .ordering import range_rank
 
 #: Fixed sizes in pixels a class: least and most width, least and most height.
@@ -80,8 +81,8 @@ def placement_plan(positions: DataFrame, prompts: DataFrame, height: int, seed:
     grown = positions.withColumns({k: v for k, v in scaled_size(F.col("w"), F.col("h"), F.col("y"), F.lit(height)).items()})
     numbered = prompts.withColumn("_k", F.row_number().over(Window.partitionBy("class_id").orderBy("prompt")) - 1)
     n = prompts.groupBy("class_id").agg(F.count("*").alias("_n"))
-    picked = grown.join(F.broadcast(n), "class_id").withColumn("_k", F.floor(draw(seed, F.col("image_id"), F.col("pos"), F.lit("prompt")) * F.col("_n")).cast("int"))
-    return picked.join(F.broadcast(numbered), ["class_id", "_k"]).drop("_k", "_n")
+    picked = grown.join(broadcast_below(n), "class_id").withColumn("_k", F.floor(draw(seed, F.col("image_id"), F.col("pos"), F.lit("prompt")) * F.col("_n")).cast("int"))
+    return picked.join(broadcast_below(numbered), ["class_id", "_k"]).drop("_k", "_n")
 
 
 def background_patches(masks: DataFrame, n: int, *, side: int, width: int, height: int, share: float = 0.55, attempts: int = 60, seed: int = 42) -> DataFrame:
@@ -105,7 +106,7 @@ def compositions(objects: DataFrame, backgrounds: DataFrame, n: int, key: str, s
 
 def run_plan(experiments: DataFrame, images: DataFrame) -> DataFrame:
     """Each experiment over each image; experiments are a few rows."""
-    return images.join(F.broadcast(experiments))
+    return images.join(broadcast_below(experiments))
 
 
 def zipped(left: DataFrame, right: DataFrame, by: str, name: str) -> DataFrame:

@@ -70,17 +70,24 @@ def water_colour(r: Column, g: Column, b: Column, y: Column, height: Column) ->
     return (blue | grey) & ~sky & ~warm
 
 
-def water_region(pixels: DataFrame, boxes: DataFrame, height: int) -> DataFrame:
-    """boxes (image_id, box_no, x1, y1, x2, y2) with inside: below the top 15 %, and their mean colour is water.
+def water_region(pixels: DataFrame, boxes: DataFrame, width: int, height: int, margin: int = 30) -> DataFrame:
+    """boxes (image_id, box_no, x1, y1, x2, y2) with inside: the box looks like water.
 
-    pixels: image_id, x, y, r, g, b, meets boxes by image and range.
+    The box grown by the margin must lie inside the image and have its centre
+    below the top 15 %. Hue, saturation and value are averaged over its pixels
+    (image_id, x, y, r, g, b), which meet the boxes by image and range: a mean
+    water colour, or a grey whose blue is at most 5 under its red, of medium value.
     """
-    hit = (F.col("p.image_id") == F.col("b.image_id")) & (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    mean = boxes.alias("b").join(pixels.alias("p"), hit).groupBy("b.image_id", "box_no").agg(*[F.avg(c).alias(c) for c in "rgb"])
+    grown = boxes.select("image_id", "box_no", *[(F.col(c) - margin).alias(c) for c in ("x1", "y1")], *[(F.col(c) + margin).alias(c) for c in ("x2", "y2")], ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    grown = grown.where((F.col("x1") >= 0) & (F.col("y1") >= 0) & (F.col("x2") < width) & (F.col("y2") < height) & (F.col("cy") >= 0.15 * height))
     h, s, v = hsv(F.col("r"), F.col("g"), F.col("b"))
-    ok = h.between(55, 165) & (s >= 5) & v.between(10, 245)
+    p = pixels.select("image_id", "x", "y", "r", "b", h.alias("h"), s.alias("s"), v.alias("v"))
+    hit = (F.col("p.image_id") == F.col("b.image_id")) & (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    mean = grown.alias("b").join(p.alias("p"), hit).groupBy("b.image_id", "box_no").agg(*[F.avg(f"p.{c}").alias(c) for c in ("h", "s", "v", "r", "b")])
+    colour = (F.col("h").between(55, 165) & (F.col("s") >= 5)) | ((F.col("s") < 15) & (F.col("b") >= F.col("r") - 5))
+    mean = mean.select("image_id", "box_no", (colour & (F.col("v") > 10) & (F.col("v") < 245)).alias("_ok"))
     out = boxes.join(mean, ["image_id", "box_no"], "left")
-    return out.select("image_id", "box_no", (F.coalesce(ok, F.lit(False)) & ((F.col("y1") + F.col("y2")) / 2 >= 0.15 * height)).alias("inside"))
+    return out.select("image_id", "box_no", F.coalesce("_ok", F.lit(False)).alias("inside"))
 
 
 def pixel_components(pixels: DataFrame) -> DataFrame:
@@ -157,6 +164,11 @@ def region_nms(regions: DataFrame, overlaps: DataFrame, threshold: float) -> Dat
 
 def cluster_profiles(pixels: DataFrame, k: int, height: int, seed: int = 1) -> DataFrame:
     """Colour clusters over all pixels (image_id, x, y, r, g, b) with their means an image and whether they look like water."""
+    return clustered(pixels, k, height, seed)[1]
+
+
+def clustered(pixels: DataFrame, k: int, height: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The pixels with their cluster, and the profiles of the clusters in each image."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -167,7 +179,37 @@ def cluster_profiles(pixels: DataFrame, k: int, height: int, seed: int = 1) -> D
     m = p.withColumns({"h": h, "s": s, "v": v}).groupBy("image_id", "cluster").agg(*[F.avg(c).alias(c) for c in ("h", "s", "v", "r", "b")], (F.avg("y") / height).alias("at"))
     colour = (F.col("h").between(50, 170) & (F.col("s") >= 3)) | ((F.col("s") < 15) & (F.col("b") >= F.col("r") - 5))
     warm = ((F.col("h") < 30) | (F.col("h") > 160)) & (F.col("s") > 25)
-    return m.withColumn("water", colour & (F.col("at") >= 0.30) & (F.col("v") < 210) & ~warm)
+    return p, m.withColumn("water", colour & (F.col("at") >= 0.30) & (F.col("v") < 210) & ~warm)
+
+
+def otsu_mask(pixels: DataFrame) -> DataFrame:
+    """(image_id, x, y, v): 255 over the image's Otsu threshold."""
+    grey = F.floor((299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000).cast("int")
+    p = pixels.select("image_id", "x", "y", grey.alias("v"))
+    return mask(p.join(otsu(p), "image_id"), F.col("v") > F.col("threshold"))
+
+
+def cluster_mask(pixels: DataFrame, height: int, k: int = 3) -> DataFrame:
+    """(image_id, x, y, v): 255 where the pixel's colour cluster looks like water in its image."""
+    p, profiles = clustered(pixels, k, height)
+    wet = profiles.where("water").select("image_id", "cluster", F.lit(True).alias("wet"))
+    return mask(p.join(wet, ["image_id", "cluster"], "left"), F.coalesce("wet", F.lit(False)))
+
+
+#: Mask methods by name: pixels (image_id, x, y, r, g, b) and the image height to a mask.
+MASKS = {
+    "colour": lambda pixels, height: mask(pixels, predicate("colour", height)),
+    "dark": lambda pixels, height: mask(pixels, predicate("dark", height)),
+    "otsu": lambda pixels, height: otsu_mask(pixels),
+    "clusters": cluster_mask,
+}
+
+
+def mask_by(name: str, pixels: DataFrame, height: int) -> DataFrame:
+    """The mask of the registered method; an unknown name is an error that lists the known ones."""
+    if name not in MASKS:
+        raise KeyError(f"{name}: not one of {', '.join(sorted(MASKS))}")
+    return MASKS[name](pixels, height)
 
 
 #: Pixel predicates by name: columns r, g, b, y and the image height to a boolean Column.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import CORNERS, iou
 from ..functions.text import harmonic
+from .lineage import broadcast_below
 
 #: Score bins of the running sums: rows of a class are summed by bin first, then inside a bin.
 BINS = 1024
@@ -47,15 +48,15 @@ def precision_recall(rows: DataFrame, gold: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({"_n0": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_t0": F.coalesce(F.sum("_t").over(upto), F.lit(0))}).drop("_n", "_t")
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.join(F.broadcast(bins), [*keys, "_bin"])
+    r = r.join(broadcast_below(bins), [*keys, "_bin"])
     r = r.withColumns({"_rank": F.count("*").over(inside) + F.col("_n0"), "_hits": F.sum(F.col("tp").cast("int")).over(inside) + F.col("_t0")})
     r = r.withColumn("precision", F.col("_hits") / F.col("_rank"))
     later = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
     best = r.groupBy(*keys, "_bin").agg(F.max("precision").alias("_m")).withColumn("_later", F.max("_m").over(later)).drop("_m")
     after = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    r = r.join(F.broadcast(best), [*keys, "_bin"]).withColumn("envelope", F.greatest(F.max("precision").over(after), F.coalesce("_later", F.lit(0.0))))
+    r = r.join(broadcast_below(best), [*keys, "_bin"]).withColumn("envelope", F.greatest(F.max("precision").over(after), F.coalesce("_later", F.lit(0.0))))
     n = gold.groupBy("class_id").agg(F.count("*").alias("n_gold"))
-    r = r.join(F.broadcast(n), "class_id", "left").withColumn("recall", F.try_divide(F.col("_hits"), F.col("n_gold")))
+    r = r.join(broadcast_below(n), "class_id", "left").withColumn("recall", F.try_divide(F.col("_hits"), F.col("n_gold")))
     return r.select("image_id", "class_id", "threshold", "det_id", "score", "tp", "precision", "recall", "envelope")
 
 
@@ -68,16 +69,17 @@ def average_precision(curve: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def per_class(aps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per class: P, R, F1 at IoU 0.5, AP50, AP50-95 and its share in percent; 0 for classes without gold."""
-    a = aps.groupBy("class_id").agg(*[F.max(F.when(F.col("threshold") == 0.5, F.col(c))).alias(n) for c, n in (("ap", "ap50"), ("precision", "p"), ("recall", "r"))], F.avg("ap").alias("ap"))
-    out = classes.select("class_id", "name").join(a, "class_id", "left").na.fill(0.0, ["ap50", "p", "r", "ap"])
+    """Per class: P, R, F1 at IoU 0.5, AP50, AP75, AP50-95 and its share in percent; 0 for classes without gold."""
+    at = [("ap", "ap50", 0.5), ("ap", "ap75", 0.75), ("precision", "p", 0.5), ("recall", "r", 0.5)]
+    a = aps.groupBy("class_id").agg(*[F.max(F.when(F.col("threshold") == t, F.col(c))).alias(n) for c, n, t in at], F.avg("ap").alias("ap"))
+    out = classes.select("class_id", "name").join(a, "class_id", "left").na.fill(0.0, ["ap50", "ap75", "p", "r", "ap"])
     share = F.coalesce(F.try_divide(F.col("ap") * 100, F.sum("ap").over(Window.partitionBy())), F.lit(0.0))
-    return out.select("class_id", "name", F.col("p").alias("precision"), F.col("r").alias("recall"), harmonic(F.col("p"), F.col("r")).alias("f1"), "ap50", "ap", share.alias("share"))
+    return out.select("class_id", "name", F.col("p").alias("precision"), F.col("r").alias("recall"), harmonic(F.col("p"), F.col("r")).alias("f1"), "ap50", "ap75", "ap", share.alias("share"))
 
 
 def overall(classes: DataFrame) -> DataFrame:
     """The means over the rows of per_class, F1 from the mean precision and recall."""
-    m = classes.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "ap50", "ap")])
+    m = classes.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "ap50", "ap75", "ap")])
     return m.withColumn("f1", harmonic(F.col("precision"), F.col("recall")))
 
 

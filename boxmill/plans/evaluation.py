@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import grounding as G
 from ..operators import validation as V
 from .base import Views, query
 from .probing import NAMES
 
-NUM = r"\s*[a-zA-Z]?\s*(\d+\.?\d*)\s*"
-RX = r"\(" + ",".join([NUM] * 4) + r"\)"
-PARSE = f"""+m AS (SELECT image_id, width, height, regexp_extract_all(response, '{RX}', 1) AS a, regexp_extract_all(response, '{RX}', 2) AS b, regexp_extract_all(response, '{RX}', 3) AS c, regexp_extract_all(response, '{RX}', 4) AS d,
- string_split_regex(response, '{RX}') AS w FROM fx_ground JOIN fx_image USING (image_id)),
-u AS (SELECT image_id, width, height, i - 1 AS pos, a[i]::DOUBLE AS x1, b[i]::DOUBLE AS y1, c[i]::DOUBLE AS x2, d[i]::DOUBLE AS y2, trim(regexp_replace(regexp_replace(regexp_replace(w[i], '<[^>]+>', '', 'g'), '\\([^)]*\\)', '', 'g'), '[\\s:,>]+$', '')) AS t
+PARSE = f"""+m AS (SELECT image_id, width, height, regexp_extract_all(response, '{T.BOX}', 1) AS a, regexp_extract_all(response, '{T.BOX}', 2) AS b, regexp_extract_all(response, '{T.BOX}', 3) AS c, regexp_extract_all(response, '{T.BOX}', 4) AS d,
+ string_split_regex(response, '{T.BOX}') AS w FROM fx_ground JOIN fx_image USING (image_id)),
+u AS (SELECT image_id, width, height, i - 1 AS pos, a[i]::DOUBLE AS x1, b[i]::DOUBLE AS y1, c[i]::DOUBLE AS x2, d[i]::DOUBLE AS y2, trim(regexp_replace(regexp_replace(regexp_replace(w[i], '{T.TAG}', '', 'g'), '{T.ASIDE}', '', 'g'), '{T.TAIL}', '')) AS t
  FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)),
-k AS (SELECT *, CASE WHEN t <> '' THEN regexp_replace(lower(t), '[ -]', '_', 'g') END AS raw FROM u),
+k AS (SELECT *, CASE WHEN t <> '' THEN regexp_replace(lower(t), '{T.GAP}', '_', 'g') END AS raw FROM u),
 n AS (SELECT *, CASE WHEN raw IN ('container', 'plastic', 'metal', 'polystyrene', 'trash_pile', 'trash') THEN raw ELSE list_filter(['polystyrene', 'trash_pile', 'container', 'plastic', 'metal', 'trash'], lambda c: contains(raw, c) OR contains(c, raw))[1] END AS named FROM k),
 f AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cls, greatest(x1, y1, x2, y2) <= 1 AS small FROM n),
 z AS (SELECT image_id, pos, cls, round(greatest(0, least(1, CASE WHEN small THEN x1 ELSE x1 / width END)), 4) AS x1, round(greatest(0, least(1, CASE WHEN small THEN y1 ELSE y1 / height END)), 4) AS y1,
@@ -96,16 +95,27 @@ def average_precision(v: Views) -> DataFrame:
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 
 
-@query()
+#: JUDGED at all thresholds: the recursion carries th.
+ALL = (
+    JUDGED.replace("st AS (SELECT image_id,", "th AS (SELECT unnest(" + str(THRESHOLDS) + "::DOUBLE[]) AS th),\nst AS (SELECT th, image_id,").replace("FROM (SELECT DISTINCT image_id, class_id FROM p)", "FROM (SELECT DISTINCT image_id, class_id FROM p), th")
+    .replace("UNION ALL SELECT s.image_id", "UNION ALL SELECT s.th, s.image_id").replace("b.o >= 0.5", "b.o >= s.th").replace("PARTITION BY class_id", "PARTITION BY th, class_id")
+)
+PER_CLASS = f"""{ALL}, ap AS (SELECT th, class_id, sum(CASE WHEN tp THEN envelope ELSE 0 END) / max(n_gold) AS ap, count(*) FILTER (tp)::DOUBLE / count(*) AS p, count(*) FILTER (tp)::DOUBLE / max(n_gold) AS r FROM en JOIN n USING (class_id) GROUP BY ALL),
+k AS (SELECT class_id, max(p) FILTER (th = 0.5) AS p, max(r) FILTER (th = 0.5) AS r, max(ap) FILTER (th = 0.5) AS ap50, max(ap) FILTER (th = 0.75) AS ap75, avg(ap) AS ap FROM ap GROUP BY class_id),
+pc AS (SELECT class_id, name, coalesce(p, 0) AS precision, coalesce(r, 0) AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, coalesce(ap50, 0) AS ap50, coalesce(ap75, 0) AS ap75, coalesce(ap, 0) AS ap FROM fx_class LEFT JOIN k USING (class_id))"""
+
+
+@query(f"{PER_CLASS} SELECT class_id, name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(ap50, 6) AS ap50, round(ap75, 6) AS ap75, round(ap, 6) AS ap, round(ap * 100 / sum(ap) OVER (), 6) AS share FROM pc", "fx_gt fx_det fx_class", recursive=True)
 def validation_per_class(v: Views) -> DataFrame:
     out = V.per_class(V.average_precision(curves(v, THRESHOLDS), v.fx_gt), v.fx_class)
-    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "ap50", "ap", "share")})
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "ap50", "ap75", "ap", "share")})
 
 
-@query()
+@query(f"""{PER_CLASS} SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(ap50, 6) AS ap50, round(ap75, 6) AS ap75, round(ap, 6) AS ap
+FROM (SELECT avg(precision) AS p, avg(recall) AS r, avg(ap50) AS ap50, avg(ap75) AS ap75, avg(ap) AS ap FROM pc)""", "fx_gt fx_det fx_class", recursive=True)
 def validation_overall(v: Views) -> DataFrame:
     out = V.overall(V.per_class(V.average_precision(curves(v, THRESHOLDS), v.fx_gt), v.fx_class))
-    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "ap50", "ap")})
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "ap50", "ap75", "ap")})
 
 
 @query("SELECT run, arg_max(epoch, (map5095, -epoch)) AS epoch, max(map5095) AS map5095 FROM fx_epoch WHERE map5095 IS NOT NULL GROUP BY run", "fx_epoch")

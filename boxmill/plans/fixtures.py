@@ -61,7 +61,7 @@ FROM fx_box b JOIN fx_image i ON b.image_id = i.image_id
 WHERE b.l_returnflag <> 'R'
 """,
     "fx_answer": """
-SELECT CAST(row_number() OVER (ORDER BY image_id, ann_no) AS INT) AS question_id,
+SELECT image_id * 16 + ann_no AS question_id,
   concat('model_', CAST(l_linenumber % 3 AS VARCHAR(20))) AS model,
   CASE l_partkey % 3 WHEN 0 THEN 'random' WHEN 1 THEN 'popular' ELSE 'adversarial' END AS tier,
   image_id, c.name AS cls,

@@ -15,7 +15,7 @@ AB = IOU.format(a="a.", b="b.", eps="")
 
 
 def _nms_sql(part: str, eps: str, tail: str) -> str:
-    """Greedy suppression as a recursion over ranks; kept boxes are a list."""
+    """Greedy suppression as a recursion over ranks; kept boxes are a list; the rows are nms."""
     over = IOU.format(a="k.", b="d.", eps=eps)
     return f"""+d AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY score DESC, det_id) AS r FROM fx_det),
 st AS (SELECT {part}, 1::BIGINT AS r, [{{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM d WHERE r = 1
@@ -46,6 +46,41 @@ def multi_scale_fusion(v: Views) -> DataFrame:
     return D.multi_scale(v.fx_det).select("image_id", "det_id", "class_id", F.round("score", 6).alias("score"))
 
 
+def _fused_sql(src: str, p: str) -> str:
+    """Weighted box fusion of src as a table `{p}w`."""
+    return f"""{p}e AS (SELECT a.image_id, a.det_id AS u, b.det_id AS v FROM {src} a JOIN {src} b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.det_id <> b.det_id WHERE {AB} >= 0.5),
+{p}r AS (SELECT image_id, det_id AS u, det_id AS v FROM {src} UNION SELECT r.image_id, r.u, e.v FROM {p}r r JOIN {p}e e ON r.image_id = e.image_id AND r.v = e.u),
+{p}l AS (SELECT image_id, u AS det_id, min(v) AS cluster FROM {p}r GROUP BY ALL),
+{p}w AS (SELECT image_id, class_id, cluster AS det_id, sum(x1 * score) / sum(score) AS x1, sum(y1 * score) / sum(score) AS y1, sum(x2 * score) / sum(score) AS x2, sum(y2 * score) / sum(score) AS y2, max(score) AS score FROM {src} JOIN {p}l USING (image_id, det_id) GROUP BY image_id, class_id, cluster)"""
+
+
+def _listed_sql(src: str, order: str) -> str:
+    fields = ", ".join(f"'{c}': {c}" for c in ("det_id", "class_id", "x1", "y1", "x2", "y2", "score"))
+    return f"SELECT image_id, list({{{fields}}} ORDER BY {order}) AS b FROM {src} GROUP BY image_id"
+
+
+def _dedup_sql(src: str, p: str = "d") -> str:
+    """Priority deduplication of src as a recursion over each image's boxes; the rows are `{p}d`."""
+    return f"""{p}l AS ({_listed_sql(src, 'score DESC, det_id')}),
+{p}s AS (SELECT image_id, 1 AS i, b, list_transform(b, lambda d: true) AS live FROM {p}l
+ UNION ALL SELECT image_id, i + 1, b, CASE WHEN live[i] THEN list_transform(live, lambda l, j: CASE WHEN stop > 0 AND j = i THEN false WHEN near[j] AND (stop = 0 OR j < stop) THEN false ELSE l END) ELSE live END
+ FROM (SELECT *, CASE WHEN b[i].class_id = 5 THEN coalesce(list_position(list_transform(near, lambda q, j: q AND b[j].class_id <> 5), true), 0) ELSE 0 END AS stop
+  FROM (SELECT *, list_transform(b, lambda d, j: j > i AND live[j] AND {IOU.format(a='b[i].', b='d.', eps='')} >= 0.5) AS near FROM {p}s WHERE i <= len(b)))),
+{p}d AS (SELECT image_id, unnest(list_filter(b, lambda d, j: live[j]), recursive := true) FROM {p}s WHERE i = len(b) + 1)"""
+
+
+def _confident_sql(src: str, p: str = "c") -> str:
+    """The confidence filter of src as a recursion over each image's boxes; the rows are `{p}d`."""
+    over = IOU.format(a="b[i].", b="b[j].", eps="")
+    return f"""{p}l AS ({_listed_sql(src, 'class_id, score DESC, det_id')}),
+{p}s AS (SELECT image_id, 1 AS i, b, list_transform(b, lambda d: false) AS used, []::BIGINT[] AS kept FROM {p}l
+ UNION ALL SELECT image_id, i + 1, b, CASE WHEN used[i] THEN used ELSE list_transform(used, lambda u, j: u OR list_contains(g, j)) END, CASE WHEN used[i] THEN kept ELSE list_append(kept, CASE WHEN len(high) >= 2 AND b[high[1].j].class_id = 5 THEN high[2].j ELSE o[1].j END) END
+ FROM (SELECT *, list_filter(o, lambda x: -x.o > 0.5) AS high FROM (SELECT *, list_sort(list_transform(g, lambda j: {{'o': -b[j].score, 'j': j}})) AS o
+  FROM (SELECT *, list_filter(range(1, len(b) + 1), lambda j: j = i OR (j > i AND NOT used[j] AND {over} > 0.5)) AS g FROM {p}s WHERE i <= len(b))))),
+{p}d AS (SELECT image_id, unnest(list_transform(kept, lambda j: b[j]), recursive := true) FROM {p}s WHERE i = len(b) + 1)"""
+
+
+SHORT = "SELECT image_id, det_id, class_id, round(score, 6) AS score FROM"
 CLUSTERS = f"""+edge AS (SELECT a.image_id, a.class_id, a.det_id AS u, b.det_id AS v FROM fx_det a JOIN fx_det b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.det_id <> b.det_id WHERE {AB} >= 0.5),
 reach AS (SELECT image_id, det_id AS u, det_id AS v FROM fx_det UNION SELECT r.image_id, r.u, e.v FROM reach r JOIN edge e ON r.image_id = e.image_id AND r.v = e.u),
 lab AS (SELECT image_id, u AS det_id, min(v) AS cluster FROM reach GROUP BY ALL)"""
@@ -63,9 +98,10 @@ def weighted_box_fusion(v: Views) -> DataFrame:
     return w.select("image_id", "class_id", "det_id", *[F.round(c, 6).alias(c) for c in G.CORNERS], F.round("score", 6).alias("score"), "n_boxes")
 
 
-@query(f"SELECT a.image_id, a.det_id AS a, b.det_id AS b, round({AB}, 6) AS iou FROM fx_det a JOIN fx_det b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.det_id < b.det_id WHERE {AB} >= 0.3", "fx_det")
+@query(f"""+pr AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, {AB} AS iou FROM fx_det a JOIN fx_det b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.det_id < b.det_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
+SELECT image_id, a, b, CAST(floor(iou * 1000000) AS BIGINT) AS iou_ppm FROM pr WHERE iou >= 0.3""", "fx_det")
 def iou_pairs(v: Views) -> DataFrame:
-    return D.iou_pairs(v.fx_det, 0.3).withColumn("iou", F.round("iou", 6))
+    return D.iou_pairs(v.fx_det, 0.3).select("image_id", "a", "b", F.floor(F.col("iou") * 1_000_000).alias("iou_ppm"))
 
 
 @query(f"""SELECT c.image_id, c.det_id, c.class_id, round(score, 6) AS score FROM fx_det c WHERE source = 1 AND NOT EXISTS (SELECT 1)
@@ -76,44 +112,49 @@ def smart_crop_filter(v: Views) -> DataFrame:
     return D.smart_crop_filter(d.where("source = 1"), d.where("source = 0")).select("image_id", "det_id", "class_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"+{_dedup_sql('fx_det')} {SHORT} dd", "fx_det", recursive=True)
 def deduplicated(v: Views) -> DataFrame:
     return D.deduplicate(v.fx_det, 0.5, 5).select("image_id", "det_id", "class_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"+{_confident_sql('fx_det')} {SHORT} cd", "fx_det", recursive=True)
 def confidence_filtered(v: Views) -> DataFrame:
     return D.confidence_filter(v.fx_det, 0.5, 5).select("image_id", "det_id", "class_id", F.round("score", 6).alias("score"))
 
 
-@query()
+HYBRID = f"""+f0 AS (SELECT * FROM fx_det WHERE source = 0 AND score >= 0.25), k0 AS (SELECT * FROM fx_det WHERE source = 1 AND score >= 0.25), {_fused_sql('k0', 'k')},
+mo AS (SELECT c.*, coalesce((SELECT max({IOU.format(a='c.', b='f.', eps='')}) FROM f0 f WHERE f.image_id = c.image_id AND f.class_id = c.class_id), 0) AS o FROM kw c),
+sf AS (SELECT * FROM mo WHERE o >= 0.85 OR o < 0.3),
+un AS (SELECT image_id, det_id * 2 AS det_id, class_id, x1, y1, x2, y2, score FROM f0 UNION ALL SELECT image_id, det_id * 2 + 1, class_id, x1, y1, x2, y2, score FROM sf), {_fused_sql('un', 'u')}, {_confident_sql('uw')},
+al AS (SELECT image_id, 'full' AS s FROM f0 UNION ALL SELECT image_id, 'crops_raw' FROM kw UNION ALL SELECT image_id, 'crops_filtered' FROM sf UNION ALL SELECT image_id, 'merged' FROM uw UNION ALL SELECT image_id, 'final' FROM cd)"""
+
+
+@query(f"""{HYBRID} SELECT image_id, count(*) FILTER (s = 'full') AS "full", count(*) FILTER (s = 'crops_raw') AS crops_raw, count(*) FILTER (s = 'crops_filtered') AS crops_filtered, count(*) FILTER (s = 'merged') AS merged, count(*) FILTER (s = 'final') AS final FROM al GROUP BY image_id""", "fx_det", recursive=True)
 def hybrid_stage_counts(v: Views) -> DataFrame:
     d = v.fx_det
     stages = D.hybrid(d.where("source = 0"), d.where("source = 1"))
     rows = None
     for name, out in stages.items():
-        part = out.select("image_id", F.lit(name).alias("stage"))
+        part = out.select("image_id", *[F.lit(int(n == name)).alias(n) for n in stages])
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("image_id").pivot("stage", list(stages)).count().na.fill(0)
+    return rows.groupBy("image_id").agg(*[F.sum(n).alias(n) for n in stages])
 
 
-@query()
+@query(f"+t0 AS (SELECT * FROM fx_det WHERE source < 2), {_fused_sql('t0', 't')}, {_dedup_sql('tw')} {SHORT} dd", "fx_det", recursive=True)
 def tiled_fusion(v: Views) -> DataFrame:
     return D.tiled(v.fx_det.where("source < 2")).select("image_id", "det_id", "class_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_nms_sql("image_id", " + 1e-6", f", {_dedup_sql('nms', 'ag')} {SHORT} agd"), "fx_det", recursive=True)
 def augmented_fusion(v: Views) -> DataFrame:
     return D.augmented(v.fx_det).select("image_id", "det_id", "class_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_nms_sql("image_id", " + 1e-6", f""", {_fused_sql('fx_det', 't')}, {_dedup_sql('tw')}, {_dedup_sql('nms', 'ag')},
+{_nms_sql('image_id, class_id', '', '').removeprefix('+').replace('nms AS', 'cn AS').replace('fin AS', 'cfin AS').replace('FROM fin', 'FROM cfin').replace('ids AS', 'cids AS').replace('JOIN ids', 'JOIN cids').replace('st AS', 'cst AS').replace('FROM st', 'FROM cst').replace('d AS (SELECT *, row', 'cr AS (SELECT *, row').replace('JOIN d ON', 'JOIN cr d ON').replace('FROM d WHERE', 'FROM cr WHERE')}
+SELECT method, count(*) AS n, round(avg(score), 6) AS mean_score FROM (SELECT 'tiled' AS method, score FROM dd UNION ALL SELECT 'multi_scale', score FROM nms UNION ALL SELECT 'augmented', score FROM agd UNION ALL SELECT 'nms', score FROM cn) GROUP BY method"""), "fx_det", recursive=True)
 def method_comparison(v: Views) -> DataFrame:
-    d, rows = v.fx_det, None
-    for name in sorted(D.METHODS):
-        part = D.method(name)(d).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")).withColumn("method", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return D.compare_methods(v.fx_det).withColumn("mean_score", F.round("mean_score", 6)).drop("elapsed_s")
 
 
 @query("SELECT source, class_id, count(*) AS n, round(avg(score), 6) AS mean_score FROM fx_det WHERE score >= 0.25 GROUP BY ALL", "fx_det")

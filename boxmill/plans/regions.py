@@ -113,20 +113,38 @@ def mask_set_operations(v: Views) -> DataFrame:
     return either.join(both, "image_id", "left").na.fill(0)
 
 
-@query()
+@query(f"""{RGB}, bx AS (SELECT DISTINCT image_id, i.i AS box_no, 1 + 2 * (i.i % 3) AS x1, 1 + 2 * (i.i // 3) AS y1 FROM rgb, range(6) i(i)),
+mn AS (SELECT bx.image_id, box_no, avg(h) AS h, avg(s) AS s, avg(v) AS v, avg(r) AS r, avg(b) AS b FROM bx JOIN hs ON hs.image_id = bx.image_id AND x >= x1 - 1 AND x < x1 + 4 AND y >= y1 - 1 AND y < y1 + 4 WHERE x1 + 4 < 8 AND y1 + 4 < 8 GROUP BY ALL)
+SELECT bx.image_id, bx.box_no::INT AS box_no, coalesce(((h BETWEEN 55 AND 165 AND s >= 5) OR (s < 15 AND b >= r - 5)) AND v > 10 AND v < 245, false) AS inside FROM bx LEFT JOIN mn USING (image_id, box_no)""", "fx_pixel")
 def water_region_test(v: Views) -> DataFrame:
-    boxes = colours(v).select("image_id").distinct().withColumn("box_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    boxes = boxes.withColumns({"x1": (F.col("box_no") % 2) * 4, "y1": F.floor(F.col("box_no") / 2) * 4}).withColumns({"x2": F.col("x1") + 4, "y2": F.col("y1") + 4})
-    return R.water_region(colours(v), boxes, SIDE)
+    boxes = colours(v).select("image_id").distinct().withColumn("box_no", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    boxes = boxes.withColumns({"x1": 1 + 2 * (F.col("box_no") % 3), "y1": 1 + 2 * F.floor(F.col("box_no") / 3)}).withColumns({"x2": F.col("x1") + 3, "y2": F.col("y1") + 3})
+    return R.water_region(colours(v), boxes, SIDE, SIDE, margin=1)
 
 
-@query()
+CHANGED = """+p AS (SELECT a.image_id // 2 AS image_id, a.x, a.y, a.y::BIGINT * 1048576 + a.x AS p FROM fx_pixel a JOIN fx_pixel b ON a.image_id + 1 = b.image_id AND a.image_id % 2 = 0 AND a.x = b.x AND a.y = b.y WHERE abs(a.v - b.v) > 20),
+reach AS (SELECT image_id, p AS u, x, y, p AS l FROM p UNION SELECT r.image_id, r.u, q.x, q.y, q.p FROM reach r JOIN p q ON q.image_id = r.image_id AND abs(q.x - r.x) <= 1 AND abs(q.y - r.y) <= 1),
+comp AS (SELECT image_id, u, min(l) AS component FROM reach GROUP BY ALL), ar AS (SELECT image_id, component, count(*) AS area FROM comp GROUP BY ALL),
+big AS (SELECT image_id, arg_max(component, (area, -component)) AS component FROM ar GROUP BY image_id),
+px AS (SELECT p.image_id, p.x, p.y FROM p JOIN comp ON comp.image_id = p.image_id AND comp.u = p.p JOIN big ON big.image_id = comp.image_id AND big.component = comp.component)"""
+
+
+@query(f"{CHANGED} SELECT image_id, (min(x) + max(x)) / 2.0::DOUBLE / 8 AS cx, (min(y) + max(y)) / 2.0::DOUBLE / 8 AS cy, (max(x) - min(x)) / 8.0::DOUBLE AS w, (max(y) - min(y)) / 8.0::DOUBLE AS h FROM px GROUP BY image_id", "fx_pixel", recursive=True)
 def changed_boxes(v: Views) -> DataFrame:
     p = v.fx_pixel
     a, b = (p.where(F.col("image_id") % 2 == k).withColumn("image_id", F.floor(F.col("image_id") / 2)) for k in (0, 1))
     return R.changed_box(a, b, 20, SIDE, SIDE)
 
 
+@query("""+g AS (SELECT image_id // 3 AS image_id, x, y, max(v) FILTER (image_id % 3 = 0) AS r, max(v) FILTER (image_id % 3 = 1) AS g, max(v) FILTER (image_id % 3 = 2) AS b FROM fx_pixel GROUP BY ALL HAVING count(*) = 3),
+p AS (SELECT image_id, x, y, (299 * r + 587 * g + 114 * b) // 1000 AS v FROM g), h AS (SELECT image_id, v, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS n0, sum(n * v) OVER w AS s0, sum(n) OVER (PARTITION BY image_id) AS na, sum(n * v) OVER (PARTITION BY image_id) AS sa FROM h WINDOW w AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, (s0 * (na - n0) - (sa - s0) * n0)::DOUBLE AS gap FROM c WHERE na > n0), t AS (SELECT image_id, arg_max(v, (gap * gap / (n0 * (na - n0))::DOUBLE, -v)) AS threshold FROM k GROUP BY image_id)
+SELECT image_id, count(*) FILTER (v > threshold) AS inside FROM p JOIN t USING (image_id) GROUP BY image_id""", "fx_pixel")
+def registered_masks(v: Views) -> DataFrame:
+    return R.mask_by("otsu", colours(v), SIDE).groupBy("image_id").agg(F.count_if(F.col("v") > 0).alias("inside"))
+
+
 @query()
 def colour_clusters(v: Views) -> DataFrame:
     return R.cluster_profiles(colours(v), 3, SIDE).groupBy("water").agg(F.count("*").alias("n"))

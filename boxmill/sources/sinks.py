@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.labels import coco_annotations, coco_images
+from ..operators.lineage import broadcast_below
 
 
 def write_manifest(assigned: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -32,7 +33,7 @@ def coco_documents(images: DataFrame, lines: DataFrame, classes: DataFrame) -> D
     box = F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox")
     a = a.select("split", F.lit("annotations").alias("part"), F.to_json(F.struct("id", F.col("image").alias("image_id"), "category_id", box, "area", F.array().cast("array<double>").alias("segmentation"), F.lit(0).alias("iscrowd"))).alias("value"))
     c = classes.select(F.to_json(F.struct((F.col("class_id") + 1).alias("id"), "name", F.lit("object").alias("supercategory"))).alias("value"))
-    c = images.select("split").distinct().join(F.broadcast(c)).select("split", F.lit("categories").alias("part"), "value")
+    c = images.select("split").distinct().join(broadcast_below(c)).select("split", F.lit("categories").alias("part"), "value")
     return i.unionByName(a).unionByName(c)
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import broadcast_below
+
 PROMPTS = "prompt string, class_name string, class_id int"
 QUESTIONS = "question_id int, image string, cls string, text string, label string"
 ANSWERS = "question_id int, image string, cls string, label string, response string, inference_s double, vram_mb double"
 GROUNDING = "image string, n_gt int, n_pred int, n_matched int, precision double, recall double, mean_iou double, gt_classes string, pred_classes string, pred_boxes string, inference_s double"
 LOG = "image_out string, source_image string, class_id int, class_name string, prompt string, cx int, cy int, obj_w int, obj_h int, bbox_xc double, bbox_yc double, bbox_w double, bbox_h double, guidance_scale double, num_inference_steps int"
-#: Fixed names of a curve's metric column; the first one present is it.
-METRICS = ("metrics/mAP50-95(B)", "metrics/mAP50-95", "mAP50-95", "map50_95", "mAP_0.5:0.95")
+#: Names of a curve's metric column; the first one present is it.
+METRICS = ("metrics/mAP50-95(B)", "metrics/mAP_0.5:0.95", "map50-95", "metrics/mAP50-95", "val/mAP50-95")
 
 
 def _csv(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
@@ -24,8 +26,11 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompts_by_class(rows: DataFrame) -> DataFrame:
-    """(class_id, name, prompts): the least name of each id, and its prompts sorted."""
-    return rows.groupBy("class_id").agg(F.min("class_name").alias("name"), F.sort_array(F.collect_list("prompt")).alias("prompts"))
+    """(class_id, name, prompts): each id's first name and its prompts, trimmed, in the order of the rows."""
+    at = F.monotonically_increasing_id()
+    kept = rows.select("class_id", at.alias("at"), F.trim("class_name").alias("name"), F.regexp_replace(F.trim("prompt"), r'^"+|"+$', "").alias("prompt"))
+    lines = F.sort_array(F.collect_list(F.struct("at", "prompt")))
+    return kept.groupBy("class_id").agg(F.min_by("name", "at").alias("name"), F.transform(lines, lambda x: x["prompt"]).alias("prompts"))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +49,7 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
 def staged_answers(spark: SparkSession, path: str, models: DataFrame) -> DataFrame:
     """Answers in folders {model}_{pre,post}, with the stage and the models' own columns (model, ...)."""
     a = answers(spark, path).withColumn("stage", F.regexp_extract("folder", r"_(pre|post)$", 1)).where("stage <> ''")
-    return a.withColumn("model", F.regexp_replace("folder", r"_(pre|post)$", "")).join(F.broadcast(models), "model").drop("folder")
+    return a.withColumn("model", F.regexp_replace("folder", r"_(pre|post)$", "")).join(broadcast_below(models), "model").drop("folder")
 
 
 def generation_log(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from boxmill.plans.registry import QUERIES, SQL, flagship
@@ -26,7 +26,7 @@ def rows(df) -> list[tuple]:
     out = df[sorted(df.columns)]
 
     def plain(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return "null"
         try:
             return round(float(x), 5)
