@@ -257,3 +257,8 @@ def compare_methods(dets: DataFrame, names: list[str] | None = None) -> DataFram
         r = method(name)(dets).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")).first()
         rows.append((name, r["n"], r["mean_score"], time.monotonic() - began))
     return dets.sparkSession.createDataFrame(rows, "method string, n long, mean_score double, elapsed_s double")
+
+
+def ordered(dets: DataFrame) -> DataFrame:
+    """Detections by falling score, then image and id; a distributed sort by ranges."""
+    return dets.orderBy(F.desc("score"), "image_id", "det_id")

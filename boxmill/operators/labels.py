@@ -40,6 +40,11 @@ def known(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     return parsed.join(broadcast_below(classes), "class_id")
 
 
+def of_classes(parsed: DataFrame, ids: list[int]) -> DataFrame:
+    """Lines of the classes with those ids."""
+    return parsed.where(F.col("class_id").isin(list(ids)))
+
+
 def gold_boxes(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """Corner boxes of the well-formed lines of known classes."""
     boxes = known(parse_lines(lines), classes)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,32 @@ def broadcast_below(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Tables that cut() wrote and nobody deleted yet.
+_made: list[str] = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the cluster's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what cut() wrote inside. What was made of it must be written by then."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            deleted(spark, path)
+        del _made[first:]
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

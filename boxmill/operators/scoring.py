@@ -22,12 +22,16 @@ def _model(name: str, load: Callable[[], object]) -> object:
     return _loaded[name]
 
 
-def answered(questions: DataFrame, name: str, load: Callable[[], Callable[[str, str], str]], *, limit_s: float = 20.0) -> DataFrame:
+def answered(questions: DataFrame, name: str, load: Callable[[], Callable[[str, str], str]] | None = None, *, limit_s: float = 20.0) -> DataFrame:
     """(question_id, response, inference_s) for questions (question_id, image, text).
 
-    load gives a callable (image, text) -> answer. An answer that took longer
+    load gives a callable (image, text) -> answer; without it the answerer
+    registered by that name is taken. An answer that took longer
     than limit_s is replaced by the timeout mark; the call itself is not cut.
     """
+    if load is None and name not in REGISTRY:
+        raise KeyError(f"{name}: not one of {', '.join(sorted(REGISTRY))}")
+    load = load or REGISTRY[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = _model(name, load)

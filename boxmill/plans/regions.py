@@ -150,24 +150,52 @@ def colour_clusters(v: Views) -> DataFrame:
     return R.cluster_profiles(colours(v), 3, SIDE).groupBy("water").agg(F.count("*").alias("n"))
 
 
-@query()
-def placement_positions(v: Views) -> DataFrame:
+def draw(*key: str) -> str:
+    """placement.draw in SQL, with the seed of its default."""
+    return f"(CAST('0x' || substr(md5('42:' || {" || ':' || ".join(key)}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+AT = ("image_id", "x", "y")
+POSITIONS = f"""+m AS (SELECT image_id, x, y FROM fx_pixel WHERE v >= 110),
+e AS (SELECT a.image_id, a.x, a.y FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.x BETWEEN 1 AND 6 AND a.y BETWEEN 1 AND 6 GROUP BY ALL HAVING count(*) = 9),
+c AS (SELECT *, CAST(floor({draw(*AT, "'class'")} * 3) AS INT) AS class_id FROM e),
+z AS (SELECT *, [2, 2, 3][class_id + 1] + CAST(floor({draw(*AT, "'w'")} * [2, 3, 2][class_id + 1]) AS INT) AS w0, 2 + CAST(floor({draw(*AT, "'h'")} * [2, 1, 2][class_id + 1]) AS INT) AS h0, {draw(*AT, "'turn'")} < 0.3 AS t FROM c),
+k AS (SELECT image_id, x, y, class_id, CASE WHEN t THEN h0 ELSE w0 END AS w, CASE WHEN t THEN w0 ELSE h0 END AS h FROM z),
+b AS (SELECT *, greatest(0, x - w // 2) AS x0, greatest(0, y - h // 2) AS y0, least(8, x + w // 2) AS x1, least(8, y + h // 2) AS y1 FROM k),
+ok AS (SELECT b.image_id, b.x, b.y, class_id, w, h FROM b JOIN m ON m.image_id = b.image_id AND m.x >= x0 AND m.x < x1 AND m.y >= y0 AND m.y < y1 GROUP BY b.image_id, b.x, b.y, class_id, w, h, x0, y0, x1, y1 HAVING count(*)::DOUBLE / ((x1 - x0) * (y1 - y0)) >= 0.85),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5('42:' || image_id || ':' || x || ':' || y), x, y) AS k FROM ok),
+st AS (SELECT image_id, 0::BIGINT AS k, []::STRUCT(x INT, y INT)[] AS kept FROM (SELECT DISTINCT image_id FROM o)
+ UNION ALL SELECT st.image_id, o.k, CASE WHEN len(kept) >= 3 OR len(list_filter(kept, lambda q: (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) < 6.25)) > 0 THEN kept ELSE list_append(kept, {{'x': o.x, 'y': o.y}}) END FROM st JOIN o ON o.image_id = st.image_id AND o.k = st.k + 1),
+fin AS (SELECT image_id, max_by(kept, k) AS kept FROM st GROUP BY image_id), pl AS (SELECT image_id, kept[i + 1].x AS x, kept[i + 1].y AS y, CAST(i AS INT) AS pos FROM (SELECT image_id, kept, unnest(range(0, len(kept))) AS i FROM fin)),
+pos AS (SELECT image_id, x, y, pos, class_id, w, h FROM pl JOIN ok USING (image_id, x, y))"""
+
+
+def positions(v: Views) -> DataFrame:
     return P.find_positions(masks(v), 3, SIZES, width=SIDE, height=SIDE, min_dist=2.5, margin=1)
 
 
-@query()
+@query(f"{POSITIONS} SELECT * FROM pos", "fx_pixel", recursive=True)
+def placement_positions(v: Views) -> DataFrame:
+    return positions(v)
+
+
+@query(f"""{POSITIONS} SELECT image_id, x, y, pos, class_id, greatest(25, CAST(floor(w * (0.5::DOUBLE + 0.5::DOUBLE * y / 8)) AS INT)) AS w, greatest(20, CAST(floor(h * (0.5::DOUBLE + 0.5::DOUBLE * y / 8)) AS INT)) AS h,
+ CASE WHEN {draw('image_id', 'pos', "'prompt'")} < 0.5 THEN 'a ' ELSE 'one ' END || name AS prompt FROM pos JOIN fx_class USING (class_id)""", "fx_pixel fx_class", recursive=True)
 def placement_plan(v: Views) -> DataFrame:
-    positions = P.find_positions(masks(v), 3, SIZES, width=SIDE, height=SIDE, min_dist=2.5, margin=1)
     prompts = v.fx_class.select("class_id", F.explode(F.array(F.concat(F.lit("a "), "name"), F.concat(F.lit("one "), "name"))).alias("prompt"))
-    return P.placement_plan(positions, prompts, SIDE)
+    return P.placement_plan(positions(v), prompts, SIDE)
 
 
-@query()
+@query(f"""+t AS (SELECT image_id, a.i AS attempt, CAST(floor({draw('image_id', 'a.i', "'x'")} * 6) AS INT) AS x0, CAST(floor({draw('image_id', 'a.i', "'y'")} * 6) AS INT) AS y0 FROM (SELECT DISTINCT image_id FROM fx_pixel), range(60) a(i)),
+s AS (SELECT t.*, count(*) FILTER (v >= 110)::DOUBLE / 9 AS share FROM t JOIN fx_pixel p ON p.image_id = t.image_id AND p.x >= x0 AND p.x < x0 + 3 AND p.y >= y0 AND p.y < y0 + 3 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY attempt) AS k FROM s WHERE share >= 0.55)
+SELECT image_id, CAST(attempt AS INT) AS attempt, x0, y0, x0 + 3 AS x1, y0 + 3 AS y1, round(share, 6) AS share FROM k WHERE k <= 4""", "fx_pixel")
 def background_patches(v: Views) -> DataFrame:
-    return P.background_patches(masks(v), 4, side=3, width=SIDE, height=SIDE)
+    return P.background_patches(masks(v), 4, side=3, width=SIDE, height=SIDE).withColumn("share", F.round("share", 6))
 
 
-@query()
+@query(f"""+o AS (SELECT image_id || '_' || ann_no AS object, class_id, c.i AS copy FROM fx_box, range(2) c(i))
+SELECT object, class_id, CAST(copy AS INT) AS copy, round(0.5::DOUBLE + {draw('object', 'copy', "'s'")} / 2, 6) AS scale, 'bg_' || CAST(floor({draw('object', 'copy', "'b'")} * 5) AS INT) AS background FROM o""", "fx_box")
 def composition_plan(v: Views) -> DataFrame:
     backgrounds = v.spark.range(5).select(F.concat(F.lit("bg_"), F.col("id").cast("string")).alias("background"), F.col("id").alias("number"))
     return P.compositions(v.fx_box.select(F.concat_ws("_", "image_id", "ann_no").alias("object"), "class_id"), backgrounds, 2, "object")

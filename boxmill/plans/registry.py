@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, fusion, labels, probing, regions, streams  # noqa: F401  they register their queries
+from . import evaluation, files, fusion, labels, probing, regions, streams  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

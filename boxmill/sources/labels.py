@@ -50,6 +50,17 @@ def images(spark: SparkSession, path: str, *, extensions: tuple[str, ...] = EXTE
     return found if without is None else found.where(~F.col("stem").contains(without))
 
 
+def pooled(**splits: DataFrame) -> DataFrame:
+    """The rows of several splits in one table, with the column split from their names."""
+    out = None
+    for name, rows in splits.items():
+        part = rows.withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no splits")
+    return out
+
+
 def has_split_layout(inventory: DataFrame) -> bool:
     """Whether any image lies in {train,val,test}/images."""
     return not inventory.where(F.col("path").rlike(r"/(train|val|test)/images/[^/]+$")).isEmpty()

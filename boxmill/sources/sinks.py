@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,26 +26,90 @@ def label_documents(lines: DataFrame, keys: tuple[str, ...] = ("split", "image_i
     return lines.groupBy(*keys).agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
 
 
-def write_labels(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder an image with its label text, under its split."""
-    docs = label_documents(lines).select("split", "image_id", F.regexp_replace("content", r"\n$", "").alias("value"))
-    docs.repartition("split", "image_id").write.mode(mode).partitionBy("split", "image_id").text(path)
+def write_files(files: DataFrame, root: str) -> int:
+    """A file for each row (path, content) below root, and how many there are.
+
+    Each partition writes its own files, to a name of its own first and then
+    under the final one, so a task that runs again leaves the same files. root
+    is a path or URI of a file system that all executors share.
+    """
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root.replace("file:///", "/").replace("file:/", "/"))
+        made, n = set(), 0
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                target = f"{base}/{path}"
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                own = f"{folder}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    out.write(content.encode())
+                system.move(own, target)
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return files.select("path", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_labels(lines: DataFrame, path: str) -> int:
+    """One text file an image, split/labels/stem.txt, of lines (split, stem, line_no, line), and how many there are."""
+    docs = label_documents(lines, ("split", "stem"))
+    return write_files(docs.select(F.concat_ws("/", "split", F.lit("labels"), F.concat("stem", F.lit(".txt"))).alias("path"), "content"), path)
 
 
 def coco_documents(images: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(split, part, value): JSON rows of images, annotations and categories a split; together they are the document."""
-    i = coco_images(images).select("split", F.lit("images").alias("part"), F.to_json(F.struct(F.col("coco_id").alias("id"), "file_name", "width", "height")).alias("value"))
+    """(split, part, id, value): the JSON objects of a split's categories, images and annotations, in the order of part and id."""
+    i = coco_images(images).select("split", F.lit("2 images").alias("part"), F.col("coco_id").cast("long").alias("id"), F.to_json(F.struct(F.col("coco_id").alias("id"), "file_name", "width", "height")).alias("value"))
     a = coco_annotations(images, lines)
     box = F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox")
-    a = a.select("split", F.lit("annotations").alias("part"), F.to_json(F.struct("id", F.col("image").alias("image_id"), "category_id", box, "area", F.array().cast("array<double>").alias("segmentation"), F.lit(0).alias("iscrowd"))).alias("value"))
-    c = classes.select(F.to_json(F.struct((F.col("class_id") + 1).alias("id"), "name", F.lit("object").alias("supercategory"))).alias("value"))
-    c = images.select("split").distinct().join(broadcast_below(c)).select("split", F.lit("categories").alias("part"), "value")
+    a = a.select("split", F.lit("3 annotations").alias("part"), F.col("id").cast("long"), F.to_json(F.struct("id", F.col("image").alias("image_id"), "category_id", box, "area", F.array().cast("array<double>").alias("segmentation"), F.lit(0).alias("iscrowd"))).alias("value"))
+    c = classes.select(F.col("class_id").cast("long").alias("id"), F.to_json(F.struct((F.col("class_id") + 1).alias("id"), "name", F.lit("object").alias("supercategory"))).alias("value"))
+    c = images.select("split").distinct().join(broadcast_below(c)).select("split", F.lit("1 categories").alias("part"), "id", "value")
     return i.unionByName(a).unionByName(c)
 
 
-def write_coco(images: DataFrame, lines: DataFrame, classes: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines under split=/part=: a large split is never one row."""
-    coco_documents(images, lines, classes).repartition("split", "part").write.mode(mode).partitionBy("split", "part").text(path)
+def write_coco(images: DataFrame, lines: DataFrame, classes: DataFrame, path: str) -> int:
+    """One COCO document a split, path/split.json, with info and licenses, and how many there are.
+
+    A split's objects are sorted in its task, which may spill, and streamed to
+    the file, one a line, so no document is ever held whole.
+    """
+    root, today = path, F.date_format(F.current_date(), "yyyy/MM/dd")
+    rows = coco_documents(images, lines, classes).withColumn("today", today).repartition("split").sortWithinPartitions("split", "part", "id")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root.replace("file:///", "/").replace("file:/", "/"))
+        out, own, split, part, written, files = None, "", None, None, set(), 0
+
+        def end() -> None:
+            rest = "".join(f',\n"{k[2:]}": []' for k in ("1 categories", "2 images", "3 annotations") if k not in written)
+            out.write(f"\n]{rest}\n}}\n".encode())
+            out.close()
+            system.move(own, f"{base}/{split}.json")
+
+        for pdf in batches:
+            for s, p, value, day in zip(pdf["split"], pdf["part"], pdf["value"], pdf["today"], strict=True):
+                if s != split:
+                    if out is not None:
+                        end()
+                    system.create_dir(base, recursive=True)
+                    own, split, part, written, files = f"{base}/.{uuid.uuid4().hex}", s, None, set(), files + 1
+                    out = system.open_output_stream(own)
+                    info = json.dumps({"description": f"Dataset {s}", "date_created": day})
+                    out.write(f'{{"info": {info},\n"licenses": []'.encode())
+                if p != part:
+                    out.write(("\n]" if part else "").encode() + f',\n"{p[2:]}": [\n'.encode() + value.encode())
+                    part = p
+                    written.add(p)
+                else:
+                    out.write(b",\n" + value.encode())
+        if out is not None:
+            end()
+        yield pd.DataFrame({"n": [files]})
+
+    return rows.select("split", "part", "value", "today").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_questions(questions: DataFrame, path: str, mode: str = "errorifexists") -> None:

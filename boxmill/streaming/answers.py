@@ -18,9 +18,10 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
 
 
 def once_each(questions: DataFrame, key: list[str] = KEY, *, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """A stream without repeated keys; with an event time the state is bounded by the delay."""
+    """A stream without repeated keys. The state is bounded by the delay after the event time, which is the arrival if not given."""
     if event_time is None:
-        return questions.dropDuplicates(key)
+        arrived = questions.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+        return arrived.dropDuplicatesWithinWatermark(key).drop("_arrived")
     return questions.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
 
 

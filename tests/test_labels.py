@@ -67,9 +67,13 @@ def test_class_names():
 def test_writers(spark, tmp_path):
     images = spark.createDataFrame([(1, "a.jpg", "train", 100, 50), (2, "b.jpg", "val", 100, 50)], "image_id long, file_name string, split string, width int, height int")
     rows = lines(spark, ["0 0.5 0.5 0.2 0.2", "1 0.05 0.5 0.2 0.2"])
-    K.write_coco(images, rows, S.class_table(spark, ["p", "q"]), str(tmp_path / "coco"))
-    a = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "coco")).where("part = 'annotations'").collect()]
-    assert [(x["id"], x["category_id"], x["bbox"]) for x in sorted(a, key=lambda x: x["id"])] == [(1, 1, [40.0, 20.0, 20.0, 10.0]), (2, 2, [0.0, 20.0, 20.0, 10.0])]
+    assert K.write_coco(images, rows, S.class_table(spark, ["p", "q"]), str(tmp_path / "coco")) == 2
+    train, val = (json.loads((tmp_path / f"coco/{k}.json").read_text()) for k in ("train", "val"))
+    assert list(train) == ["info", "licenses", "categories", "images", "annotations"] and train["info"]["description"] == "Dataset train" and len(train["info"]["date_created"]) == 10
+    assert [(x["id"], x["category_id"], x["bbox"]) for x in train["annotations"]] == [(1, 1, [40.0, 20.0, 20.0, 10.0]), (2, 2, [0.0, 20.0, 20.0, 10.0])]
+    assert [c["name"] for c in train["categories"]] == ["p", "q"] and val["annotations"] == [] and val["images"][0]["file_name"] == "b.jpg"
+    assert K.write_labels(rows.select(F.lit("train").alias("split"), F.lit("a").alias("stem"), "line_no", "line"), str(tmp_path / "out")) == 1
+    assert (tmp_path / "out/train/labels/a.txt").read_text() == "0 0.5 0.5 0.2 0.2\n1 0.05 0.5 0.2 0.2\n"
     docs = K.label_documents(rows.withColumn("split", F.lit("train")))
     assert docs.first()["content"] == "0 0.5 0.5 0.2 0.2\n1 0.05 0.5 0.2 0.2\n"
     K.write_manifest(spark.createDataFrame([(1, "train"), (2, "val")], "image_id long, split string"), str(tmp_path / "m"))
@@ -107,3 +111,21 @@ def test_text_functions(spark):
     assert [get(T.yes_or_no(F.lit(x))) for x in ("", "It is not. Yes", "Yes! no")] == ["yes", "no", "yes"]
     assert get(T.matched_class(F.lit("a_trash_pile_b"), ["trash", "trash_pile"])) == "trash_pile"
     assert get(T.label_line(F.lit(1), F.lit(0.5), F.lit(0.25), F.lit(0.1), F.lit(0.2))) == "1 0.500000 0.250000 0.100000 0.200000"
+
+
+def test_first_names_and_curves(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('prompt,class_name,class_id\n"b, one",zebra,0\n" a two ",apple,0\nc,x,1\n')
+    got = {r["class_id"]: (r["name"], r["prompts"]) for r in B.prompts_by_class(B.prompts(spark, str(tmp_path / "p.csv"))).collect()}
+    assert got == {0: ("zebra", ["b, one", "a two"]), 1: ("x", ["c"])}
+    for name in B.METRICS:
+        folder = tmp_path / f"run{len(name)}"
+        folder.mkdir(exist_ok=True)
+        (folder / "results.csv").write_text(f"epoch, {name}\n1, 0.25\n2, x\n")
+        assert [(r["epoch"], r["metric"]) for r in B.training_curve(spark, str(folder)).orderBy("epoch").collect()] == [(1, 0.25), (2, None)]
+
+
+def test_pooled_and_chosen(spark):
+    a, b = spark.createDataFrame([(1, 0)], "image_id long, class_id int"), spark.createDataFrame([(2, 3)], "image_id long, class_id int")
+    both = S.pooled(train=a, val=b)
+    assert {tuple(r) for r in both.collect()} == {(1, 0, "train"), (2, 3, "val")}
+    assert [r["image_id"] for r in L.of_classes(both, [3, 4]).collect()] == [2]
