@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import broadcast_below, cut, shared_dir
+
 #: Fixed patterns of the result contracts: a word, and one or more separators.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,31 +26,6 @@ class WordHash(dict):
         return found
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster without it the warehouse serves, which is shared as well.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body is a nested lambda."""
     return F.transform(F.array(value), body)[0]
@@ -73,6 +48,11 @@ def text_key(c: Column) -> list[Column]:
     return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
 
 
+def others(df: DataFrame, to: str) -> list[str]:
+    """The columns of df that a new column `to` does not replace; names are the same in any case."""
+    return [c for c in df.columns if c.lower() != to.lower()]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -81,6 +61,4 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; beyond, the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "WordHash", "ascii_lower", "broadcast_below", "cut", "free_name", "let", "others", "shared_dir", "text_key", "text_or_empty", "words"]

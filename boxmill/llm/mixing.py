@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_below, cut, free_name, text_or_empty
+from .common import WORD, broadcast_below, cut, free_name, others, text_or_empty
 
-#: Bits of a document's draw, bits refined in a round, and rows that end a source's rounds.
-BITS, STEP, FEW = 52, 4, 1_000
+#: Bits of a document's draw, bits refined in a round, and rows of a bin that one task orders.
+BITS, STEP, FEW = 52, 8, 1_000
+#: Share of a target that may be missing when the filling ends, with smaller documents still there.
+MISSING = 0.0005
 
 
 def ranked(keys: DataFrame, key: str, to: str) -> DataFrame:
@@ -53,10 +55,69 @@ def _bin(draw: Column, bits: Column) -> Column:
     return F.call_function("shiftright", draw, F.lit(BITS) - bits)
 
 
-def _beside(small: DataFrame, at: DataFrame) -> DataFrame:
-    """The rows of each source that lie in its boundary bin, with the need that is left there."""
-    at = broadcast_below(at.select(F.col("source").alias("_source"), "bits", "prefix", "need"), 100_000)
-    return small.join(at, small["source"].eqNullSafe(at["_source"])).where(_bin(F.col("draw"), F.col("bits")) == F.col("prefix")).drop("_source", "bits", "prefix")
+def _of(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows (source, size, draw) that still fit the need of their source, with its state."""
+    state = broadcast_below(state.withColumnRenamed("source", "_source"), 100_000)
+    return rows.join(state, rows["source"].eqNullSafe(state["_source"])).where((F.col("size") > 0) & (F.col("size") <= F.col("need"))).drop("_source")
+
+
+def _boundaries(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """state (source, need, after, ...) with upto and words: the draw up to which the fitting rows behind `after` meet the need, and their words.
+
+    Histograms of the draws are refined around each source's boundary until a
+    bin has few rows, whose running sums are then taken. Rows with one draw go
+    together.
+    """
+    kept = state.columns
+    at = cut(state.withColumns({"bits": F.lit(0), "prefix": F.lit(0).cast("long"), "left": F.col("need"), "rows": F.lit(FEW + 1).cast("long")}), "boundaries")
+    inside = (F.col("draw") > F.col("after")) & (_bin(F.col("draw"), F.col("bits")) == F.col("prefix"))
+    for bits in range(STEP, BITS + 1, STEP):
+        wide = at.where(F.col("rows") > FEW)
+        if wide.isEmpty():
+            break
+        bins = _of(rows, wide).where(inside).groupBy("source", F.shiftright("draw", BITS - bits).alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in [*kept[1:], "left"]])
+        bins = bins.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+        # the last bin that begins before the need is met
+        last = F.max(F.struct("b", (F.col("left") - F.col("before")).alias("left"), "n", *kept[1:])).alias("m")
+        finer = bins.where(F.col("before") <= F.col("left")).groupBy("source").agg(last)
+        finer = finer.select("source", *[F.col(f"m.{c}").alias(c) for c in kept[1:]], F.lit(bits).alias("bits"), F.col("m.b").alias("prefix"), "m.left", F.col("m.n").alias("rows"))
+        at = cut(at.where(F.col("rows") <= FEW).unionByName(finer), "boundaries")
+    each = _of(rows, at).where(inside)
+    each = each.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)))
+    met = each.where(F.col("sum") <= F.col("left")).groupBy(F.col("source").alias("_source")).agg(F.max("draw").alias("last"), F.max("sum").alias("sum"))
+    start = F.expr(f"shiftleft(prefix, {BITS} - bits)") - 1
+    out = at.join(met, at["source"].eqNullSafe(met["_source"]), "left")
+    words = F.col("need") - F.col("left") + F.coalesce("sum", F.lit(0))
+    return out.select(*kept, F.coalesce("last", F.greatest(start, F.col("after"))).alias("upto"), words.alias("words"))
+
+
+def _steps(small: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """(source, steps): the rows each source takes once more, as ranges of draws with a greatest size.
+
+    Together the ranges are a walk through the draws that takes whatever still
+    fits: each begins behind the row that did not fit the one before. At the end
+    of the draws the walk begins anew, while a row may be taken again. It ends
+    when at most MISSING of the target is left, or nothing fits.
+    """
+    end = (1 << BITS) - 1
+    state = sources.select("source", "need", F.lit(-1).cast("long").alias("after"), (F.lit(cap) - F.col("whole")).alias("turns"), (F.col("target") * MISSING).alias("fine"))
+    open_ = (F.col("need") > F.col("fine")) & (F.col("need") >= 1) & (F.col("turns") > 0)
+    state = cut(state.where(open_), "needs")
+    done = None
+    while not state.isEmpty():
+        sums = _of(small, state).groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("draw") > F.col("after"), F.col("size"))), F.lit(0)).alias("rest"), *[F.first(c).alias(c) for c in state.columns[1:]])
+        sums = cut(sums, "rests")  # sources where nothing fits are gone
+        over = sums.where(F.col("rest") > F.col("need"))
+        found = _boundaries(small, over.drop("rest")).unionByName(sums.where(F.col("rest") <= F.col("need")).withColumns({"upto": F.lit(end).cast("long"), "words": F.col("rest").cast("double")}).drop("rest"))
+        found = cut(found, "steps")
+        step = found.select("source", F.struct(F.floor("need").alias("most"), "after", "upto").alias("step"))
+        done = step if done is None else done.unionByName(step)
+        ended = F.col("upto") == end
+        state = found.select("source", (F.col("need") - F.col("words")).alias("need"), F.when(ended, -1).otherwise(F.col("upto")).cast("long").alias("after"), (F.col("turns") - ended.cast("int")).alias("turns"), "fine")
+        state = cut(state.where(open_), "needs")
+    if done is None:
+        done = sources.select("source", F.struct(F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("after"), F.lit(0).cast("long").alias("upto")).alias("step")).limit(0)
+    return done.groupBy("source").agg(F.collect_list("step").alias("steps"))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, text: str = "text", doc_id: str = "doc_id", source: str = "source", to: str = "mix") -> DataFrame:
@@ -66,18 +127,18 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     turn and share the sum of all sizes; a target is clamped at `cap` times the
     source's size and the excess is shared by weight again until none is above.
     Each document is taken floor(target / source_size) times; the rest of the
-    target is filled with documents in the order of a seeded draw. The place where
-    the target is met is found by refining histograms of the draws; of the last
-    FEW documents there each is taken that still fits, and if much is left after
-    them, as where one document is most of a source, they are taken again, up to
-    `cap` times.
+    target is filled in the order of a seeded draw: each document is taken once
+    more if it still fits, and after the last one again, up to `cap` times in
+    all, until at most MISSING of the target is missing or nothing fits. The
+    places are found by refining histograms of the draws, alike at every size.
 
     Null text has size 0. A source of size
     0 has target 0. Rows alike in id and text get the same number of copies.
     Empty tables give an empty result. Other columns pass through; `to` replaces
     a column of that name.
     """
-    d = docs.drop(to)
+    kept = others(docs, to)
+    d = docs.select(*[F.col(f"`{c}`") for c in kept])
     size, draw, of = (free_name(d, c) for c in ("_size", "_draw", "_of"))
     t = text_or_empty(F.col(text))
     d = d.withColumns({size: F.regexp_count(t, F.lit(WORD)).cast("long"), draw: _draw(seed, F.col(doc_id), t), of: F.col(source).cast("string")})
@@ -92,43 +153,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     sources = sources.withColumn("whole", F.least(whole, F.lit(cap)).cast("int"))
     sources = sources.withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
 
-    # refine the histogram of draws around each source's boundary until few rows are left there
-    at = small.groupBy("source").count().alias("n").join(sources.alias("s"), F.col("n.source").eqNullSafe(F.col("s.source")))
-    at = cut(at.select("s.source", F.lit(0).alias("bits"), F.lit(0).cast("long").alias("prefix"), "need", F.col("count").alias("rows")), "boundaries")
-    for bits in range(STEP, BITS + 1, STEP):
-        wide = at.where(F.col("rows") > FEW)
-        if wide.isEmpty():
-            break
-        bins = _beside(small, wide).groupBy("source", F.shiftright("draw", BITS - bits).alias("prefix")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("need").alias("need"))
-        bins = bins.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-        # the last bin that begins before the need is met
-        last = F.max(F.struct("prefix", (F.col("need") - F.col("before")).alias("need"), "rows")).alias("b")
-        finer = bins.where(F.col("before") <= F.col("need")).groupBy("source").agg(last).select("source", F.lit(bits).alias("bits"), "b.*")
-        at = cut(at.where(F.col("rows") <= FEW).unionByName(finer), "boundaries")
-    alike = _beside(small, at).groupBy("source", "draw", "size").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    alike = alike.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("draw", "size", "n"))).alias("rows"), F.first("need").alias("need")).alias("r")
-    alike = alike.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where(F.col("whole") < cap)
-    turns = F.flatten(F.transform(F.sequence(F.lit(1), cap - F.col("whole")), lambda _: F.col("rows")))
-    alike = alike.select("r.source", "r.need", turns.alias("rows"))
-    start = F.struct(F.col("need").alias("left"), F.array().cast("array<struct<draw: bigint, size: bigint>>").alias("taken"))
-
-    def fill(acc: Column, r: Column) -> Column:
-        fits = (r["size"] > 0) & (r["size"] * r["n"] <= acc["left"])
-        return F.struct(
-            F.when(fits, acc["left"] - r["size"] * r["n"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.array_append(acc["taken"], F.struct(r["draw"].alias("draw"), r["size"].alias("size")))).otherwise(acc["taken"]).alias("taken"),
-        )
-
-    taken = alike.select("source", F.explode(F.aggregate("rows", start, fill)["taken"]).alias("t")).groupBy(F.col("source").alias("_s"), F.col("t.draw").alias("_d"), F.col("t.size").alias("_z")).agg(F.count("*").alias("_times"))
-    taken = broadcast_below(cut(taken, "taken"), 1_000_000)
-    plan = sources.alias("s").join(at.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")), "left").select(F.col("s.source").alias("_source"), F.struct("source_size", "target", "whole", "bits", "prefix").alias("_plan"))
+    steps = _steps(small, sources, cap)
+    plan = sources.alias("s").join(steps.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")), "left").select(F.col("s.source").alias("_source"), F.struct("source_size", "target", "whole", "steps").alias("_plan"))
     plan = broadcast_below(cut(plan, "plan"), 100_000)
 
     joined = d.join(plan, d[of].eqNullSafe(plan["_source"]), "left")
-    joined = joined.join(taken, d[of].eqNullSafe(taken["_s"]) & (d[draw] == taken["_d"]) & (d[size] == taken["_z"]), "left")
-    whole = (_bin(d[draw], F.col("_plan.bits")) < F.col("_plan.prefix")) & (F.col("_plan.whole") < cap)
-    copies = F.col("_plan.whole") + whole.cast("int") + F.coalesce(F.col("_times"), F.lit(0)).cast("int")
-    return joined.select(*[d[c] for c in docs.columns if c != to], F.struct(F.col(size).alias("size"), F.col("_plan.source_size"), F.col("_plan.target"), copies.alias("copies")).alias(to))
+    fits = F.filter("_plan.steps", lambda x: (d[size] > 0) & (d[size] <= x["most"]) & (d[draw] > x["after"]) & (d[draw] <= x["upto"]))
+    copies = F.col("_plan.whole") + F.coalesce(F.size(fits), F.lit(0))
+    return joined.select(*[d[f"`{c}`"] for c in kept], F.struct(F.col(size).alias("size"), F.col("_plan.source_size"), F.col("_plan.target"), copies.alias("copies")).alias(to))
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
