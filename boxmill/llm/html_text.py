@@ -1,9 +1,12 @@
 """Operator 4, HTML extraction: page structure, and repeated substrings of a host's token streams.
 
-The token streams of a host's pages outside their article are one sequence, of
-which all suffixes are brought together by their first RUN tokens. Suffixes that
-share them on distinct pages mark a repeated substring; any longer one is the
-union of those. Covered tokens are boilerplate, the unique runs between stay.
+The token streams of a host's pages are one sequence, whose suffixes are named
+by their first tokens, as in the doubling rounds of a suffix array. Suffixes of
+one name on distinct pages mark a repeated substring; any longer one is the
+union of those. Outside articles all suffixes are named by RUN tokens, and any
+repetition is boilerplate. Inside them those at the starts of blocks are named
+by their block, and a block is boilerplate if it stands on over half of the
+host's pages, which otherwise differ. Covered tokens go, the unique runs stay.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .url_filter import host_and_path
 
 #: Tokens that a repeated substring has at least; a shorter block counts as a whole.
 RUN = 8
+#: Distinct pages, and share of the host's, that a block of an article stands on more often if it is boilerplate.
+PAGES, SHARE = 4, 0.5
 
 #: Fixed names of HTML.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "title", "select", "option"}
@@ -57,6 +62,16 @@ def blocks(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
     return (more, found) if inside > sum(len(text) for text, _, dropped in out if not dropped) else (out, False)
 
 
+def _end_of(html: str, tag: str, at: int) -> int:
+    """Where the element of that name ends whose start tag ends at `at`; `at` itself if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bool]], bool, set[int]]:
     """As blocks(), with the starts of elements that only their name drops and that hold an article; names of `spared` ones don't count."""
     out: list[tuple[str, bool, bool]] = []
@@ -79,15 +94,13 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        inline = tag in INLINE
         if tag == "br":
             buffer.append(" ")
-        if inline and tag in VOID:
+        if tag in INLINE:  # part of its block, whatever its name; only hidden ones go
+            if not m[1] and tag not in VOID and m[3] and _HIDDEN.search(m[3]):
+                at = _end_of(html, tag, at)
             continue
-        held = any(x[0] == tag for x in stack) if inline else True  # inline elements stand on the stack only inside a dropped one of their name
         if m[1]:
-            if not held:
-                continue
             flush()
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if k is not None:
@@ -99,8 +112,6 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
         named = bool(attributes) and not main and tag not in ("html", "body") and m.start() not in spared and any(HINTS.search(x[1] or x[2] or x[3] or "") for x in _NAMES.finditer(attributes))
         shut = bool(attributes) and bool(_HIDDEN.search(attributes))
         hidden = named or shut
-        if inline and not hidden and not held:
-            continue
         flush()
         if tag in VOID:
             continue
@@ -121,32 +132,39 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of suffixes outside the article: hash of host and first tokens, the page, and the place where it matters."""
+    """Named suffixes: host, name, page, whether in the article, and the place where it matters: a token outside articles, a block inside."""
     for batch in batches:
-        hashes, pages, others, places = [], [], [], []
+        rows = []
         for html, host, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "k1", "k2")), strict=True):
             found, article = blocks(html)
             seed, at = xxhash.xxh3_64_intdigest(host or ""), 0
-            for text, inside, dropped in found:
+            for n, (text, inside, dropped) in enumerate(found):
                 if inside and not dropped:
+                    rows.append((seed, xxhash.xxh3_64_intdigest(text, seed ^ 1), k1, k2, True, n))
                     continue
                 tokens = text.split(" ")
                 for i in range(max(1, len(tokens) - RUN + 1)):
-                    hashes.append(xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + RUN]), seed))
-                    pages.append(k1)
-                    others.append(k2)
-                    places.append(None if article or dropped else at + i)
+                    rows.append((seed, xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + RUN]), seed), k1, k2, False, None if article or dropped else at + i))
                 at += 0 if dropped else len(tokens)
-        h = pa.array([x - 2**64 if x >= 2**63 else x for x in hashes], pa.int64())
-        yield pa.RecordBatch.from_arrays([h, pa.array(pages, pa.int64()), pa.array(others, pa.int64()), pa.array(places, pa.int32())], names=["w", "k1", "k2", "place"])
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        signed = [pa.array([x - 2**64 if x >= 2**63 else x for x in c], pa.int64()) for c in cols[:2]]
+        yield pa.RecordBatch.from_arrays([*signed, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.int32())], names=["host", "w", "k1", "k2", "inside", "place"])
 
 
 def article_text(html: str, covered: list[int] | None) -> str:
-    """The text of the article; without one, the unique runs of what structure has not dropped."""
+    """The text of the article without covered blocks; without an article, the unique runs of what structure has not dropped.
+
+    A page whose article is mostly covered is a copy of others and keeps all of it.
+    """
     found, article = blocks(html)
+    starts = set(covered or ())
     if article:
-        return "\n\n".join(text for text, inside, dropped in found if inside and not dropped)
-    starts, kept, at = set(covered or ()), [], 0
+        own = [(n, text) for n, (text, inside, dropped) in enumerate(found) if inside and not dropped]
+        left = [text for n, text in own if n not in starts]
+        if 2 * sum(map(len, left)) < sum(len(text) for _, text in own):
+            left = [text for _, text in own]
+        return "\n\n".join(left)
+    kept, at = [], 0
     for text, _, dropped in found:
         if dropped:
             continue
@@ -173,21 +191,34 @@ def extract_text(pages: DataFrame, *, html: str = "html", url: str = "url", page
 
     The text is that of the page's article or main part, without the parts
     inside it that tags or names mark as menus, forms, adverts, comments and the
-    like. A page without such a part gives its blocks outside marked parts, less
+    like, and without its blocks that over PAGES pages and over SHARE of the
+    host's pages have in their articles as well, if most of it is left then. A
+    page without such a part gives its blocks outside marked parts, less
     the tokens covered by substrings of RUN tokens or more (or whole shorter
     blocks) that the host's other pages have outside their articles as well.
     Pages with equal html are one page there. Character references are decoded,
     white space in a block is one space, blocks are joined by two newlines.
 
     Null or empty html: empty text. A null URL belongs to the host without name.
-    Repeated rows get equal texts. Other columns don't matter.
+    Repeated rows get equal texts. Pages of any length are whole. Empty tables
+    give an empty result. Other columns don't matter, whatever their names.
     """
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_or_empty(F.col(html)).alias("html"))
     k1, k2 = text_key(F.col("html"))
     p = p.withColumns({"k1": k1, "k2": k2, "host": host_and_path(F.col("url"))[0]})
-    windows = cut(p.select("html", "host", "k1", "k2").mapInArrow(_windows, "w long, k1 long, k2 long, place int"), "windows")
-    repeated = windows.groupBy("w").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("w")
-    covered = windows.where("place is not null").distinct().join(repeated, "w").groupBy("k1", "k2").agg(F.collect_set("place").alias("covered"))
+    windows = cut(p.select("html", "host", "k1", "k2").mapInArrow(_windows, "host long, w long, k1 long, k2 long, inside boolean, place int"), "windows")
+    outside = windows.where("not inside")
+    repeated = outside.groupBy("w").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("w")
+    hosts = windows.groupBy("host", "k1", "k2").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
+    often = windows.where("inside").groupBy("host", "w", "k1", "k2").agg(F.lit(1)).groupBy("host", "w").agg(F.count("*").alias("n")).where(F.col("n") > PAGES)
+    often = often.join(hosts, "host").where(F.col("n") > SHARE * F.col("pages")).select("w")
+    places = windows.where("place is not null").distinct()
+    covered = None
+    for inside, names in ((False, repeated), (True, often)):
+        names = broadcast_below(cut(names, "names"), 1_000_000)
+        part = places.where(F.col("inside") == inside).join(names, "w").select("k1", "k2", "place")
+        covered = part if covered is None else covered.unionByName(part)
+    covered = covered.groupBy("k1", "k2").agg(F.collect_set("place").alias("covered"))
     covered = broadcast_below(cut(covered, "covered"), 10_000)
     joined = p.join(covered, ["k1", "k2"], "left").select("page_id", "url", "html", "covered")
     kind = dict(joined.dtypes)
