@@ -26,8 +26,8 @@ STATES, ROUNDS, SEED = 8, 5, 11
 #: Slots of single tokens, hashed slots (a power of 2), and tokens whose counts are broadcast: 16 bytes each.
 OWN, HASHED, HOT = 12_288, 4_096, 262_144
 SLOTS = OWN + HASHED
-#: Training runs over pieces of so many tokens at most; scoring runs over whole texts.
-PIECE = 256
+#: Texts of more tokens are trained in pieces of so many, which meet exactly at their boundaries.
+PIECE = 1024
 #: Weight of the corpus' slot distribution in each state's emissions.
 PRIOR = 200.0
 #: The end of a text as a token: no word holds white space.
@@ -49,7 +49,6 @@ class Vocabulary:
 @dataclass
 class Model:
     start: np.ndarray
-    entry: np.ndarray  # start of a later piece of a text; training only
     move: np.ndarray
     emit: np.ndarray  # slots x states
 
@@ -182,20 +181,69 @@ def forward_log10(codes: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
-def _expected(codes: list[np.ndarray], first: np.ndarray, model: Model, sums: dict[str, np.ndarray]) -> None:
-    """Adds the expected counts of the pieces to sums; first tells which ones begin a text."""
+@dataclass
+class Pieces:
+    """Parts of whole texts, with what the rest of their text says about their two ends."""
+
+    codes: list[np.ndarray]
+    first: np.ndarray  # whether the piece begins a text
+    entry: np.ndarray  # state probabilities before its first token
+    left: np.ndarray  # state probabilities at the last token before it, 0 for first pieces
+    right: np.ndarray  # backward vector at its last token
+
+
+def _transfers(codes: list[np.ndarray], model: Model) -> np.ndarray:
+    """Per piece, up to a factor: the weight of all paths from a state at its first token to a state at its last."""
+    out = np.zeros((len(codes), STATES, STATES))
+    for group in _groups(codes, 2_000_000):
+        grid, live = _padded([codes[i] for i in group])
+        m = np.zeros((len(group), STATES, STATES))
+        m[:, np.arange(STATES), np.arange(STATES)] = model.emit[grid[0]]
+        for t, k in enumerate(live):
+            if t:
+                m[:k] = (m[:k] @ model.move) * model.emit[grid[t, :k], None, :]
+            m[:k] /= m[:k].sum(axis=(1, 2), keepdims=True)
+        out[group] = m
+    return out
+
+
+def cut_texts(texts: list[np.ndarray], model: Model, size: int = PIECE) -> Pieces:
+    """The texts in pieces. Boundaries follow from products of the pieces' transfer matrices, so counts over pieces are those of whole texts."""
+    codes = [c[i : i + size] for c in texts for i in range(0, len(c), size)]
+    first = np.array([i == 0 for c in texts for i in range(0, len(c), size)], bool)
+    entry, left, right = np.tile(model.start, (len(codes), 1)), np.zeros((len(codes), STATES)), np.ones((len(codes), STATES))
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(codes))
+    several = [(i, j) for i, j in zip(starts, ends, strict=True) if j - i > 1]
+    if several:
+        index = np.concatenate([np.arange(i, j) for i, j in several])
+        ways = dict(zip(index.tolist(), _transfers([codes[i] for i in index], model), strict=True))
+        for i, j in several:
+            for k in range(i + 1, j):
+                a = entry[k - 1] @ ways[k - 1]
+                left[k] = a / a.sum()
+                entry[k] = left[k] @ model.move
+            for k in range(j - 2, i - 1, -1):
+                b = model.move @ (ways[k + 1] @ right[k + 1])
+                right[k] = b / (left[k + 1] @ b)
+    return Pieces(codes, first, entry, left, right)
+
+
+def _expected(pieces: Pieces, model: Model, sums: dict[str, np.ndarray]) -> None:
+    """Adds the expected counts of the pieces to sums."""
+    codes = pieces.codes
     for group in _groups(codes, 300_000):
         grid, live = _padded([codes[i] for i in group])
-        begins = first[group]
+        begins = pieces.first[group]
         steps = len(live)
         alpha = np.zeros((*grid.shape, STATES))
         scale = np.ones(grid.shape)
         for t, k in enumerate(live):
-            a = np.where(begins[:, None], model.start, model.entry) if t == 0 else alpha[t - 1, :k] @ model.move
+            a = pieces.entry[group] if t == 0 else alpha[t - 1, :k] @ model.move
             a = a[:k] * model.emit[grid[t, :k]]
             scale[t, :k] = a.sum(axis=1)
             alpha[t, :k] = a / scale[t, :k, None]
-        beta = np.ones((len(group), STATES))
+        beta = pieces.right[group]
         for t in range(steps - 1, -1, -1):
             if t < steps - 1:
                 k = live[t + 1]
@@ -203,11 +251,14 @@ def _expected(codes: list[np.ndarray], first: np.ndarray, model: Model, sums: di
                 sums["move"] += model.move * (alpha[t, :k].T @ ahead)
                 beta[:k] = ahead @ model.move.T
             alpha[t] *= beta  # now the posterior; rows not live are 0
+        later = ~begins
+        if later.any():  # the steps from one piece to the next
+            ahead = model.emit[grid[0, later]] * beta[later] / scale[0, later, None]
+            sums["move"] += model.move * (pieces.left[group][later].T @ ahead)
         flat = grid.ravel()
         for s in range(STATES):
             sums["emit"][:, s] += np.bincount(flat, weights=alpha[:, :, s].ravel(), minlength=SLOTS)
         sums["start"] += alpha[0][begins].sum(axis=0)
-        sums["entry"] += alpha[0][~begins].sum(axis=0)
 
 
 def initial_model(vocabulary: Vocabulary) -> Model:
@@ -215,11 +266,11 @@ def initial_model(vocabulary: Vocabulary) -> Model:
     emit = (vocabulary.slot_mass[:, None] + 1e-9) * np.exp(draw.normal(0.0, 1.0, (SLOTS, STATES)))
     move = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
     even = np.full(STATES, 1.0 / STATES)
-    return Model(even, even, move, emit / emit.sum(axis=0))
+    return Model(even, move, emit / emit.sum(axis=0))
 
 
 def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts; the counts of a round are SLOTS + STATES + 2 rows of sums."""
+    """Baum-Welch over all training texts; the counts of a round are SLOTS + STATES + 1 rows of sums."""
     model = initial_model(vocabulary)
     prior = vocabulary.slot_mass / max(vocabulary.slot_mass.sum(), 1e-9) * PRIOR
     names = [f"s{s}" for s in range(STATES)]
@@ -227,25 +278,23 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> M
         shared = encoded.sparkSession.sparkContext.broadcast(model)
 
         def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = {"emit": np.zeros((SLOTS, STATES)), "move": np.zeros((STATES, STATES)), "start": np.zeros(STATES), "entry": np.zeros(STATES)}
+            sums = {"emit": np.zeros((SLOTS, STATES)), "move": np.zeros((STATES, STATES)), "start": np.zeros(STATES)}
             for batch in batches:
                 texts = [np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]
-                pieces = [c[i : i + PIECE] for c in texts for i in range(0, len(c), PIECE)]
-                first = np.array([i == 0 for c in texts for i in range(0, len(c), PIECE)], bool)
-                if pieces:
-                    _expected(pieces, first, shared.value, sums)
-            rows = np.concatenate([sums["emit"], sums["move"], sums["start"][None], sums["entry"][None]])
+                if texts:
+                    _expected(cut_texts(texts, shared.value), shared.value, sums)
+            rows = np.concatenate([sums["emit"], sums["move"], sums["start"][None]])
             full = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(rows[full, s]) for s in range(STATES))], names=["row", *names])
 
         out = encoded.where(~F.col("held_out")).select("codes").mapInArrow(counted, "row int, " + ", ".join(f"{n} double" for n in names))
-        rows = np.zeros((SLOTS + STATES + 2, STATES))
+        rows = np.zeros((SLOTS + STATES + 1, STATES))
         for r in out.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect():
             rows[r["row"]] = r[1:]
         shared.unpersist()
         emit = rows[:SLOTS] + prior[:, None]
-        move, start, entry = rows[SLOTS : SLOTS + STATES] + 1.0, rows[-2] + 1.0, rows[-1] + 1.0
-        model = Model(start / start.sum(), entry / entry.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        move, start = rows[SLOTS : SLOTS + STATES] + 1.0, rows[-1] + 1.0
+        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     return model
 
 
