@@ -5,44 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, text_or_empty
+from .common import ascii_lower, let, others, text_or_empty
 
-#: Known licence sentences (normalised) and their identifiers.
+#: Sentences of the public licence texts and notices (normalised) and their identifiers.
 SENTENCES = {
+    # Apache License 2.0 and its notice
     "licensed under the apache license version 2 0": "apache-2",
+    "this project is licensed under the apache license version 2 0": "apache-2",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2",
     "you may not use this file except in compliance with the license": "apache-2-use",
     "you may obtain a copy of the license at": "licence-at",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2-basis",
+    "see the license for the specific language governing permissions and limitations under the license": "apache-2-see",
+    # MIT
     "released under the mit license": "mit",
-    "this project is licensed under the mit license": "mit",
     "licensed under the mit license": "mit",
+    "this project is licensed under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind": "as-is",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    # GNU licences
     "this work is licensed under the gnu general public license version 3": "gpl-3",
     "licensed under the gnu general public license version 3": "gpl-3",
     "this work is licensed under the gnu general public license version 2": "gpl-2",
+    "licensed under the gnu general public license version 2": "gpl-2",
     "this program is free software": "free-software",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl-2-1",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gnu-hope",
+    "see the gnu general public license for more details": "gnu-see",
+    # Creative Commons
     "licensed under cc by nc 4 0": "cc-by-nc-4",
     "licensed under cc by 4 0": "cc-by-4",
     "licensed under cc by sa 4 0": "cc-by-sa-4",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4",
     "dedicated to the public domain": "public-domain",
+    "this work has been dedicated to the public domain": "public-domain",
+    # BSD
     "released under the bsd license": "bsd",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "as-is",
+    # Mozilla
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-2",
     "all rights reserved": "all-rights",
 }
 #: Ordered rules (licence, sentence identifiers in their order); gaps are allowed, the first match of a rule counts.
 RULES = (
-    ("Apache-2.0", ("apache-2", "apache-2-use", "licence-at")), ("Apache-2.0", ("apache-2",)),
-    ("MIT", ("mit", "mit-grant", "as-is")), ("MIT", ("mit-grant", "as-is")), ("MIT", ("mit",)),
-    ("GPL-3.0", ("free-software", "gpl-3")), ("GPL-3.0", ("gpl-3",)), ("GPL-2.0", ("gpl-2",)),
+    ("Apache-2.0", ("apache-2", "apache-2-use", "licence-at")), ("Apache-2.0", ("apache-2", "licence-at", "apache-2-basis", "apache-2-see")), ("Apache-2.0", ("apache-2",)),
+    ("MIT", ("mit", "mit-grant", "as-is")), ("MIT", ("mit-grant", "mit-notice", "as-is")), ("MIT", ("mit-grant", "as-is")), ("MIT", ("mit",)),
+    ("GPL-3.0", ("free-software", "gpl-3")), ("GPL-3.0", ("gpl-3",)), ("GPL-2.0", ("gpl-2",)), ("AGPL-3.0", ("agpl-3",)), ("LGPL-2.1", ("lgpl-2-1",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)), ("CC-BY-SA-4.0", ("cc-by-sa-4",)), ("CC-BY-4.0", ("cc-by-4",)), ("CC0-1.0", ("public-domain",)),
     ("BSD", ("bsd-grant", "as-is")), ("BSD", ("bsd",)), ("MPL-2.0", ("mpl-2",)), ("proprietary", ("all-rights",)),
 )
-#: Marks of sentence ends, in any text; what follows a mark starts a new sentence.
-END = r"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
-#: What the SQL twin looks for before it splits a text; raw text, so it misses other blanks and marks between the words.
-HINT = r"(?i)licen[sc]e|rights reserved|public domain|free software|hereby granted|without warranty|redistribution and use"
+#: Ends of sentences that may run over lines: a mark with white space behind, or a line without letters and digits.
+END = r"[.!?]+[\x20\x09-\x0D]+|\r?\n[^A-Za-z0-9\n]*\n"
+LINE_END = r"[\x0A\x0D]+"
 
 
 def normal_sentence(s: Column) -> Column:
@@ -53,17 +79,29 @@ def normal_sentence(s: Column) -> Column:
 def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, text: str = "text", to: str = "licence") -> DataFrame:
     """docs with one struct column `to`: sentence_ids, licences, licence.
 
-    Texts are split into sentences; the known ones, in text order, give
-    sentence_ids. A rule matches if its identifiers are a subsequence of them;
-    licences lists the licences of all matching rules in rule order, each once,
-    and licence is the first, else null. Null, empty or unknown text: no
-    identifiers. Repeated sentences are repeated identifiers. Other columns pass
-    through; `to` replaces one of its name.
+    Every text is split into sentences, whole and of any length; a sentence may
+    be wrapped over lines, with the marks of a comment before each. Where it is
+    not known so, each of its lines is looked up. The known ones, in text order,
+    give sentence_ids. A rule matches if its identifiers are a subsequence of
+    them; licences lists the licences of all matching rules in rule order, each
+    once, and licence is the first, else null.
+
+    Null, empty or unknown text: no identifiers. Repeated sentences are repeated
+    identifiers, and repeated rows have equal results. Empty tables give an
+    empty result. Other columns pass through; `to` replaces one of its name.
     """
-    t = text_or_empty(F.col(text))
+    t = text_or_empty(F.col(f"`{text}`"))
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     known = F.lit(list(sentences))
-    ids = F.transform(F.filter(F.transform(F.split(t, END, -1), normal_sentence), lambda s: F.array_contains(known, s)), lambda s: F.element_at(table, s))
+
+    def ids_of(parts: Column) -> Column:
+        return F.transform(F.filter(F.transform(parts, normal_sentence), lambda s: F.array_contains(known, s)), lambda s: F.element_at(table, s))
+
+    def found(s: Column) -> Column:
+        whole = ids_of(F.array(s))
+        return let(whole, lambda w: F.when((F.size(w) > 0) | ~F.contains(s, F.lit("\n")), w).otherwise(ids_of(F.split(s, LINE_END, -1))))
+
+    ids = F.flatten(F.transform(F.split(t, END, -1), found))
     none = F.array().cast("array<string>")
 
     def matches(seq: Column, wanted: tuple[str, ...]) -> Column:
@@ -74,4 +112,4 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
         hits = F.array_distinct(F.array_compact(F.array(*[F.when(matches(seq, wanted), F.lit(name)) for name, wanted in rules])))
         return let(F.when(F.size(seq) > 0, hits).otherwise(none), lambda h: F.struct(seq.alias("sentence_ids"), h.alias("licences"), F.when(F.size(h) > 0, h[0]).alias("licence")))
 
-    return docs.select(*[c for c in docs.columns if c != to], let(ids, struct).alias(to))
+    return docs.select(*[F.col(f"`{c}`") for c in others(docs, to)], let(ids, struct).alias(to))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .decontam import WORD as ALNUM
-from .licenses import END, HINT, RULES, SENTENCES
+from .licenses import END, LINE_END, RULES, SENTENCES
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -51,22 +51,28 @@ CHAT = """WITH m AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant
 i AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM m WHERE kind = 'call'),
 dep AS (SELECT conv_id || ':' || turn AS call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth, CASE WHEN row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) > 1 THEN conv_id || ':' || (turn - 2) END AS after FROM i),
 res AS (SELECT call_id, count(*) AS n, min(text) AS result FROM m WHERE kind = 'result' GROUP BY 1)
-SELECT conv_id, turn, role, kind, m.call_id, CASE WHEN kind = 'call' THEN after END AS after, CASE WHEN kind <> 'message' THEN depth END AS depth,
+SELECT conv_id, turn, role, kind, m.call_id, CASE WHEN kind = 'call' THEN coalesce(after, '') END AS after, CASE WHEN kind <> 'message' THEN depth END AS depth,
  CASE kind WHEN 'call' THEN res.call_id IS NOT NULL WHEN 'result' THEN dep.call_id IS NOT NULL ELSE false END AS linked, CASE WHEN kind = 'call' THEN coalesce(n, 0) END AS n_results,
  CASE WHEN kind = 'call' THEN text IS NOT NULL AND turn IS NOT NULL END AS valid, CASE WHEN kind = 'call' THEN CASE WHEN text IS NULL THEN 'text: missing' ELSE '' END END AS errors,
- CASE WHEN kind = 'call' THEN json_object('after', after, 'arguments', json_object('text', text, 'turn', turn), 'call_id', m.call_id, 'depth', depth, 'name', 'ask', 'result', result, 'valid', text IS NOT NULL)
+ CASE WHEN kind = 'call' THEN json_object('after', CASE WHEN after IS NULL THEN [] ELSE [after] END, 'arguments', json_object('text', text, 'turn', turn), 'call_id', m.call_id, 'depth', depth, 'name', 'ask', 'result', result, 'valid', text IS NOT NULL)
   ELSE json_object('call_id', m.call_id, 'content', text, 'role', role) END::VARCHAR AS json
 FROM m LEFT JOIN dep ON dep.call_id = m.call_id LEFT JOIN res ON res.call_id = m.call_id"""
 
 
 def _licences() -> str:
-    ids = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
+    """Sentences, and lines of unknown ones, as rows joined with the table; rules as patterns over the identifiers."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
     # a rule's identifiers in order, others between them
     rules = [(name, "(^|,)" + ",([^,]*,)*".join(seq) + "(,|$)") for name, seq in RULES]
     hits = ", ".join(f"CASE WHEN regexp_matches(ids, '{rx}') THEN '{name}' END" for name, rx in rules)
-    return rf"""WITH s AS (SELECT doc_id, list_transform(string_split_regex(CASE WHEN regexp_matches(coalesce(text, ''), '{HINT}') THEN text ELSE '' END, '{END}'), lambda x: trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))) AS ss FROM documents),
-k AS (SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(ss, lambda x: (MAP {{{ids}}})[x]), lambda x: x IS NOT NULL), ','), '') AS ids FROM s),
-h AS (SELECT doc_id, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS l FROM k),
+    normal = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    return rf"""WITH known(sentence, id) AS (VALUES {known}),
+p AS (SELECT doc_id, k, ps[k] AS x FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{END}') AS ps FROM documents))),
+w AS (SELECT doc_id, k, x, id FROM p LEFT JOIN known ON sentence = {normal}),
+l AS (SELECT doc_id, k, j, ls[j] AS x FROM (SELECT doc_id, k, ls, unnest(range(1, len(ls) + 1)) AS j FROM (SELECT doc_id, k, string_split_regex(x, '{LINE_END}') AS ls FROM w WHERE id IS NULL AND contains(x, chr(10))))),
+f AS (SELECT doc_id, k, 0 AS j, id FROM w WHERE id IS NOT NULL UNION ALL SELECT doc_id, k, j, id FROM l JOIN known ON sentence = {normal}),
+g AS (SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY k, j), '') AS ids FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id),
+h AS (SELECT doc_id, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS l FROM g),
 u AS (SELECT doc_id, ids, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM h)
 SELECT doc_id, ids AS sentence_ids, coalesce(array_to_string(l, ','), '') AS licences, l[1] AS licence FROM u"""
 
