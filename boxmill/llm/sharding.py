@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, text_or_empty
+from .common import cut, free_name, others, text_or_empty
 
 #: Low bits of a key that come from the document; the others come from the text.
 OWN_BITS = 24
@@ -73,25 +73,30 @@ def _place(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), lambda n, p: F.when((n + p <= len(bounds)) & (at[F.least(n + p, F.lit(len(bounds))) - 1] <= key), n + p).otherwise(n))
 
 
-def shard(docs: DataFrame, shards: int = 40, *, parts: int = 16, text: str = "text", doc_id: str = "doc_id", to: str = "shard") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, *, part_bytes: int = 256 << 20, most_parts: int = 512, text: str = "text", doc_id: str = "doc_id", to: str = "shard") -> DataFrame:
     """docs with one struct column `to`: size, text_crc32, law, shard, slot, grown_shard; sorted by key in each part of a shard.
 
     The law is `bytes`. The key of a document is a hash of its text, then of its
     id, so equal texts lie together and are only parted where a shard's boundary
     would otherwise miss its bytes by over 1 %. Boundaries come from refined
-    histograms of exact bytes; then the rows are exchanged once, into `parts`
-    ranges a shard, so no task sorts a whole shard. slot counts a shard's rows
-    from 0 in the order of its ranges.
+    histograms of exact bytes; then the rows are exchanged once, into ranges of about
+    `part_bytes`, at most `most_parts` a shard, so no task sorts a whole large
+    shard. slot counts a shard's rows from 0 in the order of its ranges.
 
     Null text has size 16 and counts as empty. A null id is an id. Rows alike in
-    id and text have one key and stay together. With fewer rows than shards some
-    shards are empty. Other columns pass through; `to` replaces one of its name.
+    id and text, null ids included, have one key and stay together, so such a
+    group of over a shard's bytes makes its shard as large. Texts of any length
+    are whole. With fewer rows than shards some shards are empty; empty tables
+    give an empty result. Other columns pass through; `to` replaces one of its name.
     """
-    d = docs.drop(to)
+    kept = [F.col(f"`{c}`") for c in others(docs, to)]
+    d = docs.select(*kept)
     key, size, crc, part = (free_name(d, c) for c in ("_key", "_size", "_crc", "_part"))
     t = text_or_empty(F.col(text))
     d = d.withColumns({key: _key(t, F.col(doc_id)), size: (F.octet_length(t) + 16).cast("long"), crc: F.crc32(t.cast("binary"))})
     keys = cut(d.select(F.col(key).alias("key"), F.col(size).alias("size")), "keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    parts = min(max(-(-total // (shards * part_bytes)), 1), most_parts)
     bounds = splitters(keys, shards * parts, parts)
     counts = {r["part"]: r["count"] for r in keys.groupBy(_place(F.col("key"), bounds).alias("part")).count().collect()}
     starts = []
@@ -99,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 40, *, parts: int = 16, text: str = "te
         starts.append(starts[-1] + counts.get(p - 1, 0) if p % parts else 0)
     d = d.withColumn(part, _place(F.col(key), bounds))
     slot = F.lit([int(x) for x in starts])[F.col(part)] + F.row_number().over(Window.partitionBy(part).orderBy(key, doc_id, size)) - 1
-    return d.select(*docs.drop(to).columns, F.struct(
+    return d.select(*kept, F.struct(
         F.col(size).alias("size"), F.col(crc).alias("text_crc32"), F.lit("bytes").alias("law"), F.floor(F.col(part) / parts).cast("int").alias("shard"),
         slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     ).alias(to))
