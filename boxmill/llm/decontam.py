@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_below, cut, free_name, let, text_key, text_or_empty, words
+from .common import ascii_lower, broadcast_below, cut, free_name, let, others, text_key, text_or_empty, words
 
 #: The contract's words; the second pattern finds the same ones before A-Z are lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,7 +66,8 @@ def decontaminate(
     Copies of a text are looked up once each and share their result. Without any
     item nothing is hit. Other columns pass through; `to` replaces one of its name.
     """
-    d = docs.drop(to)
+    kept = others(docs, to)
+    d = docs.select(*[F.col(f"`{c}`") for c in kept])
     k1, k2, n = (free_name(d, c) for c in ("_k1", "_k2", "_n"))
     t = text_or_empty(F.col(text))
     d = d.withColumns(dict(zip((k1, k2), text_key(t), strict=True)))
@@ -76,7 +77,7 @@ def decontaminate(
     counted = d.withColumn(n, F.regexp_count(t, F.lit(RAW_WORD)))
     if not sizes:
         none = F.struct(F.col(n).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
-        return counted.select(*docs.drop(to).columns, none.alias(to))
+        return counted.select(*[F.col(f"`{c}`") for c in kept], none.alias(to))
 
     def placed(rows: DataFrame, w: Column, keep: list[str]) -> DataFrame:
         parts = [rows.select(*keep, F.posexplode(shingles(w, k)).alias("pos", "sh")) for k in sizes]
@@ -119,7 +120,7 @@ def decontaminate(
 
     joined = counted.join(leaks, (counted[k1] == leaks["_lk1"]) & (counted[k2] == leaks["_lk2"]), "left")
     hit = F.coalesce(F.col("_leak.n_hit"), F.lit(0))
-    return joined.select(*[counted[c] for c in docs.columns if c != to], F.struct(
+    return joined.select(*[counted[f"`{c}`"] for c in kept], F.struct(
         counted[n].cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.coalesce(F.size("_leak.items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("_leak.items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     ).alias(to))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, ascii_lower, broadcast_below, cut, free_name, let, text_key, text_or_empty, words
+from .common import SPACE, WORD, ascii_lower, broadcast_below, cut, free_name, let, others, text_key, text_or_empty, words
 
 #: Fixed symbols of the result contract.
 SYMBOLS = r"[#*$%&|<>]"
@@ -130,7 +130,8 @@ def quality_rules(
     document in the counts and share their verdict. Other columns pass through;
     `to` replaces a column of that name.
     """
-    d = docs.drop(to)
+    kept = others(docs, to)
+    d = docs.select(*[F.col(f"`{c}`") for c in kept])
     h, k1, k2, base = (free_name(d, x) for x in ("_h", "_k1", "_k2", "_base"))
     t = text_or_empty(F.col(text))
     d = d.withColumns(dict(zip((k1, k2), text_key(t), strict=True)) | {h: F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))})
@@ -163,11 +164,12 @@ def quality_rules(
     n, repeat = F.col(f"{base}.w.n_words"), F.col(f"{base}.w.n_repeat_words")
     failed = (n < min_words) | (100 * repeat > max_repeat_percent * n)
     a, b = with_line_stats(d, text, base).alias("a"), lost.select(*[F.col(c).alias(f"_{c}") for c in keys], F.struct("_gone", "_gone_chars", "_all_chars").alias("_lost"))
+    b = broadcast_below(cut(b, "quality-lost"), 100_000).alias("b")  # few documents lose lines, so texts stay where they are
     joined = a.join(b, [F.col(f"a.{c}") == b[f"_{c}"] for c in keys], "left")
     depleted = F.coalesce(F.col("_lost._gone_chars") > F.col("_lost._all_chars") * max_removed, F.lit(False))
     left = F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~F.array_contains(F.col("_lost._gone"), F.xxhash64(normal_line(x)))), "\n")
     text_of = [F.when(F.col("_lost").isNull(), F.col(f"a.`{text}`")).otherwise(left).alias("clean_text")] if clean else []
-    return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns if c != to], F.struct(
+    return joined.select(*[F.col(f"a.`{c}`") for c in kept], F.struct(
         n.alias("n_words"), F.col(f"{base}.word_chars"), F.col(f"{base}.n_symbols"), F.col(f"{base}.n_dup_lines"), repeat.alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce(F.size("_lost._gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
         F.coalesce(F.col("_lost._gone_chars"), F.lit(0)).alias("removed_chars"), *text_of,
