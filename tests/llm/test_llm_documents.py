@@ -226,12 +226,31 @@ def test_mixing(docs, doc_rows):
     assert rows(again) == rows(mixing.mix(docs).select("doc_id", "text", "mix.copies"))
 
 
-def test_mixing_refines_large_sources(spark, monkeypatch):
+def greedy_copies(rows, target, cap=3):
+    """rows: (key, size, draw) of one source. A walk by draw that takes what fits, turn after turn."""
+    total = sum(n for _, n, _ in rows)
+    whole = min(int(target // total), cap) if total else 0
+    need, copies = target - whole * total, Counter({k: whole for k, _, _ in rows})
+    by_draw = defaultdict(list)
+    for k, n, d in rows:
+        by_draw[d].append((k, n))
+    for _ in range(cap - whole):
+        for d in sorted(by_draw):
+            n = sum(n for _, n in by_draw[d])
+            if need > mixing.MISSING * target and need >= 1 and 0 < n <= need:
+                need -= n
+                copies.update(k for k, _ in by_draw[d])
+    return copies
+
+
+def test_mixing_takes_what_a_walk_takes(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FEW", 10)
-    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 10 < 6, "a").otherwise("b").alias("source"))
-    out = mixing.mix(d).groupBy("source").agg(F.sum(F.col("mix.size") * F.col("mix.copies")).alias("taken"), F.first("mix.target").alias("target")).collect()
-    assert len(out) == 2
-    assert all(abs(r["taken"] - r["target"]) <= 60 for r in out)
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), F.when(F.col("id") == 4, 60_000).otherwise(F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("source"))
+    got = mixing.mix(d).select("doc_id", "source", "mix.size", "mix.target", "mix.copies", mixing._draw(7, F.col("doc_id"), F.col("text")).alias("draw")).collect()
+    for s in "abc":
+        rows_of = [r for r in got if r["source"] == s]
+        assert {r["doc_id"]: r["copies"] for r in rows_of} == dict(greedy_copies([(r["doc_id"], r["size"], r["draw"]) for r in rows_of], rows_of[0]["target"]))
+        assert abs(sum(r["size"] * r["copies"] for r in rows_of) - rows_of[0]["target"]) <= max(60, 0.001 * rows_of[0]["target"])
 
 
 def test_mixed_rows_repeat(docs):
@@ -325,7 +344,7 @@ def test_tool_calls(spark):
         by[(r["kind"], r["call_id"])].append(r)
     a, b, cc, dd = (by[("call", x)][0] for x in "abcd")
     assert (a["depth"], a["linked"], a["n_results"], a["valid"]) == (0, True, 2, True)
-    assert a["json"] == '{"after":null,"arguments":{"x":1,"y":2},"call_id":"a","depth":0,"name":"add","result":"2","valid":true}'
+    assert a["json"] == '{"after":[],"arguments":{"x":1,"y":2},"call_id":"a","depth":0,"name":"add","result":"2","valid":true}'
     assert (b["depth"], b["after"], b["linked"], b["errors"]) == (1, "a", False, "x: not integer; z: unknown")
     assert cc["depth"] is None and "cycle" in cc["errors"] and "unknown tool" in cc["errors"]
     assert "arguments: not an object" in dd["errors"]
@@ -356,3 +375,90 @@ def test_long_chain_of_calls(spark):
     calls = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * 2).alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
     out = chat.link_tool_calls(chat.messages(calls))
     assert sorted(r["depth"] for r in out.collect()) == list(range(n))
+
+
+def test_no_turn_is_lost_and_calls_have_several_predecessors(spark):
+    def c(*calls):
+        return '{"content": "beside", "tool_calls": [%s]}' % ", ".join('{"id": "%s", "name": "t", "after": %s, "arguments": %s}' % x for x in calls)
+
+    args = '{"place": {"city": "x"}, "tags": ["a"], "unit": "m"}'
+    turns = [
+        (1, 0, "assistant", c(("a", "null", args), ("b", '"a"', args), ("c", '"a"', args), ("d", '["b", "c", "zz"]', args), ("e", '["d", "a"]', args), ("f", '["e"]', args))),
+        (2, 0, "assistant", '{"tool_calls": []}'), (2, 1, "assistant", '{"tool_calls": [null]}'), (2, 2, "assistant", '{"tool_calls": 5}'), (2, 3, "tool", "[]"),
+        (3, 0, "assistant", c(("a", '["b", "c"]', '{"place": {"city": 1}, "tags": [1], "unit": "q"}'), ("b", '"a"', '{"tags": [], "more": 1}'), ("c", "null", args), ("d", '"b"', args))),
+        (4, 0, "assistant", '{"tool_calls": [null, {"id": "x", "name": "t", "arguments": {}}]}'), (5, 0, "user", "w" * 300_000),
+    ]
+    schemas = {"t": {"place.city": ("string", True), "tags": ("array<string>", False), "unit": ("string", False, ("m", "km"))}}
+    rows_in = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.link_tool_calls(chat.messages(rows_in), schemas).collect()
+    calls = {(r["conv_id"], r["call_id"]): r for r in out if r["kind"] == "call"}
+    assert {k: calls[(1, k)]["depth"] for k in "abcdef"} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3, "f": 4}
+    assert calls[(1, "d")]["after"] == "b,c" and '"after":["b","c"]' in calls[(1, "d")]["json"] and all(calls[(1, k)]["valid"] for k in "abcdef")
+    assert [calls[(3, k)]["depth"] for k in "abcd"] == [None, None, 0, None]
+    assert calls[(3, "a")]["errors"] == "place.city: not string; tags: not array<string>; unit: not allowed; cycle"
+    assert calls[(3, "b")]["errors"] == "place.city: missing; more: unknown; cycle"
+    assert {(r["conv_id"], r["turn"]) for r in out} == {t[:2] for t in turns}
+    assert sorted(r["conv_id"] for r in out if r["kind"] == "message" and '"content":"beside"' in r["json"]) == [1, 3]
+
+
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """# Copyright 2020 Somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+""",
+    "GPL-3.0": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+""",
+}
+
+
+def test_standard_notices(spark):
+    got = licenses.scan_licenses(spark.createDataFrame(list(NOTICES.items()), "want string, text string")).select("want", "licence.*").collect()
+    assert {r["want"]: r["licence"] for r in got} == {k: k for k in NOTICES}
+    ids = {r["want"]: r["sentence_ids"] for r in got}
+    assert ids["MIT"] == ["mit-grant", "mit-notice", "as-is", "mit-liability"]
+    assert ids["Apache-2.0"] == ["apache-2", "licence-at", "apache-2-basis", "apache-2-see"] and ids["GPL-3.0"] == ["gpl-3", "gnu-hope", "gnu-see"]
+    own = {"do what you like": "free"}
+    assert licenses.scan_licenses(spark.createDataFrame([(1, "Do what\nyou like! " * 3)], "doc_id long, text string"), sentences=own, rules=(("Own", ("free",)),)).first()["licence"]["licences"] == ["Own"]

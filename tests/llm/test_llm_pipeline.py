@@ -47,3 +47,14 @@ def test_names():
     assert "pipeline" in names
     assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, docs, no_docs, benchmark):
+    """Empty documents, an empty benchmark, and rows with nulls and repeats."""
+    for k, (rows, items) in enumerate([(no_docs, benchmark), (no_docs, benchmark.limit(0)), (docs, benchmark.limit(0))]):
+        at = tmp_path / str(k)
+        rows.write.parquet(str(at / "documents.parquet"))
+        items.write.parquet(str(at / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(at))
+        assert {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+        assert (out.count() == 0) == (k < 2)
