@@ -9,8 +9,6 @@ from .common import WORD, broadcast_below, cut, free_name, others, text_or_empty
 
 #: Bits of a document's draw, bits refined in a round, and rows of a bin that one task orders.
 BITS, STEP, FEW = 52, 8, 1_000
-#: Share of a target that may be missing when the filling ends, with smaller documents still there.
-MISSING = 0.0005
 
 
 def ranked(keys: DataFrame, key: str, to: str) -> DataFrame:
@@ -97,11 +95,11 @@ def _steps(small: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     Together the ranges are a walk through the draws that takes whatever still
     fits: each begins behind the row that did not fit the one before. At the end
     of the draws the walk begins anew, while a row may be taken again. It ends
-    when at most MISSING of the target is left, or nothing fits.
+    when nothing fits.
     """
     end = (1 << BITS) - 1
-    state = sources.select("source", "need", F.lit(-1).cast("long").alias("after"), (F.lit(cap) - F.col("whole")).alias("turns"), (F.col("target") * MISSING).alias("fine"))
-    open_ = (F.col("need") > F.col("fine")) & (F.col("need") >= 1) & (F.col("turns") > 0)
+    state = sources.select("source", "need", F.lit(-1).cast("long").alias("after"), (F.lit(cap) - F.col("whole")).alias("turns"))
+    open_ = (F.col("need") >= 1) & (F.col("turns") > 0)
     state = cut(state.where(open_), "needs")
     done = None
     while not state.isEmpty():
@@ -113,7 +111,7 @@ def _steps(small: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
         step = found.select("source", F.struct(F.floor("need").alias("most"), "after", "upto").alias("step"))
         done = step if done is None else done.unionByName(step)
         ended = F.col("upto") == end
-        state = found.select("source", (F.col("need") - F.col("words")).alias("need"), F.when(ended, -1).otherwise(F.col("upto")).cast("long").alias("after"), (F.col("turns") - ended.cast("int")).alias("turns"), "fine")
+        state = found.select("source", (F.col("need") - F.col("words")).alias("need"), F.when(ended, -1).otherwise(F.col("upto")).cast("long").alias("after"), (F.col("turns") - ended.cast("int")).alias("turns"))
         state = cut(state.where(open_), "needs")
     if done is None:
         done = sources.select("source", F.struct(F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("after"), F.lit(0).cast("long").alias("upto")).alias("step")).limit(0)
@@ -129,8 +127,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     Each document is taken floor(target / source_size) times; the rest of the
     target is filled in the order of a seeded draw: each document is taken once
     more if it still fits, and after the last one again, up to `cap` times in
-    all, until at most MISSING of the target is missing or nothing fits. The
-    places are found by refining histograms of the draws, alike at every size.
+    all, until nothing fits. The places are found by refining histograms of the draws, alike at every size.
 
     Null text has size 0. A source of size
     0 has target 0. Rows alike in id and text get the same number of copies.

@@ -47,6 +47,20 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
+#: The clamped sources are the first ones by cap over weight; the walk is a recursion over (turn, draw) of each source.
+MIXING = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size, CAST('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS draw FROM documents),
+s1 AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source)),
+s2 AS (SELECT *, 3.0::DOUBLE * ss / w AS ratio, row_number() OVER r AS k, sum(ss) OVER () AS t, sum(w) OVER () AS tw, sum(w) OVER r - w AS w0, 3 * (sum(ss) OVER r - ss) AS c0 FROM s1 WINDOW r AS (ORDER BY 3.0::DOUBLE * ss / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+lv AS (SELECT arg_min((t - c0)::DOUBLE / (tw - w0), k) AS level FROM s2 WHERE (t - c0)::DOUBLE / (tw - w0) < ratio),
+s3 AS (SELECT source, ss, CASE WHEN level IS NULL THEN 3.0::DOUBLE * ss ELSE least(3.0::DOUBLE * ss, level * w) END AS target FROM s2, lv),
+s4 AS (SELECT *, CASE WHEN ss > 0 THEN least(3, floor(target / ss))::INT ELSE 0 END AS whole FROM s3),
+g AS (SELECT source, draw, sum(size)::BIGINT AS n FROM d GROUP BY ALL),
+walk AS (SELECT g.source, draw, n, target, row_number() OVER (PARTITION BY g.source ORDER BY turn, draw) AS k FROM g JOIN s4 ON g.source IS NOT DISTINCT FROM s4.source, range(3) x(turn) WHERE turn < 3 - whole),
+st AS (SELECT source, 0::BIGINT AS k, NULL::BIGINT AS draw, false AS took, greatest(target - whole * ss, 0)::DOUBLE AS need FROM s4
+ UNION ALL SELECT source, k, draw, f, CASE WHEN f THEN need - n ELSE need END FROM (SELECT w.source, w.k, w.draw, w.n, s.need, s.need >= 1 AND w.n > 0 AND w.n <= s.need AS f FROM st s JOIN walk w ON s.source IS NOT DISTINCT FROM w.source AND w.k = s.k + 1)),
+c AS (SELECT source, draw, count(*) FILTER (took) AS extra FROM st WHERE k > 0 GROUP BY ALL)
+SELECT doc_id, size, ss AS source_size, target, size * (whole + coalesce(extra, 0)) AS taken FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.draw = d.draw"""
+
 CHAT = """WITH m AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id FROM conversations),
 i AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM m WHERE kind = 'call'),
 dep AS (SELECT conv_id || ':' || turn AS call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth, CASE WHEN row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) > 1 THEN conv_id || ':' || (turn - 2) END AS after FROM i),
@@ -78,5 +92,5 @@ SELECT doc_id, ids AS sentence_ids, coalesce(array_to_string(l, ','), '') AS lic
 
 
 SQL: dict[str, str] = {
-    "op1_quality_rules": QUALITY, "op2_minhash_near_dedup": NEAR_DEDUP, "op6_benchmark_decontamination": DECONTAMINATION, "op8_chat_formatting": CHAT, "op9_license_scans": _licences(),
+    "op1_quality_rules": QUALITY, "op2_minhash_near_dedup": NEAR_DEDUP, "op6_benchmark_decontamination": DECONTAMINATION, "op7_mixing_sources": MIXING, "op8_chat_formatting": CHAT, "op9_license_scans": _licences(),
 }

@@ -237,7 +237,7 @@ def greedy_copies(rows, target, cap=3):
     for _ in range(cap - whole):
         for d in sorted(by_draw):
             n = sum(n for _, n in by_draw[d])
-            if need > mixing.MISSING * target and need >= 1 and 0 < n <= need:
+            if need >= 1 and 0 < n <= need:
                 need -= n
                 copies.update(k for k, _ in by_draw[d])
     return copies
