@@ -92,28 +92,29 @@ def deduplicate(dets: DataFrame, threshold: float, generic: int, *, prioritize:
     """
     if keep_all:
         return dets.select(*FIELDS)
-    boxes = _listed(dets, ["image_id"]).withColumn("n", F.size("b"))
+    boxes = _listed(dets, ["image_id"])
+    start = F.struct(F.slice("b", 1, 0).alias("kept"), F.col("b").alias("rest"))
 
-    def step(live: Column, i: Column) -> Column:
-        here = F.col("b")[i]
+    def step(acc: Column, _: Column) -> Column:
+        others = F.slice(acc["rest"], 2, F.size(acc["rest"]))
 
-        def near(j: Column) -> Column:
-            return (j > i) & live[j] & (iou(here, F.col("b")[j]) >= threshold)
+        def with_first(here: Column) -> Column:
+            def near(o: Column) -> Column:
+                return overlaps(here, o) & (iou(here, o) >= threshold)
 
-        is_generic = (here["class_id"] == generic) if prioritize else F.lit(False)
-        every = F.sequence(F.lit(0), F.col("n") - 1)
-        better = F.filter(every, lambda j: near(j) & (F.col("b")[j]["class_id"] != generic))
-        first = F.when(is_generic & (F.size(better) > 0), better[0])
+            is_generic = (here["class_id"] == generic) if prioritize else F.lit(False)
+            better = F.when(is_generic, F.get(F.filter(others, lambda o: (o["class_id"] != generic) & near(o)), F.lit(0)))
 
-        def drop(stop: Column) -> Column:
-            gone_upto = F.transform(every, lambda j: F.when((j == i) & stop.isNotNull(), F.lit(False)).when(near(j) & (stop.isNull() | (j < stop)), F.lit(False)).otherwise(live[j]))
-            return gone_upto
+            def left(stop: Column) -> Column:
+                earlier = lambda o: (o["o"] < stop["o"]) | ((o["o"] == stop["o"]) & (o["det_id"] < stop["det_id"]))
+                rest = F.filter(others, lambda o: ~((stop.isNull() | earlier(o)) & near(o)))
+                return F.struct(F.when(stop.isNull(), F.array_append(acc["kept"], here)).otherwise(acc["kept"]).alias("kept"), rest.alias("rest"))
 
-        return F.when(live[i], F.transform(F.array(first), drop)[0]).otherwise(live)
+            return F.transform(F.array(better), left)[0]
 
-    mask = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array_repeat(F.lit(True), F.col("n")), step)
-    # the mask is bound once; as a column the plan would compute it anew for each box
-    kept = F.transform(F.array(mask), lambda live: F.filter("b", lambda d, i: live[i]))[0]
+        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(F.transform(F.slice(acc["rest"], 1, 1), with_first)[0])
+
+    kept = F.aggregate(F.sequence(F.lit(1), F.size("b")), start, step)["kept"]
     return _rows(boxes.select("image_id", kept.alias("b")), ["image_id"])
 
 
@@ -125,28 +126,27 @@ def confidence_filter(dets: DataFrame, conf: float, generic: int, threshold: flo
     box with the highest score.
     """
     order = F.struct("class_id", (-F.col("score")).alias("o"), "det_id", "x1", "y1", "x2", "y2", "score")
-    boxes = dets.groupBy("image_id").agg(F.sort_array(F.collect_list(order)).alias("b")).withColumn("n", F.size("b"))
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    start = F.struct(F.array_repeat(F.lit(False), F.col("n")).alias("used"), F.slice("b", 1, 0).alias("kept"))
-
-    def step(acc: Column, i: Column) -> Column:
-        used, kept = acc["used"], acc["kept"]
-        here = F.col("b")[i]
-
-        def with_group(group: Column) -> Column:
-            by_score = F.array_sort(F.transform(group, lambda j: F.struct((-F.col("b")[j]["score"]).alias("o"), j.alias("j"))))
-            high = F.filter(by_score, lambda g: -g["o"] > conf)
-            best = F.when((F.size(high) >= 2) & (F.col("b")[high[0]["j"]]["class_id"] == generic), high[1]["j"]).otherwise(by_score[0]["j"])
-            return F.struct(
-                F.transform(used, lambda u, j: u | F.array_contains(group, j)).alias("used"),
-                F.array_append(kept, F.col("b")[best]).alias("kept"),
-            )
-
-        group = F.filter(every, lambda j: (j == i) | ((j > i) & ~used[j] & (iou(here, F.col("b")[j]) > threshold)))
-        return F.when(used[i], acc).otherwise(F.transform(F.array(group), with_group)[0])
-
-    kept = boxes.select("image_id", F.aggregate(every, start, step)["kept"].alias("b"))
-    return _rows(kept, ["image_id"])
+    boxes = dets.groupBy("image_id").agg(F.sort_array(F.collect_list(order)).alias("b"))
+    start = F.struct(F.slice("b", 1, 0).alias("kept"), F.col("b").alias("rest"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def with_first(here: Column) -> Column:
+            def near(o: Column) -> Column:
+                return (o["det_id"] == here["det_id"]) | (overlaps(here, o) & (iou(here, o) > threshold))
+
+            def chosen(group: Column) -> Column:
+                # by falling score, then by class: the order of the boxes
+                by_score = F.array_sort(F.transform(group, lambda d: F.struct(d["o"].alias("o"), d["class_id"].alias("c"), d.alias("d"))))
+                high = F.filter(by_score, lambda g: -g["o"] > conf)
+                return F.when((F.size(high) >= 2) & (high[0]["c"] == generic), high[1]["d"]).otherwise(by_score[0]["d"])
+
+            best = F.transform(F.array(F.filter(acc["rest"], near)), chosen)[0]
+            return F.struct(F.array_append(acc["kept"], best).alias("kept"), F.filter(acc["rest"], lambda o: ~near(o)).alias("rest"))
+
+        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(F.transform(F.slice(acc["rest"], 1, 1), with_first)[0])
+
+    kept = F.aggregate(F.sequence(F.lit(1), F.size("b")), start, step)["kept"]
+    return _rows(boxes.select("image_id", kept.alias("b")), ["image_id"])
 
 
 def iou_pairs(dets: DataFrame, threshold: float, *, same_class: bool = True, strict: bool = False) -> DataFrame:
