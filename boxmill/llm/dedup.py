@@ -8,11 +8,13 @@ ones, full shingle sets confirm the links, and alternating stars connect them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, broadcast_below, cut, free_name, text_key, text_or_empty
@@ -25,8 +27,11 @@ PERCENT = 75
 LEAST_ESTIMATE = 0.55
 #: Rounds in which each bucket has one hub; each round draws another.
 HUB_ROUNDS = 3
-#: Counters of hashed shingles that order the prefix join, a power of 2.
-ORDER_SLOTS = 2**18
+#: Parts in a key, keys a member gives beyond its spare parts, members of a key beyond which they are a group of
+#: their own, levels of groups, and rows of one key that stay in one task.
+MOST_PARTS, ROOM, MANY, LEVELS, SALTED = 6, 16, 16, 3, 500
+#: Marks a shingle of the centre that a member lacks.
+LACKS = 0x5DEECE66D1234567
 
 _draw = np.random.default_rng(20240501)
 _MUL = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,66 +127,157 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts = WordHash(), np.zeros(ORDER_SLOTS, np.int64)
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHash()
     for batch in batches:
-        for text in batch.column("text"):
-            s = shingle_set(_tokens(text.as_py()), hashes)
-            counts += np.bincount((s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64), minlength=ORDER_SLOTS)
-    full = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(counts[full])], names=["slot", "n"])
-
-
-def _prefix_pairs(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of ids of different roots that the prefix and position bounds of the similarity allow.
-
-    rest: (rep, root). Each set's shingles are ordered from rare to frequent, by
-    bounded counts of hashed shingles and then the hash; any order gives all
-    pairs. Similar sets share a shingle in their prefixes, and their first one
-    stands so early that enough shingles follow in both. A shingle's most
-    frequent root is only compared with its other roots, so a large component
-    never meets itself.
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            sets = [shingle_set(_tokens(t.as_py()), hashes).view(np.int64) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+
+def _band(excess: Column) -> Column:
+    """0 up to the distance of a link, then bands whose ends grow by half."""
+    return F.when(excess <= 0, 0).otherwise(1 + F.greatest(F.lit(0), F.floor(F.log(1.5, excess / (100 + PERCENT))))).cast("int")
+
+
+def _band_start(band: int) -> int:
+    """At most the least excess of a band."""
+    return 0 if band < 2 else int((100 + PERCENT) * 1.5 ** (band - 1)) - 1
+
+
+def _least_need(excess: Column, least: Column) -> Column:
+    """Parts that a link of a member shares at least, over all partners that are not linked for certain."""
+    both = F.when(excess + least > 0, excess + least).otherwise(excess - least + 1)
+    return F.greatest(F.lit(1), F.ceil(both / (2 * (100 + PERCENT)))).cast("int")
+
+
+def _depth(spare: int, need: int, room: int) -> int:
+    """How many shared parts a key holds: as many as give at most `room` keys."""
+    deep = 1
+    while deep < min(MOST_PARTS, need) and comb(spare + deep + 1, deep + 1) <= room:
+        deep += 1
+    return deep
+
+
+def _part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, own, rep, root): hashes, the group's too, of all `deep` parts that a link must share among a member's first ones.
+
+    The parts that a link must share follow from both excesses, so a member has
+    keys for each band of partners that its group holds. `own` keys have as many
+    parts as the member can give; it also gives shallower ones, for members that
+    cannot give as many.
     """
-    ids = broadcast_below(rest.select(F.col("rep").alias("doc_id")), 2_000_000)
-    texts = docs.join(ids, "doc_id", "left_semi").distinct()
-    counts = texts.select("text").mapInArrow(_shingle_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    frequency = np.zeros(ORDER_SLOTS, np.int64)
-    for r in counts:
-        frequency[r["slot"]] = r["n"]
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                s = shingle_set(_tokens(text.as_py()), hashes)
-                if len(s):
-                    n = len(s) - -(-PERCENT * len(s) // 100) + 1
-                    often = shared.value[(s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)]
-                    first = s[np.lexsort((s, often))[:n]].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(n, doc_id)), pa.array(np.full(n, len(s))), pa.array(np.arange(n, dtype=np.int32))], names=["token", "rep", "size", "pos"])
-
-    tokens = texts.select("doc_id", "text").mapInArrow(prefixes, "token long, rep long, size long, pos int")
-    tokens = cut(tokens.distinct().join(broadcast_below(rest, 1_000_000), "rep"), "prefixes")
-    roots = tokens.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("n_roots"))
-    met = tokens.join(roots.where("n_roots > 1").select("token", "major"), "token")
+    twice = 2 * (100 + PERCENT)
+    names = ("grp", "rep", "root", "excess", "band", "least", "bands", "n_parts", "parts")
+    for batch in batches:
+        rows_of, held = [], 0
+        for g, rep, root, excess, band, least, bands, n_parts, parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            every = np.array(parts, np.int64).view(np.uint64)
+            keys, own = [], []
+            for other in bands:
+                need = max(1, -(-(excess + (_band_start(other) if other else least)) // twice))
+                spare = n_parts - need
+                if spare < 0:
+                    continue
+                deepest = _depth(spare, need, ROOM)
+                tag = np.uint64((g * 2**20 + min(band, other) * 2**10 + max(band, other)) & (2**64 - 1))
+                for deep in range(1, deepest + 1):
+                    first = every[: spare + deep]
+                    rows = first[:, None] if deep == 1 else np.array(list(combinations(first, deep)), np.uint64)
+                    keys.append(_mixed(_mixed(rows).sum(axis=1, dtype=np.uint64) + np.uint64(deep) + _mixed(tag[None])).view(np.int64))
+                    own.append(np.full(len(rows), deep == deepest))
+            if keys:
+                k = np.concatenate(keys)
+                rows_of.append((k, np.concatenate(own), np.full(len(k), rep), np.full(len(k), root)))
+                held += len(k)
+            if held > 100_000:
+                yield _key_batch(rows_of)
+                rows_of, held = [], 0
+        if rows_of:
+            yield _key_batch(rows_of)
+
+
+def _key_batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["key", "own", "rep", "root"])
+
+
+def _small_keys(keys: DataFrame) -> DataFrame:
+    """(a, b): the members of a key that belong to different roots; the most frequent root never meets itself."""
+    roots = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+    met = keys.join(roots, "key")
     x, y = met.where("root <> major").alias("x"), met.alias("y")
-    least, most = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    need = F.ceil(PERCENT * (F.col("x.size") + F.col("y.size")) / (100 + PERCENT))
-    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     once = (F.col("y.root") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))
-    fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & (100 * least >= PERCENT * most) & (follow >= need)
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & (F.col("x.own") | F.col("y.own"))
     return x.join(y, fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
+def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs among which are all links between members (grp, rep, root) of one group and different roots.
+
+    A group has a centre, the shingles of most members. Two sets differ where
+    their differences from the centre do, so links share so many parts of these
+    that they share `deep` of their first ones, from rare to frequent. What all
+    members have in common is no part, so near copies that are no links rarely
+    meet. Keys that are still held by many members are the next level's groups.
+    """
+    out = None
+    for level in range(LEVELS):
+        held = members.groupBy("grp").agg(F.count("*").alias("n"))
+        held = broadcast_below(cut(held.where("n > 1"), "groups"), 1_000_000)
+        turns, central = F.floor(F.col("n") / SALTED).cast("int"), 2 * F.col("c") > F.col("n")
+        rows = members.join(held, "grp").join(sets, "rep")
+        each = rows.select("grp", "n", "sid", F.explode("shingles").alias("s"))
+        shared = cut(each.groupBy("grp", "s").agg(F.count("*").alias("c"), F.any_value("n").alias("n")).where("c > 1"), "shared")
+        mine = each.drop("n").join(shared, ["grp", "s"]).groupBy("grp", "sid")
+        mine = mine.agg(F.collect_list(F.when(~central, F.struct("c", F.col("s").alias("part")))).alias("own"), F.collect_list(F.when(central, F.col("s"))).alias("inside"))
+        centres = shared.where(central).groupBy("grp").agg(F.collect_list("s").alias("centre"), F.any_value("n").alias("n"))
+        centres = centres.select("grp", "centre", F.explode(F.sequence(F.lit(0), turns)).alias("turn"))
+        apart = rows.select("grp", "sid", "rep", "root", "n", F.size("shingles").cast("long").alias("size"), F.pmod(F.xxhash64("rep"), turns + 1).cast("int").alias("turn"))
+        apart = apart.join(mine, ["grp", "sid"], "left").join(centres, ["grp", "turn"], "left")
+        no = F.array().cast("array<long>")
+        apart = apart.withColumn("lacks", F.array_except(F.coalesce("centre", no), F.coalesce("inside", no)))
+        excess = (100 + PERCENT) * (F.col("size") - F.size(F.coalesce("inside", no)) + F.size("lacks")) - (100 - PERCENT) * F.col("size")
+        # any order of the parts that all members of a group share is right; rare parts first is fast
+        lacks = F.transform("lacks", lambda x: F.struct(F.floor(F.col("n") / 8).alias("c"), x.bitwiseXOR(F.lit(LACKS)).alias("part")))
+        parts = F.sort_array(F.concat(F.coalesce("own", F.array().cast("array<struct<c: long, part: long>>")), lacks))
+        apart = cut(apart.select("grp", "rep", "root", "size", excess.alias("excess"), _band(excess).alias("band"), F.transform(parts, lambda x: x["part"]).alias("parts")), "differences")
+
+        nearest = apart.groupBy("grp").agg(F.min(F.struct("excess", "rep", "root")).alias("least"), F.collect_set("band").alias("bands"))
+        nearest = broadcast_below(cut(nearest.select("grp", F.col("least.excess").alias("least"), F.col("least.rep").alias("hub"), F.col("least.root").alias("hub_root"), "bands"), "nearest"), 1_000_000)
+        sure = apart.join(nearest, "grp").where((F.col("excess") + F.col("least") <= 0) & (F.col("root") != F.col("hub_root")))
+        found = sure.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+
+        need = _least_need(F.col("excess"), F.col("least"))
+        able = apart.join(nearest, "grp").where(F.size("parts") >= need)
+        first = F.slice("parts", 1, F.size("parts") - need + MOST_PARTS)
+        keys = able.select("grp", "rep", "root", "excess", "band", "least", "bands", F.size("parts").alias("n_parts"), first.alias("parts")).mapInArrow(_part_keys, "key long, own boolean, rep long, root long")
+        counted = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
+        keys = cut(keys.join(counted.select("key", "m"), "key"), "part-keys")
+        last = level == LEVELS - 1
+        found = found.unionByName(_small_keys(keys if last else keys.where(F.col("m") <= MANY)))
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
+        members = keys.where(F.col("m") > MANY).select(F.col("key").alias("grp"), "rep", "root").distinct()
+        if members.isEmpty():
+            break
+    return out.distinct()
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, side: str, key: str, value: str) -> DataFrame:
+    """pairs with the column value_side of the row of `rows` whose key is that side; a side of many pairs is dealt out."""
+    other = "b" if side == "a" else "a"
+    n = pairs.groupBy(side).agg(F.floor(F.count("*") / SALTED).cast("int").alias("turns"))
+    n = broadcast_below(cut(n, "sides"), 2_000_000)
+    dealt = rows.select(F.col(key).alias(side), F.col(value).alias(f"{value}_{side}")).join(n, side).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns")))).drop("turns")
+    return pairs.join(n, side).withColumn("turn", F.pmod(F.xxhash64(other), F.col("turns") + 1).cast("int")).drop("turns").join(dealt, [side, "turn"]).drop("turn")
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets confirm them; docs: (doc_id, text)."""
     pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = broadcast_below(cut(ids, "pair-ids"), 2_000_000)
-    texts = docs.join(ids, "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = _beside(_beside(pairs, docs, "a", "doc_id", "text"), docs, "b", "doc_id", "text")
     return cut(both.mapInArrow(_confirmed, "a long, b long").distinct(), "confirmed")
 
 
@@ -254,9 +350,18 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     # the classes of buckets that still hold several components meet in an exact prefix join
     rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(rooted.join(open_, "bucket").select("rep", "root").distinct(), "open")
-    more = _links(_near(_prefix_pairs(rest, d), marks), d)
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
+    rest = cut(rooted.join(open_, "bucket").select("rep", "root", "first").distinct(), "open")
+    groups = components(rest, "rep", "first").select(F.col("node").alias("rep"), F.col("root").alias("grp"))
+    members = cut(rest.select("rep", "root").distinct().join(groups, "rep").select("grp", "rep", "root"), "grouped")
+    ids = broadcast_below(members.select(F.col("rep").alias("doc_id")), 2_000_000)
+    texts = d.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id", "text"])
+    sets = cut(texts.mapInArrow(_shingle_sets, "rep long, shingles array<long>").where("size(shingles) > 0").withColumn("sid", F.xxhash64("rep", "shingles")), "sets")
+    maybe = cut(_exact_pairs(members, sets), "maybe")
+    sets = sets.withColumnRenamed("shingles", "set")
+    compared = _beside(_beside(maybe, sets, "a", "rep", "set"), sets, "b", "rep", "set")
+    both, size = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    more = cut(compared.where((both > 0) & (100 * both >= PERCENT * (size - both))).select("a", "b").distinct(), "more")
     if roots is None or not more.isEmpty():
         roots = _joined(roots, more)
 
