@@ -462,3 +462,24 @@ def test_standard_notices(spark):
     assert ids["Apache-2.0"] == ["apache-2", "licence-at", "apache-2-basis", "apache-2-see"] and ids["GPL-3.0"] == ["gpl-3", "gnu-hope", "gnu-see"]
     own = {"do what you like": "free"}
     assert licenses.scan_licenses(spark.createDataFrame([(1, "Do what\nyou like! " * 3)], "doc_id long, text string"), sentences=own, rules=(("Own", ("free",)),)).first()["licence"]["licences"] == ["Own"]
+
+
+def test_near_copies_under_the_threshold_rarely_meet(spark, monkeypatch):
+    """Copies of one text with three words changed: few links, found exactly, and few pairs."""
+    import random
+
+    rng, n = random.Random(5), 240
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(120), 3):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    made, plain = [], dedup._exact_pairs
+    monkeypatch.setattr(dedup, "_exact_pairs", lambda *a: made.append(plain(*a).count()) or plain(*a))
+    out = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    want = {r[0]: r[2] for r in dedup_brute([(i, t, None, None, 0) for i, t in enumerate(texts)])}
+    assert got == want and 1 < len(set(want.values())) < n
+    assert sum(made) < 0.2 * n * (n - 1) / 2
