@@ -98,7 +98,7 @@ def test_logs_and_curves(spark, tmp_path):
     yes = B.accepted(log, spark.createDataFrame([("exp1", "a_s", True)], "experiment string, stem string, accepted boolean"))
     assert yes.first()["export_name"] == "exp1_a_s"
     (tmp_path / "run1").mkdir()
-    (tmp_path / "run1/results.csv").write_text("epoch, mAP50-95\n1,0.5\n2,\n")
+    (tmp_path / "run1/results.csv").write_text("epoch, metrics/mAP50-95\n1,0.5\n2,\n")
     assert {tuple(r) for r in B.training_curve(spark, str(tmp_path / "run1")).collect()} == {("run1", 1, 0.5), ("run1", 2, None)}
 
 
