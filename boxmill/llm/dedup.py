@@ -29,7 +29,7 @@ LEAST_ESTIMATE = 0.55
 HUB_ROUNDS = 3
 #: Parts in a key, keys a member gives beyond its spare parts, members of a key beyond which they are a group of
 #: their own, levels of groups, and rows of one key that stay in one task.
-MOST_PARTS, ROOM, MANY, LEVELS, SALTED = 6, 16, 16, 3, 500
+MOST_PARTS, ROOM, MANY, LEVELS, SALTED = 6, 16, 16, 2, 500
 #: Marks a shingle of the centre that a member lacks.
 LACKS = 0x5DEECE66D1234567
 
@@ -222,6 +222,7 @@ def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     meet. Keys that are still held by many members are the next level's groups.
     """
     out = None
+    sets = sets.withColumns({"size": F.size("shingles").cast("long"), "alone": F.lit(0)})
     for level in range(LEVELS):
         held = members.groupBy("grp").agg(F.count("*").alias("n"))
         held = broadcast_below(cut(held.where("n > 1"), "groups"), 1_000_000)
@@ -233,15 +234,16 @@ def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         mine = mine.agg(F.collect_list(F.when(~central, F.struct("c", F.col("s").alias("part")))).alias("own"), F.collect_list(F.when(central, F.col("s"))).alias("inside"))
         centres = shared.where(central).groupBy("grp").agg(F.collect_list("s").alias("centre"), F.any_value("n").alias("n"))
         centres = centres.select("grp", "centre", F.explode(F.sequence(F.lit(0), turns)).alias("turn"))
-        apart = rows.select("grp", "sid", "rep", "root", "n", F.size("shingles").cast("long").alias("size"), F.pmod(F.xxhash64("rep"), turns + 1).cast("int").alias("turn"))
+        apart = rows.select("grp", "sid", "rep", "root", "n", "size", "alone", F.size("shingles").alias("held"), F.pmod(F.xxhash64("rep"), turns + 1).cast("int").alias("turn"))
         apart = apart.join(mine, ["grp", "sid"], "left").join(centres, ["grp", "turn"], "left")
         no = F.array().cast("array<long>")
         apart = apart.withColumn("lacks", F.array_except(F.coalesce("centre", no), F.coalesce("inside", no)))
-        excess = (100 + PERCENT) * (F.col("size") - F.size(F.coalesce("inside", no)) + F.size("lacks")) - (100 - PERCENT) * F.col("size")
+        apart_by = F.col("alone") + F.col("held") - F.size(F.coalesce("inside", no)) + F.size("lacks")
+        excess = (100 + PERCENT) * apart_by - (100 - PERCENT) * F.col("size")
         # any order of the parts that all members of a group share is right; rare parts first is fast
         lacks = F.transform("lacks", lambda x: F.struct(F.floor(F.col("n") / 8).alias("c"), x.bitwiseXOR(F.lit(LACKS)).alias("part")))
         parts = F.sort_array(F.concat(F.coalesce("own", F.array().cast("array<struct<c: long, part: long>>")), lacks))
-        apart = cut(apart.select("grp", "rep", "root", "size", excess.alias("excess"), _band(excess).alias("band"), F.transform(parts, lambda x: x["part"]).alias("parts")), "differences")
+        apart = cut(apart.select("grp", "rep", "sid", "root", "size", (apart_by - F.size(parts)).alias("alone"), excess.alias("excess"), _band(excess).alias("band"), F.transform(parts, lambda x: x["part"]).alias("parts")), "differences")
 
         nearest = apart.groupBy("grp").agg(F.min(F.struct("excess", "rep", "root")).alias("least"), F.collect_set("band").alias("bands"))
         nearest = broadcast_below(cut(nearest.select("grp", F.col("least.excess").alias("least"), F.col("least.rep").alias("hub"), F.col("least.root").alias("hub_root"), "bands"), "nearest"), 1_000_000)
@@ -259,6 +261,8 @@ def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         if last:
             break
+        # a smaller group needs only what told its members from the larger one's centre
+        sets = apart.select("rep", "sid", "size", "alone", F.col("parts").alias("shingles"))
         members = keys.where(F.col("m") > MANY).select(F.col("key").alias("grp"), "rep", "root").distinct()
         if members.isEmpty():
             break
