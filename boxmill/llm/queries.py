@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Bpe, decode_texts, encode_texts
 from .chat import link_tool_calls, messages
 from .decontam import decontaminate
 from .dedup import near_duplicates
@@ -14,7 +16,9 @@ from .html_text import extract_text
 from .licenses import scan_licenses
 from .lm import score_texts
 from .mixing import mix
+from .phrases import mine_phrases
 from .quality import quality_rules
+from .repair import damaged, repair
 from .sharding import shard
 from .sql import SQL
 from .url_filter import judge_urls, seed_urls
@@ -72,8 +76,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).select("doc_id", "shard.*")
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = Bpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = decode_texts(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe), bpe)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_near_dedup, op3_url_filters, op4_html_extraction, op5_lm_scoring, op6_benchmark_decontamination,
-    op7_mixing_sources, op8_chat_formatting, op9_license_scans, op10_sharding,
+    op7_mixing_sources, op8_chat_formatting, op9_license_scans, op10_sharding, op11_byte_level_bpe, op12_phrase_collocations, op13_conversation_repair,
 )}
 __all__ = ["QUERIES", "SQL"]

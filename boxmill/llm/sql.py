@@ -73,6 +73,19 @@ SELECT conv_id, turn, role, kind, m.call_id, CASE WHEN kind = 'call' THEN coales
 FROM m LEFT JOIN dep ON dep.call_id = m.call_id LEFT JOIN res ON res.call_id = m.call_id"""
 
 
+PHRASES = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) x(k) WHERE len(ws) >= k) GROUP BY ALL),
+tot AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 100),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.f >= 100 * c.f AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, k, unnest(range(1, k)) AS j FROM kept),
+s AS (SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts JOIN tot USING (lang)
+ JOIN g x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1 : j], ' ') JOIN g y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[j + 1 :], ' ')),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM worst QUALIFY rank <= 2000"""
+
+
 def _licences() -> str:
     """Sentences, and lines of unknown ones, as rows joined with the table; rules as patterns over the identifiers."""
     known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
@@ -92,5 +105,5 @@ SELECT doc_id, ids AS sentence_ids, coalesce(array_to_string(l, ','), '') AS lic
 
 
 SQL: dict[str, str] = {
-    "op1_quality_rules": QUALITY, "op2_minhash_near_dedup": NEAR_DEDUP, "op6_benchmark_decontamination": DECONTAMINATION, "op7_mixing_sources": MIXING, "op8_chat_formatting": CHAT, "op9_license_scans": _licences(),
+    "op1_quality_rules": QUALITY, "op2_minhash_near_dedup": NEAR_DEDUP, "op6_benchmark_decontamination": DECONTAMINATION, "op7_mixing_sources": MIXING, "op8_chat_formatting": CHAT, "op9_license_scans": _licences(), "op12_phrase_collocations": PHRASES,
 }

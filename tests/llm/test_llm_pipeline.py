@@ -45,7 +45,7 @@ def test_names():
 
     names = entry.queries()
     assert "pipeline" in names
-    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
 
 
