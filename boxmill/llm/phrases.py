@@ -31,7 +31,7 @@ COVERED = 100
 #: The bitmap has 16 bits for each frequent phrase, and 2**27 (16 MB) at most: then more is counted that turns out rare.
 BITS_EACH, MOST_BITS, BLOCK = 16, 1 << 27, 1 << 15
 #: Bytes of text that are counted at once.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 WORD_BYTE, BLANK, END = 0, 1, 2
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = BLANK
