@@ -39,3 +39,14 @@ def query(sql: str = "", views: str = "", recursive: bool = False) -> Callable[[
         return run
 
     return registered
+
+
+def twin_of(name: str) -> Callable[[Callable[[Views], DataFrame]], Query]:
+    """Registers f(views) under its own name with the SQL of another query that gives the same rows."""
+
+    def registered(f: Callable[[Views], DataFrame]) -> Query:
+        run = query()(f)
+        SQL[f.__name__] = SQL[name]
+        return run
+
+    return registered

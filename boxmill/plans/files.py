@@ -12,7 +12,7 @@ from ..operators.lineage import shared_dir
 from ..sources import labels as S
 from ..sources import sinks as K
 from ..sources import tables as B
-from .base import Views, query
+from .base import Views, query, twin_of
 
 
 def folder(v: Views, name: str) -> str:
@@ -37,11 +37,50 @@ def coco_from_files(v: Views) -> DataFrame:
     """The documents have an object a line, so any number of tasks can read one."""
     root = folder(v, "coco")
     K.write_coco(v.fx_image, v.fx_label_line, v.fx_class, root)
-    lines = v.spark.read.text(root).select("value", T.stem(F.col("_metadata.file_name")).alias("split")).where(F.col("value").startswith('{"id"'))
+    lines = v.spark.read.text(root).select("value", T.stem(F.col("_metadata.file_name")).alias("split")).where(F.trim("value").startswith('{"id"'))
     kinds = {"images": "file_name", "annotations": "bbox", "categories": "supercategory"}
     return lines.groupBy("split").agg(*[F.count_if(F.col("value").contains(f'"{mark}":')).alias(k) for k, mark in kinds.items()])
 
 
+def tree(v: Views) -> DataFrame:
+    """A label file for every image, without content where it has no lines."""
+    docs = K.label_documents(v.fx_label_line, ("image_id",))
+    return v.fx_image.join(docs, "image_id", "left").select("split", T.stem(F.col("file_name")).alias("stem"), "content")
+
+
+TREE = """+t AS (SELECT split, regexp_extract(file_name, '^([^.]*)', 1) AS stem, coalesce(n, 0) AS n_lines, coalesce(chars, 0)::BIGINT AS chars FROM fx_image
+ LEFT JOIN (SELECT image_id, count(*) AS n, sum(length(line) + 1) AS chars FROM fx_label_line GROUP BY image_id) USING (image_id))"""
+
+
+def counted(files: DataFrame) -> DataFrame:
+    return files.select("split", "stem", F.regexp_count("content", F.lit("\n")).cast("long").alias("n_lines"), F.length("content").cast("long").alias("chars"))
+
+
+@query(f"{TREE} SELECT split, stem, n_lines, chars FROM t WHERE split <> 'train'", "fx_image fx_label_line")
+def label_tree_splits(v: Views) -> DataFrame:
+    """Label trees are written for all splits, and two are read, without looking into the folder of the third."""
+    root = folder(v, "tree")
+    K.write_label_tree(tree(v), root)
+    return counted(S.read_label_tree(v.spark, root)).where(F.col("split").isin("val", "test"))
+
+
+@query(f"{TREE} SELECT NULL::VARCHAR AS split, stem, n_lines, chars FROM t", "fx_image fx_label_line")
+def label_tree_flat(v: Views) -> DataFrame:
+    root = folder(v, "flat")
+    K.write_label_tree(tree(v).withColumn("split", F.lit(None).cast("string")), root)
+    return counted(S.flat_label_files(v.spark, root))
+
+
+@twin_of("coco_annotations")
+def coco_document(v: Views) -> DataFrame:
+    """The annotations that the documents hold; an object is a line, so any number of tasks can read one."""
+    root = folder(v, "coco")
+    K.write_coco(v.fx_image, v.fx_label_line, v.fx_class, root)
+    lines = v.spark.read.text(root).select("value", T.stem(F.col("_metadata.file_name")).alias("split")).where(F.col("value").contains('"bbox":'))
+    a = lines.select("split", F.from_json(F.rtrim(F.col("value"), F.lit(",")), "id long, image_id int, category_id int, bbox array<double>").alias("a"))
+    return a.select("split", "a.id", F.col("a.image_id").alias("image"), "a.category_id", *[F.round(F.col("a.bbox")[k], 1).alias(f"bbox_{c}") for k, c in enumerate("xywh")])
+
+
 @query("SELECT question_id, model, tier, label, response, inference_s FROM fx_answer", "fx_answer")
 def answers_from_files(v: Views) -> DataFrame:
     root, a = folder(v, "answers"), v.fx_answer

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, split_of, stem
+from .label_tree import read_label_tree
 
 #: Fixed sets of image extensions that tools of the field accept.
 EXTENSIONS = {
@@ -15,17 +16,6 @@ EXTENSIONS = {
 }
 
 
-def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, split, stem, content) of the .txt files under path, empty files included.
-
-    The text readers of DataFrames drop files without bytes, which would turn
-    hard negatives into missing labels; wholeTextFiles keeps them.
-    """
-    files = spark.sparkContext.wholeTextFiles(path).toDF("path string, content string")
-    files = files.where(extension(F.col("path")) == ".txt")
-    return files.select("path", split_of(F.col("path")).alias("split"), stem(F.col("path")).alias("stem"), "content")
-
-
 def label_lines(files: DataFrame) -> DataFrame:
     """(split, stem, line_no, line): a row for each line of each file."""
     lines = files.select("split", "stem", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line"))
@@ -33,13 +23,13 @@ def label_lines(files: DataFrame) -> DataFrame:
 
 
 def split_label_files(spark: SparkSession, root: str) -> DataFrame:
-    """Label files of the layout root/{train,val,test}/labels/*.txt."""
-    return label_files(spark, f"{root}/*/labels")
+    """(split, stem, content) of the layout root/{train,val,test}/labels/*.txt."""
+    return read_label_tree(spark, root, "split")
 
 
 def flat_label_files(spark: SparkSession, root: str) -> DataFrame:
-    """Label files beside the images of one folder."""
-    return label_files(spark, f"{root}/*.txt")
+    """(split, stem, content) of the label files beside the images of one folder; split is null."""
+    return read_label_tree(spark, root, "flat")
 
 
 def images(spark: SparkSession, path: str, *, extensions: tuple[str, ...] = EXTENSIONS["basic"], recursive: bool = True, without: str | None = None) -> DataFrame:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.labels import coco_annotations, coco_images
-from ..operators.lineage import broadcast_below
+from ..operators.lineage import cut
+from .label_tree import write_label_tree
 
 
 def write_manifest(assigned: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -55,8 +58,10 @@ def write_files(files: DataFrame, root: str) -> int:
 
 def write_labels(lines: DataFrame, path: str) -> int:
     """One text file an image, split/labels/stem.txt, of lines (split, stem, line_no, line), and how many there are."""
-    docs = label_documents(lines, ("split", "stem"))
-    return write_files(docs.select(F.concat_ws("/", "split", F.lit("labels"), F.concat("stem", F.lit(".txt"))).alias("path"), "content"), path)
+    seen = Observation()
+    docs = label_documents(lines, ("split", "stem")).observe(seen, F.count("*").alias("n"))
+    write_label_tree(docs, path)
+    return seen.get["n"]
 
 
 def coco_documents(images: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -66,50 +71,95 @@ def coco_documents(images: DataFrame, lines: DataFrame, classes: DataFrame) -> D
     box = F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox")
     a = a.select("split", F.lit("3 annotations").alias("part"), F.col("id").cast("long"), F.to_json(F.struct("id", F.col("image").alias("image_id"), "category_id", box, "area", F.array().cast("array<double>").alias("segmentation"), F.lit(0).alias("iscrowd"))).alias("value"))
     c = classes.select(F.col("class_id").cast("long").alias("id"), F.to_json(F.struct((F.col("class_id") + 1).alias("id"), "name", F.lit("object").alias("supercategory"))).alias("value"))
-    c = images.select("split").distinct().join(broadcast_below(c)).select("split", F.lit("1 categories").alias("part"), "id", "value")
+    c = images.select("split").distinct().crossJoin(c).select("split", F.lit("1 categories").alias("part"), "id", "value")
     return i.unionByName(a).unionByName(c)
 
 
-def write_coco(images: DataFrame, lines: DataFrame, classes: DataFrame, path: str) -> int:
-    """One COCO document a split, path/split.json, with info and licenses, and how many there are.
+#: The sections of a document in their order, as coco_documents() numbers them; each object has two bytes in front.
+SECTIONS = ("1 categories", "2 images", "3 annotations")
+FIRST, NEXT = b"\n ", b",\n"
 
-    A split's objects are sorted in its task, which may spill, and streamed to
-    the file, one a line, so no document is ever held whole.
-    """
-    root, today = path, F.date_format(F.current_date(), "yyyy/MM/dd")
-    rows = coco_documents(images, lines, classes).withColumn("today", today).repartition("split").sortWithinPartitions("split", "part", "id")
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = fs.FileSystem.from_uri(root.replace("file:///", "/").replace("file:/", "/"))
-        out, own, split, part, written, files = None, "", None, None, set(), 0
+def _places(sizes: list, today: str) -> tuple[dict[str, list[tuple[int, bytes]]], dict[tuple[str, str, int], tuple[int, bool]], dict[str, int]]:
+    """Of the bytes (split, part, range, bytes) of each range: the text between the objects of each document by offset, the offset of each range and whether it begins its section, and the length of each document."""
+    frame: dict[str, list[tuple[int, bytes]]] = {}
+    starts: dict[tuple[str, str, int], tuple[int, bool]] = {}
+    lengths: dict[str, int] = {}
+    for split in sorted({r["split"] for r in sizes}):
+        info = json.dumps({"description": f"Dataset {split}", "date_created": today})
+        at, text, frame[split] = 0, f'{{"info": {info},\n"licenses": []', []
+        for part in SECTIONS:
+            frame[split].append((at, (text + f',\n"{part[2:]}": [').encode()))
+            at += len(frame[split][-1][1])
+            for k, r in enumerate(sorted((r for r in sizes if r["split"] == split and r["part"] == part), key=lambda r: r["range"])):
+                starts[split, part, r["range"]] = at, k == 0
+                at += r["bytes"]
+            text = "\n]"
+        frame[split].append((at, b"\n]\n}\n"))
+        lengths[split] = at + len(frame[split][-1][1])
+    return frame, starts, lengths
 
-        def end() -> None:
-            rest = "".join(f',\n"{k[2:]}": []' for k in ("1 categories", "2 images", "3 annotations") if k not in written)
-            out.write(f"\n]{rest}\n}}\n".encode())
-            out.close()
-            system.move(own, f"{base}/{split}.json")
 
-        for pdf in batches:
-            for s, p, value, day in zip(pdf["split"], pdf["part"], pdf["value"], pdf["today"], strict=True):
-                if s != split:
-                    if out is not None:
-                        end()
-                    system.create_dir(base, recursive=True)
-                    own, split, part, written, files = f"{base}/.{uuid.uuid4().hex}", s, None, set(), files + 1
-                    out = system.open_output_stream(own)
-                    info = json.dumps({"description": f"Dataset {s}", "date_created": day})
-                    out.write(f'{{"info": {info},\n"licenses": []'.encode())
-                if p != part:
-                    out.write(("\n]" if part else "").encode() + f',\n"{p[2:]}": [\n'.encode() + value.encode())
-                    part = p
-                    written.add(p)
-                else:
-                    out.write(b",\n" + value.encode())
-        if out is not None:
-            end()
-        yield pd.DataFrame({"n": [files]})
-
-    return rows.select("split", "part", "value", "today").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write_coco(images: DataFrame, lines: DataFrame, classes: DataFrame, path: str) -> int:
+    """One COCO document a split, path/split.json, with info and licenses, and how many there are.
+
+    A document's objects, one a line, are dealt into ranges of their order. The
+    bytes of each range give its offset in the document, so any number of tasks
+    write one document at the same time, each with one object in memory. They
+    write to a file beside it that gets its name when all have ended; a task that
+    runs again writes the same bytes to the same place, and after a failure
+    nothing is left. path is in a file system that all executors mount, as
+    offsets need one.
+    """
+    spark, base = images.sparkSession, path.replace("file:///", "/").replace("file:/", "/").rstrip("/")
+    if "://" in base:
+        raise ValueError(f"{path}: documents are written by offsets, which needs a mounted file system")
+    rows = coco_documents(images, lines, classes)
+    ranged = cut(rows.repartitionByRange("split", "part", "id").withColumn("range", F.spark_partition_id()), "objects")
+    sizes = ranged.groupBy("split", "part", "range").agg(F.sum(F.octet_length("value") + len(NEXT)).alias("bytes")).collect()  # a row a range
+    today = spark.range(1).select(F.date_format(F.current_date(), "yyyy/MM/dd")).first()[0]
+    frame, starts, lengths = _places(sizes, today)
+    own = {split: f"{base}/.{uuid.uuid4().hex}" for split in frame}
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, out, n = None, None, 0
+        try:
+            for batch in batches:
+                for split, part, range_, value in zip(*(batch.column(c).to_pylist() for c in ("split", "part", "range", "value")), strict=True):
+                    if (split, part, range_) != at:
+                        if out:
+                            out.close()
+                        at = split, part, range_
+                        offset, first = starts[at]
+                        out = open(own[split], "r+b")
+                        out.seek(offset)
+                        out.write(FIRST if first else NEXT)
+                    else:
+                        out.write(NEXT)
+                    out.write(value.encode())
+                    n += 1
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    os.makedirs(base, exist_ok=True)
+    try:
+        for split, file in own.items():
+            with open(file, "wb") as f:
+                f.truncate(lengths[split])
+                for offset, text in frame[split]:
+                    f.seek(offset)
+                    f.write(text)
+        runs = ranged.repartition("split", "part", "range").sortWithinPartitions("split", "part", "range", "id")
+        runs.select("split", "part", "range", "value").mapInArrow(put, "n long").agg(F.sum("n")).first()
+        for split, file in own.items():
+            os.replace(file, f"{base}/{split}.json")
+    finally:
+        for file in own.values():
+            if os.path.exists(file):
+                os.remove(file)
+    return len(own)
 
 
 def write_questions(questions: DataFrame, path: str, mode: str = "errorifexists") -> None:
