@@ -2,7 +2,7 @@
 
 A minimal perfect hash over the vocabulary resolves pre-tokens that are tokens
 themselves. The others are merged, lowest rank first and leftmost among equals,
-with a heap over linked bytes, which asks the same hash for the rank of a pair.
+with a heap over linked bytes; a table has the token that two tokens make.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import others, text_or_empty
 
 #: Encoded pre-tokens that a worker keeps, none longer than KEPT_CHARS.
-KEPT, KEPT_CHARS = 200_000, 64
+KEPT, KEPT_CHARS = 400_000, 64
 #: Texts of more code points are split into pre-tokens so many at a time.
 LONG, AT_ONCE = 1 << 20, 1 << 16
 MASK, GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
@@ -83,12 +83,13 @@ def _slot(h: int, move: int, n: int) -> int:
 
 @dataclass
 class Vocabulary:
-    """The tokens of a rank file by id and by bytes."""
+    """The tokens of a rank file: by bytes in a perfect hash, by id, and by the two tokens they can be made of."""
 
     table: PerfectHash
     ids: list[int]  # by place in the table
     tokens: dict[int, bytes]
-    longest: int
+    pairs: dict[int, int]  # two ids to the id of their bytes together
+    single: list[int]  # by byte
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> Vocabulary:
@@ -96,36 +97,37 @@ class Vocabulary:
         if missing or len(set(ranks.values())) < len(ranks):
             raise ValueError(f"a byte-level vocabulary has every byte, and an id once; missing bytes: {missing}")
         table = PerfectHash.of(list(ranks))
-        return cls(table, [ranks[key] for key in table.keys], {i: key for key, i in ranks.items()}, max(map(len, ranks)))
-
-    def rank(self, token: bytes) -> int:
-        if len(token) > self.longest:
-            return -1
-        p = self.table.find(token)
-        return self.ids[p] if p >= 0 else -1
+        pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        return cls(table, [ranks[key] for key in table.keys], {i: key for key, i in ranks.items()}, pairs, [ranks[bytes([b])] for b in range(256)])
 
     def encoded(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        whole = self.rank(piece)
-        return [whole] if whole >= 0 else self.merged(piece)
+        whole = self.table.find(piece)
+        return [self.ids[whole]] if whole >= 0 else self.merged(piece)
 
     def merged(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        before, end = list(range(-1, n)), list(range(1, n + 1))  # by a symbol's first byte; end is -1 where a symbol was merged away
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := self.rank(piece[i : i + 2])) >= 0]
+        n, made = len(piece), self.pairs.get
+        token = [self.single[b] for b in piece]  # by a token's first byte
+        before, after = list(range(-1, n)), list(range(1, n + 1))
+        gives = [made(token[i] << 32 | token[i + 1], -1) for i in range(n - 1)] + [-1]  # what a token and the next one make
+        heap = [r << 40 | i for i, r in enumerate(gives) if r >= 0]
         heapify(heap)
         while heap:
-            _, i, middle, stop = heappop(heap)
-            if end[i] != middle or end[middle] != stop:
+            r, i = divmod(heappop(heap), 1 << 40)
+            if gives[i] != r:  # one of the two is another by now
                 continue
-            end[i], end[middle], before[stop] = stop, -1, i
-            for a, b in ((before[i], i), (i, stop)):
-                if a >= 0 and b < n and (r := self.rank(piece[a : end[b]])) >= 0:
-                    heappush(heap, (r, a, b, end[b]))
+            k, h = after[after[i]], before[i]
+            gives[after[i]] = gives[i] = -1
+            token[i], after[i], before[k] = r, k, i
+            for a, b in ((i, k), (h, i)):
+                if a >= 0 and b < n:
+                    gives[a] = x = made(token[a] << 32 | token[b], -1)
+                    if x >= 0:
+                        heappush(heap, x << 40 | a)
         out, i = [], 0
         while i < n:
-            out.append(self.rank(piece[i : end[i]]))
-            i = end[i]
+            out.append(token[i])
+            i = after[i]
         return out
 
 
