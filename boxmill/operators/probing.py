@@ -100,6 +100,25 @@ def model_cards(answers: DataFrame) -> DataFrame:
     return out.select("model", f1.alias("f1"), "precision", "recall", (F.col("said_yes") / F.col("valid")).alias("yes_ratio"), (F.col("valid") / F.col("n_total")).alias("valid_rate"), "median_s", "n_total")
 
 
+#: Size of a quantile sketch; a quantile's rank is off by about 0.3 % of the rows.
+SKETCH, RANK_ERROR = 1024, 0.01
+
+
+def latency_sketches(answers: DataFrame, keys: list[str], k: int = SKETCH) -> DataFrame:
+    """Per group a mergeable sketch of its seconds, of bounded size at any number of rows; nulls are left out."""
+    return answers.groupBy(*keys).agg(F.count("inference_s").alias("n"), F.kll_sketch_agg_double("inference_s", F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of finer groups, of other days or of other tables, as one each group."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, **ranks: float) -> DataFrame:
+    """Columns of quantiles by name, as p50=0.5; their ranks are within RANK_ERROR at the default size."""
+    return sketches.withColumns({name: F.kll_sketch_get_quantile_double("sketch", F.lit(rank)) for name, rank in ranks.items()})
+
+
 def calibration(cards: DataFrame) -> DataFrame:
     return cards.withColumn("deviation", F.abs(F.col("yes_ratio") - 0.5))
 

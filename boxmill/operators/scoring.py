@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import multiprocessing
 import time
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import TIMEOUT
 
@@ -22,31 +28,106 @@ def _model(name: str, load: Callable[[], object]) -> object:
     return _loaded[name]
 
 
-def answered(questions: DataFrame, name: str, load: Callable[[], Callable[[str, str], str]] | None = None, *, limit_s: float = 20.0) -> DataFrame:
+def _serve(load: Callable[[], Callable], pipe: Connection, others_end: Connection) -> None:
+    others_end.close()  # so that the end of the worker is the end of this pipe
+    try:
+        ask = load()
+        pipe.send((True, None))
+        while True:
+            args = pipe.recv()
+            try:
+                pipe.send((True, ask(*args)))
+            except Exception as e:  # noqa: BLE001  the worker raises it
+                pipe.send((False, repr(e)))
+    except EOFError:
+        pass
+
+
+class Deadline:
+    """A model in a child process of the worker; a call that is not back in time ends the child, and the next call starts another."""
+
+    def __init__(self, load: Callable[[], Callable], limit_s: float, load_s: float = 600.0) -> None:
+        self.load, self.limit_s, self.load_s, self.process = load, limit_s, load_s, None
+
+    def _answer(self, limit: float) -> object:
+        if not self.pipe.poll(limit):
+            self.close()
+            raise TimeoutError(f"no answer in {limit} s")
+        fine, value = self.pipe.recv()
+        if not fine:
+            raise RuntimeError(value)
+        return value
+
+    def ask(self, *args: object) -> object:
+        """The answer; TimeoutError if there is none in limit_s."""
+        if self.process is None:
+            context = multiprocessing.get_context("fork")
+            self.pipe, end = context.Pipe()
+            self.process = context.Process(target=_serve, args=(self.load, end, self.pipe), daemon=True)
+            self.process.start()
+            end.close()
+            self._answer(self.load_s)
+        self.pipe.send(args)
+        return self._answer(self.limit_s)
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
+
+
+def answered(questions: DataFrame, name: str, load: Callable[[], Callable[[str, str], str]] | None = None, *, limit_s: float = 20.0, rows: int = 500) -> DataFrame:
     """(question_id, response, inference_s) for questions (question_id, image, text).
 
     load gives a callable (image, text) -> answer; without it the answerer
-    registered by that name is taken. An answer that took longer
-    than limit_s is replaced by the timeout mark; the call itself is not cut.
+    registered by that name is taken. Each Python worker asks a child process of
+    its own. Where an answer takes longer than limit_s the child is ended, the
+    timeout mark is the answer, and the next question starts a child. Answers come
+    in batches of up to `rows`.
     """
     if load is None and name not in REGISTRY:
         raise KeyError(f"{name}: not one of {', '.join(sorted(REGISTRY))}")
     load = load or REGISTRY[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = _model(name, load)
-        for pdf in batches:
-            rows = []
-            for q, image, text in zip(pdf["question_id"], pdf["image"], pdf["text"], strict=True):
-                began = time.monotonic()
-                response = ask(image, text)
-                took = time.monotonic() - began
-                rows.append((q, TIMEOUT if took > limit_s else str(response).strip()[:300], took))
-            yield pd.DataFrame(rows, columns=["question_id", "response", "inference_s"])
+        model = _model(f"{name} in {limit_s} s", lambda: Deadline(load, limit_s))
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                pdf, out = whole.iloc[at : at + rows], []
+                for q, image, text in zip(pdf["question_id"], pdf["image"], pdf["text"], strict=True):
+                    began = time.monotonic()
+                    try:
+                        response = str(model.ask(image, text)).strip()[:300]
+                    except TimeoutError:
+                        response = TIMEOUT
+                    out.append((q, response, time.monotonic() - began))
+                yield pd.DataFrame(out, columns=["question_id", "response", "inference_s"])
 
     return questions.select("question_id", "image", "text").mapInPandas(run, ANSWER)
 
 
+def detected_in_batches(tiles: DataFrame, load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], *, batch_size: int = 256) -> DataFrame:
+    """Detections of tiles (image_id, tile) by a model that takes arrays.
+
+    load gives a callable that takes the image_ids and tiles of up to batch_size
+    rows and returns an array (rows, boxes, 6) of class_id, x1, y1, x2, y2, score,
+    padded with NaN where a tile has fewer boxes. It is called once a worker.
+    """
+
+    def make() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        predict = load()
+        return lambda image_id, tile: predict(image_id, tile).reshape(len(image_id), -1)
+
+    boxes = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    found = tiles.select("image_id", "tile", boxes("image_id", "tile").alias("flat"))
+    places = F.sequence(F.lit(0), (F.size("flat") / 6).cast("int") - 1)
+    each = found.where("size(flat) > 0").select("image_id", "tile", "flat", F.explode(places).alias("det_id"))
+    value = [F.col("flat")[F.col("det_id") * 6 + k] for k in range(6)]
+    return each.where(value[0].isNotNull() & ~F.isnan(value[0])).select("image_id", "tile", F.col("det_id").cast("long").alias("det_id"), value[0].cast("int").alias("class_id"), *[v.alias(c) for v, c in zip(value[1:], ("x1", "y1", "x2", "y2", "score"), strict=True)])
+
+
 def detected(tiles: DataFrame, name: str, load: Callable[[], Callable[[int, int], list[tuple]]]) -> DataFrame:
     """Detections of tiles (image_id, tile); load gives a callable (image_id, tile) -> [(class_id, x1, y1, x2, y2, score)]."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import fusion as D
 from ..operators import probing as P
+from ..operators import scoring as X
 from ..operators.ordering import first_by_hash
 from .base import Views, query
 
@@ -137,3 +139,52 @@ def resolved_image_paths(v: Views) -> DataFrame:
     rank = F.pmod("image_id", F.lit(3)).cast("int")
     f = v.fx_image.where("image_id % 2 = 0").select(F.col("file_name").alias("name"), rank.alias("dir_rank"), F.lit(0).alias("ext_rank"), F.concat(rank.cast("string"), F.lit("/"), "file_name").alias("path"))
     return P.resolved_paths(v.fx_image.select(F.col("file_name").alias("name")), f)
+
+
+@query("SELECT model, count(*) AS n, true AS p50_holds, true AS p90_holds FROM fx_answer GROUP BY model", "fx_answer")
+def latency_quantiles(v: Views) -> DataFrame:
+    """Sketches of each tier merged to models, and whether their quantiles stand at the ranks they should, counted over all rows."""
+    a = v.fx_answer
+    q = P.sketched_quantiles(P.merged_sketches(P.latency_sketches(a, ["model", "tier"]), ["model"]), p50=0.5, p90=0.9)
+    both = a.join(q.select("model", "p50", "p90"), "model")
+
+    def holds(name: str, rank: float) -> Column:
+        below, upto = F.count_if(F.col("inference_s") < F.col(name)) / F.count("*"), F.count_if(F.col("inference_s") <= F.col(name)) / F.count("*")
+        return (below <= rank + P.RANK_ERROR) & (upto >= rank - P.RANK_ERROR)
+
+    return both.groupBy("model").agg(F.count("*").alias("n"), holds("p50", 0.5).alias("p50_holds"), holds("p90", 0.9).alias("p90_holds"))
+
+
+def shouting():
+    """An answerer that hangs on a few questions."""
+    import time
+
+    return lambda image, text: time.sleep(3600) if int(image) % 200_000 == 17 else text.upper()
+
+
+@query("SELECT question_id, CASE WHEN question_id % 200000 = 17 THEN 'TIMEOUT' ELSE upper(cls) END AS response FROM fx_answer", "fx_answer")
+def answered_in_time(v: Views) -> DataFrame:
+    asked = v.fx_answer.select("question_id", F.col("question_id").cast("string").alias("image"), F.col("cls").alias("text"))
+    return X.answered(asked, "shouting", shouting, limit_s=10.0).select("question_id", "response")
+
+
+def corner_boxes():
+    """A detector of up to two boxes a tile, by arithmetic."""
+    import numpy as np
+
+    def predict(image_id, tile):
+        x = (image_id * 7 + tile * 13) % 100
+        box = np.stack([(image_id + tile) % 6, x, tile, x + 10.0, tile + 5.0, (image_id % 97 + 1) / 98], axis=1)
+        out = np.stack([box, box + np.array([0, 3, 3, 3, 3, 0])], axis=1).astype(float)
+        out[image_id % 3 == 0, 1] = np.nan
+        out[image_id % 5 == 0] = np.nan
+        return out
+
+    return predict
+
+
+@query("""+t AS (SELECT image_id, tile::INT AS tile, CAST((image_id * 7 + tile * 13) % 100 AS DOUBLE) AS x, ((image_id + tile) % 6)::INT AS class_id, (image_id % 97 + 1) / 98::DOUBLE AS score FROM fx_image, range(4) r(tile) WHERE image_id % 5 <> 0)
+SELECT image_id, tile, k AS det_id, class_id, x + 3 * k AS x1, CAST(tile + 3 * k AS DOUBLE) AS y1, x + 10 + 3 * k AS x2, CAST(tile + 5 + 3 * k AS DOUBLE) AS y2, round(score, 6) AS score FROM t, range(2) s(k) WHERE k = 0 OR image_id % 3 <> 0""", "fx_image")
+def detected_tiles(v: Views) -> DataFrame:
+    tiles = D.tile_grid(v.fx_image, 4, 0.1).select("image_id", "tile")
+    return X.detected_in_batches(tiles, corner_boxes).withColumn("score", F.round("score", 6))

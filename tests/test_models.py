@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pytest
+
 from boxmill.operators import placement as P
+from boxmill.operators import probing as Q
 from boxmill.operators import regions as R
 from boxmill.operators import scoring as X
 from boxmill.streaming import answers as A
@@ -23,6 +26,58 @@ def test_answers_and_timeouts(spark):
     assert out == {1: "yes a.jpg", 2: "TIMEOUT"}
 
 
+def test_a_hanging_model_is_replaced(spark):
+    q = spark.createDataFrame([(k, str(k), "hang" if k in (2, 3) else "ok") for k in range(6)], "question_id long, image string, text string").coalesce(1)
+
+    def load():
+        import os
+        import time
+
+        return lambda image, text: time.sleep(600) if text == "hang" else f"{os.getpid()}"
+
+    out = {r["question_id"]: r for r in X.answered(q, "hangs", load, limit_s=0.5, rows=2).collect()}
+    assert [k for k, r in out.items() if r["response"] == "TIMEOUT"] == [2, 3] and max(r["inference_s"] for r in out.values()) < 60
+    assert out[0]["response"] == out[1]["response"] != out[4]["response"] == out[5]["response"]
+
+
+def test_a_failing_model_fails_the_job(spark):
+    q = spark.createDataFrame([(1, "a", "b")], "question_id long, image string, text string")
+
+    def load():
+        return lambda image, text: 1 / 0
+
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        X.answered(q, "fails", load).collect()
+
+
+def test_detections_in_batches(spark):
+    def load():
+        import numpy as np
+
+        def predict(image_id, tile):
+            out = np.full((len(tile), 3, 6), np.nan)
+            for row, t in enumerate(tile):
+                for k in range(t):
+                    out[row, k] = [k, 0.0, 0.0, image_id[row], 1.0, 0.5]
+            return out
+
+        return predict
+
+    tiles = spark.createDataFrame([(i, t) for i in range(5) for t in range(4)], "image_id long, tile int").repartition(3)
+    got = sorted((r["image_id"], r["tile"], r["det_id"], r["class_id"], r["x2"]) for r in X.detected_in_batches(tiles, load, batch_size=3).collect())
+    assert got == [(i, t, k, k, float(i)) for i in range(5) for t in range(4) for k in range(t)]
+    assert X.detected_in_batches(tiles.limit(0), load).count() == 0
+
+
+def test_sketches_merge_within_their_error(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("part"), F.lit("m").alias("model"), F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("inference_s"))
+    merged = Q.sketched_quantiles(Q.merged_sketches(Q.latency_sketches(rows, ["model", "part"]), ["model"]), p10=0.1, p50=0.5, p99=0.99).first()
+    assert merged["n"] == 27_000
+    for name, rank in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+        assert abs(rows.where(F.col("inference_s") <= merged[name]).count() / 27_000 - rank) <= Q.RANK_ERROR
+    assert Q.latency_sketches(rows.limit(0), ["model"]).count() == 0
+
+
 def test_detections(spark):
     tiles = spark.createDataFrame([(1, 0), (1, 1)], "image_id long, tile int")
     out = X.detected(tiles, "stub2", lambda: lambda i, t: [(3, 0.0, 0.0, 1.0, 1.0, 0.5)] * t)
