@@ -11,7 +11,8 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import islice, pairwise
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,7 @@ KEPT, KEPT_CHARS = 400_000, 64
 #: Texts of more code points are split into pre-tokens so many at a time.
 LONG, AT_ONCE = 1 << 20, 1 << 16
 MASK, GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
+PLACE = (1 << 40) - 1
 
 
 @dataclass
@@ -46,8 +48,8 @@ class PerfectHash:
         n, buckets = len(keys), max(1, len(keys) // 2)
         grouped: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
         for key in keys:
-            h = xxhash.xxh3_128_intdigest(key)
-            grouped[(h >> 64) % buckets].append((key, h & MASK))
+            h = xxhash.xxh3_64_intdigest(key)
+            grouped[h % buckets].append((key, h))
         slots: list[bytes | None] = [None] * n
         moves = [0] * buckets
         for b in sorted(range(buckets), key=lambda b: -len(grouped[b])):
@@ -71,9 +73,9 @@ class PerfectHash:
 
     def find(self, key: bytes) -> int:
         """The place of key in keys, -1 if it is none of them."""
-        h = xxhash.xxh3_128_intdigest(key)
-        move = self.moves[(h >> 64) % len(self.moves)]
-        p = -move - 1 if move < 0 else _slot(h & MASK, move, len(self.keys))
+        h = xxhash.xxh3_64_intdigest(key)
+        move = self.moves[h % len(self.moves)]
+        p = -move - 1 if move < 0 else _slot(h, move, len(self.keys))
         return p if p < len(self.keys) and self.keys[p] == key else -1
 
 
@@ -94,10 +96,10 @@ class Vocabulary:
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> Vocabulary:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
-        if missing or len(set(ranks.values())) < len(ranks):
-            raise ValueError(f"a byte-level vocabulary has every byte, and an id once; missing bytes: {missing}")
+        if missing or len(set(ranks.values())) < len(ranks) or max(ranks.values()) >> 20:
+            raise ValueError(f"a byte-level vocabulary has every byte, and ids below 2**20, each once; missing bytes: {missing}")
         table = PerfectHash.of(list(ranks))
-        pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        pairs = {ranks[t[:k]] << 20 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         return cls(table, [ranks[key] for key in table.keys], {i: key for key, i in ranks.items()}, pairs, [ranks[bytes([b])] for b in range(256)])
 
     def encoded(self, piece: bytes) -> list[int]:
@@ -107,23 +109,28 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         n, made = len(piece), self.pairs.get
-        token = [self.single[b] for b in piece]  # by a token's first byte
+        token = list(map(self.single.__getitem__, piece))  # by a token's first byte
         before, after = list(range(-1, n)), list(range(1, n + 1))
-        gives = [made(token[i] << 32 | token[i + 1], -1) for i in range(n - 1)] + [-1]  # what a token and the next one make
+        gives = [made(a << 20 | b, -1) for a, b in pairwise(token)]  # what a token and the next one make
         heap = [r << 40 | i for i, r in enumerate(gives) if r >= 0]
+        gives.append(-1)
         heapify(heap)
         while heap:
-            r, i = divmod(heappop(heap), 1 << 40)
+            x = heappop(heap)
+            r, i = x >> 40, x & PLACE
             if gives[i] != r:  # one of the two is another by now
                 continue
-            k, h = after[after[i]], before[i]
-            gives[after[i]] = gives[i] = -1
-            token[i], after[i], before[k] = r, k, i
-            for a, b in ((i, k), (h, i)):
-                if a >= 0 and b < n:
-                    gives[a] = x = made(token[a] << 32 | token[b], -1)
-                    if x >= 0:
-                        heappush(heap, x << 40 | a)
+            j = after[i]
+            k = after[j]
+            token[i], after[i], before[k], gives[j], gives[i] = r, k, i, -1, -1
+            if k < n and (x := made(r << 20 | token[k], -1)) >= 0:
+                gives[i] = x
+                heappush(heap, x << 40 | i)
+            h = before[i]
+            if h >= 0:
+                gives[h] = x = made(token[h] << 20 | r, -1)
+                if x >= 0:
+                    heappush(heap, x << 40 | h)
         out, i = [], 0
         while i < n:
             out.append(token[i])
@@ -138,7 +145,8 @@ class Encoded(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.vocabulary.encoded(piece.encode()), "<u4").tobytes()
+        ids = self.vocabulary.encoded(piece.encode())
+        found = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
