@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import centre_to_corners, coco_box
 from ..functions.text import hash_order, trimmed
-from .lineage import broadcast_below
 from .ordering import hash_rank, hash_running, range_rank
 
 SPLITS = ("train", "val", "test")
@@ -37,7 +36,7 @@ def parse_lines(lines: DataFrame, *, min_tokens: int = 5, mode: str = "skip") ->
 
 def known(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     """Lines of known classes, with their names."""
-    return parsed.join(broadcast_below(classes), "class_id")
+    return parsed.join(classes, "class_id")
 
 
 def of_classes(parsed: DataFrame, ids: list[int]) -> DataFrame:
@@ -156,7 +155,7 @@ def quota_split(images: DataFrame, parsed: DataFrame, ratios: tuple[float, float
     images of a class fill train up to its share of boxes, then val, then test.
     """
     totals = class_totals(parsed).withColumnRenamed("n", "total")
-    per = instances(parsed).join(broadcast_below(totals), "class_id")
+    per = instances(parsed).join(totals, "class_id")
     rarest = per.groupBy("image_id").agg(F.min(F.struct("total", "class_id", "n")).alias("r")).select("image_id", F.col("r.class_id").alias("stratum"), F.col("r.n").alias("n"))
     out = hash_running(rarest, seed, ["image_id"], F.col("n"), "upto", ["stratum"], "of")
     train, val, _ = ratios

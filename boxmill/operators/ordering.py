@@ -16,6 +16,15 @@ from .lineage import cut
 DIGITS = 3
 
 
+def _beside(rows: DataFrame, sums: DataFrame, by: list[str], bucket: str) -> DataFrame:
+    """rows with the sums of their group and bucket; null groups are groups."""
+    named = sums.withColumnsRenamed({c: f"_of_{c}" for c in (*by, bucket)})
+    same = F.col(bucket) == F.col(f"_of_{bucket}")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(named, same).drop(*[f"_of_{c}" for c in (*by, bucket)])
+
+
 def hash_running(df: DataFrame, seed: int, key: list[str], amount: Column, to: str, by: list[str] | None = None, all_to: str | None = None) -> DataFrame:
     """df with `to`: the sum of amount over the rows with the same `by` up to this one, by md5(seed:key), then key.
 
@@ -29,7 +38,7 @@ def hash_running(df: DataFrame, seed: int, key: list[str], amount: Column, to: s
     sums = h.groupBy(*by, "_b").agg(F.sum("_a").alias("_n"))
     sums = sums.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(group)}).drop("_n")
     inside = F.sum("_a").over(Window.partitionBy(*by, "_b").orderBy("_h", *key).rowsBetween(Window.unboundedPreceding, 0))
-    out = h.join(sums, [*by, "_b"]).withColumn(to, (inside + F.col("_before")).cast("long"))
+    out = _beside(h, sums, by, "_b").withColumn(to, (inside + F.col("_before")).cast("long"))
     out = out.withColumn(all_to, F.col("_all")) if all_to else out
     return out.drop("_h", "_b", "_a", "_before", "_all")
 
@@ -49,7 +58,7 @@ def range_rank(df: DataFrame, order: list[str], to: str, by: list[str]) -> DataF
     before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*by, "_r").orderBy(*order))
-    return ranged.join(counts, [*by, "_r"]).withColumn(to, (inside + F.col("_before")).cast("long")).drop("_r", "_before")
+    return _beside(ranged, counts, by, "_r").withColumn(to, (inside + F.col("_before")).cast("long")).drop("_r", "_before")
 
 
 def first_by_hash(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TIMEOUT, predicted, question, strict_answer, trimmed
 from .labels import absent_classes, class_frequency, cooccurrence
-from .lineage import broadcast_below
 from .ordering import first_by_hash, hash_rank
 
 TIERS = ("random", "popular", "adversarial")
@@ -27,8 +26,8 @@ def negatives(images: DataFrame, gold: DataFrame, class_ids: list[int], *, seed:
     gold = gold.select("image_id", "class_id").distinct()
     absent = absent_classes(images, gold, class_ids)
     n = gold.groupBy("image_id").agg(F.count("*").alias("n"))
-    often = broadcast_below(class_frequency(gold))
-    both = broadcast_below(cooccurrence(gold))
+    often = class_frequency(gold)
+    both = cooccurrence(gold)
     near = gold.join(both, gold["class_id"] == both["class_a"]).groupBy("image_id", F.col("class_b").alias("class_id")).agg(F.sum("n").alias("together"))
     c = absent.join(n, "image_id", "left").join(often, "class_id", "left").join(near, ["image_id", "class_id"], "left")
     c = c.withColumns({"want": F.coalesce("n", F.lit(without_gold)), "popular": F.coalesce("n_images", F.lit(0)), "adversarial": F.coalesce("together", F.lit(0))})
@@ -44,7 +43,7 @@ def balanced(questions: DataFrame, seed: int = 42) -> DataFrame:
     """As many yes as no questions in each tier: the larger label is cut in hash order."""
     ranked = hash_rank(questions, seed, ["image_id", "class_id"], "_k", ["tier", "label"])
     least = questions.groupBy("tier").agg(F.least(F.count_if(F.col("label") == "yes"), F.count_if(F.col("label") == "no")).alias("_least"))
-    return ranked.join(broadcast_below(least), "tier").where("_k <= _least").drop("_k", "_least")
+    return ranked.join(least, "tier").where("_k <= _least").drop("_k", "_least")
 
 
 def build_questions(images: DataFrame, gold: DataFrame, classes: DataFrame, class_ids: list[int], *, prompts: DataFrame | None = None, seed: int = 42) -> DataFrame:
@@ -52,10 +51,10 @@ def build_questions(images: DataFrame, gold: DataFrame, classes: DataFrame, clas
     yes = gold.select("image_id", "class_id").distinct().select("image_id", "class_id", F.explode(F.lit(list(TIERS))).alias("tier")).withColumn("label", F.lit("yes"))
     rows = yes.unionByName(negatives(images, gold, class_ids, seed=seed).withColumn("label", F.lit("no")))
     rows = hash_rank(balanced(rows, seed), seed + 1, ["image_id", "class_id"], "question_id", ["tier"])
-    rows = rows.join(broadcast_below(classes.select("class_id", F.col("name").alias("cls"))), "class_id")
+    rows = rows.join(classes.select("class_id", F.col("name").alias("cls")), "class_id")
     prompt = F.lit(None).cast("string")
     if prompts is not None:
-        rows, prompt = rows.join(broadcast_below(prompts.select("class_id", "prompt")), "class_id", "left"), F.col("prompt")
+        rows, prompt = rows.join(prompts.select("class_id", "prompt"), "class_id", "left"), F.col("prompt")
     return rows.select("tier", "question_id", "image_id", "cls", question(prompt, F.col("cls")).alias("text"), "label")
 
 

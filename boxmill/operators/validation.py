@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import CORNERS, iou
 from ..functions.text import harmonic
-from .lineage import broadcast_below
 
 #: Score bins of the running sums: rows of a class are summed by bin first, then inside a bin.
 BINS = 1024
@@ -48,15 +47,15 @@ def precision_recall(rows: DataFrame, gold: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({"_n0": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_t0": F.coalesce(F.sum("_t").over(upto), F.lit(0))}).drop("_n", "_t")
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.join(broadcast_below(bins), [*keys, "_bin"])
+    r = r.join(bins, [*keys, "_bin"])
     r = r.withColumns({"_rank": F.count("*").over(inside) + F.col("_n0"), "_hits": F.sum(F.col("tp").cast("int")).over(inside) + F.col("_t0")})
     r = r.withColumn("precision", F.col("_hits") / F.col("_rank"))
     later = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
     best = r.groupBy(*keys, "_bin").agg(F.max("precision").alias("_m")).withColumn("_later", F.max("_m").over(later)).drop("_m")
     after = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    r = r.join(broadcast_below(best), [*keys, "_bin"]).withColumn("envelope", F.greatest(F.max("precision").over(after), F.coalesce("_later", F.lit(0.0))))
+    r = r.join(best, [*keys, "_bin"]).withColumn("envelope", F.greatest(F.max("precision").over(after), F.coalesce("_later", F.lit(0.0))))
     n = gold.groupBy("class_id").agg(F.count("*").alias("n_gold"))
-    r = r.join(broadcast_below(n), "class_id", "left").withColumn("recall", F.try_divide(F.col("_hits"), F.col("n_gold")))
+    r = r.join(n, "class_id", "left").withColumn("recall", F.try_divide(F.col("_hits"), F.col("n_gold")))
     return r.select("image_id", "class_id", "threshold", "det_id", "score", "tp", "precision", "recall", "envelope")
 
 
