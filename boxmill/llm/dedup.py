@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     one class and are never paired. In each round the classes of a band's bucket
     are compared with one drawn hub, unless they are in its component already;
     rounds end when none finds a link. The classes of buckets that then still
-    hold several components are joined exactly by prefix and position bounds, so
+    hold several components are joined exactly by what tells them from a centre, so
     no link inside a bucket is lost. With 32 bands of 4 a pair at the threshold
     shares no bucket with probability 5e-6.
 
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
             break
         roots = _joined(roots, found)
 
-    # the classes of buckets that still hold several components meet in an exact prefix join
+    # the classes of buckets that still hold several components meet by keys of what tells them from their group's centre
     rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
     rest = cut(rooted.join(open_, "bucket").select("rep", "root", "first").distinct(), "open")
