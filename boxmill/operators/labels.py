@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import centre_to_corners, coco_box
 from ..functions.text import hash_order, trimmed
+from . import admission
 from .ordering import hash_rank, hash_running, range_rank
 
 SPLITS = ("train", "val", "test")
@@ -162,41 +163,12 @@ def quota_split(images: DataFrame, parsed: DataFrame, ratios: tuple[float, float
     return out.select("image_id", "stratum", F.when(F.col("upto") <= F.lit(train) * F.col("of"), "train").when(F.col("upto") <= F.lit(train + val) * F.col("of"), "val").otherwise("test").alias("split"))
 
 
-def greedy_split(parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42, bucket_images: int = 10_000) -> DataFrame:
-    """(image_id, split) by the greedy rule: in hash order an image goes to the first split where no class exceeds its target.
+def greedy_split(parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42) -> DataFrame:
+    """(image_id, split, fits) by the greedy rule: in hash order an image goes to the first split where no class exceeds its target.
 
-    Images that fit nowhere go to train. The rule is sequential, so images are
-    dealt by hash into buckets of about `bucket_images`, each with its own
-    boxes' share of the targets: no task holds more, and a table of up to that
-    many images follows the exact rule.
+    Images that fit nowhere go to train with fits = false.
     """
-    per = instances(parsed).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("counts"))
-    buckets = 1 + parsed.select("image_id").distinct().count() // bucket_images
-    per = per.withColumns({"o": hash_order(seed, F.col("image_id")), "bucket": F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int")})
-    kind = dict(per.dtypes)["image_id"]
-
-    def assign(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        rows = pdf.sort_values(["o", "image_id"])
-        totals: dict[int, int] = {}
-        for c in rows["counts"]:
-            for k, n in dict(c).items():
-                totals[k] = totals.get(k, 0) + n
-        used = [dict.fromkeys(totals, 0) for _ in range(3)]
-        targets = [{k: int(t * ratios[0]) for k, t in totals.items()}, {k: int(t * ratios[1]) for k, t in totals.items()}]
-        targets.append({k: t - targets[0][k] - targets[1][k] for k, t in totals.items()})
-        where: dict[object, str] = {}
-        for s in range(3):
-            for image, c in zip(rows["image_id"], rows["counts"], strict=True):
-                c = dict(c)
-                if image not in where and all(used[s][k] + n <= targets[s][k] for k, n in c.items()):
-                    where[image] = SPLITS[s]
-                    for k, n in c.items():
-                        used[s][k] += n
-        return pd.DataFrame({"image_id": rows["image_id"], "split": [where.get(i, "train") for i in rows["image_id"]]})
-
-    return per.groupBy("bucket").applyInPandas(assign, f"image_id {kind}, split string")
+    return admission.greedy_split(instances(parsed), SPLITS, ratios, seed)
 
 
 def slice_hard_negatives(negatives: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42) -> DataFrame:

@@ -43,6 +43,23 @@ def hash_running(df: DataFrame, seed: int, key: list[str], amount: Column, to: s
     return out.drop("_h", "_b", "_a", "_before", "_all")
 
 
+def running_sums(df: DataFrame, amounts: dict[str, Column], order: list[str], bucket: str, by: list[str]) -> DataFrame:
+    """df with a column for each amount: its sum over the rows with the same `by` up to this one, in the order of bucket, then order.
+
+    bucket is a column of few values that order never contradicts, such as the
+    first digits of a hash; the sums of buckets are all that meets in one place.
+    """
+    named = {f"_n_{k}": v for k, v in amounts.items()}
+    rows = df.withColumns(named)
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, bucket).agg(*[F.sum(n).alias(n) for n in named])
+    sums = sums.select(*by, bucket, *[F.coalesce(F.sum(f"_n_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in amounts])
+    inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({k: F.sum(f"_n_{k}").over(inside) for k in amounts})
+    out = _beside(rows, sums, by, bucket)
+    return out.withColumns({k: (F.col(k) + F.col(f"_before_{k}")).cast("long") for k in amounts}).drop(*named, *[f"_before_{k}" for k in amounts])
+
+
 def hash_rank(df: DataFrame, seed: int, key: list[str], to: str, by: list[str] | None = None, all_to: str | None = None) -> DataFrame:
     """df with `to`: the place, from 1, in hash order among the rows with the same `by`; all_to: how many these are."""
     return hash_running(df, seed, key, F.lit(1), to, by, all_to)

@@ -136,6 +136,19 @@ def hard_negative_slices(v: Views) -> DataFrame:
     return L.slice_hard_negatives(states(v).where("state <> 'annotated'"))
 
 
-@query()
+#: The sequential rule of the greedy split, an image a step: what each split holds of each class is in u0_0 to u2_5.
+CLASSES, PARTS = range(6), range(3)
+USED = [(s, c) for s in PARTS for c in CLASSES]
+FITS = [" AND ".join(f"u{s}_{c} + n{c} <= q{s}_{c}" for c in CLASSES) for s in PARTS]
+GREEDY = f"""+{PARSED}, im AS (SELECT image_id, row_number() OVER (ORDER BY md5('42:' || image_id), image_id) AS k, {", ".join(f"count(*) FILTER (class_id = {c}) AS n{c}" for c in CLASSES)} FROM good GROUP BY image_id),
+tot AS (SELECT {", ".join(f"sum(n{c}) AS t{c}" for c in CLASSES)} FROM im),
+q AS (SELECT {", ".join(f"floor(t{c} * CAST(0.7 AS DOUBLE)) AS q0_{c}, floor(t{c} * CAST(0.2 AS DOUBLE)) AS q1_{c}, t{c} - floor(t{c} * CAST(0.7 AS DOUBLE)) - floor(t{c} * CAST(0.2 AS DOUBLE)) AS q2_{c}" for c in CLASSES)} FROM tot),
+st AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS image_id, NULL::INT AS s, {", ".join(f"0::BIGINT AS u{s}_{c}" for s, c in USED)}
+  UNION ALL SELECT k, image_id, s, {", ".join(f"u{s}_{c} + CASE WHEN s = {s} THEN n{c} ELSE 0 END" for s, c in USED)}
+  FROM (SELECT im.*, {", ".join(f"u{s}_{c}" for s, c in USED)}, CASE {" ".join(f"WHEN {FITS[s]} THEN {s}" for s in PARTS)} END AS s FROM st JOIN im ON im.k = st.k + 1, q))
+SELECT image_id, CASE s WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'train' END AS split, s IS NOT NULL AS fits FROM st WHERE k > 0"""
+
+
+@query(GREEDY, "fx_label_line", recursive=True)
 def greedy_split(v: Views) -> DataFrame:
     return L.greedy_split(parsed(v))

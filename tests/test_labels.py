@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
 from boxmill.functions import text as T
+from boxmill.operators import admission as A
 from boxmill.operators import labels as L
 from boxmill.sources import labels as S
 from boxmill.sources import sinks as K
@@ -47,15 +49,37 @@ def test_bad_lines(spark):
         L.parse_lines(rows, mode="raise").collect()
 
 
-def test_greedy_split_holds_its_targets(spark):
+def test_greedy_split_is_the_sequential_rule(spark):
+    """Many boxes an image and a class in a third of all rows: images that fit nowhere, and quotas that fill early."""
+    rng = random.Random(7)
+    counts = [(i, c, rng.choice((1, 1, 2, 9, 40))) for i in range(400) for c in {0 if rng.random() < 0.5 else rng.randrange(6) for _ in range(1 + i % 3)}]
+    counts += [(900, None, 3), (901, None, 1), (None, 2, 1)]
+    rows = spark.createDataFrame(counts, "image_id long, class_id int, n int")
+    got = {r["image_id"]: (r["split"], r["fits"]) for r in A.greedy_split(rows, L.SPLITS, (0.7, 0.2, 0.1), 42).collect()}
+    hashes = {r["image_id"]: r["h"] for r in rows.select("image_id", T.hash_order(42, F.col("image_id")).alias("h")).distinct().collect()}
+    total = {c: sum(n for _, d, n in counts if d == c) for _, c, _ in counts}
+    quota = [{c: int(t * 0.7) for c, t in total.items()}, {c: int(t * 0.2) for c, t in total.items()}]
+    quota.append({c: t - quota[0][c] - quota[1][c] for c, t in total.items()})
+    used = [dict.fromkeys(total, 0) for _ in range(3)]
+    want = {}
+    for image in sorted(hashes, key=lambda i: (hashes[i] or "", i is not None, i)):
+        own = {c: n for i, c, n in counts if i == image}
+        s = next((s for s in range(3) if all(used[s][c] + n <= quota[s][c] for c, n in own.items())), None)
+        want[image] = ("train" if s is None else L.SPLITS[s], s is not None)
+        for c, n in own.items() if s is not None else ():
+            used[s][c] += n
+    assert got == want and sum(not fits for _, fits in want.values()) > 0
+    assert A.greedy_split(rows.limit(0), L.SPLITS, (0.7, 0.2, 0.1), 42).count() == 0
+
+
+def test_greedy_split_of_parsed_lines_has_each_image_once(spark):
     parsed = spark.range(200).select("id", F.pmod("id", F.lit(3)).cast("int").alias("class_id")).withColumnRenamed("id", "image_id")
     parsed = parsed.unionByName(parsed.where("image_id % 5 = 0").withColumn("class_id", F.lit(2)))
     out = L.greedy_split(parsed)
     assert out.count() == out.select("image_id").distinct().count() == 200
-    used = {(r["class_id"], r["split"]): r["count"] for r in parsed.join(out, "image_id").groupBy("class_id", "split").count().collect()}
-    totals = {r["class_id"]: r["count"] for r in parsed.groupBy("class_id").count().collect()}
-    for c, n in totals.items():
-        assert used[(c, "val")] <= int(n * 0.2)
+    used = {(r["class_id"], r["split"]): r["count"] for r in parsed.join(out.where("fits"), "image_id").groupBy("class_id", "split").count().collect()}
+    for r in parsed.groupBy("class_id").count().collect():
+        assert used[(r["class_id"], "val")] <= int(r["count"] * 0.2)
 
 
 def test_class_names():
