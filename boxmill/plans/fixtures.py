@@ -76,6 +76,11 @@ FROM fx_box b JOIN fx_class c ON b.class_id = c.class_id
 SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS epoch,
   value / CAST(500 AS DOUBLE) AS map5095
 FROM events
+""",
+    "fx_epoch_time": """
+SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS epoch,
+  value / CAST(500 AS DOUBLE) AS map5095, ts AS seen
+FROM events
 """,
     "fx_pixel": {
         "spark": """

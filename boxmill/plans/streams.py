@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import shared_dir
 from ..streaming.answers import answer_stream, append_stream, epoch_monitor, once_each, stream
+from ..streaming.monitor import keyed_state, run_monitor
 from .base import Views, query
 
 
@@ -34,6 +35,22 @@ def stream_epoch_monitor(v: Views) -> DataFrame:
     return written(v, epoch_monitor(stream(v.spark, path, schema, 10_000)))
 
 
+@query("""+o AS (SELECT run, epoch, map5095 AS m, epoch_us(seen) AS at_us, (epoch_us(max(seen) OVER ()) // 1000) - 3600000 AS mark FROM fx_epoch_time),
+e AS (SELECT *, at_us - lag(at_us) OVER w >= 86400000000 AS fresh FROM o WHERE m IS NOT NULL AND ceil(at_us / 1000) < mark WINDOW w AS (PARTITION BY run ORDER BY at_us, epoch, m)),
+s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY at_us, epoch, m ROWS UNBOUNDED PRECEDING) AS part FROM e),
+r AS (SELECT *, row_number() OVER w AS i, greatest(0, max(m) OVER (w ROWS UNBOUNDED PRECEDING)) AS best FROM s WINDOW w AS (PARTITION BY run, part ORDER BY at_us, epoch, m)),
+j AS (SELECT *, best > coalesce(lag(best) OVER (PARTITION BY run, part ORDER BY i), 0) AS improved, max(i) OVER (PARTITION BY run, part) AS n FROM r),
+k AS (SELECT *, (i - coalesce(max(CASE WHEN improved THEN i END) OVER (PARTITION BY run, part ORDER BY i ROWS UNBOUNDED PRECEDING), 0))::INT AS since FROM j)
+SELECT run, at_us, epoch, best, improved, since, CASE since WHEN 3 THEN 'stop' ELSE 'epoch' END AS status FROM k
+UNION ALL SELECT run, at_us, epoch, best, false, since, 'idle' FROM k AS last WHERE i = n AND (ceil((at_us + 86400000000) / 1000) < mark OR EXISTS (SELECT 1 FROM k WHERE k.run = last.run AND k.part > last.part))""", "fx_epoch_time")
+def stream_run_monitor(v: Views) -> DataFrame:
+    """Epochs by their times, an hour of disorder allowed; runs end after a day of silence and stop after three epochs without improvement."""
+    path, schema = staged(v.fx_epoch_time.withColumn("seen", F.col("seen").cast("timestamp")))
+    with keyed_state(v.spark):
+        out = written(v, run_monitor(stream(v.spark, path, schema, 10_000), "seen", patience=3))
+    return out.withColumn("at", F.unix_micros("at")).withColumnRenamed("at", "at_us")
+
+
 @query("SELECT DISTINCT question_id, model, tier FROM fx_answer", "fx_answer")
 def stream_once_each(v: Views) -> DataFrame:
     a = v.fx_answer.select("question_id", "model", "tier")

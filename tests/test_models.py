@@ -11,6 +11,7 @@ from boxmill.operators import probing as Q
 from boxmill.operators import regions as R
 from boxmill.operators import scoring as X
 from boxmill.streaming import answers as A
+from boxmill.streaming import monitor as M
 from pyspark.sql import functions as F
 
 
@@ -108,3 +109,25 @@ def test_resumed_stream_adds_nothing_twice(spark, tmp_path):
         rows.write.mode("append").parquet(str(tmp_path / "in"))
         A.answer_stream(A.stream(spark, str(tmp_path / "in"), schema), lambda d: d.withColumn("response", F.lit("yes")), str(tmp_path / "out"), str(tmp_path / run)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_silent_runs_end_and_late_epochs_go(spark, tmp_path):
+    """Batches out of order, epochs at the watermark, repeated rows, a run that falls silent and one that comes back."""
+    schema = "run long, epoch int, map5095 double, at timestamp"
+
+    def after(rows):
+        d = spark.createDataFrame(rows, "run long, epoch int, map5095 double, s long").selectExpr("run", "epoch", "map5095", "timestamp_seconds(s) AS at")
+        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        with M.keyed_state(spark):
+            epochs = A.stream(spark, str(tmp_path / "in"), schema)
+            A.append_stream(M.run_monitor(epochs, "at", delay_s=100, idle_s=1000, patience=2), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+        out = spark.read.parquet(str(tmp_path / "out")).selectExpr("run", "unix_seconds(at)", "epoch", "best", "improved", "since", "status")
+        return sorted(map(tuple, out.collect()), key=lambda r: (r[0] or 0, r[1], r[6] == "idle", r[5]))
+
+    first = [(1, 10, 1, 0.5, True, 0, "epoch"), (1, 70, 2, 0.5, False, 1, "epoch")]
+    assert after([(1, 2, 0.4, 70), (1, 1, 0.5, 10), (None, 1, 0.3, 30), (2, 1, 0.1, 180), (1, 4, None, 20), (1, 5, math.nan, 20), (1, None, 0.9, 20), (1, 6, 0.9, None)]) == [(None, 30, 1, 0.3, True, 0, "epoch"), *first[:1], *first[1:]]
+    second = [*first, (1, 110, 3, 0.5, False, 2, "stop"), (1, 110, 3, 0.5, False, 3, "epoch")]
+    assert after([(1, 3, 0.5, 110), (1, 3, 0.5, 110), (1, 9, 0.9, 60), (2, 2, 0.2, 300)])[1:] == [*second, (2, 180, 1, 0.1, True, 0, "epoch")]
+    third = after([(1, 4, 0.2, 1300), (3, 1, 0.1, 1401)])
+    assert [r for r in third if r[0] == 1] == [*second, (1, 110, 3, 0.5, False, 3, "idle"), (1, 1300, 4, 0.2, True, 0, "epoch")]
+    assert [(r[0], r[6]) for r in third if r[6] == "idle"] == [(None, "idle"), (1, "idle"), (2, "idle")]
