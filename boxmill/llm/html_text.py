@@ -39,23 +39,49 @@ HINTS = re.compile(
     r"(?i)(?<!\S)(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|sidebar|widget|comments?|disqus|replies|respond|menu|nav|navbar|navigation|breadcrumbs?"
     r"|footer|site-header|page-header|masthead|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|pagination|contentinfo|complementary|search"
     r"|(?:cookie|consent|gdpr|ad|advert|promo)[_-](?:banner|bar|notice|box|slot|unit|container|wrapper)|(?:site|page|main|top|primary)[_-](?:nav|menu|navigation|footer|sidebar)"
-    r"|(?:comments?|comment)[_-](?:list|area|section|form)|(?:share|social|sharing)[_-](?:buttons?|links?|bar|icons?)|(?:related|recommended)[_-](?:posts?|articles?|links?|stories)|(?:newsletter|subscribe)[_-](?:form|signup|box)|search[_-](?:form|box|bar))(?!\S)"
+    r"|(?:cookies?|gdpr)[_-]consent|notices?[_-](?:box|bar|banner)|(?:comments?|comment)[_-](?:list|area|section|form)|(?:share|social|sharing)[_-](?:buttons?|links?|bar|icons?)|(?:related|recommended)[_-](?:posts?|articles?|links?|stories)|(?:newsletter|subscribe)[_-](?:form|signup|box)|search[_-](?:form|box|bar))(?!\S)"
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-_NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
-_MAIN_ROLE = re.compile(r"""(?i)role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b""")
+#: Words of a class, id or role that name reader comments or adverts inside an article, unless a word beside them denies or counts them.
+STEMS = re.compile(r"(?i)(?<![^\s_-])(?:comments?|commentlist|disqus|ads|adsbygoogle|advert\w*|sponsor(?:ed|s)?)(?![^\s_-])")
+DENIED = re.compile(r"(?i)(?<![^\s_-])(?:no|not|non|has|have|with|without|hide|free)(?![^\s_-])")
+#: A quote delimits a value only right after its equals sign.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)*+)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NONE = re.compile(r"(?i)display\s*:\s*none")
+_NAMED = ("class", "id", "role")
+#: Tags whose text in the middle of an article's sentence belongs to the sentence.
+IN_SENTENCE = {"button", "label"}
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a start tag, the first of each name."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
+
+
+def _named(attributes: dict[str, str], inside: bool) -> bool:
+    """Whether a class, id or role names a part that is no article; inside an article, comments and adverts go by words of their names."""
+    names = [attributes[k] for k in _NAMED if k in attributes]
+    return any(HINTS.search(x) for x in names) or (inside and any(STEMS.search(x) and not DENIED.search(x) for n in names for x in n.split()))
 
 
 def blocks(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
     """([(text, inside the article, in a dropped part)], whether there is an article) in page order.
 
-    Names do not drop an element around the page's only article: if all articles
-    are in parts dropped by name, those parts stay where the articles in them have
-    more text than the page outside of them.
+    Neither names nor tags drop an element around the page's only article, such as a
+    form or a menu that is never closed: if all articles are in dropped parts, those
+    parts stay where the articles in them have more text than the page outside of
+    them. An article whose own name drops it counts as in such a part.
     """
     out, found, around = _blocks(html, frozenset())
-    if found or not around:
+    own = sum(len(text) for text, main, dropped in out if main and not dropped)
+    if own or not around:
         return out, found
     more, found, _ = _blocks(html, frozenset(around))
     inside = sum(len(text) for text, main, dropped in more if main and not dropped)
@@ -73,12 +99,13 @@ def _end_of(html: str, tag: str, at: int) -> int:
 
 
 def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bool]], bool, set[int]]:
-    """As blocks(), with the starts of elements that only their name drops and that hold an article; names of `spared` ones don't count."""
+    """As blocks(), with the starts of elements that name or tag drop and that are or hold an article; `spared` ones are not dropped."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, int | None]] = []  # tag, inside main, dropped, start if only its name drops it
+    stack: list[tuple[str, bool, bool, int | None]] = []  # tag, inside main, dropped, start if its name or tag drops it
     around: set[int] = set()
     inside = dropped = found = False
     buffer: list[str] = []
+    in_sentence: list[str] = []
     at = 0
 
     def flush() -> None:
@@ -86,6 +113,7 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
         if text:
             out.append((text, inside, dropped))
         buffer.clear()
+        in_sentence.clear()
 
     while m := _TAG.search(html, at):
         if m.start() > at:
@@ -97,9 +125,15 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
         if tag == "br":
             buffer.append(" ")
         if tag in INLINE:  # part of its block, whatever its name; only hidden ones go
-            if not m[1] and tag not in VOID and m[3] and _HIDDEN.search(m[3]):
+            if not m[1] and tag not in VOID and m[3] and _hidden(_attributes(m[3])):
                 at = _end_of(html, tag, at)
             continue
+        if m[1] and tag in in_sentence:
+            in_sentence.remove(tag)
+            continue
+        if not m[1] and tag in IN_SENTENCE and inside and not dropped and any(map(str.strip, buffer)) and not _hidden(_attributes(m[3])):
+            in_sentence.append(tag)
+            continue
         if m[1]:
             flush()
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
@@ -107,11 +141,9 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
                 inside, dropped = stack[k][1], stack[k][2]
                 del stack[k:]
             continue
-        attributes = m[3]
-        main = tag in MAIN or bool(attributes and _MAIN_ROLE.search(attributes))
-        named = bool(attributes) and not main and tag not in ("html", "body") and m.start() not in spared and any(HINTS.search(x[1] or x[2] or x[3] or "") for x in _NAMES.finditer(attributes))
-        shut = bool(attributes) and bool(_HIDDEN.search(attributes))
-        hidden = named or shut
+        attributes = _attributes(m[3])
+        main = tag in MAIN or attributes.get("role", "").strip().lower() == "main" or "articleBody" in attributes.get("itemprop", "").split()
+        shut = _hidden(attributes)
         flush()
         if tag in VOID:
             continue
@@ -119,13 +151,14 @@ def _blocks(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bo
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else (len(html) if tag in ("script", "style") else at)
             continue
-        if main and dropped and not hidden:
+        drops = tag in DROPPED or (tag == "header" and not inside) or (tag not in ("html", "body") and _named(attributes, inside))
+        soft = drops and not shut and m.start() not in spared
+        stack.append((tag, inside, dropped, m.start() if soft else None))
+        if main and not shut and (dropped or soft):
             around.update(x[3] for x in stack if x[3] is not None)
-        gone = shut or tag in DROPPED or (tag == "header" and not inside)
-        stack.append((tag, inside, dropped, m.start() if named and not gone else None))
-        if main and not dropped and not hidden:
-            inside = found = True
-        dropped = dropped or named or gone
+        dropped = dropped or shut or soft
+        inside = inside or (main and not dropped)
+        found = found or inside
     buffer.append(html[at:])
     flush()
     return out, found, around

@@ -104,6 +104,31 @@ def test_names_still_drop_parts():
     assert html_text.article_text(f'<article>A{related}<ul class="x comment-list"><li>Reader</ul><p class="ad-box">Buy</p></article>', None) == "A"
 
 
+@pytest.mark.parametrize("page, text", [
+    # parts around the only article
+    ('<body><form id="aspnetForm"><div><article><p>Hello</p></article></div></form>', "Hello"),
+    ("<nav><ul><li>Menu<article><p>Hello</p></article>", "Hello"),
+    ('<div title="the hidden valley"><article><p>Hello</article></div>', "Hello"),
+    ('<article class="is hidden now"><p>Hello</p></article>', "Hello"),
+    ('<main><article class="promo">Hello</article></main>', "Hello"),
+    # hidden by an attribute of its own
+    ('<article>A<div hidden>x</div><div aria-hidden="true">x</div><p style="color:red; display : none">x</p></article>', "A"),
+    # quotes and signs in attributes
+    ("<article><p title=don't>Hello</p></article>", "Hello"),
+    ('<article><p title="a > b" data-x=\'c "d"\' e= f>Hello</p></article>', "Hello"),
+    # comments, adverts and notices inside the article, teasers beside it
+    ('<article>A<ol class="commentlist"><li>x</ol></article>', "A"), ('<article>A<div id="comments-wrap">x</div></article>', "A"), ('<article>A<div class="comment-thread">x</div></article>', "A"),
+    ('<article>A<section class="user-comments">x</section></article>', "A"), ('<article>A<div class="adsbygoogle">x</div></article>', "A"), ('<article>A<div class="sponsored-content">x</div></article>', "A"),
+    ('<article>A<div class="cookie-consent">x</div></article>', "A"), ('<article>A<div class="notice-box">x</div></article>', "A"), ('<article>A</article><article class="related">x</article>', "A"),
+    ('<article><h1>T</h1><article class="comment">x</article></article>', "T"), ('<article>A<p class="no-comments">B</p><p class="adsorption">C</p></article>', "A\n\nB\n\nC"),
+    # controls in a sentence are words, alone they are controls
+    ("<article>Press <button>OK</button> now</article>", "Press OK now"), ("<article>A <label>kept?</label> B</article>", "A kept? B"), ("<article>A<p><button>Share</button></p></article>", "A"),
+    ("<article>A<form>Name <label>x</label></form></article>", "A"),
+])
+def test_parts_by_structure_and_attributes(page, text):
+    assert html_text.article_text(page, None) == text
+
+
 def page(k, own):
     return f"<body><div>Welcome to the site of all good things, friend of ours</div><p>{own}</p><div>Home Shop Help</div></body>"
 
