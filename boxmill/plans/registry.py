@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import evaluation, fusion, labels, probing, regions, streams  # noqa: F401, I001  they register their queries
-from . import dense, files  # noqa: F401  with the SQL of others
+from . import artefacts, dense, files  # noqa: F401  with the SQL of others, or files
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
