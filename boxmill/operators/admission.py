@@ -37,7 +37,7 @@ def _round(rows: DataFrame, splits: int) -> DataFrame:
     """rows, a row an image and class, after one round: what was admitted before added to b0.., and stage and taken decided.
 
     Rows with `taken` were admitted by the round before and leave here. The others have
-    it set if they are admitted now; a stage of `splits` fits nowhere.
+    it set if they are admitted now; a stage of `splits` fits nowhere. One row of each image has `lead`.
     """
     own = lambda prefix: F.element_at(F.array(*[F.col(f"{prefix}{s}") for s in range(splits)]), F.col("stage") + 1)
     amounts: dict[str, Column] = {f"a{s}": F.when(F.col("taken") & (F.col("stage") == s), F.col("n")).otherwise(0) for s in range(splits)}
@@ -50,7 +50,7 @@ def _round(rows: DataFrame, splits: int) -> DataFrame:
         F.bool_and(high <= quota).alias("taken"), F.bool_or(low > quota).alias("_never"), F.collect_list(F.struct(*kept)).alias("_rows"),
     )
     image = image.withColumn("stage", F.col("stage") + F.col("_never").cast("int"))
-    return image.select("image_id", "_h", "_bucket", "stage", "taken", F.inline("_rows"))
+    return image.select("image_id", "_h", "_bucket", "stage", "taken", F.inline(F.transform("_rows", lambda x, i: x.withField("lead", i == 0))))
 
 
 def greedy_split(counts: DataFrame, names: tuple[str, ...], ratios: tuple[float, ...], seed: int) -> DataFrame:
@@ -75,8 +75,8 @@ def greedy_split(counts: DataFrame, names: tuple[str, ...], ratios: tuple[float,
     while True:
         rows = cut(_round(rows, splits), "admission")
         rounds += 1
-        settled = rows.where(F.col("taken") | (F.col("stage") == splits)).groupBy("image_id").agg(F.first("taken").alias("fits"), F.first("stage").alias("stage"))
-        settled = settled.select("image_id", F.when(F.col("fits"), of).otherwise(names[0]).alias("split"), "fits")
+        settled = rows.where(F.col("lead") & (F.col("taken") | (F.col("stage") == splits)))
+        settled = settled.select("image_id", F.when(F.col("taken"), of).otherwise(names[0]).alias("split"), F.col("taken").alias("fits"))
         done = settled if done is None else done.unionByName(settled)
         rows = rows.where(F.col("stage") < splits)
         if rows.where(~F.col("taken")).isEmpty():
