@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .decontam import WORD as ALNUM
-from .licenses import END, LINE_END, RULES, SENTENCES
+from .licenses import CC_KINDS, CC_VERSIONS, END, LEAD, LINE_END, NAMES, RULES, SENTENCES, SPDX, TAIL
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -87,17 +87,24 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 
 
 def _licences() -> str:
-    """Sentences, and lines of unknown ones, as rows joined with the table; rules as patterns over the identifiers."""
-    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    """The table and its expansion as rows; sentences, and lines of unknown ones, joined with it; rules as patterns over the identifiers."""
+    raw = [*SENTENCES.items(), *[(n, i) for i, _, _, names in NAMES for n in names], *[(f"spdx license identifier {x}", i) for i, _, spdx, _ in NAMES for x in spdx]]
+    known = ", ".join(f"('{k}', '{v}')" for k, v in raw)
+    kinds, versions = (", ".join(f"('{a}', '{b}')" for a, b in pairs) for pairs in (CC_KINDS, CC_VERSIONS))
     # a rule's identifiers in order, others between them
     rules = [(name, "(^|,)" + ",([^,]*,)*".join(seq) + "(,|$)") for name, seq in RULES]
     hits = ", ".join(f"CASE WHEN regexp_matches(ids, '{rx}') THEN '{name}' END" for name, rx in rules)
-    normal = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
-    return rf"""WITH known(sentence, id) AS (VALUES {known}),
+    plain = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    normal = f"regexp_replace(regexp_replace(regexp_replace({plain}, '{TAIL}', ''), '{LEAD}', ''), '{SPDX}', 'spdx ')"
+    return rf"""WITH cc AS (SELECT 'cc ' || c || ' ' || v AS short, 'creative commons ' || n || ' ' || v AS long, c, n, v, area, 'cc-' || c || '-' || replace(regexp_replace(v, '\.0$', ''), '.', '-') AS id
+ FROM (VALUES {kinds}) k(c, n), (VALUES {versions}) w(v, area)),
+raw(x, id) AS (VALUES {known} UNION ALL SELECT unnest([short, short || ' license', short || ' ' || area, long, long || ' license', long || ' ' || area, long || ' ' || area || ' license', long || ' ' || area || ' ' || short, long || ' ' || area || ' license ' || short,
+ 'creative commons ' || n || ' ' || area || ' ' || v || ' license', 'spdx license identifier ' || short, 'https creativecommons org licenses ' || c || ' ' || v]), id FROM cc),
+known AS (SELECT {normal} AS sentence, min(id) AS id FROM raw GROUP BY 1),
 p AS (SELECT doc_id, k, ps[k] AS x FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{END}') AS ps FROM documents))),
-w AS (SELECT doc_id, k, x, id FROM p LEFT JOIN known ON sentence = {normal}),
+w AS (SELECT doc_id, k, x, id FROM (SELECT *, {normal} AS s FROM p) LEFT JOIN known ON sentence = s),
 l AS (SELECT doc_id, k, j, ls[j] AS x FROM (SELECT doc_id, k, ls, unnest(range(1, len(ls) + 1)) AS j FROM (SELECT doc_id, k, string_split_regex(x, '{LINE_END}') AS ls FROM w WHERE id IS NULL AND contains(x, chr(10))))),
-f AS (SELECT doc_id, k, 0 AS j, id FROM w WHERE id IS NOT NULL UNION ALL SELECT doc_id, k, j, id FROM l JOIN known ON sentence = {normal}),
+f AS (SELECT doc_id, k, 0 AS j, id FROM w WHERE id IS NOT NULL UNION ALL SELECT doc_id, k, j, id FROM (SELECT *, {normal} AS s FROM l) JOIN known ON sentence = s),
 g AS (SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY k, j), '') AS ids FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id),
 h AS (SELECT doc_id, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS l FROM g),
 u AS (SELECT doc_id, ids, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM h)

@@ -458,12 +458,37 @@ def test_standard_notices(spark):
     got = licenses.scan_licenses(spark.createDataFrame(list(NOTICES.items()), "want string, text string")).select("want", "licence.*").collect()
     assert {r["want"]: r["licence"] for r in got} == {k: k for k in NOTICES}
     ids = {r["want"]: r["sentence_ids"] for r in got}
-    assert ids["MIT"] == ["mit-grant", "mit-notice", "as-is", "mit-liability"]
+    assert ids["MIT"] == ["mit", "mit-grant", "mit-notice", "as-is", "mit-liability"]
     assert ids["Apache-2.0"] == ["apache-2", "licence-at", "apache-2-basis", "apache-2-see"] and ids["GPL-3.0"] == ["gpl-3", "gnu-hope", "gnu-see"]
     own = {"do what you like": "free"}
     assert licenses.scan_licenses(spark.createDataFrame([(1, "Do what\nyou like! " * 3)], "doc_id long, text string"), sentences=own, rules=(("Own", ("free",)),)).first()["licence"]["licences"] == ["Own"]
 
 
+PROBES = {
+    "// SPDX-License-Identifier: MIT\nint x;": "MIT", "MIT License": "MIT", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "License: Apache-2.0": "Apache-2.0",
+    "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "This page is available under a Creative Commons Attribution 4.0 International License (CC BY 4.0).": "CC-BY-4.0",
+    "This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.": "MIT", "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)": "BSL-1.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n": "ISC",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone": "Unlicense", "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING": "EPL-2.0",
+    "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n": "EPL-2.0",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": "GPL-3.0", "All text is licensed under CC-BY-NC 3.0.": "CC-BY-NC-3.0", "https://creativecommons.org/licenses/by-nd/4.0/": "CC-BY-ND-4.0",
+    "mit": None, "License: see below": None, "The weather is available under the bridge.": None, "We are licensed under the table.": None,
+}
+
+
+def test_licences_by_name(spark):
+    d = spark.createDataFrame(list(PROBES), "string").toDF("text")
+    assert {r["text"]: r["licence"] for r in licenses.scan_licenses(d).select("text", "licence.licence").collect()} == PROBES
+
+
+def test_licence_table_as_rows(spark):
+    d = spark.createDataFrame([("Foo bar. The end! Baz.",), (None,)], "text string")
+    rows = spark.createDataFrame([("foo  BAR", "x"), ("foo bar", "w"), ("Baz", "y"), (None, "z"), ("q", None), ("...", "e")], "sentence string, id string")
+    out = licenses.scan_licenses(d, sentences=rows, rules=(("L", ("w", "y")), ("M", ("y", "w")))).collect()
+    assert sorted((r["licence"]["sentence_ids"], r["licence"]["licences"]) for r in out) == [([], []), (["w", "y"], ["L"])]
+    assert licenses.scan_licenses(d, sentences=rows.limit(0)).where("size(licence.sentence_ids) > 0").count() == 0
+
+
 def test_near_copies_under_the_threshold_rarely_meet(spark, monkeypatch):
     """Copies of one text with three words changed: few links, found exactly, and few pairs."""
     import random
