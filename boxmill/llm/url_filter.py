@@ -10,31 +10,26 @@ from .common import ascii_lower, let, others
 #: Fixed rules of the result contract: (verdict, host and path prefix).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: The labelled registered domains, made up under the reserved ending .example; each gives one URL per name before it and path.
+#: Words of the categories that public filter lists block (adult, gambling, drugs, copied software, adverts and trackers, spam, fraud, malware), and of general topics.
 BLOCK = (
-    "royalcasino", "bestcasinos", "casino247", "casino-bonus", "goldencasino", "luckycasino", "megaslots", "slotmachines", "slots-jackpot", "jackpotcity", "bigjackpot", "pokerstars-online", "pokerroom", "onlinepoker", "roulette-wins", "blackjackpro", "winbig", "winnersclub", "win-prizes", "instantwin",
-    "freebets", "sportsbets", "betting-tips", "bets365days", "betonline", "livebetting", "bookmakers", "lottowinner", "lotto-prizes", "freespins", "bonuscodes", "freebonus",
-    "cheapmeds", "cheap-pills", "dietpills", "pillstore", "pillsonline", "buyviagra", "viagra-cialis", "cialis-shop", "pharmacy-discount", "onlinepharm", "steroids-shop", "slimming-pills", "weightloss-miracle", "cheapwatches", "replicawatches", "replica-bags", "fakerolex", "cheapdeals", "cheaphandbags", "discountdrugs",
-    "adultvideos", "adult-dating", "adultcams", "adultfun", "sexcams", "sexshop", "hotsex", "xxxmovies", "xxx-pics", "pornhouse", "freeporn", "escortgirls", "hotdating", "nudegirls", "webcamgirls", "milfdates",
-    "adsnetwork", "ads-server", "adserve", "adclicks", "trackads", "ad-tracker", "clicktracker", "trackingpixel", "track-stats", "popunder-ads", "bannerads", "adtraffic", "pixeltrack", "usertracking", "clickfarm", "contentfarm", "linkfarm", "link-farms", "articlefarm", "seofarm",
-    "spamlinks", "spam-blog", "spamking", "emailspam", "bulkspam", "buybacklinks", "seo-backlinks", "cheaptraffic", "getrichquick", "freemoney", "easycash", "fastcash", "paydayloans", "quickloans", "cashadvance", "cryptodoubler", "freegiftcards", "freeiphone", "free-download-crack", "warezcrack", "serialkeys", "keygens", "torrentcrack", "crackedgames",
-)
+    "porn sex xxx adult escort erotic nude webcam casino poker roulette blackjack slots jackpot bingo lottery betting bookmaker wagers viagra cialis pills steroids slimming painkillers drugstore "
+    "warez crack keygen torrent serials cheats adserver banners popups clickbait tracker affiliate traffic pixels spam backlinks bulkmail linkfarm seo autoblog "
+    "payday loans freemoney giveaway prizes winner replica phishing malware spyware dialer hacks"
+).split()
 ALLOW = (
-    "citylibrary", "statelibrary", "nationalmuseum", "historymuseum", "artgallery", "theatre-royal", "theatrenotes", "weatherstation", "dailyweather", "weathermaps", "gardening", "kitchengarden", "bothgardens", "northernnews", "thenorthstar", "thetimes-archive", "morningpost", "eveningherald", "countygazette", "villagevoice",
-    "astronomy", "mathsforum", "mathematics", "physicsnotes", "chemistry-lab", "biologytoday", "earthscience", "oceanresearch", "geologists", "botany", "birdwatching", "butterflies", "mountaineers", "hikingtrails", "walkingpaths", "cyclists", "railwayhistory", "steamtrains", "lighthouses", "harbourmasters",
-    "university", "communitycollege", "primaryschool", "theschools", "teachers-network", "education", "lecturenotes", "openlectures", "thesis-archive", "dissertations", "translation", "dictionary", "grammarians", "linguistics", "etymology", "literature", "poetry-foundation", "novelists", "authors-guild", "bookshelf",
-    "breadbaking", "homebrewers", "recipes", "vegetarian", "cheesemakers", "winemaking", "restaurantguide", "nutrition", "healthservice", "hospital", "nursing", "dentists", "veterinary", "therapists", "childrenshealth", "motherhood", "fatherhood", "grandparents", "otherpeople", "neighbours",
-    "architecture", "construction", "carpentry", "woodturning", "ceramics", "weaving", "leathercraft", "featherwork", "watercolours", "photography", "typography", "orchestra", "choralsociety", "folkmusic", "jazzrecords", "violinmakers", "dancetheatre", "filmsociety", "documentaries", "radioamateurs",
-    "parliament", "elections", "legislation", "constitution", "townhall", "citycouncil", "fireservice", "policehistory", "transportation", "publicworks", "economics", "statistics", "census-data", "opendata", "software-engineering", "compilers", "operatingsystems", "networking", "electronics", "robotics", "standards", "documentation", "mailinglists", "bugreports",
-    "seventhstreet", "smithandsons", "southernsailing", "thirtythree-things", "thoughts-on-maths", "athenaeum", "hearthstone", "motherearth", "brotherhood", "withinthewalls", "nothingness", "faithgroups", "youthhostels", "authenticity", "methodists", "rhythm", "ethnology", "anthologies", "lithographs", "thermometers",
-    "farmersmarket", "farmhouse", "windowmakers", "winterwalks", "adventure", "advice-bureau", "addressbook", "trackcycling", "freedom", "freshwater", "betterhomes", "pillowcase", "chapel", "clicking-beetles", "lincolnshire", "backgammon",
-)
-NAMES, PATHS = ("", "www."), ("/", "/index.html", "/about/contact", "/2019/05/article-12")
-
-DIM, EPOCHS, RATE, DECAY = 4096, 20, 1.0, 1e-4
+    "arts music film theatre dance literature poetry museum history archive library science physics chemistry biology astronomy geology mathematics weather climate garden farming cooking recipes bakery "
+    "health hospital nursing dentist school college university teacher language dictionary grammar news gazette magazine journal radio sports football cycling hiking sailing travel maps railway harbour "
+    "city council parliament law economy statistics software hardware electronics"
+).split()
+#: Rule of the labelled domains, all under the reserved ending .example: each word with those so many places on in its list, joined in turn with and without a hyphen.
+STEPS, NAMES, PATHS = (1, 5, 12), ("", "www."), ("/", "/index.html", "/about/contact", "/2019/05/article-12")
+
+DIM, EPOCHS, DECAY = 4096, 100, 1e-4
+#: Step of the descent: the inverse of the greatest curvature, as an example's features have length sqrt(2).
+RATE = 1 / (0.5 + DECAY)
 #: Labelled URLs beyond which training refuses: all of them stand in one row.
 MAX_LABELLED = 5_000
-#: Probability over which a URL is blocked, from held-out domains: accuracy 0.83, precision 0.81, recall 0.78 (0.5: 0.79, 0.70, 0.87; 0.7: 0.83, 0.89, 0.67).
+#: Probability over which a URL is blocked, from held-out domains.
 CERTAIN = 0.6
 
 
@@ -81,33 +76,51 @@ def _score(weights: Column, slots: Column) -> Column:
 
 def seed_urls(spark: SparkSession) -> DataFrame:
     """(url, label, domain): the labelled table, 1 for block. A name and a path go to each domain in turn."""
-    rows = [(f"https://{n}{d}.example{PATHS[(k + j) % len(PATHS)]}", y, d) for y, known in ((1, BLOCK), (0, ALLOW)) for k, d in enumerate(known) for j, n in enumerate(NAMES)]
+    rows = []
+    for y, known in ((1, BLOCK), (0, ALLOW)):
+        for k, word in enumerate(known):
+            for j, step in enumerate(STEPS):
+                domain = word + "-" * (j % 2) + known[(k + step) % len(known)]
+                rows += [(f"https://{n}{domain}.example{PATHS[(k + j + i) % len(PATHS)]}", y, domain) for i, n in enumerate(NAMES)]
     return spark.createDataFrame(rows, "url string, label int, domain string")
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """DIM weights and a bias from (url, label), by gradient descent over the examples in the order of a hash.
+    """DIM weights and a bias from (url, label), by accelerated gradient descent over all examples.
 
-    The whole training is one expression over one row: a fold over epochs and
-    examples, each step a dot product and an update of the weights. Rows with a
-    null url or label are left out; without any, all weights are 0. More than
-    MAX_LABELLED rows are refused.
+    The examples stand in one row by slots, and once more by slot, so an epoch
+    touches each feature of an example twice: for its residual, and for the sum
+    of the residuals of its slot. Rows with a null url or label are left out;
+    without any, all weights are 0. More than MAX_LABELLED rows are refused.
     """
     rows = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("y")).distinct()
     if rows.limit(MAX_LABELLED + 1).count() > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
     host, path = host_and_path(F.col("url"))
     rows = rows.select(F.md5(F.col("url").cast("binary")).alias("o"), "y", gram_slots(host, path).alias("slots"))
-    vector = let(F.col("slots"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(DIM)), lambda i: F.when(i == DIM, 1.0).when(F.array_contains(s, i), F.lit(1.0) / F.sqrt(F.size(s).cast("double"))).otherwise(0.0)))
-    one = rows.select(F.struct("o", "y", vector.alias("x")).alias("e")).agg(F.sort_array(F.collect_list("e")).alias("es"))
-    one = one.select("es", F.flatten(F.transform(F.sequence(F.lit(1), F.lit(EPOCHS)), lambda _: F.col("es"))).alias("steps"))
-
-    def step(w: Column, e: Column) -> Column:
-        z = F.aggregate(F.zip_with(w, e["x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return let((e["y"] - _sigmoid(z)) * RATE, lambda g: F.zip_with(w, e["x"], lambda a, b: a * (1 - DECAY) + g * b))
+    rows = rows.select(F.struct("o", "y", "slots", (F.lit(1.0) / F.sqrt(F.greatest(F.size("slots"), F.lit(1)).cast("double"))).alias("x")).alias("e"))
+    examples = rows.agg(F.sort_array(F.collect_list("e")).alias("es"))
+    # the bias is a slot that all examples have
+    places = examples.select(F.posexplode("es").alias("i", "e"))
+    places = places.select("i", F.explode(F.concat(F.transform("e.slots", lambda s: F.struct(s.alias("slot"), F.col("e.x").alias("x"))), F.array(F.struct(F.lit(DIM).alias("slot"), F.lit(1.0).alias("x"))))).alias("p"))
+    by_slot = places.groupBy("p.slot").agg(F.sort_array(F.collect_list(F.struct("i", "p.x"))).alias("column"))
+    none = F.array().cast("array<struct<i:int,x:double>>")
+    slots = labelled.sparkSession.range(DIM + 1).select(F.col("id").cast("int").alias("slot")).join(by_slot, "slot", "left")
+    columns = slots.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("column", none).alias("column")))), lambda c: c["column"]).alias("columns"))
+    one = examples.withColumn("one", F.lit(1)).join(columns.withColumn("one", F.lit(1)), "one")
+    n = F.greatest(F.size("es"), F.lit(1))
+
+    def epoch(state: Column, t: Column) -> Column:
+        w, v = state["w"], state["v"]
+        residuals = F.transform("es", lambda e: _sigmoid(v[DIM] + e["x"] * F.aggregate(e["slots"], F.lit(0.0), lambda a, s: a + v[s])) - e["y"])
+
+        def moved(r: Column) -> Column:
+            return F.zip_with(v, F.col("columns"), lambda x, c: x - RATE * (F.aggregate(c, F.lit(0.0), lambda a, p: a + r[p["i"]] * p["x"]) / n + DECAY * x))
+
+        return let(let(residuals, moved), lambda new: F.struct(new.alias("w"), F.zip_with(new, w, lambda a, b: a + t / (t + 3) * (a - b)).alias("v")))
 
     zero = F.transform(F.sequence(F.lit(0), F.lit(DIM)), lambda _: F.lit(0.0))
-    return one.select(F.aggregate("steps", zero, step).alias("w")).first()["w"]
+    return one.select(F.aggregate(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), F.struct(zero.alias("w"), zero.alias("v")), epoch)["w"].alias("w")).first()["w"]
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, url: str = "url", to: str = "url_filter") -> DataFrame:
@@ -120,7 +133,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, *, rules: tuple[tuple[str,
     rows get equal verdicts, URLs of any length are judged whole, and empty pages
     give an empty result. Other columns pass through; `to` replaces one of its name.
     """
-    weights = F.lit([float(x) for x in train(labelled)])
+    weights = F.lit(train(labelled))
     host, path = host_and_path(F.col(url))
     rule, verdict = rule_columns(host, path, rules)
     score = F.when(host == "", F.lit(0.0)).otherwise(_sigmoid(_score(weights, gram_slots(host, path))))

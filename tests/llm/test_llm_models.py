@@ -44,31 +44,31 @@ def slots(host, path):
 
 
 def test_training_equals_a_loop(spark):
-    import hashlib
-
     rows = [(f"http://{h}.example/en/1", y) for y, hs in ((1, url_filter.BLOCK[:6]), (0, url_filter.ALLOW[:6])) for h in hs]
-    w = np.zeros(url_filter.DIM + 1)
-    order = sorted(rows, key=lambda r: hashlib.md5(r[0].encode()).hexdigest())
-    for _ in range(url_filter.EPOCHS):
-        for u, y in order:
-            x = np.zeros(url_filter.DIM + 1)
-            s = slots(u.split("/")[2], "/en/1")
-            x[s], x[-1] = 1 / math.sqrt(len(s)), 1
-            w = w * (1 - url_filter.DECAY) + url_filter.RATE * (y - 1 / (1 + math.exp(-w @ x))) * x
-    got = url_filter.train(spark.createDataFrame([*rows, (None, 1), ("u", None)], "url string, label int"))
+    x, y = np.zeros((len(rows), url_filter.DIM + 1)), np.array([r[1] for r in rows])
+    for k, (u, _) in enumerate(rows):
+        s = slots(u.split("/")[2], "/en/1")
+        x[k, s], x[k, -1] = 1 / math.sqrt(len(s)), 1
+    w, v = np.zeros(url_filter.DIM + 1), np.zeros(url_filter.DIM + 1)
+    for t in range(url_filter.EPOCHS):
+        new = v - url_filter.RATE * (x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(rows) + url_filter.DECAY * v)
+        w, v = new, new + t / (t + 3) * (new - w)
+    got = url_filter.train(spark.createDataFrame([*rows, *rows, (None, 1), ("u", None)], "url string, label int"))
     assert np.allclose(got, w, atol=1e-9)
     none = url_filter.train(spark.createDataFrame([], "url string, label int"))
     assert len(none) == url_filter.DIM + 1 and not any(none)
+    assert len(url_filter.train(spark.createDataFrame([("nothing", 1), ("http://", 0)], "url string, label int"))) == url_filter.DIM + 1
 
 
 def test_held_out_domains(spark):
-    """A quarter of the registered domains is judged by a model of the others."""
+    """A quarter of the registered domains is judged by a model of the others, none of which is the same pair of words."""
     labelled = url_filter.seed_urls(spark)
+    assert labelled.groupBy("domain").agg(F.count_distinct("label").alias("n")).where("n > 1").count() == 0
     test = F.pmod(F.crc32(F.col("domain").cast("binary")), F.lit(4)) == 0
     out = url_filter.judge_urls(labelled.where(test), labelled.where(~test), rules=())
     n = {(r["label"], r["verdict"]): r["n"] for r in out.groupBy("label", "url_filter.verdict").agg(F.count("*").alias("n")).collect()}
     right, blocked = n[(1, "block")] + n[(0, "allow")], n[(1, "block")] + n.get((0, "block"), 0)
-    assert right / sum(n.values()) > 0.78 and n[(1, "block")] / blocked > 0.75
+    assert right / sum(n.values()) > 0.95 and n[(1, "block")] / blocked > 0.95
 
 
 def test_odd_urls(spark):
