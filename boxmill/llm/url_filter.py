@@ -107,7 +107,7 @@ def train(labelled: DataFrame) -> list[float]:
     none = F.array().cast("array<struct<i:int,x:double>>")
     slots = labelled.sparkSession.range(DIM + 1).select(F.col("id").cast("int").alias("slot")).join(by_slot, "slot", "left")
     columns = slots.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("column", none).alias("column")))), lambda c: c["column"]).alias("columns"))
-    one = examples.withColumn("one", F.lit(1)).join(columns.withColumn("one", F.lit(1)), "one")
+    one = examples.unionByName(columns, allowMissingColumns=True).agg(F.first("es", ignorenulls=True).alias("es"), F.first("columns", ignorenulls=True).alias("columns"))
     n = F.greatest(F.size("es"), F.lit(1))
 
     def epoch(state: Column, t: Column) -> Column:
