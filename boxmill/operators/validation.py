@@ -12,57 +12,85 @@ from ..functions.text import harmonic
 BINS = 1024
 
 
-def judged(dets: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Detections with threshold and tp: by falling score each takes the unused same-class gold box of highest IoU, if it reaches the threshold."""
+def judged_at(dets: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Detections with tp, an array with a boolean for each threshold: by falling score each takes the unused same-class gold box of highest IoU, if it reaches the threshold."""
     d = dets.groupBy("image_id", "class_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", *CORNERS))).alias("d"))
     g = gold.groupBy("image_id", "class_id").agg(F.collect_list(F.struct("gt_no", *CORNERS)).alias("g"))
-    both = d.join(g, ["image_id", "class_id"], "left").withColumn("threshold", F.explode(F.lit(thresholds)))
+    both = d.join(g, ["image_id", "class_id"], "left")
     start = F.struct(F.array().cast(f"array<{dict(gold.dtypes)['gt_no']}>").alias("used"), F.array().cast("array<boolean>").alias("tp"))
 
-    def step(acc: Column, det: Column) -> Column:
-        free = F.filter("g", lambda b: ~F.array_contains(acc["used"], b["gt_no"]))
-        best = F.array_min(F.transform(free, lambda b: F.struct((-iou(det, b)).alias("o"), b["gt_no"].alias("gt_no"))))
+    def fold(threshold: float) -> Column:
+        def step(acc: Column, det: Column) -> Column:
+            free = F.filter("g", lambda b: ~F.array_contains(acc["used"], b["gt_no"]))
+            best = F.array_min(F.transform(free, lambda b: F.struct((-iou(det, b)).alias("o"), b["gt_no"].alias("gt_no"))))
 
-        def add(b: Column) -> Column:
-            hit = F.coalesce(-b["o"] >= F.col("threshold"), F.lit(False))
-            return F.struct(F.when(hit, F.array_append(acc["used"], b["gt_no"])).otherwise(acc["used"]).alias("used"), F.array_append(acc["tp"], hit).alias("tp"))
+            def add(b: Column) -> Column:
+                hit = F.coalesce(-b["o"] >= threshold, F.lit(False))
+                return F.struct(F.when(hit, F.array_append(acc["used"], b["gt_no"])).otherwise(acc["used"]).alias("used"), F.array_append(acc["tp"], hit).alias("tp"))
 
-        return F.transform(F.array(best), add)[0]
+            return F.transform(F.array(best), add)[0]
 
-    out = both.withColumn("tp", F.when(F.col("g").isNull(), F.transform("d", lambda _: F.lit(False))).otherwise(F.aggregate("d", start, step)["tp"]))
-    out = out.select("image_id", "class_id", "threshold", F.explode(F.arrays_zip("d", "tp")).alias("r"))
-    return out.select("image_id", "class_id", "threshold", F.col("r.d.det_id").alias("det_id"), (-F.col("r.d.o")).alias("score"), F.col("r.tp").alias("tp"))
+        return F.when(F.col("g").isNull(), F.transform("d", lambda _: F.lit(False))).otherwise(F.aggregate("d", start, step)["tp"])
 
+    out = both.withColumn("tps", F.array(*[fold(t) for t in thresholds])).select("image_id", "class_id", "tps", F.posexplode("d").alias("_at", "d"))
+    return out.select("image_id", "class_id", F.col("d.det_id").alias("det_id"), (-F.col("d.o")).alias("score"), F.transform("tps", lambda t: F.get(t, F.col("_at"))).alias("tp"))
 
-def precision_recall(rows: DataFrame, gold: DataFrame) -> DataFrame:
-    """Judged rows with precision, recall and the precision envelope, by falling score a class and threshold.
 
-    Sums and maxima run inside score bins and over the bins' totals, so a class
-    is never sorted in one task.
+def judged(dets: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
+    """judged_at() as a row for each detection and threshold, with threshold and tp."""
+    out = judged_at(dets, gold, thresholds).withColumn("_t", F.explode(F.arrays_zip(F.lit(thresholds).alias("threshold"), "tp")))
+    return out.select("image_id", "class_id", F.col("_t.threshold").alias("threshold"), "det_id", "score", F.col("_t.tp").alias("tp"))
+
+
+def _enveloped(rows: DataFrame, keys: list[str], marks: list[str]) -> DataFrame:
+    """rows with _rank and, for each boolean column named in marks, its _hits_, _precision_ and _envelope_ by falling score in a group of keys.
+
+    Sums and maxima run inside score bins and over the bins' totals, so a group
+    is never sorted in one task. Everything is made of one exchange by bin. What
+    comes later in a bin is the running maximum of the opposite order.
     """
-    keys = ["class_id", "threshold"]
+    bin_ = [*keys, "_bin"]
     r = rows.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor((1 - F.col("score")) * BINS).cast("int")))
-    order = [F.desc("score"), "image_id", "det_id"]
-    bins = r.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.count_if("tp").alias("_t"))
+    inside = Window.partitionBy(*bin_).orderBy(F.desc("score"), "image_id", "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumns({"_rank": F.count("*").over(inside), **{f"_hits_{m}": F.sum(F.col(m).cast("int")).over(inside) for m in marks}})
+    sums = ["_rank", *[f"_hits_{m}" for m in marks]]
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumns({"_n0": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_t0": F.coalesce(F.sum("_t").over(upto), F.lit(0))}).drop("_n", "_t")
-    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.join(bins, [*keys, "_bin"])
-    r = r.withColumns({"_rank": F.count("*").over(inside) + F.col("_n0"), "_hits": F.sum(F.col("tp").cast("int")).over(inside) + F.col("_t0")})
-    r = r.withColumn("precision", F.col("_hits") / F.col("_rank"))
+    bins = r.groupBy(*bin_).agg(*[F.max(c).alias(c) for c in sums])
+    r = r.join(F.broadcast(bins.select(*bin_, *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_0") for c in sums])), bin_)
+    r = r.withColumns({c: F.col(c) + F.col(f"{c}_0") for c in sums}).drop(*[f"{c}_0" for c in sums])
+    r = r.withColumns({f"_precision_{m}": F.col(f"_hits_{m}") / F.col("_rank") for m in marks})
     later = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
-    best = r.groupBy(*keys, "_bin").agg(F.max("precision").alias("_m")).withColumn("_later", F.max("_m").over(later)).drop("_m")
-    after = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    r = r.join(best, [*keys, "_bin"]).withColumn("envelope", F.greatest(F.max("precision").over(after), F.coalesce("_later", F.lit(0.0))))
+    best = r.groupBy(*bin_).agg(*[F.max(f"_precision_{m}").alias(m) for m in marks])
+    best = best.select(*bin_, *[F.max(m).over(later).alias(f"_later_{m}") for m in marks])
+    after = Window.partitionBy(*bin_).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumns({f"_envelope_{m}": F.max(f"_precision_{m}").over(after) for m in marks}).join(F.broadcast(best), bin_)
+    return r.withColumns({f"_envelope_{m}": F.greatest(f"_envelope_{m}", F.coalesce(f"_later_{m}", F.lit(0.0))) for m in marks})
+
+
+def precision_recall(rows: DataFrame, gold: DataFrame) -> DataFrame:
+    """Judged rows with precision, recall and the precision envelope, by falling score a class and threshold."""
     n = gold.groupBy("class_id").agg(F.count("*").alias("n_gold"))
-    r = r.join(n, "class_id", "left").withColumn("recall", F.try_divide(F.col("_hits"), F.col("n_gold")))
-    return r.select("image_id", "class_id", "threshold", "det_id", "score", "tp", "precision", "recall", "envelope")
+    r = _enveloped(rows, ["class_id", "threshold"], ["tp"]).join(F.broadcast(n), "class_id", "left").withColumn("recall", F.try_divide(F.col("_hits_tp"), F.col("n_gold")))
+    return r.select("image_id", "class_id", "threshold", "det_id", "score", "tp", F.col("_precision_tp").alias("precision"), "recall", F.col("_envelope_tp").alias("envelope"))
+
+
+def average_precisions(dets: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
+    """average_precision() of the curves at all thresholds, with a row a detection instead of one a detection and threshold."""
+    marks = [f"_tp{k}" for k in range(len(thresholds))]
+    rows = judged_at(dets, gold, thresholds).select("image_id", "class_id", "det_id", "score", *[F.col("tp")[k].alias(m) for k, m in enumerate(marks)])
+    at = [F.struct(F.lit(t).alias("threshold"), F.sum(F.when(F.col(m), F.col(f"_envelope_{m}")).otherwise(0.0)).alias("s"), F.count_if(m).alias("t")) for t, m in zip(thresholds, marks, strict=True)]
+    sums = _enveloped(rows, ["class_id"], marks).groupBy("class_id").agg(F.array(*at).alias("a"), F.count("*").alias("n"))
+    return _averages(sums.select("class_id", "n", F.inline("a")), gold)
 
 
 def average_precision(curve: DataFrame, gold: DataFrame) -> DataFrame:
     """(class_id, threshold, ap, precision, recall): the area under the envelope, and the values at the last detection."""
-    n = gold.groupBy("class_id").agg(F.count("*").alias("n_gold"))
     sums = curve.groupBy("class_id", "threshold").agg(F.sum(F.when(F.col("tp"), F.col("envelope")).otherwise(0.0)).alias("s"), F.count_if("tp").alias("t"), F.count("*").alias("n"))
+    return _averages(sums, gold)
+
+
+def _averages(sums: DataFrame, gold: DataFrame) -> DataFrame:
+    n = gold.groupBy("class_id").agg(F.count("*").alias("n_gold"))
     out = n.join(sums, "class_id", "left")
     return out.select("class_id", "threshold", F.try_divide("s", "n_gold").alias("ap"), F.try_divide("t", "n").alias("precision"), F.try_divide("t", "n_gold").alias("recall"))
 
