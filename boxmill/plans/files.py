@@ -103,10 +103,11 @@ def curves_from_files(v: Views) -> DataFrame:
 
 @query("SELECT question_id, CASE WHEN question_id % 3 = 0 THEN upper(response) ELSE response END AS response FROM fx_answer", "fx_answer")
 def newest_of_appended(v: Views) -> DataFrame:
-    root, a = folder(v, "appended"), v.fx_answer.select("question_id", "response")
+    """An image of over 16 questions shares their ids with the next image, so an answer is known by both."""
+    root, a = folder(v, "appended"), v.fx_answer.select("image_id", "question_id", "response")
     K.append(a.withColumn("run", F.lit(1)), root)
-    K.append(a.where("question_id % 3 = 0").select("question_id", F.upper("response").alias("response"), F.lit(2).alias("run")), root)
-    return B.newest_answer(v.spark.read.parquet(root), ["question_id"], "run").select("question_id", "response")
+    K.append(a.where("question_id % 3 = 0").withColumns({"response": F.upper("response"), "run": F.lit(2)}), root)
+    return B.newest_answer(v.spark.read.parquet(root), ["image_id", "question_id"], "run").select("question_id", "response")
 
 
 @query("SELECT image_id, split FROM fx_image", "fx_image")

@@ -7,9 +7,24 @@ import time
 import pytest
 
 from boxmill.operators import validation as V
+from boxmill.plans import registry
 from pyspark.sql import functions as F
 
 
+@pytest.fixture
+def crowded(spark, tmp_path):
+    """Two images, of which the first has 20 boxes: its last ids are those of the second one's first."""
+    spark.range(2).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = spark.createDataFrame([(0, k) for k in range(1, 21)] + [(1, k) for k in range(1, 6)], "l_orderkey long, l_linenumber int")
+    rows = rows.selectExpr("*", "1L AS l_partkey", "1L AS l_suppkey", "1D AS l_quantity", "1D AS l_extendedprice", "'N' AS l_returnflag")
+    rows.withColumn("l_linenumber", F.lit(3)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_newest_answers_of_images_that_share_ids(spark, crowded):
+    assert registry.QUERIES["newest_of_appended"](spark, crowded).count() == 25
+
+
 def test_a_bin_of_very_many_rows(spark):
     """Envelopes looked at all later rows of a bin for each row: 120,000 rows took minutes."""
     n = 120_000
