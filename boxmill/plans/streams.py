@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import shared_dir
-from ..streaming.answers import answer_stream, append_stream, epoch_monitor, once_each, stream
+from ..streaming.answers import KEY, answer_stream, append_stream, epoch_monitor, once_each, stream
 from ..streaming.monitor import keyed_state, run_monitor
 from .base import Views, query
 
@@ -60,10 +60,14 @@ def stream_once_each(v: Views) -> DataFrame:
 
 @query("SELECT question_id, model, tier, upper(cls) AS response FROM fx_answer", "fx_answer")
 def stream_resumed_answers(v: Views) -> DataFrame:
-    """Answers from two runs over the same stream; the second one finds all answered."""
-    path, schema = staged(v.fx_answer.select("question_id", "model", "tier", "cls"))
+    """Answers from two runs over the same stream; the second one finds all answered.
+
+    An image of over 16 questions shares their ids with the next image, so both are the key.
+    """
+    path, schema = staged(v.fx_answer.select("image_id", "question_id", "model", "tier", "cls"))
     out = f"{shared_dir(v.spark)}/stream-out-{uuid.uuid4().hex}"
+    key = ["image_id", *KEY]
     for run in ("first", "second"):
-        q = answer_stream(stream(v.spark, path, schema, 2), lambda df: df.select("question_id", "model", "tier", F.upper("cls").alias("response")), f"{out}/rows", f"{out}/{run}")
+        q = answer_stream(stream(v.spark, path, schema, 2), lambda df: df.select(*key, F.upper("cls").alias("response")), f"{out}/rows", f"{out}/{run}", key)
         q.awaitTermination()
-    return v.spark.read.parquet(f"{out}/rows")
+    return v.spark.read.parquet(f"{out}/rows").select("question_id", "model", "tier", "response")

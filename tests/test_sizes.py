@@ -25,6 +25,10 @@ def test_newest_answers_of_images_that_share_ids(spark, crowded):
     assert registry.QUERIES["newest_of_appended"](spark, crowded).count() == 25
 
 
+def test_resumed_answers_of_images_that_share_ids(spark, crowded):
+    assert registry.QUERIES["stream_resumed_answers"](spark, crowded).count() == 25
+
+
 def test_a_bin_of_very_many_rows(spark):
     """Envelopes looked at all later rows of a bin for each row: 120,000 rows took minutes."""
     n = 120_000
