@@ -8,6 +8,7 @@ import pytest
 
 from boxmill.operators import validation as V
 from boxmill.plans import registry
+from boxmill.streaming import monitor as M
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,43 @@ def test_all_thresholds_in_one_row_give_the_averages_of_the_curves(spark):
     two = sorted(V.average_precision(V.precision_recall(V.judged(dets, gold, [0.5, 0.75]), gold), gold).collect(), key=key)
     assert [r[c] for r in one for c in ("class_id", "threshold", "ap", "precision", "recall")] == pytest.approx([r[c] for r in two for c in ("class_id", "threshold", "ap", "precision", "recall")])
     assert len(one) == 6 and any(0 < r["ap"] < 1 for r in one)
+
+
+def test_a_run_calls_its_state_a_few_times_however_many_its_epochs():
+    """Each epoch had three calls and a timer of its own."""
+    calls = []
+
+    class Kept:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("appendList", "put", "update"):
+                    self.value = [*(self.value or []), *given[0]] if name == "appendList" else given[0]
+                if name == "clear":
+                    self.value = None
+                return iter(self.value or []) if name == "get" and self.listed else self.value
+
+            return call
+
+    class Handle(Kept):
+        def getListState(self, *_):  # noqa: N802
+            kept = Kept()
+            kept.listed = True
+            return kept
+
+        def getValueState(self, *_):  # noqa: N802
+            kept = Kept()
+            kept.listed = False
+            return kept
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10_000
+
+    m = M.RunMonitor(1 << 60, 3)
+    m.init(Handle())
+    m.handleInputRows((1,), ({"at": k * 1000, "epoch": k, "metric": 0.5} for k in range(500)), None)
+    assert len(list(m.handleExpiredTimer((1,), Now(), None))) == 500
+    assert len(calls) < 10
