@@ -27,7 +27,7 @@ def named_lines(v: Views) -> DataFrame:
 @query("SELECT split, regexp_extract(file_name, '^([^.]*)', 1) AS stem, CAST(row_number() OVER (PARTITION BY image_id ORDER BY line_no) - 1 AS INT) AS line_no, line FROM fx_label_line JOIN fx_image USING (image_id)", "fx_image fx_label_line")
 def labels_from_files(v: Views) -> DataFrame:
     root = folder(v, "labels")
-    K.write_labels(named_lines(v), root)
+    K.write_labels(named_lines(v), root, packed=True)
     return S.label_lines(S.split_label_files(v.spark, root))
 
 
@@ -60,14 +60,14 @@ def counted(files: DataFrame) -> DataFrame:
 def label_tree_splits(v: Views) -> DataFrame:
     """Label trees are written for all splits, and two are read, without looking into the folder of the third."""
     root = folder(v, "tree")
-    K.write_label_tree(tree(v), root)
+    K.write_label_tree(tree(v), root, packed=True)
     return counted(S.read_label_tree(v.spark, root)).where(F.col("split").isin("val", "test"))
 
 
 @query(f"{TREE} SELECT NULL::VARCHAR AS split, stem, n_lines, chars FROM t", "fx_image fx_label_line")
 def label_tree_flat(v: Views) -> DataFrame:
     root = folder(v, "flat")
-    K.write_label_tree(tree(v).withColumn("split", F.lit(None).cast("string")), root)
+    K.write_label_tree(tree(v).withColumn("split", F.lit(None).cast("string")), root, packed=True)
     return counted(S.flat_label_files(v.spark, root))
 
 

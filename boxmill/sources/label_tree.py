@@ -3,15 +3,21 @@
     spark.dataSource.register(LabelTree)
     spark.read.format("label_tree").option("layout", "split").load(root)
     files.write.format("label_tree").mode("append").save(root)
+    files.write.format("label_tree").option("packed", "true").mode("append").save(new_root)
 
 Rows are (split, stem, content). Layout `split` is root/{split}/labels/{stem}.txt,
 `flat` is root/{stem}.txt with a null split; `auto` reads whichever there is.
+A packed tree has the same files as entries of zip archives, in the folders they would
+lie in: small files take a block of a disk each, many times their bytes. Reading
+takes both kinds. A packed tree is written at once, to a folder without label files.
 Paths are of any file system that pyarrow opens by its URI and all executors share.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -25,9 +31,9 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "split string, stem string, content string"
 ARROW = pa.schema([("split", pa.string()), ("stem", pa.string()), ("content", pa.string())])
-SUFFIX = ".txt"
-#: Most files and bytes of a read task, bytes of a batch, and calls to a file system at once.
-FILES, TASK_BYTES, BATCH_BYTES, AT_ONCE = 2_000, 64 << 20, 8 << 20, 16
+SUFFIX, PACK = ".txt", ".zip"
+#: Most files and bytes of a read task, bytes of a batch, calls to a file system at once, and files and bytes of an archive.
+FILES, TASK_BYTES, BATCH_BYTES, AT_ONCE, PACKED, PACK_BYTES = 2_000, 64 << 20, 8 << 20, 16, 20_000, 16 << 20
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -48,7 +54,7 @@ class Files(InputPartition):
 
 
 class LabelTree(DataSource):
-    """The format; options: path, layout (split, flat or auto), filesPerTask."""
+    """The format; options: path, layout (split, flat or auto), filesPerTask, packed (for writing)."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,7 +102,10 @@ class LabelReader(DataSourceReader):
         for split, folder in self._folders(system, root):
             names, size = [], 0
             for info in sorted(_listed(system, folder), key=lambda x: x.base_name):
-                if info.type != fs.FileType.File or not info.base_name.endswith(SUFFIX) or info.base_name.startswith("."):
+                if info.type != fs.FileType.File or not info.base_name.endswith((SUFFIX, PACK)) or info.base_name.startswith("."):
+                    continue
+                if info.base_name.endswith(PACK):
+                    out.append(Files(split, folder, [info.base_name]))
                     continue
                 if names and (len(names) >= self.most or size + info.size > TASK_BYTES):
                     out.append(Files(split, folder, names))
@@ -114,26 +123,57 @@ class LabelReader(DataSourceReader):
             with system.open_input_stream(f"{partition.folder}/{name}") as f:
                 return f.read().decode("utf-8", "replace")
 
+        def contents() -> Iterator[tuple[str, str]]:
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                for at in range(0, len(partition.names), 64):
+                    some = partition.names[at : at + 64]
+                    yield from zip(some, pool.map(content, some), strict=True)
+
+        def packed(name: str) -> Iterator[tuple[str, str]]:
+            with system.open_input_file(f"{partition.folder}/{name}") as f, zipfile.ZipFile(f) as z:
+                for entry in z.infolist():
+                    yield entry.filename, z.read(entry).decode("utf-8", "replace")
+
         rows: tuple[list, list] = ([], [])
         size = 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([partition.split] * len(rows[0]), pa.string()), pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string())], schema=ARROW)
 
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            for at in range(0, len(partition.names), 64):
-                some = partition.names[at : at + 64]
-                for name, text in zip(some, pool.map(content, some), strict=True):
-                    rows[0].append(name[: -len(SUFFIX)])
-                    rows[1].append(text)
-                    size += len(text)
-                if size >= BATCH_BYTES:
-                    yield batch()
-                    rows, size = ([], []), 0
+        for name, text in packed(partition.names[0]) if partition.names and partition.names[0].endswith(PACK) else contents():
+            rows[0].append(name[: -len(SUFFIX)])
+            rows[1].append(text)
+            size += len(text)
+            if size >= BATCH_BYTES or len(rows[0]) >= PACKED:
+                yield batch()
+                rows, size = ([], []), 0
         if rows[0]:
             yield batch()
 
 
+class Pack:
+    """An archive that is filled in memory, a few MB of it, and put into its folder when it is full."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.names, self.bytes = folder, 0, io.BytesIO()
+        self.zip = zipfile.ZipFile(self.bytes, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, name: str, content: str) -> bool:
+        """Whether it is full with this file."""
+        self.zip.writestr(name, content)
+        self.names += 1
+        return self.names >= PACKED or self.bytes.tell() >= PACK_BYTES
+
+    def put(self, system: fs.FileSystem, own: str) -> str:
+        """Its path below own, where it is written."""
+        self.zip.close()
+        path = f"{self.folder}/labels-{uuid.uuid4().hex}{PACK}".lstrip("/")
+        system.create_dir(f"{own}/{self.folder}".rstrip("/"), recursive=True)
+        with system.open_output_stream(f"{own}/{path}") as out:
+            out.write(self.bytes.getbuffer())
+        return path
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -149,6 +189,11 @@ class LabelWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.root, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.packed = options.get("packed", "false").lower() == "true"
+        if self.packed and not overwrite:
+            system, root = opened(self.root)
+            if any(x.type == fs.FileType.File and x.base_name.endswith((SUFFIX, PACK)) for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))):
+                raise ValueError(f"{root}: a packed tree is written to a folder without label files")
 
     def _staging(self, root: str) -> str:
         return f"{root}/_writing-{self.job}"
@@ -156,6 +201,8 @@ class LabelWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.root)
         own = f"{self._staging(root)}/{TaskContext.get().taskAttemptId()}"
+        if self.packed:
+            return Written(own, self._packs(iterator, system, own))
         made: set[str] = set()
         files: list[str] = []
 
@@ -174,6 +221,18 @@ class LabelWriter(DataSourceArrowWriter):
                 files += paths
         return Written(own, files)
 
+    def _packs(self, iterator: Iterator[pa.RecordBatch], system: fs.FileSystem, own: str) -> list[str]:
+        packs: dict[str | None, Pack] = {}
+        files: list[str] = []
+        for batch in iterator:
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("split", "stem", "content"))
+            for split, stem, content in zip(*columns, strict=True):
+                if split not in packs:
+                    packs[split] = Pack("" if split is None else f"{split}/labels")
+                if packs[split].add(f"{stem}{SUFFIX}", content or ""):
+                    files.append(packs.pop(split).put(system, own))
+        return files + [p.put(system, own) for p in packs.values()]
+
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.root)
         if self.overwrite:
@@ -202,7 +261,11 @@ def read_label_tree(spark: SparkSession, root: str, layout: str = "auto", files_
     return spark.read.format("label_tree").options(layout=layout, filesPerTask=files_per_task).load(root)
 
 
-def write_label_tree(files: DataFrame, root: str, mode: str = "append") -> None:
-    """A file for each row (split, stem, content); a null split puts it straight below root, null content makes it empty."""
+def write_label_tree(files: DataFrame, root: str, mode: str = "append", *, packed: bool = False) -> None:
+    """A file for each row (split, stem, content); a null split puts it straight below root, null content makes it empty.
+
+    packed: the files are entries of archives, which take a few times their bytes
+    instead of a block of the disk each; rows of the same name stay entries of their own.
+    """
     files.sparkSession.dataSource.register(LabelTree)
-    files.select("split", "stem", "content").write.format("label_tree").mode(mode).save(root)
+    files.select("split", "stem", "content").write.format("label_tree").option("packed", str(packed).lower()).mode(mode).save(root)

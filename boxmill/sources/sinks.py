@@ -56,11 +56,11 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def write_labels(lines: DataFrame, path: str) -> int:
-    """One text file an image, split/labels/stem.txt, of lines (split, stem, line_no, line), and how many there are."""
+def write_labels(lines: DataFrame, path: str, *, packed: bool = False) -> int:
+    """One text file an image, split/labels/stem.txt, of lines (split, stem, line_no, line), and how many there are; packed as write_label_tree() does it."""
     seen = Observation()
     docs = label_documents(lines, ("split", "stem")).observe(seen, F.count("*").alias("n"))
-    write_label_tree(docs, path)
+    write_label_tree(docs, path, packed=packed)
     return seen.get["n"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 
@@ -93,3 +94,41 @@ def test_a_failed_document_leaves_nothing(spark, tmp_path, monkeypatch):
     assert os.listdir(tmp_path / "coco") == []
     with pytest.raises(ValueError, match="mounted"):
         K.write_coco(images, lines, classes, "hdfs://host/coco")
+
+
+def test_a_packed_tree_takes_few_files_and_comes_back_whole(spark, tmp_path, rows):
+    root = f"file:{tmp_path}/packed"
+    write_label_tree(spark.createDataFrame(rows, KIND).repartition(2), root, packed=True)
+    for layout in ("split", "auto"):
+        assert sorted(map(tuple, read_label_tree(spark, root, layout).collect())) == sorted(rows)
+    assert read_label_tree(spark, root).where("split = 'val'").count() == sum(s == "val" for s, _, _ in rows)
+    assert sum(len(files) for _, _, files in os.walk(tmp_path / "packed")) <= 4  # two tasks, two splits
+    with pytest.raises(Exception, match="without label files"):
+        write_label_tree(spark.createDataFrame(rows, KIND), root, packed=True)
+    write_label_tree(spark.createDataFrame([(None, "a", "1 2"), (None, "a", None)], KIND), root, "overwrite", packed=True)
+    assert sorted(map(tuple, S.flat_label_files(spark, root).collect())) == [(None, "a", ""), (None, "a", "1 2")]
+
+
+def test_archives_are_closed_when_they_are_full(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from boxmill.sources import label_tree as L
+    from pyarrow import fs
+
+    monkeypatch.setattr(L, "PACKED", 10)
+    batch = pa.RecordBatch.from_pydict({"split": ["a"] * 25, "stem": [str(k) for k in range(25)], "content": ["x"] * 25})
+    writer = L.LabelWriter({"path": str(tmp_path), "packed": "true"}, False)
+    assert len(writer._packs(iter([batch]), fs.LocalFileSystem(), str(tmp_path))) == 3
+    reader = L.LabelReader({"path": str(tmp_path)})
+    got = [n for p in reader.partitions() for b in reader.read(p) for n in b.column("stem").to_pylist()]
+    assert sorted(map(int, got)) == list(range(25))
+
+
+def test_the_label_queries_write_no_file_an_image(spark, tmp_path, monkeypatch):
+    """A file an image took a block of the disk each: 9 million of them 36 GB."""
+    from boxmill.plans import registry
+
+    P = importlib.import_module("boxmill.plans.files")
+    monkeypatch.setattr(P, "folder", lambda v, name: f"file://{tmp_path}/{name}")
+    for query, name in (("labels_from_files", "labels"), ("label_tree_splits", "tree"), ("label_tree_flat", "flat")):
+        assert registry.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+        assert sum(len(files) for _, _, files in os.walk(tmp_path / name)) < 60
