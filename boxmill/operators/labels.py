@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.geometry import centre_to_corners, coco_box
 from ..functions.text import hash_order, trimmed
 from . import admission
-from .ordering import hash_rank, hash_running, range_rank
+from .ordering import bucket_rank, hash_rank, hash_running, range_rank
 
 SPLITS = ("train", "val", "test")
+#: Images whose annotations are numbered together.
+OF_A_BUCKET = 4096
 
 
 def parse_lines(lines: DataFrame, *, min_tokens: int = 5, mode: str = "skip") -> DataFrame:
@@ -140,11 +142,11 @@ def coco_images(images: DataFrame) -> DataFrame:
     return range_rank(images, ["file_name"], "coco_id", ["split"])
 
 
-def coco_annotations(images: DataFrame, lines: DataFrame) -> DataFrame:
-    """Annotations with ids from 1 within a split by image, then line; category is the class + 1."""
-    i = coco_images(images)
-    a = parse_lines(lines).join(i, "image_id")
-    a = range_rank(a, ["coco_id", "line_no"], "id", ["split"])
+def coco_annotations(images: DataFrame, lines: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Annotations with ids from 1 within a split by image, then line; category is the class + 1. ids: coco_images(), if it is known."""
+    i = coco_images(images) if ids is None else ids
+    a = parse_lines(lines).join(i, "image_id").select("split", "coco_id", "line_no", "class_id", "cx", "cy", "w", "h", "width", "height")
+    a = bucket_rank(a.withColumn("_at", F.floor(F.col("coco_id") / OF_A_BUCKET)), ["coco_id", "line_no"], "_at", "id", ["split"])
     boxes = coco_box(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
     return a.select("split", "id", F.col("coco_id").alias("image"), (F.col("class_id") + 1).alias("category_id"), *[v.alias(f"bbox_{k}" if k != "area" else k) for k, v in boxes.items()])
 

@@ -66,8 +66,9 @@ def write_labels(lines: DataFrame, path: str, *, packed: bool = False) -> int:
 
 def coco_documents(images: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(split, part, id, value): the JSON objects of a split's categories, images and annotations, in the order of part and id."""
-    i = coco_images(images).select("split", F.lit("2 images").alias("part"), F.col("coco_id").cast("long").alias("id"), F.to_json(F.struct(F.col("coco_id").alias("id"), "file_name", "width", "height")).alias("value"))
-    a = coco_annotations(images, lines)
+    ids = coco_images(images)
+    i = ids.select("split", F.lit("2 images").alias("part"), F.col("coco_id").cast("long").alias("id"), F.to_json(F.struct(F.col("coco_id").alias("id"), "file_name", "width", "height")).alias("value"))
+    a = coco_annotations(images, lines, ids)
     box = F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox")
     a = a.select("split", F.lit("3 annotations").alias("part"), F.col("id").cast("long"), F.to_json(F.struct("id", F.col("image").alias("image_id"), "category_id", box, "area", F.array().cast("array<double>").alias("segmentation"), F.lit(0).alias("iscrowd"))).alias("value"))
     c = classes.select(F.col("class_id").cast("long").alias("id"), F.to_json(F.struct((F.col("class_id") + 1).alias("id"), "name", F.lit("object").alias("supercategory"))).alias("value"))

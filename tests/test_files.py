@@ -132,3 +132,22 @@ def test_the_label_queries_write_no_file_an_image(spark, tmp_path, monkeypatch):
     for query, name in (("labels_from_files", "labels"), ("label_tree_splits", "tree"), ("label_tree_flat", "flat")):
         assert registry.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
         assert sum(len(files) for _, _, files in os.walk(tmp_path / name)) < 60
+
+
+def test_annotations_are_numbered_across_buckets_without_running_twice(spark, monkeypatch):
+    from boxmill.operators import labels
+
+    monkeypatch.setattr(labels, "OF_A_BUCKET", 3)
+    images, lines, _ = coco_input(spark, 60)
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    got = labels.coco_annotations(images, lines.mapInArrow(counted, lines.schema)).orderBy("split", "id").collect()
+    assert ran.value == lines.count()
+    for split in ("train", "val"):
+        own = [r for r in got if r["split"] == split]
+        assert [r["id"] for r in own] == list(range(1, len(own) + 1)) and [r["image"] for r in own] == sorted(r["image"] for r in own)
