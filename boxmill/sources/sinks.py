@@ -20,7 +20,7 @@ from .label_tree import write_label_tree
 
 def write_manifest(assigned: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The assignment of images, a folder a split; no image is copied."""
-    assigned.repartition("split").write.mode(mode).partitionBy("split").parquet(path)
+    assigned.write.mode(mode).partitionBy("split").parquet(path)
 
 
 def label_documents(lines: DataFrame, keys: tuple[str, ...] = ("split", "image_id")) -> DataFrame:
@@ -164,7 +164,8 @@ def write_coco(images: DataFrame, lines: DataFrame, classes: DataFrame, path: st
 
 
 def write_questions(questions: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    questions.repartition("tier").write.mode(mode).partitionBy("tier").json(path)
+    """JSON lines in a folder a tier; each task writes its own rows, as a tier can be a third of the table."""
+    questions.write.mode(mode).partitionBy("tier").json(path)
 
 
 def question_metadata(questions: DataFrame, class_names: list[str], folders: list[str], seed: int) -> DataFrame:

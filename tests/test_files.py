@@ -151,3 +151,10 @@ def test_annotations_are_numbered_across_buckets_without_running_twice(spark, mo
     for split in ("train", "val"):
         own = [r for r in got if r["split"] == split]
         assert [r["id"] for r in own] == list(range(1, len(own) + 1)) and [r["image"] for r in own] == sorted(r["image"] for r in own)
+
+
+def test_a_tier_is_written_by_many_tasks(spark, tmp_path):
+    questions = spark.range(400).selectExpr("id AS question_id", "'a' AS tier").repartition(4)
+    K.write_questions(questions, str(tmp_path / "q"))
+    assert len([f for f in os.listdir(tmp_path / "q/tier=a") if f.endswith(".json")]) == 4
+    assert spark.read.json(str(tmp_path / "q")).count() == 400
