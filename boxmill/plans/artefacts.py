@@ -16,6 +16,8 @@ from .labels import PARSED
 
 #: Images of one file, so that a file's rows fit in one row.
 IN_A_FILE = 2000
+#: As many for answers, which are dealt by model, stage and tier as well.
+ANSWERED_IN_A_FILE = 20_000
 
 
 def csv_files(rows: DataFrame, path: Column, header: str, columns: list[Column], root: str) -> None:
@@ -29,8 +31,8 @@ def of_schema(schema: str) -> str:
     return ",".join(c.split(" ")[0] for c in schema.split(", "))
 
 
-def chunk(prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.floor(F.col("image_id") / IN_A_FILE).cast("string"))
+def chunk(prefix: str, images: int = IN_A_FILE) -> Column:
+    return F.concat(F.lit(prefix), F.floor(F.col("image_id") / images).cast("string"))
 
 
 def log(v: Views) -> DataFrame:
@@ -109,7 +111,7 @@ def staged_answers_from_files(v: Views) -> DataFrame:
     """Answers before and after tuning by their folders, with the sizes of the models; other folders and unknown models go."""
     root = folder(v, "staged")
     stage = F.element_at(F.array(F.lit("pre"), F.lit("post"), F.lit("draft")), (F.col("image_id") % 3 + 1).cast("int"))
-    path = F.concat_ws("/", chunk("part_"), F.concat_ws("_", "model", stage), F.concat(F.lit("pope_x_"), "tier", F.lit(".csv")))
+    path = F.concat_ws("/", chunk("part_", ANSWERED_IN_A_FILE), F.concat_ws("_", "model", stage), F.concat(F.lit("pope_x_"), "tier", F.lit(".csv")))
     csv_files(v.fx_answer, path, of_schema(B.ANSWERS), [*map(F.col, ("question_id", "image_id", "cls", "label", "response", "inference_s")), F.lit(0.0)], root)
     models = v.spark.createDataFrame([("model_0", 2), ("model_1", 7), ("model_9", 9)], "model string, size int")
     return B.staged_answers(v.spark, root, models).select(F.col("question_id").cast("long").alias("question_id"), "model", "tier", "stage", "size", "label", "response", "inference_s")

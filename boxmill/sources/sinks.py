@@ -29,6 +29,10 @@ def label_documents(lines: DataFrame, keys: tuple[str, ...] = ("split", "image_i
     return lines.groupBy(*keys).agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
 
 
+#: Files that a Python worker of write_files holds at once; Spark's own number of rows would be hundreds of MB of them.
+ROWS = 50
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """A file for each row (path, content) below root, and how many there are.
 
@@ -53,7 +57,13 @@ def write_files(files: DataFrame, root: str) -> int:
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
-    return files.select("path", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spark, known = files.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(known)
+    spark.conf.set(known, ROWS)
+    try:
+        return files.select("path", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        spark.conf.set(known, before)
 
 
 def write_labels(lines: DataFrame, path: str, *, packed: bool = False) -> int:

@@ -158,3 +158,14 @@ def test_a_tier_is_written_by_many_tasks(spark, tmp_path):
     K.write_questions(questions, str(tmp_path / "q"))
     assert len([f for f in os.listdir(tmp_path / "q/tier=a") if f.endswith(".json")]) == 4
     assert spark.read.json(str(tmp_path / "q")).count() == 400
+
+
+def test_few_files_are_held_at_once(spark, tmp_path, monkeypatch):
+    """A batch of 10,000 files of 50 KB was 500 MB in each worker."""
+    seen = []
+    monkeypatch.setattr(K, "ROWS", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = type(spark.range(1)).first
+    monkeypatch.setattr(type(spark.range(1)), "first", lambda df: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), first(df))[1])
+    assert K.write_files(spark.range(30).selectExpr("concat('f', id) AS path", "'x' AS content"), str(tmp_path)) == 30
+    assert seen == ["7"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
