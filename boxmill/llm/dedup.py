@@ -202,6 +202,18 @@ def _key_batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["key", "own", "rep", "root"])
 
 
+def _kept_keys(keys: DataFrame) -> DataFrame:
+    """keys with m, their number of members: those that several roots hold, and of keys with the same members one.
+
+    Near copies share many parts, each of which would be a key and a smaller group of the same members.
+    """
+    # sums of 40 bits, as an id of several texts can hold a key twice
+    same = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "rep", "own"), 24)).alias(f"of{i}") for i in range(3)]
+    held = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any"), *same)
+    once = held.where("lo < hi and any").groupBy("m", "of0", "of1", "of2").agg(F.min("key").alias("key"))
+    return keys.join(once.select("key", "m"), "key")
+
+
 def _small_keys(keys: DataFrame) -> DataFrame:
     """(a, b): the members of a key that belong to different roots; the most frequent root never meets itself."""
     roots = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
@@ -254,8 +266,7 @@ def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         able = apart.join(nearest, "grp").where(F.size("parts") >= need)
         first = F.slice("parts", 1, F.size("parts") - need + MOST_PARTS)
         keys = able.select("grp", "rep", "root", "excess", "band", "least", "bands", F.size("parts").alias("n_parts"), first.alias("parts")).mapInArrow(_part_keys, "key long, own boolean, rep long, root long")
-        counted = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
-        keys = cut(keys.join(counted.select("key", "m"), "key"), "part-keys")
+        keys = cut(_kept_keys(keys), "part-keys")
         last = level == LEVELS - 1
         found = found.unionByName(_small_keys(keys if last else keys.where(F.col("m") <= MANY)))
         out = found if out is None else out.unionByName(found)

@@ -508,3 +508,12 @@ def test_near_copies_under_the_threshold_rarely_meet(spark, monkeypatch):
     want = {r[0]: r[2] for r in dedup_brute([(i, t, None, None, 0) for i, t in enumerate(texts)])}
     assert got == want and 1 < len(set(want.values())) < n
     assert sum(made) < 0.2 * n * (n - 1) / 2
+
+
+def test_keys_of_the_same_members_are_one_group(spark):
+    """Forty parts that the same near copies share were forty smaller groups with whole sets each."""
+    of = [(k, True, m, m) for k in range(40) for m in range(20)] + [(40, True, m, m) for m in range(19)] + [(41, False, m, m) for m in range(20)]
+    of += [(42, True, 1, 1), (43, True, 1, 1), (43, True, 2, 1)]  # one root holds these
+    of += [(44, True, 1, 1), (44, True, 1, 1), (44, True, 2, 2), (45, True, 3, 3), (45, True, 3, 3), (45, True, 2, 2)]  # ids of two texts
+    kept = dedup._kept_keys(spark.createDataFrame(of, "key long, own boolean, rep long, root long"))
+    assert rows(kept.groupBy("key", "m").count()) == [(0, 20, 20), (40, 19, 19), (44, 3, 3), (45, 3, 3)]
