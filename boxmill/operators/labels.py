@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import centre_to_corners, coco_box
 from ..functions.text import hash_order, trimmed
 from . import admission
+from .lineage import cut
 from .ordering import bucket_rank, hash_rank, hash_running, range_rank
 
 SPLITS = ("train", "val", "test")
@@ -25,16 +26,19 @@ def parse_lines(lines: DataFrame, *, min_tokens: int = 5, mode: str = "skip") ->
     ok: at least min_tokens tokens, and a whole number first. mode `skip` drops
     the others, `count` keeps them, `raise` fails on the first one.
     """
-    t = F.split(trimmed(F.col("line")), r"\s+")
-    out = lines.where(trimmed(F.col("line")) != "").withColumn("_t", t).withColumn("n_tokens", F.size("_t"))
-    out = out.withColumn("class_id", F.col("_t")[0].try_cast("int"))
-    for k, name in enumerate(("cx", "cy", "w", "h"), 1):
-        out = out.withColumn(name, F.get("_t", F.lit(k)).try_cast("double"))
-    ok = (F.col("n_tokens") >= min_tokens) & F.col("class_id").isNotNull()
-    out = out.withColumn("ok", ok).drop("_t")
+    def fields(t: Column) -> Column:
+        numbers = [F.get(t, F.lit(k)).try_cast("double").alias(name) for k, name in enumerate(("cx", "cy", "w", "h"), 1)]
+        return F.struct(F.size(t).alias("n_tokens"), t[0].try_cast("int").alias("class_id"), *numbers)
+
+    # a generator's rows are made once: as columns, each filter and join behind would split the line again
+    full = F.filter(F.array(trimmed(F.col("line"))), lambda text: text != "")
+    rows = F.transform(F.transform(full, lambda text: F.split(text, r"\s+")), fields)
+    rows = F.transform(rows, lambda x: x.withField("ok", (x["n_tokens"] >= min_tokens) & x["class_id"].isNotNull()))
+    made = ("n_tokens", "class_id", "cx", "cy", "w", "h", "ok")
+    out = lines.select(*[c for c in lines.columns if c not in made], F.inline(F.filter(rows, lambda x: x["ok"]) if mode == "skip" else rows))
     if mode == "raise":
         return out.withColumn("ok", F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("bad label line: "), F.col("line"))).cast("boolean")))
-    return out if mode == "count" else out.where("ok")
+    return out
 
 
 def known(parsed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -108,9 +112,9 @@ def class_frequency(parsed: DataFrame) -> DataFrame:
 
 def cooccurrence(parsed: DataFrame) -> DataFrame:
     """(class_a, class_b, n): images that hold both, counted in both directions."""
-    of = parsed.select("image_id", "class_id").distinct()
-    a, b = of.select("image_id", F.col("class_id").alias("class_a")), of.select("image_id", F.col("class_id").alias("class_b"))
-    return a.join(b, "image_id").where("class_a <> class_b").groupBy("class_a", "class_b").agg(F.count("*").alias("n"))
+    have = parsed.where("image_id is not null").groupBy("image_id").agg(F.collect_set("class_id").alias("have"))
+    pairs = have.select("have", F.explode("have").alias("class_a")).select("class_a", F.explode("have").alias("class_b"))
+    return pairs.where("class_a <> class_b").groupBy("class_a", "class_b").agg(F.count("*").alias("n"))
 
 
 def absent_classes(images: DataFrame, parsed: DataFrame, class_ids: list[int]) -> DataFrame:
@@ -151,14 +155,15 @@ def coco_annotations(images: DataFrame, lines: DataFrame, ids: DataFrame | None
     return a.select("split", "id", F.col("coco_id").alias("image"), (F.col("class_id") + 1).alias("category_id"), *[v.alias(f"bbox_{k}" if k != "area" else k) for k, v in boxes.items()])
 
 
-def quota_split(images: DataFrame, parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42) -> DataFrame:
-    """(image_id, stratum, split) of the annotated images.
+def quota_split(images: DataFrame, parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42, counts: DataFrame | None = None) -> DataFrame:
+    """(image_id, stratum, split) of the annotated images. counts: instances(parsed), if they are known.
 
     An image belongs to its rarest class; in the order of a seeded hash the
     images of a class fill train up to its share of boxes, then val, then test.
     """
-    totals = class_totals(parsed).withColumnRenamed("n", "total")
-    per = instances(parsed).join(totals, "class_id")
+    counts = cut(instances(parsed), "instances") if counts is None else counts
+    totals = counts.groupBy("class_id").agg(F.sum("n").alias("total"))
+    per = counts.join(totals, "class_id")
     rarest = per.groupBy("image_id").agg(F.min(F.struct("total", "class_id", "n")).alias("r")).select("image_id", F.col("r.class_id").alias("stratum"), F.col("r.n").alias("n"))
     out = hash_running(rarest, seed, ["image_id"], F.col("n"), "upto", ["stratum"], "of")
     train, val, _ = ratios
@@ -170,7 +175,7 @@ def greedy_split(parsed: DataFrame, ratios: tuple[float, float, float] = (0.7, 0
 
     Images that fit nowhere go to train with fits = false.
     """
-    return admission.greedy_split(instances(parsed), SPLITS, ratios, seed)
+    return admission.greedy_split(cut(instances(parsed), "instances"), SPLITS, ratios, seed)
 
 
 def slice_hard_negatives(negatives: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42) -> DataFrame:
@@ -180,9 +185,10 @@ def slice_hard_negatives(negatives: DataFrame, ratios: tuple[float, float, float
     return ranked.select("image_id", F.when(F.col("k") <= train, "train").when(F.col("k") <= train + val, "val").otherwise("test").alias("split"))
 
 
-def split_report(parsed: DataFrame, assigned: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
-    """Per class and split: boxes used, target and total."""
-    used = parsed.join(assigned.select("image_id", "split"), "image_id").groupBy("class_id", "split").agg(F.count("*").alias("used"))
+def split_report(parsed: DataFrame, assigned: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), counts: DataFrame | None = None) -> DataFrame:
+    """Per class and split: boxes used, target and total. counts: instances(parsed), if they are known."""
+    counts = instances(parsed) if counts is None else counts
+    used = counts.join(assigned.select("image_id", "split"), "image_id").groupBy("class_id", "split").agg(F.sum("n").alias("used"))
     total = used.groupBy("class_id").agg(F.sum("used").alias("total"))
     share = F.element_at(F.create_map(*[F.lit(x) for p in zip(SPLITS[:2], ratios[:2], strict=True) for x in p]), F.col("split"))
     tr, va = (F.floor(F.col("total") * F.lit(r)) for r in ratios[:2])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
+from ..operators.lineage import cut
 from .base import Views, query
 
 #: Stand-in for label files: images with lines, and every other image an empty file.
@@ -23,6 +24,13 @@ def parsed(v: Views) -> DataFrame:
     return L.parse_lines(v.fx_label_line)
 
 
+def quota_report(v: Views) -> DataFrame:
+    """The report of the quota split; the lines are parsed once."""
+    lines = parsed(v)
+    counts = cut(L.instances(lines), "instances")
+    return L.split_report(lines, L.quota_split(v.fx_image, lines, counts=counts), counts=counts)
+
+
 @query(f"+{PARSED} SELECT image_id, line_no, class_id, name, round(cx - w / 2, 6) AS x1, round(cy - h / 2, 6) AS y1, round(cx + w / 2, 6) AS x2, round(cy + h / 2, 6) AS y2 FROM good JOIN fx_class USING (class_id)", "fx_label_line fx_class")
 def gold_boxes(v: Views) -> DataFrame:
     g = L.gold_boxes(v.fx_label_line, v.fx_class)
@@ -119,15 +127,14 @@ def stratified_split(v: Views) -> DataFrame:
 @query(f"""{QUOTA}, used AS (SELECT g.class_id, s.split, count(*) AS used FROM good g JOIN split s USING (image_id) GROUP BY ALL), t AS (SELECT class_id, sum(used)::BIGINT AS total FROM used GROUP BY 1)
 SELECT class_id, split, used, CASE split WHEN 'train' THEN floor(total * CAST(0.7 AS DOUBLE)) WHEN 'val' THEN floor(total * CAST(0.2 AS DOUBLE)) ELSE total - floor(total * CAST(0.7 AS DOUBLE)) - floor(total * CAST(0.2 AS DOUBLE)) END::BIGINT AS target, total FROM used JOIN t USING (class_id)""", "fx_label_line")
 def split_quota_report(v: Views) -> DataFrame:
-    return L.split_report(parsed(v), L.quota_split(v.fx_image, parsed(v)))
+    return quota_report(v)
 
 
 @query(f"""{QUOTA}, used AS (SELECT g.class_id, s.split, count(*) AS used FROM good g JOIN split s USING (image_id) GROUP BY ALL), t AS (SELECT class_id, sum(used)::BIGINT AS total FROM used GROUP BY 1),
 rep AS (SELECT split, used, CASE split WHEN 'train' THEN floor(total * CAST(0.7 AS DOUBLE)) WHEN 'val' THEN floor(total * CAST(0.2 AS DOUBLE)) ELSE total - floor(total * CAST(0.7 AS DOUBLE)) - floor(total * CAST(0.2 AS DOUBLE)) END AS target FROM used JOIN t USING (class_id))
 SELECT split, round(avg(least(1.0::DOUBLE, used::DOUBLE / target)), 6) AS fill FROM rep WHERE target > 0 GROUP BY split""", "fx_label_line")
 def split_mean_fill(v: Views) -> DataFrame:
-    report = L.split_report(parsed(v), L.quota_split(v.fx_image, parsed(v)))
-    return L.mean_fill(report).withColumn("fill", F.round("fill", 6))
+    return L.mean_fill(quota_report(v)).withColumn("fill", F.round("fill", 6))
 
 
 @query(f"""{STATES}, neg AS (SELECT image_id, row_number() OVER (ORDER BY md5('42:' || image_id), image_id) AS k, count(*) OVER () AS n FROM states WHERE state <> 'annotated')

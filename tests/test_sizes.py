@@ -6,6 +6,7 @@ import time
 
 import pytest
 
+from boxmill.operators import labels as L
 from boxmill.operators import validation as V
 from boxmill.plans import registry
 from boxmill.streaming import monitor as M
@@ -93,3 +94,21 @@ def test_a_run_calls_its_state_a_few_times_however_many_its_epochs():
     m.handleInputRows((1,), ({"at": k * 1000, "epoch": k, "metric": 0.5} for k in range(500)), None)
     assert len(list(m.handleExpiredTimer((1,), Now(), None))) == 500
     assert len(calls) < 10
+
+
+def test_a_line_is_split_once_whatever_stands_behind(spark):
+    """Filters and joins on parsed columns split each line again."""
+    lines = spark.createDataFrame([(1, 1, " 0 0.5 0.5 0.1 0.1 "), (1, 2, "x 0.5 0.5 0.1 0.1"), (2, 1, "1 0.5"), (2, 2, " "), (3, 1, None)], "image_id long, line_no int, line string")
+    boxes = L.gold_boxes(lines, spark.createDataFrame([(0, "a"), (1, "b")], "class_id int, name string"))
+    assert boxes._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r["image_id"] for r in boxes.collect()] == [1]
+    counted = L.parse_lines(lines, mode="count").orderBy("image_id", "line_no").select("n_tokens", "class_id", "ok").collect()
+    assert [tuple(r) for r in counted] == [(5, 0, True), (5, None, False), (2, 1, False)]
+
+
+def test_lines_are_parsed_in_one_place_of_a_split(spark, crowded, monkeypatch):
+    """The report of a split parsed all lines three times."""
+    seen = []
+    monkeypatch.setattr(L, "instances", lambda parsed, real=L.instances: seen.append(1) or real(parsed))
+    registry.QUERIES["split_quota_report"](spark, crowded).collect()
+    assert len(seen) == 1
