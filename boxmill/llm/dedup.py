@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, broadcast_below, cut, free_name, text_key, text_or_empty
+from .common import WordHash, broadcast_below, cut, cut_alone, free_name, text_key, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -293,7 +293,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets confirm them; docs: (doc_id, text)."""
     pairs = cut(pairs, "pairs")
     both = _beside(_beside(pairs, docs, "a", "doc_id", "text"), docs, "b", "doc_id", "text")
-    return cut(both.mapInArrow(_confirmed, "a long, b long").distinct(), "confirmed")
+    return both.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
 def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -312,14 +312,14 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after links join components: only the roots' own links go through the rounds of stars."""
     if roots is None:
-        return cut(components(links, "a", "b"), "roots")
+        return components(links, "a", "b")
     for side in ("a", "b"):
         at = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
         links = links.join(at, side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
     new = components(links, "a", "b")
     old = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     alone = new.join(roots.select("node"), "node", "left_anti")
-    return cut(old.unionByName(alone), "roots")
+    return old.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -358,27 +358,35 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         hubs = rooted.groupBy("bucket").agg(F.min_by(F.struct("rep", "root"), F.struct(F.xxhash64(F.lit(turn), "rep"), "rep")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         tried = rooted.join(hubs.where("lo < hi"), "bucket").where("root <> hub.root")
         pairs = tried.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        found = _links(_near(pairs, marks), d)
+        found = cut_alone(lambda pairs=pairs: _links(_near(pairs, marks), d), "confirmed")
         if found.isEmpty():
             break
-        roots = _joined(roots, found)
+        roots = cut_alone(lambda roots=roots, found=found: _joined(roots, found), "roots")
 
     # the classes of buckets that still hold several components meet by keys of what tells them from their group's centre
     rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
     rest = cut(rooted.join(open_, "bucket").select("rep", "root", "first").distinct(), "open")
-    groups = components(rest, "rep", "first").select(F.col("node").alias("rep"), F.col("root").alias("grp"))
-    members = cut(rest.select("rep", "root").distinct().join(groups, "rep").select("grp", "rep", "root"), "grouped")
+
+    def grouped() -> DataFrame:
+        groups = components(rest, "rep", "first").select(F.col("node").alias("rep"), F.col("root").alias("grp"))
+        return rest.select("rep", "root").distinct().join(groups, "rep").select("grp", "rep", "root")
+
+    members = cut_alone(grouped, "grouped")
     ids = broadcast_below(members.select(F.col("rep").alias("doc_id")), 2_000_000)
     texts = d.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id", "text"])
     sets = cut(texts.mapInArrow(_shingle_sets, "rep long, shingles array<long>").where("size(shingles) > 0").withColumn("sid", F.xxhash64("rep", "shingles")), "sets")
-    maybe = cut(_exact_pairs(members, sets), "maybe")
-    sets = sets.withColumnRenamed("shingles", "set")
-    compared = _beside(_beside(maybe, sets, "a", "rep", "set"), sets, "b", "rep", "set")
-    both, size = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-    more = cut(compared.where((both > 0) & (100 * both >= PERCENT * (size - both))).select("a", "b").distinct(), "more")
+    maybe = cut_alone(lambda: _exact_pairs(members, sets), "maybe")
+
+    def similar() -> DataFrame:
+        named = sets.withColumnRenamed("shingles", "set")
+        compared = _beside(_beside(maybe, named, "a", "rep", "set"), named, "b", "rep", "set")
+        both, size = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+        return compared.where((both > 0) & (100 * both >= PERCENT * (size - both))).select("a", "b").distinct()
+
+    more = cut_alone(similar, "more")
     if roots is None or not more.isEmpty():
-        roots = _joined(roots, more)
+        roots = cut_alone(lambda: _joined(roots, more), "roots")
 
     classed = classes.select("d1", "d2", "rep").join(roots, F.col("rep") == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("bands", "marks").join(classed, ["d1", "d2"], "left")

@@ -7,6 +7,7 @@ import time
 import pytest
 
 from boxmill.operators import labels as L
+from boxmill.operators import lineage
 from boxmill.operators import validation as V
 from boxmill.plans import registry
 from boxmill.streaming import monitor as M
@@ -112,3 +113,24 @@ def test_lines_are_parsed_in_one_place_of_a_split(spark, crowded, monkeypatch):
     monkeypatch.setattr(L, "instances", lambda parsed, real=L.instances: seen.append(1) or real(parsed))
     registry.QUERIES["split_quota_report"](spark, crowded).collect()
     assert len(seen) == 1
+
+
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return {b for b in held.split() if b.startswith("shuffle_")}
+
+
+def test_cut_tables_leave_no_shuffle_files(spark):
+    """Every round of near-dedup left its shuffles on disk until the driver's memory was cleared."""
+    before = shuffle_files(spark)
+    table = lineage.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert shuffle_files(spark) <= before
+    assert table.count() == 7 and spark.conf.get(lineage.CLEANUP) == "false"
+
+
+def test_tables_cut_on_the_way_are_deleted(spark):
+    way = []
+    out = lineage.cut_alone(lambda: way.append(lineage.cut(spark.range(5), "first")) or way[0].where("id > 1"), "second")
+    assert out.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(way[0].inputFiles()[0]).count()
