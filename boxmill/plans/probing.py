@@ -165,7 +165,7 @@ def shouting():
 @query("SELECT question_id, CASE WHEN question_id % 200000 = 17 THEN 'TIMEOUT' ELSE upper(cls) END AS response FROM fx_answer", "fx_answer")
 def answered_in_time(v: Views) -> DataFrame:
     asked = v.fx_answer.select("question_id", F.col("question_id").cast("string").alias("image"), F.col("cls").alias("text"))
-    return X.answered(asked, "shouting", shouting, limit_s=10.0).select("question_id", "response")
+    return X.answered(asked, "shouting", shouting, limit_s=10.0, waiting=15).select("question_id", "response")
 
 
 def corner_boxes():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 
@@ -41,6 +42,30 @@ def test_a_hanging_model_is_replaced(spark):
     assert out[0]["response"] == out[1]["response"] != out[4]["response"] == out[5]["response"]
 
 
+def test_hanging_answers_are_waited_for_together(spark, tmp_path):
+    """Each hanging answer held up its worker for the whole limit."""
+    texts = ["hang" if k % 10 == 3 else "late" if k == 15 else "ok" for k in range(100)]
+    q = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], "question_id long, image string, text string").coalesce(1)
+    log = str(tmp_path / "asked")
+
+    def load():
+        import time
+
+        def answer(image, text):
+            with open(log, "a") as f:
+                f.write(f"{image}\n")
+            time.sleep({"hang": 600, "late": 1, "ok": 0}[text])
+            return image
+
+        return answer
+
+    began = time.monotonic()
+    out = {r["question_id"]: r["response"] for r in X.answered(q, "together", load, limit_s=4.0, rows=30, waiting=20).collect()}
+    assert time.monotonic() - began < 30
+    assert out == {k: "TIMEOUT" if t == "hang" else str(k) for k, t in enumerate(texts)}
+    assert sorted(map(int, open(log).read().split())) == list(range(100))
+
+
 def test_a_failing_model_fails_the_job(spark):
     q = spark.createDataFrame([(1, "a", "b")], "question_id long, image string, text string")
 
