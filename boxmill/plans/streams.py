@@ -20,6 +20,20 @@ def staged(df: DataFrame) -> tuple[str, str]:
     return path, ", ".join(f"{n} {k}" for n, k in df.dtypes)
 
 
+#: Batches in which once-each replays its table, however many files that has.
+REPLAYED = 4
+
+
+def replayed(v: Views, path: str, schema: str) -> DataFrame:
+    """The folder as a stream of at most REPLAYED batches.
+
+    Each batch looks at the whole state for keys whose delay is over, so the work of
+    batches of a fixed number of files would grow with the square of the table.
+    """
+    files = len(v.spark.read.schema(schema).parquet(path).inputFiles())
+    return stream(v.spark, path, schema, max(2, -(-files // REPLAYED)))
+
+
 def written(v: Views, rows: DataFrame) -> DataFrame:
     """What a stream appended, after its end."""
     out = f"{shared_dir(v.spark)}/stream-out-{uuid.uuid4().hex}"
@@ -55,7 +69,8 @@ def stream_run_monitor(v: Views) -> DataFrame:
 def stream_once_each(v: Views) -> DataFrame:
     a = v.fx_answer.select("question_id", "model", "tier")
     path, schema = staged(a.unionByName(a))
-    return written(v, once_each(stream(v.spark, path, schema, 2)))
+    with keyed_state(v.spark):  # the keys of a large table do not fit in the memory of executors
+        return written(v, once_each(replayed(v, path, schema)))
 
 
 @query("SELECT question_id, model, tier, upper(cls) AS response FROM fx_answer", "fx_answer")

@@ -9,7 +9,8 @@ import pytest
 from boxmill.operators import labels as L
 from boxmill.operators import lineage
 from boxmill.operators import validation as V
-from boxmill.plans import registry
+from boxmill.plans import registry, streams
+from boxmill.plans.base import Views
 from boxmill.streaming import monitor as M
 from pyspark.sql import functions as F
 
@@ -134,3 +135,13 @@ def test_tables_cut_on_the_way_are_deleted(spark):
     assert out.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         spark.read.parquet(way[0].inputFiles()[0]).count()
+
+
+def test_a_table_of_many_files_is_replayed_in_few_batches(spark, tmp_path, monkeypatch):
+    """Two files a batch made batches, each of which looks at the whole state, as many as the table is large."""
+    path, schema = str(tmp_path / "in"), "question_id long, model string, tier string"
+    spark.range(0, 60, 1, 30).selectExpr("id % 45 AS question_id", "'m' AS model", "'t' AS tier").write.parquet(path)
+    seen = []
+    monkeypatch.setattr(streams, "stream", lambda spark, path, schema, n: seen.append(n))
+    streams.replayed(Views(spark, ""), path, schema)
+    assert -(-30 // seen[0]) <= streams.REPLAYED
