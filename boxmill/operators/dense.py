@@ -4,7 +4,8 @@ Pairs meet in the cells of grids that double in size. A box lies in up to four
 cells of the grid that fits it and of the next coarser ones; boxes that overlap
 by a threshold differ in size by a factor the threshold bounds, so the grid of the
 larger box is one of the smaller box's. A pair is reported by the cell that holds
-the low corner of its intersection. Suppression and clusters are rounds of joins
+the low corner of its intersection. The boxes of an image that has few of them meet
+in one cell, as they would else be exchanged once for each of theirs. Suppression and clusters are rounds of joins
 over the pairs.
 """
 
@@ -22,18 +23,24 @@ from .lineage import cut
 
 log = logging.getLogger(__name__)
 
+#: Boxes of an image up to which they meet in one cell.
+FEW = 64
+ONE_CELL = -100_000
 
-def _celled(dets: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """A row for each cell of each box that has an area: the keys, level, cx, cy, own level and box."""
+
+def _celled(dets: DataFrame, threshold: float, keys: list[str], crowded: DataFrame) -> DataFrame:
+    """A row for each cell of each box that has an area: the keys, level, cx, cy, own level and box; level ONE_CELL for an image that isn't in crowded."""
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold {threshold}: over 0 and up to 1")
     wider = math.ceil(-math.log2(threshold) - 1e-12)
     sized = dets.where("x2 > x1 AND y2 > y1").withColumn("own", F.ceil(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).cast("int"))
-    leveled = sized.withColumn("level", F.explode(F.sequence(F.col("own"), F.col("own") + wider)))
+    sized = sized.join(crowded.withColumn("_many", F.lit(True)), "image_id", "left").withColumn("_many", F.coalesce("_many", F.lit(False)))
+    leveled = sized.withColumn("level", F.explode(F.when(F.col("_many"), F.sequence(F.col("own"), F.col("own") + wider)).otherwise(F.array(F.lit(ONE_CELL)))))
 
     def cells(low: str, high: str) -> Column:
         side = F.pow(F.lit(2.0), F.col("level"))
-        return F.explode(F.sequence(F.floor(F.col(low) / side).cast("long"), F.floor(F.col(high) / side).cast("long")))
+        some = F.sequence(F.floor(F.col(low) / side).cast("long"), F.floor(F.col(high) / side).cast("long"))
+        return F.explode(F.when(F.col("_many"), some).otherwise(F.array(F.lit(0).cast("long"))))
 
     wide = leveled.withColumn("cx", cells("x1", "x2")).withColumn("cy", cells("y1", "y2"))
     return wide.select(*keys, "level", "cx", "cy", "own", F.struct("det_id", "score", "x1", "y1", "x2", "y2").alias("d"))
@@ -43,10 +50,12 @@ def met(a: DataFrame, b: DataFrame, threshold: float, *, same_class: bool = True
     """(image_id, a, b) for the boxes of two tables that meet in a cell and may overlap by the threshold; each pair once."""
     keys = ["image_id", "class_id"] if same_class else ["image_id"]
     at = [*keys, "level", "cx", "cy"]
-    left, right = (_celled(t, threshold, keys).withColumnsRenamed({"d": to, "own": f"own_{to}"}) for t, to in ((a, "a"), (b, "b")))
+    boxes = a.select("image_id") if a is b else a.select("image_id").unionByName(b.select("image_id"))
+    crowded = boxes.groupBy("image_id").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select("image_id")
+    left, right = (_celled(t, threshold, keys, crowded).withColumnsRenamed({"d": to, "own": f"own_{to}"}) for t, to in ((a, "a"), (b, "b")))
     side = F.pow(F.lit(2.0), F.col("level"))
     low = {c: F.floor(F.greatest(F.col(f"a.{c}1"), F.col(f"b.{c}1")) / side) == F.col(f"c{c}") for c in "xy"}
-    reported = (F.col("level") == F.greatest("own_a", "own_b")) & low["x"] & low["y"]
+    reported = (F.col("level") == ONE_CELL) | ((F.col("level") == F.greatest("own_a", "own_b")) & low["x"] & low["y"])
     near = (F.col("a.x1") < F.col("b.x2")) & (F.col("b.x1") < F.col("a.x2")) & (F.col("a.y1") < F.col("b.y2")) & (F.col("b.y1") < F.col("a.y2"))
     return left.join(right, at).where(reported & near).select("image_id", "a", "b")
 

@@ -75,3 +75,16 @@ def test_fusion_and_crops(dets):
         assert found(N.smart_crop_filter(crops, full, high, low), "det_id") == found(D.smart_crop_filter(crops, full, high, low), "det_id")
     with pytest.raises(ValueError):
         N.met(dets, dets, 0.0)
+
+
+def test_few_boxes_meet_in_one_cell_and_many_in_theirs(spark, monkeypatch):
+    """Each box was exchanged once for each of its cells, also in images of a few boxes."""
+    few = [(1, k, 0, 10.0 * k, 0.0, 10.0 * k + 15, 20.0, 0.5) for k in range(6)]
+    many = [(2, k, 0, 10.0 * k, 0.0, 10.0 * k + 15, 20.0, 0.5) for k in range(9)]
+    d = spark.createDataFrame(few + many, "image_id long, det_id long, class_id int, x1 double, y1 double, x2 double, y2 double, score double")
+    monkeypatch.setattr(N, "FEW", 8)
+    crowded = d.groupBy("image_id").count().where("count > 8").select("image_id")
+    rows = {r["image_id"]: r["count"] for r in N._celled(d, 0.1, ["image_id", "class_id"], crowded).groupBy("image_id").count().collect()}
+    assert rows[1] == 6 and rows[2] > 9
+    pairs = {tuple(r) for r in N.named_pairs(d, 0.1).select("image_id", "a", "b").collect()}
+    assert pairs == {(i, k, k + 1) for i, n in ((1, 6), (2, 9)) for k in range(n - 1)}
