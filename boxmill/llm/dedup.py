@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, broadcast_below, cut, cut_alone, free_name, text_key, text_or_empty
+from .common import WordHash, broadcast_below, cut, cut_alone, dropped, free_name, text_key, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -242,15 +242,17 @@ def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         rows = members.join(held, "grp").join(sets, "rep")
         each = rows.select("grp", "n", "sid", F.explode("shingles").alias("s"))
         shared = cut(each.groupBy("grp", "s").agg(F.count("*").alias("c"), F.any_value("n").alias("n")).where("c > 1"), "shared")
-        mine = each.drop("n").join(shared, ["grp", "s"]).groupBy("grp", "sid")
-        mine = mine.agg(F.collect_list(F.when(~central, F.struct("c", F.col("s").alias("part")))).alias("own"), F.collect_list(F.when(central, F.col("s"))).alias("inside"))
         centres = shared.where(central).groupBy("grp").agg(F.collect_list("s").alias("centre"), F.any_value("n").alias("n"))
         centres = centres.select("grp", "centre", F.explode(F.sequence(F.lit(0), turns)).alias("turn"))
-        apart = rows.select("grp", "sid", "rep", "root", "n", "size", "alone", F.size("shingles").alias("held"), F.pmod(F.xxhash64("rep"), turns + 1).cast("int").alias("turn"))
-        apart = apart.join(mine, ["grp", "sid"], "left").join(centres, ["grp", "turn"], "left")
-        no = F.array().cast("array<long>")
-        apart = apart.withColumn("lacks", F.array_except(F.coalesce("centre", no), F.coalesce("inside", no)))
-        apart_by = F.col("alone") + F.col("held") - F.size(F.coalesce("inside", no)) + F.size("lacks")
+        apart = rows.select("grp", "sid", "rep", "root", "n", "size", "alone", "shingles", F.pmod(F.xxhash64("rep"), turns + 1).cast("int").alias("turn"))
+        apart = apart.join(centres, ["grp", "turn"], "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+        apart = apart.select("grp", "sid", "rep", "root", "n", "size", "alone", F.array_except("shingles", "centre").alias("beside"), F.array_except("centre", "shingles").alias("lacks"))
+        apart = cut(apart, "beside")
+        # only what is outside the centre is looked up, and only where two of a group can share it and still be no majority
+        mine = apart.where("n >= 4").select("grp", "sid", F.explode("beside").alias("s")).join(shared.where(~central).drop("n"), ["grp", "s"])
+        mine = mine.groupBy("grp", "sid").agg(F.collect_list(F.struct("c", F.col("s").alias("part"))).alias("own"))
+        apart = apart.join(mine, ["grp", "sid"], "left")
+        apart_by = F.col("alone") + F.size("beside") + F.size("lacks")
         excess = (100 + PERCENT) * apart_by - (100 - PERCENT) * F.col("size")
         # any order of the parts that all members of a group share is right; rare parts first is fast
         lacks = F.transform("lacks", lambda x: F.struct(F.floor(F.col("n") / 8).alias("c"), x.bitwiseXOR(F.lit(LACKS)).alias("part")))
@@ -280,19 +282,22 @@ def _exact_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, side: str, key: str, value: str) -> DataFrame:
-    """pairs with the column value_side of the row of `rows` whose key is that side; a side of many pairs is dealt out."""
-    other = "b" if side == "a" else "a"
-    n = pairs.groupBy(side).agg(F.floor(F.count("*") / SALTED).cast("int").alias("turns"))
-    n = broadcast_below(cut(n, "sides"), 2_000_000)
-    dealt = rows.select(F.col(key).alias(side), F.col(value).alias(f"{value}_{side}")).join(n, side).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns")))).drop("turns")
-    return pairs.join(n, side).withColumn("turn", F.pmod(F.xxhash64(other), F.col("turns") + 1).cast("int")).drop("turns").join(dealt, [side, "turn"]).drop("turn")
+def _beside(pairs: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """pairs (a, b), written, with value_a and value_b of the rows whose key is that side; a side of many pairs is dealt out."""
+    out = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        # counted on the pairs alone, not on what the other side has brought
+        n = pairs.groupBy(side).agg(F.floor(F.count("*") / SALTED).cast("int").alias("turns"))
+        n = broadcast_below(cut(n, "sides"), 2_000_000)
+        dealt = rows.select(F.col(key).alias(side), F.col(value).alias(f"{value}_{side}")).join(n, side).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns")))).drop("turns")
+        out = out.join(n, side).withColumn("turn", F.pmod(F.xxhash64(other), F.col("turns") + 1).cast("int")).drop("turns").join(dealt, [side, "turn"]).drop("turn")
+    return out
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets confirm them; docs: (doc_id, text)."""
     pairs = cut(pairs, "pairs")
-    both = _beside(_beside(pairs, docs, "a", "doc_id", "text"), docs, "b", "doc_id", "text")
+    both = _beside(pairs, docs, "doc_id", "text")
     return both.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
@@ -304,9 +309,13 @@ def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(_similar_marks, "a long, b long")
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, rep, root) of the members of buckets."""
-    return cut(members.join(roots, members["rep"] == roots["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(bucket, rep, root) of the members of buckets, dealt by bucket once for all that is asked of buckets."""
+    if roots is None:
+        rooted = members.select("bucket", "rep", F.col("rep").alias("root"))
+    else:
+        rooted = members.join(roots, members["rep"] == roots["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    return rooted.repartition("bucket")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -350,11 +359,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     at = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(at.join(shared, "bucket"), "members")
+    # the bands, most of both tables, have done their work
+    signed, classes = dropped(signed, "bands", "marks"), dropped(classes, "bands")
 
     marks = classes.select("rep", "marks", "n_shingles")
     roots = None
     for turn in range(HUB_ROUNDS):
-        rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
+        rooted = _rooted(members, roots)
         hubs = rooted.groupBy("bucket").agg(F.min_by(F.struct("rep", "root"), F.struct(F.xxhash64(F.lit(turn), "rep"), "rep")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         tried = rooted.join(hubs.where("lo < hi"), "bucket").where("root <> hub.root")
         pairs = tried.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
@@ -364,7 +375,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         roots = cut_alone(lambda roots=roots, found=found: _joined(roots, found), "roots")
 
     # the classes of buckets that still hold several components meet by keys of what tells them from their group's centre
-    rooted = members.withColumn("root", F.col("rep")) if roots is None else _rooted(members, roots)
+    rooted = _rooted(members, roots)
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("bucket", "first")
     rest = cut(rooted.join(open_, "bucket").select("rep", "root", "first").distinct(), "open")
 
@@ -380,7 +391,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     def similar() -> DataFrame:
         named = sets.withColumnRenamed("shingles", "set")
-        compared = _beside(_beside(maybe, named, "a", "rep", "set"), named, "b", "rep", "set")
+        compared = _beside(maybe, named, "rep", "set")
         both, size = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
         return compared.where((both > 0) & (100 * both >= PERCENT * (size - both))).select("a", "b").distinct()
 
@@ -389,7 +400,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         roots = cut_alone(lambda: _joined(roots, more), "roots")
 
     classed = classes.select("d1", "d2", "rep").join(roots, F.col("rep") == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = signed.drop("bands", "marks").join(classed, ["d1", "d2"], "left")
+    out = signed.join(classed, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id"))
     return out.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -517,3 +517,43 @@ def test_keys_of_the_same_members_are_one_group(spark):
     of += [(44, True, 1, 1), (44, True, 1, 1), (44, True, 2, 2), (45, True, 3, 3), (45, True, 3, 3), (45, True, 2, 2)]  # ids of two texts
     kept = dedup._kept_keys(spark.createDataFrame(of, "key long, own boolean, rep long, root long"))
     assert rows(kept.groupBy("key", "m").count()) == [(0, 20, 20), (40, 19, 19), (44, 3, 3), (45, 3, 3)]
+
+
+def test_a_round_of_stars_is_two_exchanges(spark):
+    """Six of them, each of as many tasks as there are partitions, and a last round that changed nothing were most of near-dedup's tasks."""
+    import re
+
+    from boxmill.llm import components as C
+
+    edges = spark.range(1, 200).selectExpr("id AS a", "id DIV 2 AS b")
+    one = C._small_star(C._large_star(edges))
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(set(re.findall(r"Exchange hashpartitioning.*plan_id=(\d+)", plan))) == 2
+    assert {tuple(r) for r in C.components(edges, "a", "b").collect()} == {(k, 0) for k in range(200)}
+
+
+def test_sides_are_counted_without_texts(spark, monkeypatch):
+    """Pairs were counted by their second side after the texts of the first had been joined, so these were shuffled twice."""
+    from boxmill.llm import dedup
+
+    counted = []
+    monkeypatch.setattr(dedup, "cut", lambda df, tag: counted.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in (1, 2, 3)], "doc_id long, text string")
+    beside = sorted(dedup._links(pairs, docs).collect())
+    assert beside == [] and len(counted) == 3 and not any("text" in plan for plan in counted)
+
+
+def test_what_a_group_has_in_common_is_not_looked_up(spark, monkeypatch):
+    """All shingles of all members were exchanged a second time; only those outside the centre have to be."""
+    from boxmill.llm import dedup
+
+    seen, cut = {}, dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df, tag: seen.setdefault(tag, cut(df, tag)))
+    sets = spark.createDataFrame([(k, [*range(100), 1000 + k // 2], k) for k in range(8)], "rep long, shingles array<long>, sid long")
+    members = sets.selectExpr("0L AS grp", "rep", "rep AS root")
+    dedup._exact_pairs(members, sets).collect()
+    assert seen["beside"].selectExpr("sum(size(beside))").first()[0] == 8
+    parts = {r["rep"]: r["parts"] for r in seen["differences"].collect()}
+    assert parts == {k: [1000 + k // 2] for k in range(8)}

@@ -137,6 +137,15 @@ def test_tables_cut_on_the_way_are_deleted(spark):
         spark.read.parquet(way[0].inputFiles()[0]).count()
 
 
+def test_a_table_without_its_large_columns_replaces_the_first(spark):
+    first = lineage.cut(spark.range(5).selectExpr("id", "id AS large"), "first")
+    at = first.inputFiles()[0]
+    out = lineage.dropped(first, "large")
+    assert out.columns == ["id"] and out.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(at).count()
+
+
 def test_a_table_of_many_files_is_replayed_in_few_batches(spark, tmp_path, monkeypatch):
     """Two files a batch made batches, each of which looks at the whole state, as many as the table is large."""
     path, schema = str(tmp_path / "in"), "question_id long, model string, tier string"
