@@ -78,15 +78,21 @@ def range_rank(df: DataFrame, order: list[str], to: str, by: list[str]) -> DataF
     return _beside(ranged, counts, by, "_r").withColumn(to, (inside + F.col("_before")).cast("long")).drop("_r", "_before")
 
 
-def bucket_rank(df: DataFrame, order: list[str], bucket: str, to: str, by: list[str]) -> DataFrame:
+def hash_rank_once(df: DataFrame, seed: int, key: list[str], to: str, by: list[str]) -> DataFrame:
+    """hash_rank for rows that are dear to make: df runs once, and its rows are written."""
+    h = df.withColumn("_h", hash_order(seed, *[F.col(k) for k in key])).withColumn("_b", F.substring("_h", 1, DIGITS))
+    return bucket_rank(h, ["_h", *key], "_b", to, by, spare=("_h",))
+
+
+def bucket_rank(df: DataFrame, order: list[str], bucket: str, to: str, by: list[str], spare: tuple[str, ...] = ()) -> DataFrame:
     """df without bucket and with `to`: the place, from 1, in the order of bucket, then order, among the rows with the same `by`.
 
     bucket is a column that order never contradicts, so no ranges are looked for,
     which would run df twice; df runs once, and its rows are written with their
-    places inside the buckets.
+    places inside the buckets, without the columns of spare.
     """
     inside = F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order))
-    rows = cut(df.withColumn("_in", inside), "bucketed")
+    rows = cut(df.withColumn("_in", inside).drop(*spare), "bucketed")
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*by, bucket).agg(F.max("_in").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return _beside(rows, F.broadcast(counts), by, bucket).withColumn(to, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", bucket)

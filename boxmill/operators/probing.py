@@ -6,12 +6,13 @@ inference_s.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TIMEOUT, predicted, question, strict_answer, trimmed
 from .labels import absent_classes, class_frequency, cooccurrence
-from .ordering import first_by_hash, hash_rank
+from .lineage import cut
+from .ordering import first_by_hash, hash_rank_once
 
 TIERS = ("random", "popular", "adversarial")
 
@@ -23,34 +24,40 @@ def negatives(images: DataFrame, gold: DataFrame, class_ids: list[int], *, seed:
     classes that occur most often with the image's gold ones. Ties keep the
     order of the class table.
     """
-    gold = gold.select("image_id", "class_id").distinct()
+    # dealt by image once: what follows is asked of images, and their classes are few enough to be sorted in one row
+    gold = gold.select("image_id", "class_id").repartition("image_id").distinct()
     absent = absent_classes(images, gold, class_ids)
     n = gold.groupBy("image_id").agg(F.count("*").alias("n"))
     often = class_frequency(gold)
-    both = cooccurrence(gold)
+    both = F.broadcast(cooccurrence(gold))
     near = gold.join(both, gold["class_id"] == both["class_a"]).groupBy("image_id", F.col("class_b").alias("class_id")).agg(F.sum("n").alias("together"))
-    c = absent.join(n, "image_id", "left").join(often, "class_id", "left").join(near, ["image_id", "class_id"], "left")
+    c = absent.join(n, "image_id", "left").join(F.broadcast(often), "class_id", "left").join(near, ["image_id", "class_id"], "left")
     c = c.withColumns({"want": F.coalesce("n", F.lit(without_gold)), "popular": F.coalesce("n_images", F.lit(0)), "adversarial": F.coalesce("together", F.lit(0))})
     c = c.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), F.col("class_id").cast("string")).cast("binary")))
-    c = c.select("image_id", "class_id", "want", "popular", "adversarial", "h", F.explode(F.lit(list(TIERS))).alias("tier"))
-    score = F.when(F.col("tier") == "popular", F.col("popular")).when(F.col("tier") == "adversarial", F.col("adversarial")).otherwise(F.lit(0))
-    tie = F.when(F.col("tier") == "random", F.col("h")).otherwise(F.lit(""))
-    w = Window.partitionBy("tier", "image_id").orderBy(score.desc(), tie, "class_id")
-    return c.withColumn("k", F.row_number().over(w)).where("k <= want").select("tier", "image_id", "class_id")
+    c = c.groupBy("image_id").agg(F.any_value("want").cast("int").alias("want"), F.collect_list(F.struct("popular", "adversarial", "h", "class_id")).alias("c"))
+
+    def first(tier: str) -> Column:
+        score = lambda x: -x[tier] if tier != "random" else F.lit(0)
+        tie = lambda x: x["h"] if tier == "random" else F.lit("")
+        in_order = F.sort_array(F.transform("c", lambda x: F.struct(score(x).cast("long").alias("score"), tie(x).alias("tie"), x["class_id"].alias("class_id"))))
+        return F.transform(F.slice(in_order, F.lit(1), F.col("want")), lambda x: F.struct(F.lit(tier).alias("tier"), x["class_id"].alias("class_id")))
+
+    return c.select("image_id", F.explode(F.concat(*[first(t) for t in TIERS])).alias("r")).select("r.tier", "image_id", "r.class_id")
 
 
 def balanced(questions: DataFrame, seed: int = 42) -> DataFrame:
     """As many yes as no questions in each tier: the larger label is cut in hash order."""
-    ranked = hash_rank(questions, seed, ["image_id", "class_id"], "_k", ["tier", "label"])
+    ranked = hash_rank_once(questions, seed, ["image_id", "class_id"], "_k", ["tier", "label"])
     least = questions.groupBy("tier").agg(F.least(F.count_if(F.col("label") == "yes"), F.count_if(F.col("label") == "no")).alias("_least"))
     return ranked.join(least, "tier").where("_k <= _least").drop("_k", "_least")
 
 
 def build_questions(images: DataFrame, gold: DataFrame, classes: DataFrame, class_ids: list[int], *, prompts: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """(tier, question_id, image_id, cls, text, label) for all tiers; ids from 1 in a second hash order."""
-    yes = gold.select("image_id", "class_id").distinct().select("image_id", "class_id", F.explode(F.lit(list(TIERS))).alias("tier")).withColumn("label", F.lit("yes"))
-    rows = yes.unionByName(negatives(images, gold, class_ids, seed=seed).withColumn("label", F.lit("no")))
-    rows = hash_rank(balanced(rows, seed), seed + 1, ["image_id", "class_id"], "question_id", ["tier"])
+    gold = cut(gold.select("image_id", "class_id").distinct(), "gold")
+    yes = gold.select("image_id", "class_id", F.explode(F.lit(list(TIERS))).alias("tier")).withColumn("label", F.lit("yes"))
+    rows = cut(yes.unionByName(negatives(images, gold, class_ids, seed=seed).withColumn("label", F.lit("no"))), "questions")
+    rows = hash_rank_once(balanced(rows, seed), seed + 1, ["image_id", "class_id"], "question_id", ["tier"])
     rows = rows.join(classes.select("class_id", F.col("name").alias("cls")), "class_id")
     prompt = F.lit(None).cast("string")
     if prompts is not None:

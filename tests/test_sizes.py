@@ -146,6 +146,24 @@ def test_a_table_without_its_large_columns_replaces_the_first(spark):
         spark.read.parquet(at).count()
 
 
+def test_questions_read_their_gold_boxes_once(spark):
+    """Gold boxes, behind a window over all of them, were made again for every place that asked for them."""
+    from boxmill.operators import probing as P
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    images = spark.range(40).selectExpr("id AS image_id")
+    gold = spark.range(120).selectExpr("id % 30 AS image_id", "cast(id % 4 AS int) AS class_id").mapInPandas(counted, "image_id long, class_id int")
+    classes = spark.range(6).selectExpr("cast(id AS int) AS class_id", "concat('c', id) AS name")
+    rows = P.build_questions(images, gold, classes, list(range(6))).collect()
+    assert made.value == 120 and len({(r["tier"], r["question_id"]) for r in rows}) == len(rows) > 0
+
+
 def test_a_table_of_many_files_is_replayed_in_few_batches(spark, tmp_path, monkeypatch):
     """Two files a batch made batches, each of which looks at the whole state, as many as the table is large."""
     path, schema = str(tmp_path / "in"), "question_id long, model string, tier string"
