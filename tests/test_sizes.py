@@ -164,6 +164,23 @@ def test_questions_read_their_gold_boxes_once(spark):
     assert made.value == 120 and len({(r["tier"], r["question_id"]) for r in rows}) == len(rows) > 0
 
 
+def test_methods_are_compared_on_detections_made_once(spark):
+    """Each method made the detections anew, behind a window over all boxes, and exchanged them."""
+    from boxmill.operators import fusion as D
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    dets = spark.range(200).selectExpr("id % 20 AS image_id", "id AS det_id", "cast(id % 3 AS int) AS class_id", "id * 7D AS x1", "0D AS y1", "id * 7D + 30 AS x2", "9D AS y2", "(id + 1) / 201D AS score")
+    out = D.compare_methods(dets.mapInPandas(counted, dets.schema)).collect()
+    assert made.value == 200
+    assert {r["method"]: r["n"] for r in out} == {m: f(dets).count() for m, f in D.METHODS.items()}
+
+
 def test_a_table_of_many_files_is_replayed_in_few_batches(spark, tmp_path, monkeypatch):
     """Two files a batch made batches, each of which looks at the whole state, as many as the table is large."""
     path, schema = str(tmp_path / "in"), "question_id long, model string, tier string"
