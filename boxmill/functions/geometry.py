@@ -26,18 +26,29 @@ def area(b: Column, clamp: bool = True) -> Column:
     return w * h
 
 
+def intersection(a: Column, b: Column) -> Column:
+    """The area that two boxes share."""
+    w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))
+    h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), F.lit(0.0))
+    return w * h
+
+
+def iou_of(shared: Column, area_a: Column, area_b: Column) -> Column:
+    """Intersection over union from the areas; an empty union gives 0."""
+    union = area_a + area_b - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+
+
 def iou(a: Column, b: Column, *, clamp: bool = True, eps: float | None = None) -> Column:
     """Intersection over union.
 
     clamp: areas of inverted boxes count as 0, else they stay negative. eps: is
     added to the union, which then may be 0; without it an empty union gives 0.
     """
-    w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))
-    h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), F.lit(0.0))
-    union = area(a, clamp) + area(b, clamp) - w * h
+    shared = intersection(a, b)
     if eps is not None:
-        return w * h / (union + eps)
-    return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
+        return shared / (area(a, clamp) + area(b, clamp) - shared + eps)
+    return iou_of(shared, area(a, clamp), area(b, clamp))
 
 
 def overlaps(a: Column, b: Column) -> Column:
