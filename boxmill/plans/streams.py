@@ -20,18 +20,19 @@ def staged(df: DataFrame) -> tuple[str, str]:
     return path, ", ".join(f"{n} {k}" for n, k in df.dtypes)
 
 
-#: Batches in which once-each replays its table, however many files that has.
+#: Batches in which a table is replayed, however many files it has.
 REPLAYED = 4
 
 
-def replayed(v: Views, path: str, schema: str) -> DataFrame:
-    """The folder as a stream of at most REPLAYED batches.
+def replayed(v: Views, path: str, schema: str, batches: int = REPLAYED) -> DataFrame:
+    """The folder as a stream of at most that many batches.
 
-    Each batch looks at the whole state for keys whose delay is over, so the work of
-    batches of a fixed number of files would grow with the square of the table.
+    Each batch of once-each looks at the whole state for keys whose delay is over, and
+    each batch of answers at the keys of all that are there, so the work of batches of
+    a fixed number of files would grow with the square of the table.
     """
     files = len(v.spark.read.schema(schema).parquet(path).inputFiles())
-    return stream(v.spark, path, schema, max(2, -(-files // REPLAYED)))
+    return stream(v.spark, path, schema, max(2, -(-files // batches)))
 
 
 def written(v: Views, rows: DataFrame) -> DataFrame:
@@ -78,11 +79,12 @@ def stream_resumed_answers(v: Views) -> DataFrame:
     """Answers from two runs over the same stream; the second one finds all answered.
 
     An image of over 16 questions shares their ids with the next image, so both are the key.
+    Two batches a run, as each reads the keys of all answers: two and a half times the table in all.
     """
     path, schema = staged(v.fx_answer.select("image_id", "question_id", "model", "tier", "cls"))
     out = f"{shared_dir(v.spark)}/stream-out-{uuid.uuid4().hex}"
     key = ["image_id", *KEY]
     for run in ("first", "second"):
-        q = answer_stream(stream(v.spark, path, schema, 2), lambda df: df.select(*key, F.upper("cls").alias("response")), f"{out}/rows", f"{out}/{run}", key)
+        q = answer_stream(replayed(v, path, schema, 2), lambda df: df.select(*key, F.upper("cls").alias("response")), f"{out}/rows", f"{out}/{run}", key)
         q.awaitTermination()
     return v.spark.read.parquet(f"{out}/rows").select("question_id", "model", "tier", "response")

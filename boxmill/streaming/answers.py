@@ -29,7 +29,8 @@ def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]
     """Answers the questions that path has no answer to, batch by batch, and appends them; ends when all is read.
 
     A batch that runs again after a failure finds its own rows in path and adds
-    none twice.
+    none twice. Each batch reads the keys of all answers, so the batches of a long
+    stream should grow with it.
     """
 
     def batch(df: DataFrame, _: int) -> None:

@@ -33,6 +33,15 @@ def test_resumed_answers_of_images_that_share_ids(spark, crowded):
     assert registry.QUERIES["stream_resumed_answers"](spark, crowded).count() == 25
 
 
+def test_answers_of_a_table_of_many_files_come_in_few_batches(spark, crowded, monkeypatch):
+    """Two files a batch made batches, each of which reads the keys of all answers, as many as the table is large."""
+    runs, staged, answers = [], streams.staged, streams.answer_stream
+    monkeypatch.setattr(streams, "staged", lambda df: staged(df.repartition(20)))
+    monkeypatch.setattr(streams, "answer_stream", lambda *args: runs.append(answers(*args)) or runs[-1])
+    assert registry.QUERIES["stream_resumed_answers"](spark, crowded).count() == 25
+    assert [len({p["batchId"] for p in q.recentProgress}) for q in runs] == [2, 2]
+
+
 def test_a_bin_of_very_many_rows(spark):
     """Envelopes looked at all later rows of a bin for each row: 120,000 rows took minutes."""
     n = 120_000
